@@ -89,7 +89,8 @@ def _round_half_even(x: float) -> int:
 
 
 def sample(df: DataFrame, n: int | None = None, frac: float | None = None,
-           seed: int = 42, key=None, stratify_by: str | None = None) -> DataFrame:
+           seed: int = 42, key=None, stratify_by: str | None = None,
+           topk_limit: int = TOPK_LIMIT) -> DataFrame:
     """SMP-1/2/3: exactly ``n`` rows, or ``round(frac*rows)`` rows (per stratum).
 
     Without replacement, reproducible for a seed. ``key`` (a unique integer
@@ -109,7 +110,7 @@ def sample(df: DataFrame, n: int | None = None, frac: float | None = None,
             n = _round_half_even(frac * total)
         if n <= 0 or n > total:
             raise OperatorError(f"n must be in (0, {total}]")
-        if n <= TOPK_LIMIT:
+        if n <= topk_limit:
             return df.orderBy(h, *order_tail).limit(n)
         return _flag_first(df, h, bits, [], n).filter("_sel").drop("_sel")
     if frac is None:
