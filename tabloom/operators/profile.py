@@ -224,7 +224,7 @@ def eda_summary(df: DataFrame, time_column: str, measures, unit: str = "month")
     base = describe(df, measures)
     trend = df.groupBy(F.date_trunc(unit, qcol(time_column)).alias("period")).agg(
         *[F.avg(qcol(m)).alias(m) for m in measures], F.count(F.lit(1)).alias("rows"))
-    rel = correlation_matrix(df, measures)
+    rel = correlation_matrix(df, measures) if len(measures) > 1 else None
     anomalies = outlier_counts(df, measures)
     return {"base": base, "trend": trend, "relationships": rel, "anomalies": anomalies}
 

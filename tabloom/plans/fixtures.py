@@ -137,7 +137,8 @@ def demand_intermittent(spark, d) -> DataFrame:
     lo, hi = per.agg(F.min("month"), F.max("month")).first()
     months = F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("INTERVAL 1 MONTH"))
     grid = per.select("l_partkey").distinct() \
-        .select("l_partkey", F.explode(months).cast("timestamp_ntz").alias("month"))
+        .select("l_partkey", F.explode(months).alias("m")) \
+        .select("l_partkey", F.col("m").cast("timestamp_ntz").alias("month"))
     return grid.join(per, ["l_partkey", "month"], "left") \
         .select("l_partkey", "month", F.coalesce("q", F.lit(0.0)).alias("demand"))
 
