@@ -42,3 +42,237 @@ SELECT p_type, """ + _METRICS_SQL + """
 FROM f WHERE predicted IS NOT NULL GROUP BY p_type ORDER BY mape, p_type LIMIT 3"""
 
 register("fct1_sma_top3", FLAGSHIP_SQL)(flagship)
+
+
+# ---------------------------------------------------------------- FCT-1 / FCT-2
+from tabloom.operators.forecast import arima as ar  # noqa: E402
+from tabloom.operators.forecast import intermittent as im  # noqa: E402
+from tabloom.operators.forecast import network as nn  # noqa: E402
+from tabloom.operators.forecast import regressors as rg  # noqa: E402
+from tabloom.operators.forecast import smoothing as sm  # noqa: E402
+from tabloom.operators.forecast.metrics import (choose_best, forecast_summary,  # noqa: E402
+                                                future_periods)
+from tabloom.plans.queries_profile import round_all  # noqa: E402
+
+SMA_FC_SQL = DEMAND + """,
+f AS (SELECT p_type, month, demand AS actual,
+  CASE WHEN count(demand) OVER w = 3 THEN avg(demand) OVER w END AS predicted,
+  row_number() OVER (PARTITION BY p_type ORDER BY month) > floor(count(*) OVER (PARTITION BY p_type) * 0.8) AS is_test
+  FROM d WINDOW w AS (PARTITION BY p_type ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))"""
+
+
+@register("fct1_sma_forecast", SMA_FC_SQL + """
+SELECT p_type, month, actual, round(predicted, 6) AS predicted, is_test FROM f""")
+def fct1f(spark, d):
+    return round_all(moving.sma_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], 3))
+
+
+@register("fct1_sma_metrics", SMA_FC_SQL + """
+SELECT p_type, """ + _METRICS_SQL + """ FROM f WHERE predicted IS NOT NULL GROUP BY p_type""")
+def fct1m(spark, d):
+    m = moving.sma_metrics(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], 3)
+    return m.select("p_type", *_metric_cols())
+
+
+def _wma_sql():
+    parts = []
+    for i, w in enumerate(moving.DEFAULT_WEIGHTS):
+        pred = f"{w[0]} * lag(demand, 3) OVER w + {w[1]} * lag(demand, 2) OVER w + {w[2]} * lag(demand, 1) OVER w"
+        parts.append(f"SELECT p_type, month, demand AS actual, {i} AS candidate, {pred} AS predicted "
+                     f"FROM d WINDOW w AS (PARTITION BY p_type ORDER BY month)")
+    return DEMAND + ", s AS (" + " UNION ALL ".join(parts) + """),
+m AS (SELECT p_type, candidate, """ + _METRICS_SQL + """ FROM s WHERE predicted IS NOT NULL GROUP BY ALL)
+SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY mape, candidate) AS rk FROM m)
+WHERE rk = 1"""
+
+
+@register("fct2_wma_search", _wma_sql())
+def fct2(spark, d):
+    m = moving.wma_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], 3)
+    return m.select("p_type", F.col("candidate").cast("integer").alias("candidate"), *_metric_cols())
+
+
+# ---------------------------------------------------------------- FCT-3
+SES_GRID = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+SES_SQL = DEMAND + f""",
+f AS (SELECT p_type, month, demand AS value, row_number() OVER (PARTITION BY p_type ORDER BY month) AS pos,
+  floor(count(*) OVER (PARTITION BY p_type) * 0.8) AS n_train FROM d),
+tr AS (SELECT p_type, list(value ORDER BY month) FILTER (WHERE pos <= n_train) AS arr FROM f GROUP BY p_type),
+c AS (SELECT p_type, alpha, list_reduce(arr[2:], lambda acc, x: acc * (1 - alpha) + x * alpha, arr[1]) AS level
+  FROM tr, (SELECT unnest({SES_GRID}::DOUBLE[]) AS alpha)),
+m AS (SELECT f.p_type, c.alpha,
+  round(avg(CASE WHEN value <> 0 THEN abs((level - value) / value) END), 6) AS mape,
+  round(avg(abs(level - value)), 6) AS mae, round(avg((level - value) ^ 2), 6) AS mse,
+  round(sqrt(avg((level - value) ^ 2)), 6) AS rmse,
+  round(CASE WHEN var_pop(value) * count(value) = 0 THEN 0.0
+    ELSE 1 - sum((level - value) ^ 2) / (var_pop(value) * count(value)) END, 6) AS r2,
+  CAST(count(*) AS BIGINT) AS n, round(max(level), 6) AS level
+  FROM f JOIN c ON f.p_type = c.p_type WHERE pos > n_train GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY mape, alpha) = 1 AS best FROM m"""
+
+
+@register("fct3_ses_search", SES_SQL)
+def fct3(spark, d):
+    return round_all(sm.ses_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], select_on="test"))
+
+
+@register("fct4_5_double_triple_smoothing")
+def fct45(spark, d):
+    return round_all(sm.smoothing_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"]))
+
+
+@register("fct6_best_smoothing")
+def fct6(spark, d):
+    dem = fx.demand_monthly(spark, d)
+    ses = sm.ses_search(dem, "demand", "month", ["p_type"], select_on="test")
+    rest = sm.smoothing_search(dem, "demand", "month", ["p_type"])
+    return round_all(sm.best_smoothing(ses, rest, ["p_type"]))
+
+
+# ---------------------------------------------------------------- FCT-7..10
+def _croston_sql(method, alpha, beta):
+    if method == "tsb":
+        p0, f0 = "1.0 / (1 + i0)", "a0 / (1 + i0)"
+        step = f"""{{'a': CASE WHEN x > 0 THEN {alpha} * x + (1 - {alpha}) * acc.a ELSE acc.a END,
+          'p': CASE WHEN x > 0 THEN {beta} + (1 - {beta}) * acc.p ELSE (1 - {beta}) * acc.p END,
+          'q': acc.q,
+          'f': (CASE WHEN x > 0 THEN {beta} + (1 - {beta}) * acc.p ELSE (1 - {beta}) * acc.p END)
+               * (CASE WHEN x > 0 THEN {alpha} * x + (1 - {alpha}) * acc.a ELSE acc.a END),"""
+    else:
+        k = f"(1 - {alpha} / 2) * " if method == "sba" else ""
+        p0, f0 = "1.0 + i0", "a0 / (1.0 + i0)"
+        step = f"""{{'a': CASE WHEN x > 0 THEN {alpha} * x + (1 - {alpha}) * acc.a ELSE acc.a END,
+          'p': CASE WHEN x > 0 THEN {alpha} * acc.q + (1 - {alpha}) * acc.p ELSE acc.p END,
+          'q': CASE WHEN x > 0 THEN 1.0 ELSE acc.q + 1 END,
+          'f': CASE WHEN x > 0 THEN {k}(({alpha} * x + (1 - {alpha}) * acc.a) / ({alpha} * acc.q + (1 - {alpha}) * acc.p))
+               ELSE acc.f END,"""
+    step += """
+          'se': acc.se + CASE WHEN x <> 0 THEN abs((acc.f - x) / x) ELSE 0.0 END,
+          'nz': acc.nz + CASE WHEN x <> 0 THEN 1.0 ELSE 0.0 END}"""
+    beta_sql = f"{beta}::DOUBLE" if method == "tsb" else "NULL::DOUBLE"
+    return f"""WITH dp AS ({fx.DEMAND_PART_SQL}),
+s AS (SELECT l_partkey, list(demand ORDER BY month) AS arr, avg(CASE WHEN demand = 0 THEN 1.0 ELSE 0.0 END) * 100 AS zero_pct
+  FROM dp GROUP BY l_partkey),
+i AS (SELECT *, list_position(list_transform(arr, lambda v: v > 0), true) - 1 AS i0,
+  list_filter(arr, lambda v: v > 0)[1] AS a0 FROM s),
+r AS (SELECT l_partkey, zero_pct, list_reduce(arr, lambda acc, x: {step},
+  {{'a': a0::DOUBLE, 'p': ({p0})::DOUBLE, 'q': 1.0::DOUBLE, 'f': ({f0})::DOUBLE, 'se': 0.0::DOUBLE,
+    'nz': 0.0::DOUBLE}}) AS st FROM i)
+SELECT l_partkey, '{method}' AS method, {alpha}::DOUBLE AS alpha, {beta_sql} AS beta,
+  round(st.se / st.nz, 6) AS mape, round(st.f, 6) AS forecast, CAST(st.nz AS BIGINT) AS nonzero_periods,
+  round(zero_pct, 6) AS zero_pct FROM r"""
+
+
+def _croston_q(method, alpha, beta):
+    def q(spark, d):
+        return round_all(im.croston(fx.demand_intermittent(spark, d), "demand", "month", ["l_partkey"],
+                                    method, alpha, beta))
+    return q
+
+
+register("fct7_croston", _croston_sql("croston", 0.3, 0.2))(_croston_q("croston", 0.3, 0.2))
+register("fct8_sba", _croston_sql("sba", 0.3, 0.2))(_croston_q("sba", 0.3, 0.2))
+register("fct9_tsb", _croston_sql("tsb", 0.3, 0.2))(_croston_q("tsb", 0.3, 0.2))
+
+
+@register("fct10_croston_search")
+def fct10(spark, d):
+    return round_all(im.croston_search(fx.demand_intermittent(spark, d), "demand", "month", ["l_partkey"]))
+
+
+# ---------------------------------------------------------------- FCT-11
+def _fct11_sql(zero):
+    mape = ("avg(abs((p - a) / CASE WHEN a = 0 THEN 1e-10 ELSE a END))" if zero == "epsilon"
+            else "avg(CASE WHEN a <> 0 THEN abs((p - a) / a) END)")
+    return f"""SELECT l_returnflag, round({mape}, 6) AS mape, round(avg(abs(p - a)), 6) AS mae,
+  round(avg((p - a) ^ 2), 6) AS mse, round(sqrt(avg((p - a) ^ 2)), 6) AS rmse,
+  round(CASE WHEN var_pop(a) * count(a) = 0 THEN 0.0 ELSE 1 - sum((p - a) ^ 2) / (var_pop(a) * count(a)) END, 6) AS r2,
+  CAST(count(*) AS BIGINT) AS n FROM (SELECT l_returnflag, l_extendedprice AS a, l_quantity * 2000 AS p FROM lineitem)
+  GROUP BY l_returnflag"""
+
+
+def _fct11(zero):
+    def q(spark, d):
+        li = fx.load(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("actual"),
+                                                  (F.col("l_quantity") * 2000).alias("predicted"))
+        return round_all(forecast_metrics(li, by=["l_returnflag"], zero=zero))
+    return q
+
+
+register("fct11_metrics_epsilon", _fct11_sql("epsilon"))(_fct11("epsilon"))
+register("fct11_metrics_skip", _fct11_sql("skip"))(_fct11("skip"))
+
+
+# ---------------------------------------------------------------- FCT-12
+@register("fct12_arima")
+def fct12(spark, d):
+    return ar.arima(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], (2, 1, 1))
+
+
+@register("fct12a_residual_diagnostics", SMA_FC_SQL + """,
+e AS (SELECT p_type, month, actual - predicted AS e, (actual - predicted) - lag(actual - predicted) OVER
+  (PARTITION BY p_type ORDER BY month) AS de FROM f WHERE predicted IS NOT NULL)
+SELECT p_type, round(sum(de * de) / sum(e * e), 6) AS durbin_watson, round(avg(e), 6) AS resid_mean,
+  round(stddev_samp(e), 6) AS resid_std FROM e GROUP BY p_type""")
+def fct12a(spark, d):
+    fc = moving.sma_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], 3) \
+        .filter("predicted IS NOT NULL").withColumn("resid", F.col("actual") - F.col("predicted"))
+    return round_all(ar.residual_diagnostics_sql_form(fc, "resid", "month", ["p_type"]))
+
+
+# ---------------------------------------------------------------- FCT-13..15
+@register("fct13_random_forest")
+def fct13(spark, d):
+    cands, fc, imp = rg.tree_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"],
+                                      "random_forest", extra_periods=3)
+    return round_all(cands)
+
+
+@register("fct14_boosted_trees")
+def fct14(spark, d):
+    cands, fc, imp = rg.tree_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"],
+                                      "boosted_trees", grid={"maxIter": [20, 50], "maxDepth": [3, 5]})
+    return round_all(cands)
+
+
+@register("fct15_lag_network")
+def fct15(spark, d):
+    return round_all(nn.lag_network(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], epochs=50))
+
+
+# ---------------------------------------------------------------- FCT-16..18
+@register("fct16_future_periods", DEMAND + """
+SELECT p_type, CAST(step AS INTEGER) AS step, CAST(last_month + to_months(CAST(step AS INTEGER)) AS DATE) AS month
+FROM (SELECT p_type, max(month) AS last_month FROM d GROUP BY p_type), (SELECT unnest(range(1, 4)) AS step)""")
+def fct16(spark, d):
+    last = fx.demand_monthly(spark, d).groupBy("p_type").agg(F.max("month").alias("month"))
+    return future_periods(last, "month", 3, "month", by=["p_type"])
+
+
+@register("fct17_forecast_summary", SMA_FC_SQL + """
+SELECT p_type, CAST(count(*) AS BIGINT) AS samples, CAST(count(*) FILTER (WHERE NOT is_test) AS BIGINT) AS train_count,
+  CAST(count(*) FILTER (WHERE is_test) AS BIGINT) AS test_count, min(month) FILTER (WHERE NOT is_test) AS train_start,
+  max(month) FILTER (WHERE NOT is_test) AS train_end, min(month) FILTER (WHERE is_test) AS test_start,
+  max(month) FILTER (WHERE is_test) AS test_end,
+  list(actual ORDER BY month) FILTER (WHERE is_test) AS actual_values,
+  list(round(predicted, 6) ORDER BY month) FILTER (WHERE is_test) AS predicted_values FROM f GROUP BY p_type""")
+def fct17(spark, d):
+    fc = round_all(moving.sma_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], 3))
+    return forecast_summary(fc, by=["p_type"], time_column="month")
+
+
+@register("fct18_backtest_choice", SMA_FC_SQL + """,
+w AS (SELECT p_type, month, demand AS actual, 0.2 * lag(demand, 3) OVER x + 0.3 * lag(demand, 2) OVER x
+  + 0.5 * lag(demand, 1) OVER x AS predicted FROM d WINDOW x AS (PARTITION BY p_type ORDER BY month)),
+m AS (SELECT p_type, 'sma' AS method, """ + _METRICS_SQL + """ FROM f WHERE predicted IS NOT NULL GROUP BY p_type
+  UNION ALL SELECT p_type, 'wma' AS method, """ + _METRICS_SQL + """ FROM w WHERE predicted IS NOT NULL GROUP BY p_type)
+SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY mape, method) AS rk FROM m)
+WHERE rk = 1""")
+def fct18(spark, d):
+    dem = fx.demand_monthly(spark, d)
+    sma_m = forecast_metrics(moving.sma_forecast(dem, "demand", "month", ["p_type"], 3), by=["p_type"]) \
+        .withColumn("method", F.lit("sma"))
+    wma_m = forecast_metrics(moving.wma_forecast(dem, "demand", [0.2, 0.3, 0.5], "month", ["p_type"]),
+                             by=["p_type"]).withColumn("method", F.lit("wma"))
+    best = choose_best([sma_m, wma_m], by=["p_type"])
+    return best.select("p_type", "method", *_metric_cols())
