@@ -1,9 +1,9 @@
 """Intermittent-demand forecasting: Croston, SBA, TSB (FCT-7..10).
 
 For a fixed parameter the recursion is a JVM-side fold (``F.aggregate`` with a
-struct state) over each series' sorted values; the parameter search runs the
-whole grid per series inside one ``applyInPandas`` call, vectorised over the
-candidates. The forecast for a period uses the state before that period's
+struct state) over each series' sorted values; the parameter search hashes the
+series into bounded groups and runs each group's whole grid inside one
+``applyInPandas`` call, vectorised over series x candidates. The forecast for a period uses the state before that period's
 demand is seen; in-sample MAPE counts only periods with non-zero demand; the
 next-period forecast uses the state after the last observation.
 """
@@ -80,92 +80,129 @@ def croston(df: DataFrame, target: str, time_column: str = "time", series_keys=(
 
 
 # --------------------------------------------------------------------------
-# Grid search (numpy, vectorised over candidates)
+# Grid search (numpy, vectorised over series x candidates)
 # --------------------------------------------------------------------------
 
-
-def croston_paths(d: np.ndarray, method: str, alpha: np.ndarray, beta: np.ndarray):
-    """In-sample forecasts (C, T) and next-period forecast (C,)."""
-    c, n = alpha.shape[0], len(d)
-    nzpos = np.flatnonzero(d > 0)
-    if len(nzpos) == 0:
-        return None, None
-    i0 = nzpos[0]
-    a = np.full(c, d[i0], dtype=float)
-    p = np.full(c, 1.0 / (1 + i0) if method == "tsb" else 1.0 + i0)
-    f = a * p if method == "tsb" else a / p
-    q = np.ones(c)
-    out = np.empty((c, n))
-    for t in range(n):
-        out[:, t] = f
-        if d[t] > 0:
-            a = alpha * d[t] + (1 - alpha) * a
-            if method == "tsb":
-                p = beta + (1 - beta) * p
-            else:
-                p = alpha * q + (1 - alpha) * p
-                q = np.ones(c)
-        else:
-            if method == "tsb":
-                p = (1 - beta) * p
-            else:
-                q = q + 1
+# Series per pandas group in the search: bounds the memory of one task
+# (series x periods x candidates floats) whatever the number of series.
+SERIES_PER_GROUP = 256
+
+
+def croston_batch(D: np.ndarray, method: str, alpha: np.ndarray, beta: np.ndarray):
+    """Run one method for S series (rows of D, NaN-padded at the end) and C
+    candidates at once. Returns (mape (S, C), next forecast (S, C))."""
+    S, T = D.shape
+    C = alpha.shape[0]
+    valid = ~np.isnan(D)
+    pos = np.where(valid & (D > 0), np.arange(T)[None, :], T)
+    i0 = pos.min(axis=1)                                     # first positive demand
+    has = i0 < T
+    a0 = np.where(has, D[np.arange(S), np.minimum(i0, T - 1)], np.nan)
+    al, be = alpha[None, :], beta[None, :]
+    a = np.repeat(a0[:, None], C, axis=1)
+    if method == "tsb":
+        p = np.repeat((1.0 / (1 + i0))[:, None], C, axis=1).astype(float)
+        f = a * p
+    else:
+        p = np.repeat((1.0 + i0)[:, None], C, axis=1).astype(float)
+        f = a / p
+    q = np.ones((S, C))
+    se = np.zeros((S, C))
+    nz = np.zeros((S, 1))
+    for t in range(T):
+        d = D[:, t][:, None]
+        ok = valid[:, t][:, None]
+        dem = ok & (d > 0)
+        cnt = ok & (d != 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            se += np.where(cnt, np.abs((f - d) / np.where(cnt, d, 1.0)), 0.0)
+        nz += cnt
+        a_new = np.where(dem, al * d + (1 - al) * a, a)
         if method == "tsb":
-            f = p * a
-        elif d[t] > 0:
-            f = a / p * ((1 - alpha / 2) if method == "sba" else 1.0)
-    return out, f
+            p = np.where(dem, be + (1 - be) * p, np.where(ok, (1 - be) * p, p))
+            a = a_new
+            f = np.where(ok, p * a, f)
+        else:
+            p = np.where(dem, al * q + (1 - al) * p, p)
+            q = np.where(dem, 1.0, np.where(ok, q + 1, q))
+            a = a_new
+            ratio = a / p * ((1 - al / 2) if method == "sba" else 1.0)
+            f = np.where(dem, ratio, f)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mape = np.where(nz > 0, se / nz, np.nan)
+    mape[~has] = np.nan
+    return mape, f
 
 
 SEARCH_SCHEMA = ("method string, alpha double, beta double, mape double, forecast double, "
                  "zero_pct double, is_best boolean, warning string")
 
 
-def search_group(pdf: pd.DataFrame, methods, alphas, betas) -> pd.DataFrame:
-    pdf = pdf.sort_values("time")
-    d = pdf["value"].to_numpy(dtype=float)
-    zero_pct = float(np.mean(d == 0) * 100) if len(d) else float("nan")
-    warning = None
-    if zero_pct == 0:
-        warning = "no zero periods: intermittent methods may not suit this series"
-    elif zero_pct > 80:
-        warning = "more than 80% zero periods: forecasts are unreliable"
-    nz = d != 0
-    rows = []
+def search_batch(pdf: pd.DataFrame, keys, methods, alphas, betas) -> pd.DataFrame:
+    """All series of one group: pivot to a (series x period) matrix, search."""
+    pdf = pdf.sort_values(keys + ["time"])
+    pdf["_pos"] = pdf.groupby(keys, sort=False).cumcount()
+    wide = pdf.pivot_table(index=keys, columns="_pos", values="value", aggfunc="first", dropna=False)
+    D = wide.to_numpy(dtype=float)
+    idx = wide.index.to_frame(index=False)
+    valid = ~np.isnan(D)
+    zero_pct = np.where(valid.sum(1) > 0, (valid & (D == 0)).sum(1) / np.maximum(valid.sum(1), 1) * 100, np.nan)
+    warn = np.where(zero_pct == 0, "no zero periods: intermittent methods may not suit this series",
+                    np.where(zero_pct > 80, "more than 80% zero periods: forecasts are unreliable", None))
+    frames = []
     for m in methods:
         if m == "tsb":
             A, B = (x.ravel() for x in np.meshgrid(alphas, betas, indexing="ij"))
         else:
             A, B = np.asarray(alphas, dtype=float), np.full(len(alphas), np.nan)
-        paths, nxt = croston_paths(d, m, A, B)
-        if paths is None or not nz.any():
-            continue
-        mape = np.mean(np.abs((paths[:, nz] - d[nz]) / d[nz]), axis=1)
-        k = int(np.nanargmin(mape))
-        rows.append({"method": m, "alpha": float(A[k]), "beta": None if m != "tsb" else float(B[k]),
-                     "mape": float(mape[k]), "forecast": float(nxt[k]), "zero_pct": zero_pct,
-                     "is_best": False, "warning": warning})
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in SEARCH_SCHEMA.split(", ")])
-    if len(out):
-        out.loc[out["mape"].idxmin(), "is_best"] = True
-    return out
+        mape, fc = croston_batch(D, m, A, B)
+        filled = np.where(np.isnan(mape), np.inf, mape)
+        k = filled.argmin(axis=1)
+        rows = np.arange(len(D))
+        out = idx.copy()
+        out["method"] = m
+        out["alpha"] = A[k]
+        out["beta"] = B[k] if m == "tsb" else None
+        out["mape"] = mape[rows, k]
+        out["forecast"] = fc[rows, k]
+        out["zero_pct"] = zero_pct
+        out["warning"] = warn
+        keep = out[~np.isnan(mape[rows, k])]
+        if len(keep):
+            frames.append(keep)
+    cols = list(keys) + [c.split()[0] for c in SEARCH_SCHEMA.split(", ")]
+    if not frames:
+        return pd.DataFrame(columns=cols)
+    res = pd.concat(frames, ignore_index=True)
+    if len(res):
+        best = res.groupby(keys, sort=False)["mape"].transform("min")
+        first = res.assign(_b=res["mape"] == best).groupby(keys, sort=False)["_b"].cumsum() == 1
+        res["is_best"] = (res["mape"] == best) & first
+    else:
+        res["is_best"] = pd.Series(dtype=bool)
+    return res[list(keys) + [c.split()[0] for c in SEARCH_SCHEMA.split(", ")]]
 
 
 def croston_search(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
-                   methods=METHODS, alphas=None, betas=None) -> DataFrame:
-    """FCT-10: best parameter per method and best method per series."""
+                   methods=METHODS, alphas=None, betas=None,
+                   series_per_group: int = SERIES_PER_GROUP) -> DataFrame:
+    """FCT-10: best parameter per method and best method per series.
+
+    Series are hashed into ``ceil(n_series / series_per_group)`` groups; each
+    group is searched as one matrix (series x candidates) in numpy.
+    """
     keys = _as_list(series_keys)
+    if not keys:
+        raise OperatorError("croston_search needs series_keys")
     require_columns(df, keys + [target, time_column])
     a = np.array(alphas or GRID, dtype=float)
     b = np.array(betas or GRID, dtype=float)
     base = df.select(*[qcol(k) for k in keys], qcol(time_column).alias("time"),
                      qcol(target).cast("double").alias("value"))
+    n_series = base.select(*[qcol(k) for k in keys]).distinct().count()
+    groups = max(1, -(-n_series // series_per_group))
+    bucket = F.pmod(F.xxhash64(*[qcol(k) for k in keys]), F.lit(groups))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
-
-    def fn(key, pdf):
-        out = search_group(pdf, methods, a, b)
-        for i, k in enumerate(keys):
-            out.insert(i, k, key[i])
-        return out
-
-    return base.groupBy(*[qcol(k) for k in keys]).applyInPandas(fn, key_schema + ", " + SEARCH_SCHEMA)
+    return base.withColumn("_g", bucket).groupBy("_g").applyInPandas(
+        lambda pdf: search_batch(pdf.drop(columns=["_g"]), keys, methods, a, b),
+        key_schema + ", " + SEARCH_SCHEMA)

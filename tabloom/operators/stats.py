@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions import cdf
 from tabloom.functions.expressions import (OperatorError, numeric_columns, qcol,
@@ -18,17 +19,17 @@ from tabloom.functions.expressions import (OperatorError, numeric_columns, qcol,
 from tabloom.session import cut_lineage
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(cdf.t_sf_two_sided_v(t.astype(float).fillna(np.nan), dof.astype(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(cdf.f_sf_v(f.astype(float), d1.astype(float), d2.astype(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series(cdf.chi2_sf_v(x.astype(float), k.astype(float)))
 
