@@ -93,7 +93,6 @@ def prj7(spark, d):
 
 
 # ------------------------------------------------------------------ JN
-NULL_CUST = fx.load  # marker for readability
 
 
 def cust_nullkeys(spark, d):
@@ -269,3 +268,27 @@ def smp6(spark, d):
   CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1""")
 def smp7(spark, d):
     return smp.kfold(_o(spark, d), 5, key="o_orderkey").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ PIP
+WORKFLOW_STEPS = [
+    {"id": "s1", "op": "query", "inputs": {"df": "orders_in"}, "output": "big",
+     "args": {"predicate": "o_totalprice > 100000 & o_orderstatus in ['F', 'O']"}},
+    {"id": "s2", "op": "aggregated_feature", "inputs": {"df": "big"}, "output": "feat",
+     "args": {"name": "cust_mean", "by": "o_custkey", "target": "o_totalprice", "agg": "mean"}},
+    {"id": "s3", "op": "project", "inputs": {"df": "feat"}, "output": "final",
+     "args": {"include": ["o_orderkey", "o_custkey", "cust_mean"]}},
+    {"id": "s4", "op": "not_an_operator", "inputs": {"df": "final"}, "ok": False},
+]
+
+
+@register("pip2_replay_workflow", """SELECT o_orderkey, o_custkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 6)
+  AS cust_mean FROM orders WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'O')""")
+def pip2(spark, d):
+    from tabloom.plans import workflow as wf
+    from tabloom.plans.queries_profile import round_all
+    spec = wf.record(WORKFLOW_STEPS, "orders analysis", datasets=["orders_in"])
+    cat = Catalog(spark)
+    cat.create(_o(spark, d), "orders_table")
+    out = wf.replay(spec, {"orders_in": "orders_table"}, cat)
+    return round_all(out["final"])
