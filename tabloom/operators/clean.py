@@ -152,13 +152,11 @@ def fill(df: DataFrame, column: str | None = None, method: str = "drop", order_b
         if not cols:
             return df
         if method == "fill_mean":
-            aggs = [F.avg(_clean(df, c)).alias(f"v{i}") for i, c in enumerate(cols)]
-        elif approx:
-            aggs = [F.percentile_approx(_clean(df, c), 0.5, 10000).alias(f"v{i}") for i, c in enumerate(cols)]
+            st = df.agg(*[F.avg(_clean(df, c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+            values = {c: st[f"v{i}"] for i, c in enumerate(cols)}
         else:
-            aggs = [F.median(_clean(df, c)).alias(f"v{i}") for i, c in enumerate(cols)]
-        st = df.agg(*aggs).first()
-        values = {c: st[f"v{i}"] for i, c in enumerate(cols)}
+            from tabloom.operators.quantiles import quantiles
+            values = {c: q[0] for c, q in quantiles(df, cols, [0.5], approx=approx).items()}
     else:
         values = {c: profile.mode_value(normalise(df, [c]), c) for c in cols}
     return _fill_values(df, values)
@@ -319,12 +317,18 @@ def apply_plan(df: DataFrame, plan: DataFrame | list, mapping: dict | None = Non
             out = standardize_columns(out)
         elif act == "clip" and col in out.columns:
             out = clip(out, col, s.get("lower"), s.get("upper"))
-    before_rows, after_rows = df.count(), out.count()
-    summary = df.sparkSession.createDataFrame(
-        [(before_rows, len(df.columns), after_rows, len(out.columns), before_rows - after_rows,
-          len(df.columns) - len(out.columns), len(steps))],
-        "rows_before long, cols_before long, rows_after long, cols_after long, rows_removed long, "
-        "cols_removed long, steps_applied long")
+    # Summary stays lazy: one union of the two row counts, pivoted into a row.
+    counts = df.select(F.lit("before").alias("_k")).unionByName(out.select(F.lit("after").alias("_k")))
+    piv = counts.groupBy().pivot("_k", ["before", "after"]).count()
+    summary = piv.select(
+        F.coalesce(F.col("before"), F.lit(0)).cast("long").alias("rows_before"),
+        F.lit(len(df.columns)).cast("long").alias("cols_before"),
+        F.coalesce(F.col("after"), F.lit(0)).cast("long").alias("rows_after"),
+        F.lit(len(out.columns)).cast("long").alias("cols_after"),
+        (F.coalesce(F.col("before"), F.lit(0)) - F.coalesce(F.col("after"), F.lit(0))).cast("long")
+        .alias("rows_removed"),
+        F.lit(len(df.columns) - len(out.columns)).cast("long").alias("cols_removed"),
+        F.lit(len(steps)).cast("long").alias("steps_applied"))
     return out, summary
 
 

@@ -32,22 +32,37 @@ def _quantiles(c: Column, probs, approx: bool):
     return F.percentile(c, list(probs))
 
 
-def describe(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
-    """AGG-1: count, mean, std (n-1), min, 25/50/75 %, max per numeric column."""
+def describe(df: DataFrame, columns=None, approx: bool = False, mode: str = "auto") -> DataFrame:
+    """AGG-1: count, mean, std (n-1), min, 25/50/75 %, max per numeric column.
+
+    Quartiles: ``approx`` uses ``percentile_approx``; otherwise exact, either
+    fused into the one aggregate (``mode="global"``, small tables) or found by
+    the bucketed distributed plan of :mod:`tabloom.operators.quantiles`
+    (``"distributed"``); ``"auto"`` picks by row count.
+    """
+    from tabloom.operators.quantiles import GLOBAL_LIMIT, quantiles
     cols = list(columns) if columns else numeric_columns(df)
     require_columns(df, cols)
     if not cols:
         raise OperatorError("describe needs at least one numeric column")
+    if not approx and mode == "auto":
+        mode = "global" if df.count() <= GLOBAL_LIMIT else "distributed"
+    qs = quantiles(df, cols, (0.25, 0.5, 0.75), mode="distributed") \
+        if (not approx and mode == "distributed") else None
     aggs = []
     for i, n in enumerate(cols):
         c = qcol(n).cast("double")
-        q = _quantiles(c, (0.25, 0.5, 0.75), approx)
         aggs += [F.count(c).alias(f"{i}__count"), F.avg(c).alias(f"{i}__mean"),
-                 F.stddev_samp(c).alias(f"{i}__std"), F.min(c).alias(f"{i}__min"),
-                 q.alias(f"{i}__q"), F.max(c).alias(f"{i}__max")]
+                 F.stddev_samp(c).alias(f"{i}__std"), F.min(c).alias(f"{i}__min"), F.max(c).alias(f"{i}__max")]
+        if qs is None:
+            aggs.append(_quantiles(c, (0.25, 0.5, 0.75), approx).alias(f"{i}__q"))
     wide = df.agg(*aggs)
-    wide = wide.select("*", *[F.col(f"{i}__q")[k].alias(f"{i}__{s}")
-                              for i in range(len(cols)) for k, s in enumerate(("p25", "p50", "p75"))])
+    if qs is None:
+        wide = wide.select("*", *[F.col(f"{i}__q")[k].alias(f"{i}__{s}")
+                                  for i in range(len(cols)) for k, s in enumerate(("p25", "p50", "p75"))])
+    else:
+        wide = wide.select("*", *[F.lit(qs[n][k]).cast("double").alias(f"{i}__{s}")
+                                  for i, n in enumerate(cols) for k, s in enumerate(("p25", "p50", "p75"))])
     return _rows_from_wide(wide, cols, _STATS)
 
 

@@ -1,10 +1,10 @@
 """Data-quality issues, score and report (DQ-1..11).
 
 One fused aggregate gathers every per-column counter (missing, numeric-looking
-text share, quartiles); a second gathers outlier counts against those bounds;
-duplicates are one ``groupBy`` over all columns. Issue rows are built lazily
-from the one-row aggregate with ``explode``; only the quartile bounds (two
-numbers per column) pass through the driver.
+text share); quartiles come from :func:`tabloom.operators.quantiles.quantiles`
+(exact, distributed on large tables); a second fused aggregate counts outliers
+against those bounds; duplicates are one ``groupBy`` over all columns. Only
+counters and bounds (a few numbers per column) pass through the driver.
 """
 
 from __future__ import annotations
@@ -64,11 +64,10 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
     aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
     aggs += [F.count(qcol(c)).alias(f"nn{i}") for i, c in enumerate(strs)]
     aggs += [F.count_if(qcol(c).rlike(numeric_re)).alias(f"num{i}") for i, c in enumerate(strs)]
-    qf = (lambda c: F.percentile_approx(c, [0.25, 0.75], 10000)) if approx else \
-        (lambda c: F.percentile(c, [0.25, 0.75]))
-    aggs += [qf(qcol(c).cast("double")).alias(f"q{i}") for i, c in enumerate(nums)]
     wide = df.agg(*aggs)
-    row = wide.first()  # one row: counters + two quartiles per numeric column
+    row = wide.first()  # one row of counters
+    from tabloom.operators.quantiles import quantiles
+    quart = quantiles(df, nums, [0.25, 0.75], approx=approx) if nums else {}
     rows = row["_rows"]
     issues = name_issues(cols)
     for i, c in enumerate(cols):
@@ -87,9 +86,9 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
             issues.append(("data_type", c, "medium", int(row[f"num{i}"]), float(row[f"num{i}"] / nn),
                            None, None, "numeric"))
     bounds = {}
-    for i, c in enumerate(nums):
-        q = row[f"q{i}"]
-        if q is not None and q[0] is not None:
+    for c in nums:
+        q = quart[c]
+        if q[0] is not None:
             iqr = q[1] - q[0]
             bounds[c] = (q[0] - 1.5 * iqr, q[1] + 1.5 * iqr)
     if bounds:

@@ -110,9 +110,8 @@ def zscore_bounds(df: DataFrame, column: str, k: float = 3.0):
 
 
 def iqr_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False):
-    c = qcol(column).cast("double")
-    q = (F.percentile_approx(c, [0.25, 0.75], 10000) if approx else F.percentile(c, [0.25, 0.75]))
-    q1, q3 = df.agg(q.alias("q")).first()["q"] or (None, None)
+    from tabloom.operators.quantiles import quantiles
+    q1, q3 = quantiles(df, [column], [0.25, 0.75], approx=approx)[column]
     if q1 is None:
         return None, None
     return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
@@ -144,13 +143,12 @@ def outliers(df: DataFrame, column: str, method: str = "zscore", k: float | None
 def outlier_counts(df: DataFrame, columns=None, k: float = 1.5, approx: bool = False) -> DataFrame:
     """IQR outlier bounds and counts for all columns: two fused aggregates."""
     cols = list(columns) if columns else numeric_columns(df)
-    qf = (lambda c: F.percentile_approx(c, [0.25, 0.75], 10000)) if approx else \
-        (lambda c: F.percentile(c, [0.25, 0.75]))
-    qs = df.agg(*[qf(qcol(c).cast("double")).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    from tabloom.operators.quantiles import quantiles
+    qs = quantiles(df, cols, [0.25, 0.75], approx=approx)
     bounds = {}
-    for i, c in enumerate(cols):
-        q = qs[f"q{i}"]
-        if q is not None:
+    for c in cols:
+        q = qs[c]
+        if q[0] is not None:
             bounds[c] = (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0]))
     if not bounds:
         return df.sparkSession.createDataFrame([], "column string, count long, lower double, upper double")
@@ -171,11 +169,8 @@ def lag_analysis(df: DataFrame, t1: str, t2: str, k: float = 3.0):
     require_columns(df, [t1, t2])
     lagged = df.withColumn("lag_seconds", seconds_between(qcol(t1), qcol(t2)))
     c = F.col("lag_seconds")
-    summary = lagged.agg(F.avg(c).alias("mean"), F.max(c).alias("max"), F.min(c).alias("min"),
-                         F.stddev_samp(c).alias("std"), F.count(c).alias("count"),
-                         F.percentile(c, [0.25, 0.5, 0.75]).alias("q"))
-    summary = summary.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"),
-                             F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    from tabloom.operators.profile import describe
+    summary = describe(lagged, ["lag_seconds"]).drop("column")
     return lagged, summary
 
 

@@ -165,3 +165,17 @@ def test_aggregated_feature_null_key(spark):
     df = spark.createDataFrame([(None, 1.0), ("a", 2.0), ("a", 4.0)], "g string, v double")
     out = {r["v"]: r["m"] for r in windows.aggregated_feature(df, "m", "g", "v").collect()}
     assert out[1.0] is None and out[2.0] == 3.0
+
+
+def test_distributed_quantiles_match_global(spark):
+    from tabloom.operators.quantiles import quantiles
+    li = fx.load(spark, SF_TINY, "lineitem")
+    cols = ["l_extendedprice", "l_quantity", "l_discount"]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    g = quantiles(li, cols, probs, mode="global")
+    d = quantiles(li, cols, probs, mode="distributed")
+    for c in cols:
+        assert np.allclose(g[c], d[c], rtol=1e-12), c
+    a = profile.describe(li, cols, mode="distributed").toPandas().set_index("column")
+    b = profile.describe(li, cols, mode="global").toPandas().set_index("column")
+    assert np.allclose(a.to_numpy(dtype=float), b.to_numpy(dtype=float), rtol=1e-9)
