@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from tabloom.functions import cdf
 from tabloom.functions.expressions import (OperatorError, numeric_columns, qcol,
                                            require_columns, string_columns)
-from tabloom.session import cut_lineage
 
 
 @F.pandas_udf(T.DoubleType())
@@ -47,25 +46,35 @@ def to_number(c: Column) -> Column:
 def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Average-tie rank (1-based) of ``column`` over the whole table, distributed.
 
-    Distinct values are counted with ``groupBy`` and range-partitioned; a
-    per-partition running sum plus the (small) table of partition totals gives
-    each value's global rank without a single-partition window. The
-    range-partitioned table is checkpointed so the partition ids stay fixed
-    across retries.
+    Distinct values are counted with ``groupBy`` and tagged with value-range
+    buckets (approximate quantile boundaries, ``Bucketizer``); bucket totals
+    (one row per bucket) give each bucket's offset, and a running count inside
+    each bucket gives every value's global rank, so no single-partition
+    window is needed. The boundaries are literals, so retries are
+    deterministic. Ranks are joined back on the value (AQE splits a hot value).
     """
-    counts = df.groupBy(qcol(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    nparts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut_lineage(counts.repartitionByRange(nparts, "_v")
-                         .withColumn("_pid", F.spark_partition_id()))
-    totals = ranged.groupBy("_pid").agg(F.sum("_c").alias("_t"))
-    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0)))  # <= nparts rows
-    w = Window.partitionBy("_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ranged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid") \
+    import math
+    from pyspark.ml.feature import Bucketizer
+    from tabloom.operators.quantiles import ROWS_PER_BUCKET
+    v = qcol(column).cast("double")
+    counts = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    n = df.filter(v.isNotNull()).count()
+    b = int(min(10_000, max(16, math.ceil(n / ROWS_PER_BUCKET))))
+    cuts = df.agg(F.percentile_approx(v, [i / b for i in range(1, b)], 10 * b).alias("q")).first()["q"] or []
+    splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
+    tagged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(counts)
+    totals = sorted((r["_b"], r["_t"]) for r in tagged.groupBy("_b").agg(F.sum("_c").alias("_t")).collect())
+    rows, acc = [], 0
+    for bucket, t in totals:
+        rows.append((float(bucket), int(acc)))
+        acc += t
+    offsets = df.sparkSession.createDataFrame(rows, "_b double, _off long")  # one row per bucket
+    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = tagged.join(F.broadcast(offsets), "_b") \
         .withColumn("_cum", F.sum("_c").over(w)) \
         .select(F.col("_v"), (F.col("_off") + F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0)
                 .alias(name))
-    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+    return df.join(ranks, v == ranks["_v"], "left").drop("_v")
 
 
 def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
