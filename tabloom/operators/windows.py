@@ -100,10 +100,28 @@ def interpolate_expr(c: Column, w: Window, rn: Column) -> Column:
     return F.coalesce(c.cast("double"), lin, pv.cast("double"))
 
 
-def fill_ordered(df: DataFrame, columns, method: str, order_by, partition_by=()) -> DataFrame:
-    """Forward fill, backward fill or interpolate ``columns`` in one projection."""
+def fill_ordered(df: DataFrame, columns, method: str, order_by, partition_by=(),
+                 rows_per_block: int | None = None) -> DataFrame:
+    """Forward fill, backward fill or interpolate ``columns``.
+
+    Small tables use one window per series. When the table holds more than
+    ``rows_per_block`` rows (default ``ROWS_PER_BLOCK``) and the first order
+    column is numeric or a timestamp, the series are cut into value-range
+    blocks of the order column and filled with a two-level scan (see
+    :func:`segmented_fill`), so one hot series never sits in a single task.
+    """
     cols = _as_list(columns)
     require_columns(df, cols)
+    if method not in ("fill_forward", "fill_backward", "interpolate"):
+        raise OperatorError(f"unknown ordered fill {method!r}")
+    cols = [c for c in cols if method != "interpolate" or is_numeric(df, c)]
+    limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
+    first = _as_list(order_by)[0]
+    key = _order_number(df, first)
+    if key is not None and cols:
+        n = df.count()
+        if n > limit:
+            return segmented_fill(df, cols, method, order_by, partition_by, max(2, -(-n // limit)))
     w = ordered_window(order_by, partition_by)
     rn = F.row_number().over(w) if method == "interpolate" else None
     exprs = []
@@ -115,16 +133,110 @@ def fill_ordered(df: DataFrame, columns, method: str, order_by, partition_by=())
             exprs.append(ffill_expr(c, w).alias(name))
         elif method == "fill_backward":
             exprs.append(bfill_expr(c, w).alias(name))
-        elif method == "interpolate":
-            if not is_numeric(df, name):
-                exprs.append(c)
-            else:
-                exprs.append(interpolate_expr(c, w, rn).alias(name))
         else:
-            raise OperatorError(f"unknown ordered fill {method!r}")
+            exprs.append(interpolate_expr(c, w, rn).alias(name))
     return df.select(*exprs)
 
 
+ROWS_PER_BLOCK = 2_000_000
+
+
+def _order_number(df: DataFrame, name: str):
+    from pyspark.sql import types as T
+    t = dict((f.name, f.dataType) for f in df.schema.fields)[name]
+    c = qcol(name)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(t, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(t, T.NumericType):
+        return c.cast("double")
+    return None
+
+
+def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blocks: int) -> DataFrame:
+    """Two-level ordered fill.
+
+    1. Blocks are value ranges of the first order column (approximate
+       quantile boundaries, ``Bucketizer``): deterministic literals.
+    2. Inside each (series, block) a window gives the local fill, local row
+       number and local first/last non-null value and position.
+    3. A per-(series, block) summary (rows, last and first non-null value and
+       position) is scanned per series over its blocks (at most ``blocks``
+       rows per series) to get what flows in from earlier / later blocks.
+    4. One equi-join on (series, block) brings the carry back to the rows.
+    """
+    import math
+    from pyspark.ml.feature import Bucketizer
+    keys = _as_list(order_by)
+    parts = _as_list(partition_by)
+    ok = _order_number(df, keys[0])
+    probs = [i / blocks for i in range(1, blocks)]
+    cuts = df.agg(F.percentile_approx(ok, probs, 10 * blocks).alias("q")).first()["q"] or []
+    splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
+    base = Bucketizer(splits=splits, inputCol="_ok", outputCol="_blk", handleInvalid="keep") \
+        .transform(df.withColumn("_ok", ok)).drop("_ok")
+    pcols = [qcol(p) for p in parts]
+    w = Window.partitionBy(*pcols, "_blk").orderBy(*[qcol(k) for k in keys])
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = w.rowsBetween(0, Window.unboundedFollowing)
+    local = base.withColumn("_lrn", F.row_number().over(w))
+    for i, c in enumerate(cols):
+        v = qcol(c)
+        pos = F.when(v.isNotNull(), F.col("_lrn"))
+        local = local.withColumn(f"_pv{i}", F.last(v, True).over(before)) \
+            .withColumn(f"_pp{i}", F.last(pos, True).over(before)) \
+            .withColumn(f"_nv{i}", F.first(v, True).over(after)) \
+            .withColumn(f"_np{i}", F.first(pos, True).over(after))
+    # per (series, block) summary: rows, last / first non-null value and local position
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        v = qcol(c)
+        aggs += [F.max_by(v, F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_bl{i}"),
+                 F.max(F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_blp{i}"),
+                 F.min_by(v, F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_bf{i}"),
+                 F.min(F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_bfp{i}")]
+    summ = local.groupBy(*pcols, "_blk").agg(*aggs)
+    ws = Window.partitionBy(*pcols).orderBy("_blk")
+    prev = ws.rowsBetween(Window.unboundedPreceding, -1)
+    nxt = ws.rowsBetween(1, Window.unboundedFollowing)
+    off = F.coalesce(F.sum("_rows").over(prev), F.lit(0))
+    summ = summ.withColumn("_off", off)
+    carry = summ
+    for i in range(len(cols)):
+        gl = F.when(F.col(f"_blp{i}").isNotNull(), F.col("_off") + F.col(f"_blp{i}"))
+        gf = F.when(F.col(f"_bfp{i}").isNotNull(), F.col("_off") + F.col(f"_bfp{i}"))
+        carry = carry.withColumn(f"_glp{i}", gl).withColumn(f"_gfp{i}", gf)
+    sel = [*[qcol(p) for p in parts], "_blk", "_off"]
+    for i in range(len(cols)):
+        sel += [F.last(f"_bl{i}", True).over(prev).alias(f"_cv{i}"),
+                F.last(f"_glp{i}", True).over(prev).alias(f"_cp{i}"),
+                F.first(f"_bf{i}", True).over(nxt).alias(f"_dv{i}"),
+                F.first(f"_gfp{i}", True).over(nxt).alias(f"_dp{i}")]
+    carry = carry.select(*sel)
+    joined = local.join(carry, parts + ["_blk"], "left")
+    grn = F.col("_off") + F.col("_lrn")
+    out = []
+    for name in df.columns:
+        if name not in cols:
+            out.append(qcol(name))
+            continue
+        i = cols.index(name)
+        v = qcol(name)
+        pv = F.coalesce(F.col(f"_pv{i}"), F.col(f"_cv{i}"))
+        nv = F.coalesce(F.col(f"_nv{i}"), F.col(f"_dv{i}"))
+        if method == "fill_forward":
+            out.append(F.coalesce(v, pv).alias(name))
+        elif method == "fill_backward":
+            out.append(F.coalesce(v, nv).alias(name))
+        else:
+            pp = F.coalesce(F.col("_off") + F.col(f"_pp{i}"), F.col(f"_cp{i}"))
+            np_ = F.coalesce(F.col("_off") + F.col(f"_np{i}"), F.col(f"_dp{i}"))
+            lin = pv + (nv - pv) * (grn - pp) / (np_ - pp)
+            out.append(F.coalesce(v.cast("double"), lin, pv.cast("double")).alias(name))
+    return joined.select(*out)
+
+
 # --------------------------------------------------------------------------
 # Moving averages and lags (WIN-5..8)
 # --------------------------------------------------------------------------

@@ -179,3 +179,20 @@ def test_distributed_quantiles_match_global(spark):
     a = profile.describe(li, cols, mode="distributed").toPandas().set_index("column")
     b = profile.describe(li, cols, mode="global").toPandas().set_index("column")
     assert np.allclose(a.to_numpy(dtype=float), b.to_numpy(dtype=float), rtol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["fill_forward", "fill_backward", "interpolate"])
+def test_segmented_fill_matches_plain_window(spark, method):
+    e = fx.events_gaps(spark, SF_TINY)
+    plain = windows.fill_ordered(e, ["value"], method, ["ts", "event_id"], "user_id", rows_per_block=10 ** 9)
+    seg = windows.fill_ordered(e, ["value"], method, ["ts", "event_id"], "user_id", rows_per_block=97)
+    a = plain.select("event_id", "value").toPandas().sort_values("event_id").reset_index(drop=True)
+    b = seg.select("event_id", "value").toPandas().sort_values("event_id").reset_index(drop=True)
+    assert np.allclose(a["value"].to_numpy(dtype=float), b["value"].to_numpy(dtype=float), equal_nan=True)
+    # one hot series: every row in the same partition key
+    hot = e.withColumn("user_id", F.lit(1))
+    a = windows.fill_ordered(hot, ["value"], method, ["ts", "event_id"], "user_id", rows_per_block=10 ** 9)
+    b = windows.fill_ordered(hot, ["value"], method, ["ts", "event_id"], "user_id", rows_per_block=50)
+    a = a.select("event_id", "value").toPandas().sort_values("event_id")["value"].to_numpy(dtype=float)
+    b = b.select("event_id", "value").toPandas().sort_values("event_id")["value"].to_numpy(dtype=float)
+    assert np.allclose(a, b, equal_nan=True)
