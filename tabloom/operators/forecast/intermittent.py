@@ -115,7 +115,7 @@ def croston(df: DataFrame, target: str, time_column: str = "time", series_keys=(
         valid = ~np.isnan(D)
         out["method"] = method
         out["alpha"] = float(alpha)
-        out["beta"] = float(beta) if method == "tsb" else None
+        out["beta"] = float(beta) if method == "tsb" else np.nan
         out["mape"] = mape[:, 0]
         has = ~np.isnan(mape[:, 0])
         out["forecast"] = np.where(has, fc[:, 0], np.nan)
@@ -210,7 +210,7 @@ def search_batch(pdf: pd.DataFrame, keys, methods, alphas, betas) -> pd.DataFram
         out = idx.copy()
         out["method"] = m
         out["alpha"] = A[k]
-        out["beta"] = B[k] if m == "tsb" else None
+        out["beta"] = B[k] if m == "tsb" else np.nan
         out["mape"] = mape[rows, k]
         out["forecast"] = fc[rows, k]
         out["zero_pct"] = zero_pct

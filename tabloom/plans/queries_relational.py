@@ -292,3 +292,51 @@ def pip2(spark, d):
     cat.create(_o(spark, d), "orders_table")
     out = wf.replay(spec, {"orders_in": "orders_table"}, cat)
     return round_all(out["final"])
+
+
+# ------------------------------------------------------------------ SRC / SNK
+def _scratch(spark, tag):
+    """A fresh folder under the shared checkpoint directory (never a local tmp)."""
+    import uuid
+    from tabloom.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@register("src1_csv_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def src1(spark, d):
+    from tabloom.sources import files
+    path = _scratch(spark, "csv")
+    o = _o(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o.write.option("header", "true").option("sep", "\t").csv(path)
+    return files.read_csv(spark, path, sep="\t")
+
+
+@register("src2_csv_dialect", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def src2(spark, d):
+    from tabloom.sources import files
+    path = _scratch(spark, "csv")
+    files.write_csv(fx.load(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
+    return files.read_csv_dialect(spark, path)
+
+
+@register("snk2_parquet_export_import", "SELECT * FROM part")
+def snk2(spark, d):
+    from tabloom.sources import files
+    path = files.export_table(fx.load(spark, d, "part"), _scratch(spark, "export"))
+    return files.import_table(spark, path)
+
+
+_SHAPE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+SHAPES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS id, CAST(count(*) AS BIGINT) AS rows, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS BIGINT)"
+    f" AS columns FROM {t}" for t in _SHAPE_TABLES)
+
+
+@register("src7_shapes", SHAPES_SQL)
+def src7(spark, d):
+    cat = Catalog(spark)
+    for t in _SHAPE_TABLES:
+        cat.create(fx.load(spark, d, t), t)
+    return cat.shapes()
