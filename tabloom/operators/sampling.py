@@ -137,15 +137,16 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key=
 
 
 def time_split(df: DataFrame, order_by, test_size: float = 0.2, partition_by=(),
-               flag: str = "is_test") -> DataFrame:
-    """SMP-6: chronological split at ``int((1-test_size)*n)`` rows per series."""
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    w = Window.partitionBy(*[qcol(p) for p in parts]).orderBy(*[qcol(k) for k in keys])
-    wall = Window.partitionBy(*[qcol(p) for p in parts])
-    rn = F.row_number().over(w)
-    n_train = F.floor(F.count(F.lit(1)).over(wall) * F.lit(1.0 - test_size))
-    return df.withColumn(flag, rn > n_train)
+               flag: str = "is_test", rows_per_block: int | None = None) -> DataFrame:
+    """SMP-6: chronological split at ``int((1-test_size)*n)`` rows per series.
+
+    Positions come from :func:`tabloom.operators.windows.series_positions`,
+    which splits a large series into order-value blocks.
+    """
+    from tabloom.operators.windows import series_positions
+    pos = series_positions(df, order_by, partition_by, rows_per_block)
+    n_train = F.floor(F.col("_size") * F.lit(1.0 - test_size))
+    return pos.withColumn(flag, F.col("_pos") > n_train).drop("_pos", "_size")
 
 
 def kfold(df: DataFrame, k: int = 5, seed: int = 42, key=None, fold_col: str = "fold") -> DataFrame:

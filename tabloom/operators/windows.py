@@ -154,6 +154,48 @@ def _order_number(df: DataFrame, name: str):
     return None
 
 
+def tag_blocks(df: DataFrame, order_column: str, blocks: int) -> DataFrame:
+    """Add ``_blk``: value-range block of ``order_column`` (approximate quantile
+    boundaries computed once, applied with ``Bucketizer``)."""
+    import math
+    from pyspark.ml.feature import Bucketizer
+    ok = _order_number(df, order_column)
+    probs = [i / blocks for i in range(1, blocks)]
+    cuts = df.agg(F.percentile_approx(ok, probs, 10 * blocks).alias("q")).first()["q"] or []
+    splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
+    return Bucketizer(splits=splits, inputCol="_ok", outputCol="_blk", handleInvalid="keep") \
+        .transform(df.withColumn("_ok", ok)).drop("_ok")
+
+
+def series_positions(df: DataFrame, order_by, partition_by=(), rows_per_block: int | None = None,
+                     pos: str = "_pos", size: str = "_size") -> DataFrame:
+    """Add the 1-based position of each row in its series and the series size.
+
+    Large tables use value-range blocks of the first order column: positions
+    inside a (series, block) window plus the block offsets of the series (a
+    per-series scan over at most ``blocks`` summary rows), joined back.
+    """
+    keys, parts = _as_list(order_by), _as_list(partition_by)
+    pcols = [qcol(p) for p in parts]
+    limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
+    n = df.count() if _order_number(df, keys[0]) is not None else 0
+    if n <= limit:
+        w = Window.partitionBy(*pcols).orderBy(*[qcol(k) for k in keys])
+        return df.withColumn(pos, F.row_number().over(w)) \
+            .withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*pcols)))
+    base = tag_blocks(df, keys[0], max(2, -(-n // limit)))
+    w = Window.partitionBy(*pcols, "_blk").orderBy(*[qcol(k) for k in keys])
+    local = base.withColumn("_lrn", F.row_number().over(w))
+    summ = local.groupBy(*pcols, "_blk").agg(F.count(F.lit(1)).alias("_rows"))
+    ws = Window.partitionBy(*pcols).orderBy("_blk")
+    summ = summ.select(*pcols, "_blk",
+                       F.coalesce(F.sum("_rows").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
+                                  F.lit(0)).alias("_off"),
+                       F.sum("_rows").over(Window.partitionBy(*pcols)).alias(size))
+    return local.join(summ, parts + ["_blk"], "left") \
+        .withColumn(pos, F.col("_off") + F.col("_lrn")).drop("_blk", "_lrn", "_off")
+
+
 def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blocks: int) -> DataFrame:
     """Two-level ordered fill.
 
@@ -166,16 +208,9 @@ def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blo
        rows per series) to get what flows in from earlier / later blocks.
     4. One equi-join on (series, block) brings the carry back to the rows.
     """
-    import math
-    from pyspark.ml.feature import Bucketizer
     keys = _as_list(order_by)
     parts = _as_list(partition_by)
-    ok = _order_number(df, keys[0])
-    probs = [i / blocks for i in range(1, blocks)]
-    cuts = df.agg(F.percentile_approx(ok, probs, 10 * blocks).alias("q")).first()["q"] or []
-    splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
-    base = Bucketizer(splits=splits, inputCol="_ok", outputCol="_blk", handleInvalid="keep") \
-        .transform(df.withColumn("_ok", ok)).drop("_ok")
+    base = tag_blocks(df, keys[0], blocks)
     pcols = [qcol(p) for p in parts]
     w = Window.partitionBy(*pcols, "_blk").orderBy(*[qcol(k) for k in keys])
     before = w.rowsBetween(Window.unboundedPreceding, 0)

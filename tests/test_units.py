@@ -196,3 +196,17 @@ def test_segmented_fill_matches_plain_window(spark, method):
     a = a.select("event_id", "value").toPandas().sort_values("event_id")["value"].to_numpy(dtype=float)
     b = b.select("event_id", "value").toPandas().sort_values("event_id")["value"].to_numpy(dtype=float)
     assert np.allclose(a, b, equal_nan=True)
+
+
+def test_time_split_blocks_match_window(spark):
+    e = fx.load(spark, SF_TINY, "events").select("event_id", "user_id", "ts")
+    a = sampling.time_split(e, ["ts", "event_id"], 0.3, "user_id", rows_per_block=10 ** 9)
+    b = sampling.time_split(e, ["ts", "event_id"], 0.3, "user_id", rows_per_block=40)
+    ra = sorted((r[0], r[1]) for r in a.select("event_id", "is_test").collect())
+    rb = sorted((r[0], r[1]) for r in b.select("event_id", "is_test").collect())
+    assert ra == rb
+    hot = e.withColumn("user_id", F.lit(7))
+    a = sampling.time_split(hot, ["ts", "event_id"], 0.3, "user_id", rows_per_block=10 ** 9)
+    b = sampling.time_split(hot, ["ts", "event_id"], 0.3, "user_id", rows_per_block=40)
+    assert sorted(r[0] for r in a.filter("is_test").select("event_id").collect()) == \
+        sorted(r[0] for r in b.filter("is_test").select("event_id").collect())
