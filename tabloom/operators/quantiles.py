@@ -35,45 +35,77 @@ def _clean(df: DataFrame, column: str):
     return df.select(c.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
-def distributed_quantiles(df: DataFrame, column: str, probs, n: int | None = None) -> list:
+def distributed_quantiles(df: DataFrame, columns, probs) -> dict:
+    """Exact quantiles of several columns in three jobs (see module doc).
+
+    All columns are stacked as (column id, bucket, value) so the boundaries,
+    the value counts and the final lookup are one job each whatever the
+    number of columns. The (small, distinct-value) count table is cached
+    between the two jobs that read it.
+    """
     from pyspark.ml.feature import Bucketizer
-    vals = _clean(df, column)
-    if n is None:
-        n = vals.count()
-    if n == 0:
-        return [None for _ in probs]
-    b = int(min(10_000, max(16, math.ceil(n / ROWS_PER_BUCKET))))
-    cuts = vals.agg(F.percentile_approx("_v", [i / b for i in range(1, b)], 10 * b).alias("q")).first()["q"]
-    splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
-    tagged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(vals)
-    counts = tagged.groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    totals = sorted((r["_b"], r["_t"]) for r in counts.groupBy("_b").agg(F.sum("_c").alias("_t")).collect())
-    offsets, acc = {}, 0
-    for bucket, t in totals:
-        offsets[bucket] = (acc, t)
-        acc += t
-    wanted = {}
-    for p in probs:
-        x = p * (n - 1)
-        for k in {math.floor(x), math.ceil(x)}:
-            for bucket, (off, t) in offsets.items():
-                if off <= k < off + t:
-                    wanted[k] = (bucket, k - off)
-    spark = df.sparkSession
-    targets = spark.createDataFrame([(float(bk), int(lk), int(k)) for k, (bk, lk) in wanted.items()],
-                                    "_b double, _lk long, _k long")
-    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    located = counts.join(F.broadcast(targets.select("_b").distinct()), "_b") \
-        .withColumn("_cum", F.sum("_c").over(w)) \
-        .join(F.broadcast(targets), "_b") \
-        .filter((F.col("_cum") - F.col("_c") <= F.col("_lk")) & (F.col("_lk") < F.col("_cum"))) \
-        .select("_k", "_v").collect()
-    at = {r["_k"]: r["_v"] for r in located}
-    out = []
-    for p in probs:
-        x = p * (n - 1)
-        lo, hi = math.floor(x), math.ceil(x)
-        out.append(at[lo] + (at[hi] - at[lo]) * (x - lo))
+    cols = list(columns)
+    probs = list(probs)
+    vals = [qcol(c).cast("double") for c in cols]
+    ok = [F.when(~F.isnan(v), v) for v in vals]
+    n_rows = df.agg(*[F.count(o).alias(f"n{i}") for i, o in enumerate(ok)]).first()
+    ns = [n_rows[f"n{i}"] for i in range(len(cols))]
+    bs = [int(min(10_000, max(16, math.ceil(max(n, 1) / ROWS_PER_BUCKET)))) for n in ns]
+    cut_row = df.agg(*[F.percentile_approx(o, [j / b for j in range(1, b)], 10 * b).alias(f"q{i}")
+                       for i, (o, b) in enumerate(zip(ok, bs))]).first()
+    splits = [[-math.inf] + sorted(set(float(x) for x in (cut_row[f"q{i}"] or []))) + [math.inf]
+              for i in range(len(cols))]
+    wide = df.select(*[o.alias(f"_v{i}") for i, o in enumerate(ok)])
+    wide = Bucketizer(splitsArray=splits, inputCols=[f"_v{i}" for i in range(len(cols))],
+                      outputCols=[f"_b{i}" for i in range(len(cols))], handleInvalid="keep").transform(wide)
+    stacked = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_b{i}").alias("_b"), F.col(f"_v{i}").alias("_v"))
+        for i in range(len(cols))])).alias("_s")).select("_s.*").filter(F.col("_v").isNotNull())
+    counts = stacked.groupBy("_i", "_b", "_v").agg(F.count(F.lit(1)).alias("_c")).cache()
+    try:
+        totals = counts.groupBy("_i", "_b").agg(F.sum("_c").alias("_t")).collect()
+        per = {}
+        for r in totals:
+            per.setdefault(r["_i"], []).append((r["_b"], r["_t"]))
+        wanted = []
+        for i in range(len(cols)):
+            n = ns[i]
+            if not n:
+                continue
+            offs, acc = [], 0
+            for bucket, t in sorted(per.get(i, [])):
+                offs.append((bucket, acc, t))
+                acc += t
+            for p in probs:
+                x = p * (n - 1)
+                for k in {math.floor(x), math.ceil(x)}:
+                    for bucket, off, t in offs:
+                        if off <= k < off + t:
+                            wanted.append((i, float(bucket), int(k - off), int(k)))
+        at = {}
+        if wanted:
+            targets = df.sparkSession.createDataFrame(wanted, "_i int, _b double, _lk long, _k long")
+            w = Window.partitionBy("_i", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+            located = counts.join(F.broadcast(targets.select("_i", "_b").distinct()), ["_i", "_b"]) \
+                .withColumn("_cum", F.sum("_c").over(w)) \
+                .join(F.broadcast(targets), ["_i", "_b"]) \
+                .filter((F.col("_cum") - F.col("_c") <= F.col("_lk")) & (F.col("_lk") < F.col("_cum"))) \
+                .select("_i", "_k", "_v").collect()
+            at = {(r["_i"], r["_k"]): r["_v"] for r in located}
+    finally:
+        counts.unpersist()
+    out = {}
+    for i, c in enumerate(cols):
+        n = ns[i]
+        res = []
+        for p in probs:
+            if not n:
+                res.append(None)
+                continue
+            x = p * (n - 1)
+            lo, hi = math.floor(x), math.ceil(x)
+            res.append(at[(i, lo)] + (at[(i, hi)] - at[(i, lo)]) * (x - lo))
+        out[c] = res
     return out
 
 
@@ -98,4 +130,4 @@ def quantiles(df: DataFrame, columns, probs, mode: str = "auto", approx: bool =
                        .alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                 for i, c in enumerate(cols)}
-    return {c: distributed_quantiles(df, c, probs) for c in cols}
+    return distributed_quantiles(df, cols, probs)
