@@ -43,6 +43,9 @@ def to_number(c: Column) -> Column:
 # --------------------------------------------------------------------------
 
 
+SMALL_DISTINCT = 1_000_000
+
+
 def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Average-tie rank (1-based) of ``column`` over the whole table, distributed.
 
@@ -52,12 +55,21 @@ def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     each bucket gives every value's global rank, so no single-partition
     window is needed. The boundaries are literals, so retries are
     deterministic. Ranks are joined back on the value (AQE splits a hot value).
+    With at most ``SMALL_DISTINCT`` distinct values (checked by a count) the
+    value table is ranked in one window directly.
     """
     import math
     from pyspark.ml.feature import Bucketizer
     from tabloom.operators.quantiles import ROWS_PER_BUCKET
     v = qcol(column).cast("double")
     counts = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    nd = counts.count()
+    if nd <= SMALL_DISTINCT:
+        # checked size: at most SMALL_DISTINCT distinct values ranked in one window
+        w1 = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = counts.withColumn("_cum", F.sum("_c").over(w1)) \
+            .select("_v", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
+        return df.join(F.broadcast(ranks) if nd <= 200_000 else ranks, v == ranks["_v"], "left").drop("_v")
     n = df.filter(v.isNotNull()).count()
     b = int(min(10_000, max(16, math.ceil(n / ROWS_PER_BUCKET))))
     cuts = df.agg(F.percentile_approx(v, [i / b for i in range(1, b)], 10 * b).alias("q")).first()["q"] or []
