@@ -308,6 +308,20 @@ def mutual_info(df: DataFrame, features, target: str, bins: int = 10, classifica
     return joint.withColumn("_t", term).groupBy("feature").agg(F.sum("_t").alias("score"))
 
 
+def detect_tasks(df: DataFrame, columns=None, max_classes: int = 10) -> DataFrame:
+    """STA-10 for many candidate targets at once: one fused distinct-count
+    aggregate, then 'classification' for text/boolean or < ``max_classes``
+    distinct values, else 'regression'."""
+    cols = list(columns) if columns else list(df.columns)
+    dtypes = dict(df.dtypes)
+    wide = df.agg(*[F.count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct"),
+                     F.lit(dtypes[c] in ("string", "boolean")).alias("_txt")) for i, c in enumerate(cols)]
+    t = wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+    task = F.when(F.col("_txt") | (F.col("distinct") < max_classes), "classification").otherwise("regression")
+    return t.select("column", "distinct", task.alias("task"))
+
+
 def detect_task(df: DataFrame, target: str, max_classes: int = 10) -> str:
     """STA-10: 'classification' for text targets or < 10 distinct values."""
     require_columns(df, [target])

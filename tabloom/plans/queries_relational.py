@@ -340,3 +340,14 @@ def src7(spark, d):
     for t in _SHAPE_TABLES:
         cat.create(fx.load(spark, d, t), t)
     return cat.shapes()
+
+
+@register("src8_overview_preview", """SELECT o_orderkey AS "Order", o_totalprice AS "Total price", o_orderstatus
+  FROM orders ORDER BY o_orderkey LIMIT 5""")
+def src8(spark, d):
+    from tabloom.sources.catalog import overview
+    cat = Catalog(spark)
+    cat.create(_o(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus"), "orders")
+    labelled = cat.set_labels("orders", {"o_orderkey": "Order", "o_totalprice": "Total price"})
+    _, preview = overview(labelled, 5, order_by="o_orderkey")
+    return preview

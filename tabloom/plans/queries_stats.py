@@ -288,3 +288,13 @@ def flt4p(spark, d):
 def flt4(spark, d):
     t = fx.fault_table(spark, d).drop("l_orderkey", "l_linenumber")
     return round_all(flt.fault_patterns(t, "fail", 3, FEATS, n_init=3))
+
+
+DT_COLS = ["l_quantity", "l_returnflag", "l_linestatus", "l_linenumber", "l_tax", "l_extendedprice"]
+
+
+@register("sta10_detect_task", union_sql([f"""SELECT '{c}' AS "column", CAST(count(DISTINCT {c}) AS BIGINT) AS distinct,
+  CASE WHEN {"true" if c in ("l_returnflag", "l_linestatus") else "false"} OR count(DISTINCT {c}) < 10
+  THEN 'classification' ELSE 'regression' END AS task FROM lineitem""" for c in DT_COLS]))
+def sta10(spark, d):
+    return st.detect_tasks(fx.load(spark, d, "lineitem"), DT_COLS)
