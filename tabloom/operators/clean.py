@@ -32,8 +32,10 @@ def infer_types(df: DataFrame, columns=None, to_numeric: bool = True, to_datetim
                 category_ratio: float = 0.05):
     """Convert text columns to double / timestamp / category by match ratios.
 
-    Pass 1 is one aggregate of match counts for all columns; pass 2 is one
-    projection with ``try_cast`` / ``try_to_timestamp`` (bad cells -> NULL).
+    Pass 1 is one aggregate of match counts for all columns (distinct counts
+    for the category rule are HyperLogLog++ estimates, exact for small
+    cardinalities, so no per-column Expand); pass 2 is one projection with
+    ``try_cast`` / ``try_to_timestamp`` (bad cells -> NULL).
     Returns ``(converted_df, report_df)``; category columns stay text and carry
     ``{"category": true}`` column metadata.
     """
@@ -49,7 +51,7 @@ def infer_types(df: DataFrame, columns=None, to_numeric: bool = True, to_datetim
         v = F.trim(qcol(c))
         aggs += [F.count(qcol(c)).alias(f"nn{i}"), F.count_if(v.rlike(NUMERIC_RE)).alias(f"num{i}"),
                  F.count_if(v.rlike(DATE_PREFIX_RE)).alias(f"dt{i}"),
-                 F.count_distinct(qcol(c)).alias(f"d{i}")]
+                 F.approx_count_distinct(qcol(c)).alias(f"d{i}")]
     st = df.agg(*aggs).first()
     rows = st["_rows"]
     decision, ratio = {}, {}

@@ -23,6 +23,8 @@ from tabloom.functions.expressions import (OperatorError, col_type, portable_has
 _BUCKET_BITS = 16
 # Small n: a top-k (TakeOrderedAndProject) is cheaper than the histogram passes.
 TOPK_LIMIT = 100_000
+# Largest stratum ranked directly in one window partition (checked by a count).
+WINDOW_LIMIT = 1_000_000
 # Largest per-stratum cut table we broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -115,8 +117,16 @@ def sample(df: DataFrame, n: int | None = None, frac: float | None = None,
         return _flag_first(df, h, bits, [], n).filter("_sel").drop("_sel")
     if frac is None:
         raise OperatorError("stratified sampling takes frac")
-    need = df.groupBy(qcol(stratify_by).alias(stratify_by)).agg(
-        F.bround(F.count(F.lit(1)) * F.lit(float(frac)), 0).cast("long").alias("_need"))
+    sizes = df.groupBy(qcol(stratify_by).alias(stratify_by)).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= WINDOW_LIMIT:
+        # checked size: every stratum fits one window partition
+        s = qcol(stratify_by)
+        w = Window.partitionBy(s).orderBy(h, *order_tail)
+        need = F.bround(F.count(F.lit(1)).over(Window.partitionBy(s)) * F.lit(float(frac)), 0)
+        return df.withColumn("_rn", F.row_number().over(w)).withColumn("_need", need) \
+            .filter(F.col("_rn") <= F.col("_need")).drop("_rn", "_need")
+    need = sizes.select(stratify_by, F.bround(F.col("_n") * F.lit(float(frac)), 0).cast("long").alias("_need"))
     return _flag_first(df, h, bits, [stratify_by], need).filter("_sel").drop("_sel")
 
 

@@ -210,3 +210,16 @@ def test_time_split_blocks_match_window(spark):
     b = sampling.time_split(hot, ["ts", "event_id"], 0.3, "user_id", rows_per_block=40)
     assert sorted(r[0] for r in a.filter("is_test").select("event_id").collect()) == \
         sorted(r[0] for r in b.filter("is_test").select("event_id").collect())
+
+
+def test_stratified_histogram_path_matches_window_path(spark):
+    o = fx.load(spark, SF_TINY, "orders")
+    a = sampling.sample(o, frac=0.2, key="o_orderkey", stratify_by="o_orderpriority")
+    old = sampling.WINDOW_LIMIT
+    sampling.WINDOW_LIMIT = 0
+    try:
+        b = sampling.sample(o, frac=0.2, key="o_orderkey", stratify_by="o_orderpriority")
+        rb = sorted(r[0] for r in b.select("o_orderkey").collect())
+    finally:
+        sampling.WINDOW_LIMIT = old
+    assert sorted(r[0] for r in a.select("o_orderkey").collect()) == rb
