@@ -67,8 +67,8 @@ def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
     wide = df.agg(*aggs)
     row = wide.first()  # one row of counters
     from tabloom.operators.quantiles import quantiles
-    quart = quantiles(df, nums, [0.25, 0.75], approx=approx) if nums else {}
     rows = row["_rows"]
+    quart = quantiles(df, nums, [0.25, 0.75], approx=approx, n_rows=rows) if nums else {}
     issues = name_issues(cols)
     for i, c in enumerate(cols):
         m = row[f"m{i}"]

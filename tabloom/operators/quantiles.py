@@ -109,7 +109,8 @@ def distributed_quantiles(df: DataFrame, columns, probs) -> dict:
     return out
 
 
-def quantiles(df: DataFrame, columns, probs, mode: str = "auto", approx: bool = False) -> dict:
+def quantiles(df: DataFrame, columns, probs, mode: str = "auto", approx: bool = False,
+              n_rows: int | None = None) -> dict:
     """{column: [quantile per prob]} with linear interpolation.
 
     mode ``global``: one fused ``percentile`` aggregate; ``distributed``: the
@@ -124,7 +125,8 @@ def quantiles(df: DataFrame, columns, probs, mode: str = "auto", approx: bool =
         return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                 for i, c in enumerate(cols)}
     if mode == "auto":
-        mode = "global" if df.count() <= GLOBAL_LIMIT else "distributed"
+        n = df.count() if n_rows is None else n_rows
+        mode = "global" if n <= GLOBAL_LIMIT else "distributed"
     if mode == "global":
         row = df.agg(*[F.percentile(F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")), probs)
                        .alias(f"q{i}") for i, c in enumerate(cols)]).first()

@@ -18,6 +18,15 @@ _DEFAULTS = {
 }
 
 
+def _default_memory() -> str:
+    """Local runs: 60 % of physical memory, at most 16 GB (cluster runs set it)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2 ** 30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, app: str = "tabloom",
               shuffle_partitions: int | None = None,
               conf: dict | None = None) -> SparkSession:
@@ -27,11 +36,11 @@ def get_spark(master: str | None = None, app: str = "tabloom",
     here only matter for local runs and tests.
     """
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER_PRESET"):
-        builder = builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
+    if master:  # otherwise spark-submit's master (or pyspark's local default) applies
+        builder = builder.master(master)
     settings = dict(_DEFAULTS)
     settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    settings.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    settings.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", _default_memory()))
     settings.update(conf or {})
     for k, v in settings.items():
         builder = builder.config(k, v)
