@@ -136,8 +136,15 @@ def task_of(model_type: str) -> str:
     return MODEL_TASKS[model_type]
 
 
-def build_pipeline(model_type, features, target, task, params=None, seed=42, n_rows=None):
+BINARY_ONLY = ("gradient_boosting_classifier", "xgboost_classifier", "svm")
+
+
+def build_pipeline(model_type, features, target, task, params=None, seed=42, n_rows=None,
+                   n_classes: int | None = None):
+    """Label indexer (classification) + assembler + estimator. Binary-only
+    estimators (GBT, linear SVC) are wrapped in ``OneVsRest`` for > 2 classes."""
     from pyspark.ml import Pipeline
+    from pyspark.ml.classification import OneVsRest
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     stages = []
     if task == "classification":
@@ -146,6 +153,8 @@ def build_pipeline(model_type, features, target, task, params=None, seed=42, n_r
     stages.append(VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"))
     est = make_estimator(model_type, params, seed, n_rows,
                          label_col="label" if task == "classification" else target)
+    if model_type in BINARY_ONLY and (n_classes or 2) > 2:
+        est = OneVsRest(classifier=est, featuresCol="features", labelCol="label", parallelism=4)
     stages.append(est)
     return Pipeline(stages=stages)
 
@@ -167,7 +176,8 @@ def fit_model(df: DataFrame, features, target: str, model_type: str, params: dic
     split = train_test_split(data, test_size, seed, key=key)
     train, test = split.filter("NOT is_test"), split.filter("is_test")
     n_train = train.count()
-    pipe = build_pipeline(model_type, feats, target, task, params, seed, n_train)
+    n_classes = train.select(target).distinct().count() if model_type in BINARY_ONLY else None
+    pipe = build_pipeline(model_type, feats, target, task, params, seed, n_train, n_classes)
     model = pipe.fit(train)
     labels = list(model.stages[0].labels) if task == "classification" else None
     types = {f: dict(df.dtypes)[f] for f in feats}

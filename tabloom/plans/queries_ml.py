@@ -61,10 +61,44 @@ for _mt, _p in (("linear_regression", None), ("decision_tree_regressor", {"max_d
                 ("gradient_boosting_regressor", {"n_estimators": 20}),
                 ("xgboost_regressor", {"n_estimators": 20}),
                 ("logistic_regression", None), ("random_forest_classifier", {"n_estimators": 20}),
-                ("decision_tree_classifier", {"max_depth": 5})):
+                ("decision_tree_classifier", {"max_depth": 5}),
+                ("gradient_boosting_classifier", {"n_estimators": 10}), ("svm", None),
+                ("ridge", {"alpha": 1.0}), ("lasso", {"alpha": 0.01})):
     register(f"ml_fit_{_mt}")(_fit_query(_mt, params=_p))
 
 
+@register("ml12_save_load_predict")
+def ml12(spark, d):
+    from tabloom.plans.queries_relational import _scratch
+    data = linear_data(spark, d)
+    fm = ml.fit_model(data, LIN_FEATS, "y", "linear_regression")
+    path = ml.save_model(fm, _scratch(spark, "model"))
+    back = ml.load_model(path)
+    return round_all(ml.regression_metrics(back.model.transform(data), "y", "prediction"))
+
+
+@register("ml13_registry")
+def ml13(spark, d):
+    from tabloom.plans.queries_relational import _scratch
+    data = linear_data(spark, d)
+    root = _scratch(spark, "registry")
+    reg = ml.ModelRegistry(spark, root + "/log")
+    for i, mt in enumerate(["linear_regression", "ridge"]):
+        fm = ml.fit_model(data, LIN_FEATS, "y", mt)
+        r2 = ml.evaluate(fm).first()["r2"]
+        reg.register(f"m{i}", mt, fm, root + f"/m{i}", {"r2": r2})
+    reg.delete("m0")
+    return reg.list().select("model_id", "name", "model_type", "task", "metrics")
+
+
+@register("ml14_check_compat")
+def ml14(spark, d):
+    data = linear_data(spark, d)
+    fm = ml.fit_model(data, LIN_FEATS, "y", "linear_regression")
+    other = fx.load(spark, d, "lineitem").select("l_quantity", F.col("l_discount").cast("string").alias("l_discount"))
+    return ml.check_compat(other, fm)
+
+
 @register("ml11_predict")
 def ml11(spark, d):
     data = linear_data(spark, d)
