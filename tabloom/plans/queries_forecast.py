@@ -231,7 +231,7 @@ def fct13(spark, d):
 @register("fct14_boosted_trees")
 def fct14(spark, d):
     cands, fc, imp = rg.tree_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"],
-                                      "boosted_trees", grid={"maxIter": [20, 50], "maxDepth": [3, 5]})
+                                      "boosted_trees", grid={"maxIter": [10, 20], "maxDepth": [3, 5]})
     return round_all(cands)
 
 
