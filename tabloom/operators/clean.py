@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.expressions import (FLOAT_TYPES, OperatorError, col_type, is_missing,
-                                           is_numeric, numeric_columns, qcol, require_columns,
-                                           string_columns)
+                                           is_numeric, qcol, require_columns, string_columns)
 from tabloom.operators import profile, windows
 from tabloom.operators.relational import apply_mapping, standardize_columns
 
@@ -332,7 +331,3 @@ def apply_plan(df: DataFrame, plan: DataFrame | list, mapping: dict | None = Non
         F.lit(len(df.columns) - len(out.columns)).cast("long").alias("cols_removed"),
         F.lit(len(steps)).cast("long").alias("steps_applied"))
     return out, summary
-
-
-def numeric_cols(df):
-    return numeric_columns(df)

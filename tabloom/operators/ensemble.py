@@ -18,9 +18,6 @@ from tabloom.operators.ml import FittedModel, build_pipeline, task_of, with_targ
 from tabloom.operators.sampling import kfold, train_test_split
 from tabloom.session import cut_lineage
 
-_DROP = ("features", "label", "rawPrediction", "probability", "prediction")
-
-
 def apply_models(models, df: DataFrame, prefix: str = "_m") -> DataFrame:
     """Append ``{prefix}{i}`` (prediction) and ``{prefix}{i}_prob`` (class
     probabilities, classification) for every model."""

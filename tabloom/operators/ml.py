@@ -8,7 +8,6 @@ the prediction table, so evaluating never pulls predictions to the driver.
 from __future__ import annotations
 
 import json
-import math
 import warnings
 from dataclasses import dataclass, field
 
@@ -334,7 +333,3 @@ def check_compat(df: DataFrame, fm: FittedModel) -> DataFrame:
             rows.append((f, "type_mismatch", fm.feature_types[f], dtypes[f], hint))
     return df.sparkSession.createDataFrame(
         rows, "feature string, issue string, expected string, found string, suggestion string")
-
-
-def is_finite(x) -> bool:
-    return x is not None and not (isinstance(x, float) and math.isnan(x))

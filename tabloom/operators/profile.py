@@ -242,7 +242,3 @@ def eda_summary(df: DataFrame, time_column: str, measures, unit: str = "month")
     rel = correlation_matrix(df, measures) if len(measures) > 1 else None
     anomalies = outlier_counts(df, measures)
     return {"base": base, "trend": trend, "relationships": rel, "anomalies": anomalies}
-
-
-def is_string(df: DataFrame, name: str) -> bool:
-    return isinstance(dict((f.name, f.dataType) for f in df.schema.fields)[name], T.StringType)

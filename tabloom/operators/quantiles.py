@@ -30,11 +30,6 @@ GLOBAL_LIMIT = 5_000_000
 ROWS_PER_BUCKET = 2_000_000
 
 
-def _clean(df: DataFrame, column: str):
-    c = qcol(column).cast("double")
-    return df.select(c.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-
 def distributed_quantiles(df: DataFrame, columns, probs) -> dict:
     """Exact quantiles of several columns in three jobs (see module doc).
 

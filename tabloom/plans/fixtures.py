@@ -134,7 +134,8 @@ def demand_intermittent(spark, d) -> DataFrame:
     li = load(spark, d, "lineitem")
     per = li.groupBy("l_partkey", F.date_trunc("month", "l_shipdate").alias("month")) \
         .agg(F.sum("l_quantity").alias("q"))
-    lo, hi = per.agg(F.min("month"), F.max("month")).first()
+    month = F.date_trunc("month", "l_shipdate")
+    lo, hi = li.agg(F.min(month), F.max(month)).first()  # two scalars, one column read
     months = F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("INTERVAL 1 MONTH"))
     grid = per.select("l_partkey").distinct() \
         .select("l_partkey", F.explode(months).alias("m")) \

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import clean as cl
 from tabloom.operators import windows as win
 from tabloom.plans import fixtures as fx
-from tabloom.plans.queries_profile import (DIRTY_ALL, DIRTY_SQL, ISSUES_SQL, dirty_orders,
+from tabloom.plans.queries_profile import (DIRTY_SQL, ISSUES_SQL, dirty_orders,
                                            issues, round_all)
 from tabloom.plans.registry import register
 
