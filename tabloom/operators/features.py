@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError, is_numeric, qcol, require_columns
@@ -101,8 +101,9 @@ def time_features(df: DataFrame, time_column: str, order_by=None, by=()) -> Data
     year = F.when(is_q, qy.cast("int")).otherwise(F.year(ts))
     quarter = F.when(is_q, qq.cast("int")).otherwise(F.quarter(ts))
     month = F.when(is_q, (qq.cast("int") - 1) * 3 + 1).otherwise(F.month(ts))
+    from tabloom.operators.windows import series_positions
     keys = [by] if isinstance(by, str) else list(by)
-    order = [qcol(o) for o in ([order_by] if isinstance(order_by, str) else list(order_by or [time_column]))]
-    idx = F.row_number().over(Window.partitionBy(*[qcol(k) for k in keys]).orderBy(*order))
-    return df.select("*", year.alias("year"), month.alias("month"), quarter.alias("quarter"),
-                     idx.alias("time_index"))
+    order = [order_by] if isinstance(order_by, str) else list(order_by or [time_column])
+    out = df.select("*", year.alias("year"), month.alias("month"), quarter.alias("quarter"))
+    return series_positions(out, order, keys, pos="time_index").drop("_size") \
+        .withColumn("time_index", F.col("time_index").cast("int"))

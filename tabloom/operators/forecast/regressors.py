@@ -33,17 +33,14 @@ def calendar_frame(df: DataFrame, target: str, time_column: str, keys, test_size
     w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(qcol(time_column))
     n = F.count(F.lit(1)).over(Window.partitionBy(*[qcol(k) for k in keys]))
     t = qcol(time_column)
-    sid = F.dense_rank().over(Window.orderBy(*[qcol(k) for k in keys])) - 1 if keys else F.lit(0)
     base = df.select(*[qcol(k) for k in keys], t.alias("time"), qcol(target).cast("double").alias("label"),
                      F.year(t).cast("double").alias("year"), F.month(t).cast("double").alias("month"),
                      F.quarter(t).cast("double").alias("quarter"),
                      F.row_number().over(w).cast("double").alias("time_index"),
                      F.floor(n * F.lit(1.0 - test_size)).alias("_n_train"))
-    if keys:
-        ids = df.select(*[qcol(k) for k in keys]).distinct().withColumn("series_index", sid.cast("double"))
-        base = base.join(F.broadcast(ids), keys)  # one row per series
-    else:
-        base = base.withColumn("series_index", F.lit(0.0))
+    # series id as a stable numeric code (hash), so no global ranking of series is needed
+    sid = F.pmod(F.xxhash64(*[qcol(k) for k in keys]), F.lit(1 << 31)).cast("double") if keys else F.lit(0.0)
+    base = base.withColumn("series_index", sid)
     return base.withColumn("is_test", F.col("time_index") > F.col("_n_train")).drop("_n_train")
 
 
