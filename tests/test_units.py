@@ -223,3 +223,10 @@ def test_stratified_histogram_path_matches_window_path(spark):
     finally:
         sampling.WINDOW_LIMIT = old
     assert sorted(r[0] for r in a.select("o_orderkey").collect()) == rb
+
+
+def test_predicate_translation_keeps_quoted_text():
+    t = relational.to_sql_predicate
+    assert t("q > 30 & f in ['R', 'A']") == "q > 30 and f in ('R', 'A')"
+    assert t("n == 'a & b' | x in ['c|d']") == "n == 'a & b' or x in ('c|d')"
+    assert t("~(a > 1) & `my col` == True") == "not (a > 1) and `my col` == true"
