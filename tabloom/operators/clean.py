@@ -129,7 +129,7 @@ _METHODS = ("drop", "fill_mean", "fill_median", "fill_mode", "fill_forward", "fi
 
 
 def fill(df: DataFrame, column: str | None = None, method: str = "drop", order_by=None,
-         partition_by=(), approx: bool = False) -> DataFrame:
+         partition_by=(), approx: bool = False, rows_per_block: int | None = None) -> DataFrame:
     """Handle missing values in one column (or all columns when ``column`` is None)."""
     if method not in _METHODS:
         raise OperatorError(f"unsupported method {method!r}; use one of {_METHODS}")
@@ -148,7 +148,7 @@ def fill(df: DataFrame, column: str | None = None, method: str = "drop", order_b
     if method in ("fill_forward", "fill_backward", "interpolate"):
         if order_by is None:
             raise OperatorError(f"{method} needs order_by (Spark rows have no position)")
-        return windows.fill_ordered(normalise(df, cols), cols, method, order_by, partition_by)
+        return windows.fill_ordered(normalise(df, cols), cols, method, order_by, partition_by, rows_per_block)
     if method in ("fill_mean", "fill_median"):
         if not cols:
             return df

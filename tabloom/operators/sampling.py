@@ -92,7 +92,7 @@ def _round_half_even(x: float) -> int:
 
 def sample(df: DataFrame, n: int | None = None, frac: float | None = None,
            seed: int = 42, key=None, stratify_by: str | None = None,
-           topk_limit: int = TOPK_LIMIT) -> DataFrame:
+           topk_limit: int = TOPK_LIMIT, window_limit: int | None = None) -> DataFrame:
     """SMP-1/2/3: exactly ``n`` rows, or ``round(frac*rows)`` rows (per stratum).
 
     Without replacement, reproducible for a seed. ``key`` (a unique integer
@@ -119,7 +119,7 @@ def sample(df: DataFrame, n: int | None = None, frac: float | None = None,
         raise OperatorError("stratified sampling takes frac")
     sizes = df.groupBy(qcol(stratify_by).alias(stratify_by)).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= WINDOW_LIMIT:
+    if largest <= (WINDOW_LIMIT if window_limit is None else window_limit):
         # checked size: every stratum fits one window partition
         s = qcol(stratify_by)
         w = Window.partitionBy(s).orderBy(h, *order_tail)

@@ -9,7 +9,11 @@ from tabloom.operators import windows as win
 from tabloom.plans import fixtures as fx
 from tabloom.plans.queries_profile import (DIRTY_SQL, ISSUES_SQL, dirty_orders,
                                            issues, round_all)
-from tabloom.plans.registry import register
+from tabloom.plans.registry import REGISTRY, register
+
+
+def registered_sql(name):
+    return REGISTRY[name][1]
 
 OM = f"({fx.ORDERS_MISSING_SQL})"
 EG = f"({fx.EVENTS_GAPS_SQL})"
@@ -234,3 +238,18 @@ def win8(spark, d):
     from tabloom.operators.stats import average_rank
     li = fx.load(spark, d, "lineitem").select("l_quantity")
     return average_rank(li, "l_quantity").groupBy("l_quantity", "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Same results through the large-table plans (forced on the test tables so the
+# oracle checks them): order-value blocks for ordered fills.
+@register("win2_fill_forward_blocks", f"""SELECT event_id, user_id, last_value(value IGNORE NULLS) OVER
+  ({W_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM {EG}""")
+def win2b(spark, d):
+    return cl.fill(fx.events_gaps(spark, d), "value", "fill_forward", order_by=["ts", "event_id"],
+                   partition_by="user_id", rows_per_block=997).select("event_id", "user_id", "value")
+
+
+@register("win4_interpolate_blocks", registered_sql("win4_interpolate"))
+def win4b(spark, d):
+    return round_all(cl.fill(fx.events_gaps(spark, d), "value", "interpolate", order_by=["ts", "event_id"],
+                             partition_by="user_id", rows_per_block=997).select("event_id", "user_id", "value"))

@@ -40,6 +40,12 @@ def agg1(spark, d):
     return round_all(pf.describe(fx.load(spark, d, "lineitem"), LI_NUM))
 
 
+@register("agg1_describe_distributed", _describe_sql("lineitem", LI_NUM))
+def agg1d(spark, d):
+    """Same table through the bucketed exact-quantile plan used above 5 M rows."""
+    return round_all(pf.describe(fx.load(spark, d, "lineitem"), LI_NUM, mode="distributed"))
+
+
 # ------------------------------------------------------------------ AGG-2 / 3
 @register("agg2_null_counts", union_sql([
     f"""SELECT '{c}' AS "column", CAST(count(*) - count({c}) AS BIGINT) AS null_count FROM ({fx.ORDERS_MISSING_SQL})"""

@@ -351,3 +351,19 @@ def src8(spark, d):
     labelled = cat.set_labels("orders", {"o_orderkey": "Order", "o_totalprice": "Total price"})
     _, preview = overview(labelled, 5, order_by="o_orderkey")
     return preview
+
+
+# Large-table plans forced on the test tables (checked by the same oracle SQL).
+@register("smp3_stratified_histogram", f"""SELECT o_orderkey, o_orderpriority FROM (SELECT o_orderkey, o_orderpriority,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY {H.format(k='o_orderkey')}) AS rn,
+  count(*) OVER (PARTITION BY o_orderpriority) AS cnt FROM orders) WHERE rn <= round_even(cnt * 0.1, 0)""")
+def smp3h(spark, d):
+    return smp.sample(_o(spark, d), frac=0.1, key="o_orderkey", stratify_by="o_orderpriority", window_limit=0) \
+        .select("o_orderkey", "o_orderpriority")
+
+
+@register("smp6_time_split_blocks", f"""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
+  > floor(count(*) OVER (PARTITION BY user_id) * 0.8) AS is_test FROM events""")
+def smp6b(spark, d):
+    e = fx.load(spark, d, "events").select("event_id", "user_id", "ts")
+    return smp.time_split(e, ["ts", "event_id"], 0.2, "user_id", rows_per_block=997).select("event_id", "is_test")
