@@ -46,7 +46,8 @@ def to_number(c: Column) -> Column:
 SMALL_DISTINCT = 1_000_000
 
 
-def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
+def average_rank(df: DataFrame, column: str, name: str = "rank",
+                 small_distinct: int | None = None) -> DataFrame:
     """Average-tie rank (1-based) of ``column`` over the whole table, distributed.
 
     Distinct values are counted with ``groupBy`` and tagged with value-range
@@ -64,7 +65,7 @@ def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     v = qcol(column).cast("double")
     counts = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     nd = counts.count()
-    if nd <= SMALL_DISTINCT:
+    if nd <= (SMALL_DISTINCT if small_distinct is None else small_distinct):
         # checked size: at most SMALL_DISTINCT distinct values ranked in one window
         w1 = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         ranks = counts.withColumn("_cum", F.sum("_c").over(w1)) \
@@ -89,13 +90,14 @@ def average_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     return df.join(ranks, v == ranks["_v"], "left").drop("_v")
 
 
-def correlation(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
+def correlation(df: DataFrame, a: str, b: str, method: str = "pearson",
+                small_distinct: int | None = None) -> DataFrame:
     """STA-1/2: r, n, t and the two-sided p-value on pairwise complete rows."""
     require_columns(df, [a, b])
     pair = df.select(to_number(qcol(a)).alias("_a"), to_number(qcol(b)).alias("_b")) \
         .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     if method == "spearman":
-        pair = average_rank(average_rank(pair, "_a", "_ra"), "_b", "_rb") \
+        pair = average_rank(average_rank(pair, "_a", "_ra", small_distinct), "_b", "_rb", small_distinct) \
             .select(F.col("_ra").alias("_a"), F.col("_rb").alias("_b"))
     elif method != "pearson":
         raise OperatorError(f"unknown correlation method {method!r}")

@@ -298,3 +298,14 @@ DT_COLS = ["l_quantity", "l_returnflag", "l_linestatus", "l_linenumber", "l_tax"
   THEN 'classification' ELSE 'regression' END AS task FROM lineitem""" for c in DT_COLS]))
 def sta10(spark, d):
     return st.detect_tasks(fx.load(spark, d, "lineitem"), DT_COLS)
+
+
+@register("sta2_spearman_buckets", """WITH rk AS (SELECT
+  rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS a,
+  rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem)
+  SELECT 'spearman' AS method, round(corr(a, b), 6) AS r, CAST(count(*) AS BIGINT) AS n FROM rk""")
+def sta2b(spark, d):
+    """Ranks through the bucketed plan used for columns with many distinct values."""
+    c = st.correlation(fx.load(spark, d, "lineitem"), "l_extendedprice", "l_discount", "spearman",
+                       small_distinct=0)
+    return c.select("method", F.round("r", 6).alias("r"), "n")
