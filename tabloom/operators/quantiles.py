@@ -128,3 +128,74 @@ def quantiles(df: DataFrame, columns, probs, mode: str = "auto", approx: bool =
         return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                 for i, c in enumerate(cols)}
     return distributed_quantiles(df, cols, probs)
+
+
+# Rows of one group that the exact per-group ``percentile`` may merge in one task.
+GROUP_LIMIT = 5_000_000
+
+
+def group_quantiles(df: DataFrame, by, column: str, probs, names, mode: str = "auto",
+                    group_limit: int | None = None) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation): ``by`` + one column per prob.
+
+    ``auto`` checks the largest group: if no group exceeds ``group_limit``
+    rows, one ``groupBy(...).agg(percentile)`` is used. Otherwise every group
+    goes through the bucketed plan: groups above the limit (at most
+    rows / limit of them, collected) get approximate value boundaries, rows are
+    tagged with their (group, bucket), duplicates are counted, bucket offsets
+    come from a scan over at most B rows per group, and a running count inside
+    the target buckets picks the values at the wanted positions. No task holds
+    more than one bucket of a hot group.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    probs, names = list(probs), list(names)
+    limit = GROUP_LIMIT if group_limit is None else group_limit
+    k = [qcol(x) for x in keys]
+    v = qcol(column).cast("double")
+    clean = df.select(*k, F.when(~F.isnan(v), v).alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = clean.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    if mode == "auto":
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+        mode = "global" if largest <= limit else "distributed"
+    if mode == "global":
+        q = clean.groupBy(*k).agg(F.percentile("_v", probs).alias("_q"))
+        return q.select(*k, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    large = sizes.filter(F.col("_n") > limit)
+    largest = large.agg(F.max("_n")).first()[0] or 0
+    b = int(min(1_000, max(16, math.ceil(largest / ROWS_PER_BUCKET))))
+    cuts = clean.join(F.broadcast(large.select(*keys)), keys) \
+        .groupBy(*k).agg(F.percentile_approx("_v", [j / b for j in range(1, b)], 10 * b).alias("_cuts"))
+    cuts = F.broadcast(cuts)  # one row per large group: at most rows / limit rows
+    tagged = clean.join(cuts, keys, "left") \
+        .withColumn("_b", F.size(F.filter(F.coalesce(F.col("_cuts"), F.array().cast("array<double>")),
+                                          lambda x: x < F.col("_v")))).drop("_cuts")
+    counts = tagged.groupBy(*k, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.groupBy(*k, "_b").agg(F.sum("_c").alias("_t"))
+    w_off = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))) \
+        .join(sizes, keys)
+    # wanted positions (lo and hi of each prob) that fall inside each bucket
+    pos = []
+    for j, p in enumerate(probs):
+        x = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, kk in (("lo", F.floor(x)), ("hi", F.ceil(x))):
+            pos.append(F.struct(F.lit(j).alias("_j"), F.lit(side).alias("_side"), kk.cast("long").alias("_k")))
+    targets = offsets.select(*k, "_b", "_off", "_t", F.explode(F.array(*pos)).alias("_p")) \
+        .select(*k, "_b", "_off", "_t", "_p.*") \
+        .filter((F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_t"))) \
+        .withColumn("_lk", F.col("_k") - F.col("_off"))
+    w = Window.partitionBy(*k, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    need = targets.select(*keys, "_b").distinct()
+    located = counts.join(need, keys + ["_b"]).withColumn("_cum", F.sum("_c").over(w)) \
+        .join(targets.select(*keys, "_b", "_j", "_side", "_lk"), keys + ["_b"]) \
+        .filter((F.col("_cum") - F.col("_c") <= F.col("_lk")) & (F.col("_lk") < F.col("_cum")))
+    picked = located.groupBy(*k).agg(*[
+        F.max(F.when((F.col("_j") == j) & (F.col("_side") == s), F.col("_v"))).alias(f"_{s}{j}")
+        for j in range(len(probs)) for s in ("lo", "hi")])
+    res = picked.join(sizes, keys)
+    out = []
+    for j, (p, n) in enumerate(zip(probs, names)):
+        x = F.lit(float(p)) * (F.col("_n") - 1)
+        frac = x - F.floor(x)
+        out.append((F.col(f"_lo{j}") + (F.col(f"_hi{j}") - F.col(f"_lo{j}")) * frac).alias(n))
+    return res.select(*k, *out)

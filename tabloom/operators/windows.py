@@ -56,7 +56,7 @@ def _agg_expr(kind: str, c: Column, approx: bool) -> Column:
 
 
 def aggregated_feature(df: DataFrame, name: str, by, target: str, agg: str = "mean",
-                       approx: bool = False) -> DataFrame:
+                       approx: bool = False, group_limit: int | None = None) -> DataFrame:
     """WIN-1: per-group aggregate of ``target`` attached to every row.
 
     ``groupBy`` (map-side partial aggregation) + left join back on the group
@@ -67,7 +67,12 @@ def aggregated_feature(df: DataFrame, name: str, by, target: str, agg: str = "me
     require_columns(df, keys + [target])
     if agg not in ("count", "nunique", "min", "max") and not is_numeric(df, target):
         raise OperatorError(f"{agg} needs a numeric target column")
-    stats = df.groupBy(*[qcol(k) for k in keys]).agg(_agg_expr(agg, qcol(target), approx).alias(name))
+    if agg == "median" and not approx:
+        # exact, and split into buckets when a group is too large for one task
+        from tabloom.operators.quantiles import group_quantiles
+        stats = group_quantiles(df, keys, target, [0.5], [name], group_limit=group_limit)
+    else:
+        stats = df.groupBy(*[qcol(k) for k in keys]).agg(_agg_expr(agg, qcol(target), approx).alias(name))
     base = df.drop(name) if name in df.columns else df
     return base.join(stats, on=keys, how="left")
 

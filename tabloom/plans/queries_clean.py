@@ -253,3 +253,13 @@ def win2b(spark, d):
 def win4b(spark, d):
     return round_all(cl.fill(fx.events_gaps(spark, d), "value", "interpolate", order_by=["ts", "event_id"],
                              partition_by="user_id", rows_per_block=997).select("event_id", "user_id", "value"))
+
+
+@register("win1_aggregated_median_buckets", """SELECT l_orderkey, l_linenumber, l.l_suppkey, round(m.med, 6) AS supp_median
+  FROM lineitem l JOIN (SELECT l_suppkey, median(l_extendedprice) AS med FROM lineitem GROUP BY 1) m
+  ON l.l_suppkey = m.l_suppkey""")
+def win1m(spark, d):
+    """Group medians through the bucketed plan used when a group exceeds one task."""
+    li = fx.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    out = win.aggregated_feature(li, "supp_median", "l_suppkey", "l_extendedprice", "median", group_limit=300)
+    return round_all(out.select("l_orderkey", "l_linenumber", "l_suppkey", "supp_median"))

@@ -230,3 +230,18 @@ def test_predicate_translation_keeps_quoted_text():
     assert t("q > 30 & f in ['R', 'A']") == "q > 30 and f in ('R', 'A')"
     assert t("n == 'a & b' | x in ['c|d']") == "n == 'a & b' or x in ('c|d')"
     assert t("~(a > 1) & `my col` == True") == "not (a > 1) and `my col` == true"
+
+
+def test_group_quantiles_bucketed_matches_exact(spark):
+    from tabloom.operators.quantiles import group_quantiles
+    li = fx.load(spark, SF_TINY, "lineitem")
+    probs, names = [0.1, 0.5, 0.75], ["p10", "p50", "p75"]
+    a = group_quantiles(li, "l_returnflag", "l_extendedprice", probs, names, mode="global").toPandas()
+    b = group_quantiles(li, "l_returnflag", "l_extendedprice", probs, names, mode="distributed",
+                        group_limit=100).toPandas()
+    a, b = a.sort_values("l_returnflag").reset_index(drop=True), b.sort_values("l_returnflag").reset_index(drop=True)
+    assert np.allclose(a[names].to_numpy(), b[names].to_numpy(), rtol=1e-12)
+    # mixed: one group below the limit stays in bucket 0
+    c = group_quantiles(li, "l_returnflag", "l_extendedprice", probs, names, mode="distributed",
+                        group_limit=1700).toPandas().sort_values("l_returnflag").reset_index(drop=True)
+    assert np.allclose(a[names].to_numpy(), c[names].to_numpy(), rtol=1e-12)
