@@ -74,6 +74,17 @@ def normal_profile(df: DataFrame, target: str, features=None):
     return feats, mean, cov
 
 
+def health_scorer(baseline: DataFrame, target: str, features=None, z_limit: float = 1.5):
+    """FLT-3 with a frozen baseline: fit the normal population on a batch table
+    once and return ``score(df)``, a pure projection (no action), so it can be
+    applied to streaming DataFrames as well."""
+    feats, mean, cov = normal_profile(baseline, target, features)
+
+    def score(df: DataFrame) -> DataFrame:
+        return _score(df, target, feats, mean, cov, z_limit)
+    return score
+
+
 def health_score(df: DataFrame, target: str, features=None, z_limit: float = 1.5) -> DataFrame:
     """FLT-3: Mahalanobis distance of every row from the normal population.
 
@@ -83,6 +94,10 @@ def health_score(df: DataFrame, target: str, features=None, z_limit: float = 1.5
     single-sample form.
     """
     feats, mean, cov = normal_profile(df, target, features)
+    return _score(df, target, feats, mean, cov, z_limit)
+
+
+def _score(df: DataFrame, target: str, feats, mean, cov, z_limit: float) -> DataFrame:
     try:
         inv = np.linalg.inv(cov)
     except np.linalg.LinAlgError:

@@ -24,3 +24,21 @@ def test_quality_counters_on_stream(spark):
     want = batch.agg(F.count(F.lit(1)).alias("r"), F.count_if(F.col("event_id") % 5 == 0).alias("m")).first()
     assert got["r"] == want["r"]
     assert got["m"] == want["m"]
+
+
+def test_frozen_health_score_on_stream(spark):
+    from tabloom.operators import fault
+    from tabloom.plans import fixtures as fx
+    batch = fx.fault_table(spark, SF_TINY).select("l_quantity", "l_discount", "fail")
+    score = fault.health_scorer(batch, "fail", ["l_quantity", "l_discount"])
+    src = tempfile.mkdtemp(prefix="tabloom-stream-")
+    batch.write.parquet(src + "/in")
+    stream = spark.readStream.schema(batch.schema).parquet(src + "/in")
+    q = score(stream).select("health_score").writeStream.format("memory").queryName("hs_stream").start()
+    try:
+        q.processAllAvailable()
+        got = spark.sql("SELECT count(*) AS n, round(avg(health_score), 9) AS m FROM hs_stream").first()
+    finally:
+        q.stop()
+    want = score(batch).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("health_score"), 9).alias("m")).first()
+    assert (got["n"], got["m"]) == (want["n"], want["m"])
