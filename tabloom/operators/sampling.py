@@ -72,8 +72,12 @@ def hash_cutoffs(df: DataFrame, h: Column, bits: int, groups, need) -> DataFrame
         .select(*groups, F.col("_h").alias("_cut"))
 
 
-def _flag_first(df: DataFrame, h: Column, bits: int, groups, need) -> DataFrame:
+def _flag_first(df: DataFrame, h: Column, bits: int, groups, need, topk_limit: int = TOPK_LIMIT) -> DataFrame:
     """Add boolean ``_sel``: row is among the ``need`` smallest hashes of its group."""
+    if not groups and isinstance(need, int) and need <= topk_limit:
+        # small cut: a bounded top-k over the hash column alone finds it
+        cut = df.select(h.alias("_h")).orderBy("_h").limit(need).agg(F.max("_h")).first()[0] if need > 0 else None
+        return df.withColumn("_sel", F.lit(False) if cut is None else (h <= F.lit(cut)))
     cuts = hash_cutoffs(df, h, bits, groups, need)
     if not groups:
         row = cuts.first()
@@ -114,7 +118,7 @@ def sample(df: DataFrame, n: int | None = None, frac: float | None = None,
             raise OperatorError(f"n must be in (0, {total}]")
         if n <= topk_limit:
             return df.orderBy(h, *order_tail).limit(n)
-        return _flag_first(df, h, bits, [], n).filter("_sel").drop("_sel")
+        return _flag_first(df, h, bits, [], n, topk_limit).filter("_sel").drop("_sel")
     if frac is None:
         raise OperatorError("stratified sampling takes frac")
     sizes = df.groupBy(qcol(stratify_by).alias(stratify_by)).agg(F.count(F.lit(1)).alias("_n"))
@@ -137,7 +141,10 @@ def sample_approx(df: DataFrame, frac: float, seed: int = 42) -> DataFrame:
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key=None,
                      flag: str = "is_test") -> DataFrame:
-    """SMP-5: exact ``ceil(test_size*rows)`` test rows chosen by hash; adds ``flag``."""
+    """SMP-5: exact ``ceil(test_size*rows)`` test rows chosen by hash; adds ``flag``.
+
+    The hash cut is a bounded top-k for up to ``TOPK_LIMIT`` test rows, else
+    the two-level hash histogram."""
     if not (0 < test_size < 1):
         raise OperatorError("test_size must be in (0, 1)")
     total = df.count()
