@@ -140,7 +140,7 @@ def sample_approx(df: DataFrame, frac: float, seed: int = 42) -> DataFrame:
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key=None,
-                     flag: str = "is_test") -> DataFrame:
+                     flag: str = "is_test", topk_limit: int = TOPK_LIMIT) -> DataFrame:
     """SMP-5: exact ``ceil(test_size*rows)`` test rows chosen by hash; adds ``flag``.
 
     The hash cut is a bounded top-k for up to ``TOPK_LIMIT`` test rows, else
@@ -150,7 +150,7 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key=
     total = df.count()
     n_test = int(math.ceil(test_size * total))
     h, bits = hash_column(df, key, seed)
-    return _flag_first(df, h, bits, [], n_test).withColumnRenamed("_sel", flag)
+    return _flag_first(df, h, bits, [], n_test, topk_limit).withColumnRenamed("_sel", flag)
 
 
 def time_split(df: DataFrame, order_by, test_size: float = 0.2, partition_by=(),

@@ -8,7 +8,7 @@ from tabloom.functions.expressions import r
 from tabloom.operators import relational as rel
 from tabloom.operators import sampling as smp
 from tabloom.plans import fixtures as fx
-from tabloom.plans.registry import register
+from tabloom.plans.registry import REGISTRY, register
 from tabloom.sources.catalog import Catalog
 
 H = "((({k}) + 42) * 2654435761) % 4294967296"
@@ -367,3 +367,8 @@ def smp3h(spark, d):
 def smp6b(spark, d):
     e = fx.load(spark, d, "events").select("event_id", "user_id", "ts")
     return smp.time_split(e, ["ts", "event_id"], 0.2, "user_id", rows_per_block=997).select("event_id", "is_test")
+
+
+@register("smp5_train_test_split_histogram", REGISTRY["smp5_train_test_split"][1])
+def smp5h(spark, d):
+    return smp.train_test_split(_o(spark, d), 0.2, key="o_orderkey", topk_limit=0).select("o_orderkey", "is_test")
