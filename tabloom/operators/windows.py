@@ -10,6 +10,7 @@ window so partial aggregation and AQE skew-join splitting apply.
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,7 +199,7 @@ def series_positions(df: DataFrame, order_by, partition_by=(), rows_per_block: i
                                   F.lit(0)).alias("_off"),
                        F.sum("_rows").over(Window.partitionBy(*pcols)).alias(size))
     return local.join(summ, parts + ["_blk"], "left") \
-        .withColumn(pos, F.col("_off") + F.col("_lrn")).drop("_blk", "_lrn", "_off")
+        .select(*[qcol(c) for c in df.columns], (F.col("_off") + F.col("_lrn")).alias(pos), qcol(size))
 
 
 def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blocks: int) -> DataFrame:
@@ -298,27 +299,61 @@ def wma_expr(c: Column, w: Window, weights, offset: int = 0) -> Column:
     return total
 
 
+def lagged_values(df: DataFrame, value: str, lags, order_by, partition_by=(),
+                  rows_per_block: int | None = None, prefix: str = "_lag") -> DataFrame:
+    """Add ``{prefix}{i}`` = ``value`` i rows back in its series, for i in ``lags``.
+
+    Small tables use ``lag`` windows. Large tables avoid one window per series:
+    rows get their series position (:func:`series_positions`, block-split),
+    every row sends its value to the positions it is a lag of (``explode`` of
+    len(lags) copies), values are gathered by ``groupBy(series, position)`` and
+    joined back on (series, position) - a hot series spreads over all tasks.
+    """
+    lags = sorted(set(int(i) for i in lags))
+    keys, parts = _as_list(order_by), _as_list(partition_by)
+    limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
+    c = qcol(value)
+    if _order_number(df, keys[0]) is None or df.count() <= limit:
+        w = ordered_window(order_by, partition_by)
+        return df.select("*", *[(c if i == 0 else F.lag(c, i).over(w)).alias(f"{prefix}{i}") for i in lags])
+    pos = series_positions(df, keys, parts, rows_per_block).drop("_size")
+    sent = pos.select(*[qcol(p).alias(f"_s{j}") for j, p in enumerate(parts)],
+                      F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("_pos") + i).alias("t"))
+                                          for i in lags])).alias("_e"), c.alias("_val")) \
+        .select("*", "_e.i", "_e.t").drop("_e")
+    got = sent.groupBy(*[f"_s{j}" for j in range(len(parts))], "t").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("_val"))).alias(f"{prefix}{i}") for i in lags])
+    cond = [qcol(p).eqNullSafe(F.col(f"_s{j}")) for j, p in enumerate(parts)] + [F.col("_pos") == F.col("t")]
+    return pos.join(got, reduce(lambda a, b: a & b, cond), "left") \
+        .select(*[qcol(x) for x in df.columns], *[F.col(f"{prefix}{i}") for i in lags])
+
+
 def sma(df: DataFrame, value: str, window: int, order_by, partition_by=(),
-        name: str = "sma") -> DataFrame:
-    """WIN-5: simple moving average; the first ``window-1`` rows are NULL."""
-    w = ordered_window(order_by, partition_by)
-    return df.withColumn(name, sma_expr(qcol(value), w, window))
+        name: str = "sma", rows_per_block: int | None = None) -> DataFrame:
+    """WIN-5: simple moving average; NULL unless the last ``window`` values
+    (this row included) are all present, as a pandas rolling mean."""
+    lagged = lagged_values(df, value, range(window), order_by, partition_by, rows_per_block)
+    cols = [F.col(f"_lag{i}") for i in range(window)]
+    present = reduce(lambda a, b: a & b, [x.isNotNull() for x in cols])
+    total = reduce(lambda a, b: a + b, [x.cast("double") for x in cols])
+    return lagged.withColumn(name, F.when(present, total / window)).drop(*[f"_lag{i}" for i in range(window)])
 
 
 def wma(df: DataFrame, value: str, weights, order_by, partition_by=(),
-        name: str = "wma") -> DataFrame:
+        name: str = "wma", rows_per_block: int | None = None) -> DataFrame:
     """WIN-6: weighted moving average with weights oldest → newest."""
-    w = ordered_window(order_by, partition_by)
-    return df.withColumn(name, wma_expr(qcol(value), w, weights))
+    k = len(weights)
+    lagged = lagged_values(df, value, range(k), order_by, partition_by, rows_per_block)
+    terms = [F.lit(float(wt)) * F.col(f"_lag{k - 1 - i}") for i, wt in enumerate(weights)]
+    return lagged.withColumn(name, reduce(lambda a, b: a + b, terms)).drop(*[f"_lag{i}" for i in range(k)])
 
 
 def lag_features(df: DataFrame, value: str, n: int, order_by, partition_by=(),
-                 prefix: str = "lag_") -> DataFrame:
+                 prefix: str = "lag_", rows_per_block: int | None = None) -> DataFrame:
     """WIN-7: columns ``lag_1..lag_n``; rows without a full history are dropped."""
-    w = ordered_window(order_by, partition_by)
-    c = qcol(value)
-    out = df.select("*", *[F.lag(c, i).over(w).alias(f"{prefix}{i}") for i in range(1, n + 1)])
-    return out.filter(F.col(f"{prefix}{n}").isNotNull())
+    lagged = lagged_values(df, value, range(1, n + 1), order_by, partition_by, rows_per_block)
+    lagged = lagged.withColumnsRenamed({f"_lag{i}": f"{prefix}{i}" for i in range(1, n + 1)})
+    return lagged.filter(F.col(f"{prefix}{n}").isNotNull())
 
 
 def average_rank(c: Column, partition_by=()) -> Column:

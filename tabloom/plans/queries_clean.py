@@ -263,3 +263,18 @@ def win1m(spark, d):
     li = fx.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     out = win.aggregated_feature(li, "supp_median", "l_suppkey", "l_extendedprice", "median", group_limit=300)
     return round_all(out.select("l_orderkey", "l_linenumber", "l_suppkey", "supp_median"))
+
+
+@register("win5_sma_blocks", f"""SELECT event_id, round(CASE WHEN count(value) OVER w = 3 THEN avg(value) OVER w END, 6) AS sma
+  FROM {EG} WINDOW w AS ({W_USER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def win5b(spark, d):
+    """Moving average through the position + shift-join plan used for large series."""
+    out = win.sma(fx.events_gaps(spark, d), "value", 3, ["ts", "event_id"], "user_id", rows_per_block=997)
+    return round_all(out.select("event_id", "sma"))
+
+
+@register("win7_lag_features_blocks", f"""SELECT * FROM (SELECT event_id, lag(value, 1) OVER w AS lag_1,
+  lag(value, 2) OVER w AS lag_2 FROM {EG} WINDOW w AS ({W_USER})) WHERE lag_2 IS NOT NULL""")
+def win7b(spark, d):
+    out = win.lag_features(fx.events_gaps(spark, d), "value", 2, ["ts", "event_id"], "user_id", rows_per_block=997)
+    return out.select("event_id", "lag_1", "lag_2")

@@ -245,3 +245,17 @@ def test_group_quantiles_bucketed_matches_exact(spark):
     c = group_quantiles(li, "l_returnflag", "l_extendedprice", probs, names, mode="distributed",
                         group_limit=1700).toPandas().sort_values("l_returnflag").reset_index(drop=True)
     assert np.allclose(a[names].to_numpy(), c[names].to_numpy(), rtol=1e-12)
+
+
+def test_moving_windows_block_plan_matches_window(spark):
+    e = fx.load(spark, SF_TINY, "events").select("event_id", "user_id", "ts", "value")
+    for fn in (lambda d, r: windows.sma(d, "value", 3, ["ts", "event_id"], "user_id", rows_per_block=r),
+               lambda d, r: windows.wma(d, "value", [0.2, 0.3, 0.5], ["ts", "event_id"], "user_id",
+                                        rows_per_block=r),
+               lambda d, r: windows.lag_features(d, "value", 2, ["ts", "event_id"], "user_id",
+                                                 rows_per_block=r)):
+        a = fn(e, 10 ** 9).toPandas().sort_values("event_id").reset_index(drop=True)
+        b = fn(e, 97).toPandas().sort_values("event_id").reset_index(drop=True)
+        assert list(a.columns) == list(b.columns)
+        num = [c for c in a.columns if c not in ("ts",)]
+        assert np.allclose(a[num].to_numpy(dtype=float), b[num].to_numpy(dtype=float), equal_nan=True)
