@@ -100,7 +100,9 @@ def cross_validate(df: DataFrame, features, target: str, model_type: str, candid
     allowed = REGRESSION_METRICS if task == "regression" else CLASSIFICATION_METRICS
     if metric not in allowed:
         raise OperatorError(f"metric must be one of {allowed}")
-    data = kfold(df, k, seed, key, "_fold")
+    # every (candidate, fold) fit re-reads the table: keep it cached for the
+    # duration of the search (all jobs finish inside this function)
+    data = kfold(df, k, seed, key, "_fold").cache()
     n = data.count()
 
     def run(job):
@@ -112,8 +114,11 @@ def cross_validate(df: DataFrame, features, target: str, model_type: str, candid
         return (ci, json.dumps(params, sort_keys=True), fold, float(te), None if tr is None else float(tr))
 
     jobs = [(ci, p, f) for ci, p in enumerate(candidates) for f in range(k)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(run, jobs))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            rows = list(pool.map(run, jobs))
+    finally:
+        data.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "candidate long, params string, fold long, test_score double, train_score double")
 
@@ -164,7 +169,7 @@ def learning_curve(df: DataFrame, features, target: str, model_type: str, sizes=
     task = task_of(model_type)
     metric = metric or ("r2" if task == "regression" else "accuracy")
     h, bits = hash_column(df, key, seed + 1)
-    data = kfold(df, k, seed, key, "_fold").withColumn("_u", h / F.lit(float(1 << bits)))
+    data = kfold(df, k, seed, key, "_fold").withColumn("_u", h / F.lit(float(1 << bits))).cache()
 
     def run(job):
         size, fold = job
@@ -175,8 +180,11 @@ def learning_curve(df: DataFrame, features, target: str, model_type: str, sizes=
                 float(score_of(model.transform(test), task, target, metric)))
 
     jobs = [(s, f) for s in sizes for f in range(k)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(run, jobs))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            rows = list(pool.map(run, jobs))
+    finally:
+        data.unpersist()
     res = df.sparkSession.createDataFrame(rows, "train_size double, fold long, train_score double, test_score double")
     return res.groupBy("train_size").agg(F.avg("train_score").alias("train_mean"),
                                          F.stddev_pop("train_score").alias("train_std"),
