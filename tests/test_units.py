@@ -259,3 +259,19 @@ def test_moving_windows_block_plan_matches_window(spark):
         assert list(a.columns) == list(b.columns)
         num = [c for c in a.columns if c not in ("ts",)]
         assert np.allclose(a[num].to_numpy(dtype=float), b[num].to_numpy(dtype=float), equal_nan=True)
+
+
+def test_forecasters_survive_short_and_flat_series(spark):
+    from tabloom.operators.forecast import arima, network
+    rows = [("short", t, float(v)) for t, v in enumerate([5, 7, 6, 8, 9, 7])] + \
+           [("flat", t, 0.0) for t in range(30)] + \
+           [("ok", t, float(10 + (t % 4) + t * 0.5)) for t in range(40)]
+    df = spark.createDataFrame(rows, "s string, t long, v double")
+    a = arima.arima(df, "v", "t", ["s"], (2, 1, 1)).toPandas()
+    assert set(a["s"]) == {"short", "flat", "ok"}
+    sm = smoothing.smoothing_search(df, "v", "t", ["s"]).toPandas()
+    assert "ok" in set(sm["s"])
+    cs = intermittent.croston_search(df, "v", "t", ["s"]).toPandas()
+    assert "flat" not in set(cs["s"])          # no demand at all: no Croston fit
+    nn = network.lag_network(df, "v", "t", ["s"], input_sizes=[2], hidden_sizes=[2], epochs=5).toPandas()
+    assert "ok" in set(nn["s"])
