@@ -21,6 +21,22 @@ NUMERIC_RE = r"^[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?$"
 DATE_PREFIX_RE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
 
 
+# Date layouts tried in order when no format is given (ISO first; month
+# before day for slash dates, as pandas does without dayfirst).
+DATE_FORMATS = ["yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "d.M.yyyy", "M-d-yyyy"]
+
+
+def parse_datetime(c, fmt: str | None = None):
+    """Text -> timestamp; unparseable cells become NULL (``try_to_timestamp``)."""
+    t = F.trim(c.cast("string"))
+    if fmt:
+        return F.try_to_timestamp(t, F.lit(fmt))
+    tries = [F.try_to_timestamp(t)]
+    for f in DATE_FORMATS:
+        tries += [F.try_to_timestamp(t, F.lit(f + " H:m:s")), F.try_to_timestamp(t, F.lit(f))]
+    return F.coalesce(*tries)
+
+
 # --------------------------------------------------------------------------
 # CLN-1 type inference
 # --------------------------------------------------------------------------
@@ -71,8 +87,7 @@ def infer_types(df: DataFrame, columns=None, to_numeric: bool = True, to_datetim
         if kind == "double":
             out.append(F.trim(c).try_cast("double").alias(f.name))
         elif kind == "timestamp":
-            t = F.try_to_timestamp(F.trim(c), F.lit(fmt)) if fmt else F.try_to_timestamp(F.trim(c))
-            out.append(t.alias(f.name))
+            out.append(parse_datetime(c, fmt).alias(f.name))
         elif kind == "category":
             out.append(c.alias(f.name, metadata={"category": True}))
         else:
@@ -263,7 +278,7 @@ def cast_column(df: DataFrame, column: str, target_type: str) -> DataFrame:
         raise OperatorError(f"unknown target type {target_type!r}")
     c = qcol(column)
     if t == "timestamp":
-        new = F.try_to_timestamp(c.cast("string"))
+        new = parse_datetime(c)
     else:
         new = c.cast("string").try_cast(t) if t != "string" else c.cast("string")
     return df.withColumn(column, new)
