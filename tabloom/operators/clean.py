@@ -7,6 +7,8 @@ distributed aggregate and inlined as literals.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,18 +216,19 @@ def _fill_values(df: DataFrame, values: dict) -> DataFrame:
 
 
 def fill_report(before: DataFrame, after: DataFrame, columns=None) -> DataFrame:
-    """Cells filled = missing before − missing after (one aggregate each side)."""
+    """Cells filled = missing before − missing after (lazy: one job, two scans)."""
     cols = list(columns) if columns else [c for c in before.columns if c in after.columns]
-    b = before.agg(F.count(F.lit(1)).alias("rows_before"),
-                   sum([F.count_if(is_missing(before, c)) for c in cols[1:]],
-                       F.count_if(is_missing(before, cols[0]))).alias("missing_before"))
-    a = after.agg(F.count(F.lit(1)).alias("rows_after"),
-                  sum([F.count_if(is_missing(after, c)) for c in cols[1:]],
-                      F.count_if(is_missing(after, cols[0]))).alias("missing_after"))
-    rb, ra = b.first(), a.first()
-    return before.sparkSession.createDataFrame(
-        [(rb[0], ra[0], rb[1], ra[1], rb[1] - ra[1])],
-        "rows_before long, rows_after long, missing_before long, missing_after long, cells_filled long")
+
+    def side(d, tag):
+        miss = reduce(lambda a, b: a + b, [F.count_if(is_missing(d, c)) for c in cols])
+        return d.agg(F.count(F.lit(1)).alias("_rows"), miss.alias("_miss")).withColumn("_k", F.lit(tag))
+
+    piv = side(before, "b").unionByName(side(after, "a")).groupBy().pivot("_k", ["b", "a"]) \
+        .agg(F.first("_rows").alias("rows"), F.first("_miss").alias("miss"))
+    return piv.select(F.col("b_rows").cast("long").alias("rows_before"), F.col("a_rows").cast("long").alias("rows_after"),
+                      F.col("b_miss").cast("long").alias("missing_before"),
+                      F.col("a_miss").cast("long").alias("missing_after"),
+                      (F.col("b_miss") - F.col("a_miss")).cast("long").alias("cells_filled"))
 
 
 # --------------------------------------------------------------------------

@@ -278,3 +278,11 @@ def win5b(spark, d):
 def win7b(spark, d):
     out = win.lag_features(fx.events_gaps(spark, d), "value", 2, ["ts", "event_id"], "user_id", rows_per_block=997)
     return out.select("event_id", "lag_1", "lag_2")
+
+
+@register("cln4_fill_report", f"""SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
+  CAST(count(*) - count(o_totalprice) AS BIGINT) AS missing_before, 0::BIGINT AS missing_after,
+  CAST(count(*) - count(o_totalprice) AS BIGINT) AS cells_filled FROM {OM}""")
+def cln4r(spark, d):
+    before = fx.orders_missing(spark, d)
+    return cl.fill_report(before, cl.fill(before, "o_totalprice", "fill_mean"))
