@@ -275,3 +275,12 @@ def test_forecasters_survive_short_and_flat_series(spark):
     assert "flat" not in set(cs["s"])          # no demand at all: no Croston fit
     nn = network.lag_network(df, "v", "t", ["s"], input_sizes=[2], hidden_sizes=[2], epochs=5).toPandas()
     assert "ok" in set(nn["s"])
+
+
+def test_join_key_type_mismatch_is_an_error(spark):
+    left = spark.createDataFrame([(1, "a")], "k long, x string")
+    right = spark.createDataFrame([("1", "b")], "k string, y string")
+    with pytest.raises(ValueError):
+        relational.join(left, right, "inner", on="k")
+    ok = spark.createDataFrame([(1, "b")], "k int, y string")
+    assert relational.join(left, ok, "inner", on="k").count() == 1
