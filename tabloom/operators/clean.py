@@ -114,27 +114,34 @@ def fix_misaligned(df: DataFrame, columns=None, pattern: str = r"[,;\t]"):
 
     Columns are processed in order; a cell matching ``pattern`` whose parts fit
     in the columns from it to the end keeps its first part and writes the rest
-    over the next columns. Touched columns become text. One chained projection,
-    no row loop. Returns ``(fixed_df, fixed_cells_df)``.
+    over the next columns. Touched columns become text. One projection per
+    suspect column, each referring to the previous step's columns by name (the
+    split and the condition are computed once per step as columns), so the
+    plan grows linearly with the number of columns. No row loop. Returns
+    ``(fixed_df, fixed_cells_df)``.
     """
     names = list(df.columns)
     suspects = list(columns) if columns else string_columns(df)
     require_columns(df, suspects)
-    cur = {n: qcol(n) for n in names}
-    flags = []
+    cur = df.withColumn("_fixed", F.lit(0).cast("long"))
     for s in suspects:
         pos = names.index(s)
-        src = cur[s].cast("string")
+        src = qcol(s).cast("string")
         parts = F.split(src, pattern)
-        cond = F.coalesce(src.rlike(pattern) & (F.size(parts) <= len(names) - pos), F.lit(False))
-        flags.append(cond)
-        cur[s] = F.when(cond, parts[0]).otherwise(src)
-        for i in range(1, len(names) - pos):
-            tgt = names[pos + i]
-            cur[tgt] = F.when(cond & (F.size(parts) > i), parts[i]).otherwise(cur[tgt].cast("string"))
-    fixed_flag = sum([f.cast("long") for f in flags[1:]], flags[0].cast("long")) if flags else F.lit(0)
-    staged = df.select(*[cur[n].alias(n) for n in names], fixed_flag.alias("_fixed"))
-    return staged.drop("_fixed"), staged.agg(F.sum("_fixed").cast("long").alias("fixed_cells"))
+        step = cur.withColumn("_parts", parts).withColumn(
+            "_cond", F.coalesce(src.rlike(pattern) & (F.size(parts) <= len(names) - pos), F.lit(False)))
+        exprs = []
+        for j, n in enumerate(names):
+            if j < pos:
+                exprs.append(qcol(n))
+            elif j == pos:
+                exprs.append(F.when(F.col("_cond"), F.col("_parts")[0]).otherwise(src).alias(n))
+            else:
+                i = j - pos
+                exprs.append(F.when(F.col("_cond") & (F.size("_parts") > i), F.col("_parts")[i])
+                             .otherwise(qcol(n).cast("string")).alias(n))
+        cur = step.select(*exprs, (F.col("_fixed") + F.col("_cond").cast("long")).alias("_fixed"))
+    return cur.drop("_fixed"), cur.agg(F.sum("_fixed").cast("long").alias("fixed_cells"))
 
 
 # --------------------------------------------------------------------------
