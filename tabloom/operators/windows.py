@@ -174,7 +174,7 @@ def tag_blocks(df: DataFrame, order_column: str, blocks: int) -> DataFrame:
 
 
 def series_positions(df: DataFrame, order_by, partition_by=(), rows_per_block: int | None = None,
-                     pos: str = "_pos", size: str = "_size") -> DataFrame:
+                     pos: str = "_pos", size: str = "_size", n_rows: int | None = None) -> DataFrame:
     """Add the 1-based position of each row in its series and the series size.
 
     Large tables use value-range blocks of the first order column: positions
@@ -184,7 +184,7 @@ def series_positions(df: DataFrame, order_by, partition_by=(), rows_per_block: i
     keys, parts = _as_list(order_by), _as_list(partition_by)
     pcols = [qcol(p) for p in parts]
     limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
-    n = df.count() if _order_number(df, keys[0]) is not None else 0
+    n = (df.count() if n_rows is None else n_rows) if _order_number(df, keys[0]) is not None else 0
     if n <= limit:
         w = Window.partitionBy(*pcols).orderBy(*[qcol(k) for k in keys])
         return df.withColumn(pos, F.row_number().over(w)) \
@@ -300,7 +300,8 @@ def wma_expr(c: Column, w: Window, weights, offset: int = 0) -> Column:
 
 
 def lagged_values(df: DataFrame, value: str, lags, order_by, partition_by=(),
-                  rows_per_block: int | None = None, prefix: str = "_lag") -> DataFrame:
+                  rows_per_block: int | None = None, prefix: str = "_lag",
+                  n_rows: int | None = None) -> DataFrame:
     """Add ``{prefix}{i}`` = ``value`` i rows back in its series, for i in ``lags``.
 
     Small tables use ``lag`` windows. Large tables avoid one window per series:
@@ -313,10 +314,10 @@ def lagged_values(df: DataFrame, value: str, lags, order_by, partition_by=(),
     keys, parts = _as_list(order_by), _as_list(partition_by)
     limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
     c = qcol(value)
-    if _order_number(df, keys[0]) is None or df.count() <= limit:
+    if _order_number(df, keys[0]) is None or (df.count() if n_rows is None else n_rows) <= limit:
         w = ordered_window(order_by, partition_by)
         return df.select("*", *[(c if i == 0 else F.lag(c, i).over(w)).alias(f"{prefix}{i}") for i in lags])
-    pos = series_positions(df, keys, parts, rows_per_block).drop("_size")
+    pos = series_positions(df, keys, parts, rows_per_block, n_rows=n_rows).drop("_size")
     sent = pos.select(*[qcol(p).alias(f"_s{j}") for j, p in enumerate(parts)],
                       F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("_pos") + i).alias("t"))
                                           for i in lags])).alias("_e"), c.alias("_val")) \

@@ -276,3 +276,11 @@ def fct18(spark, d):
                              by=["p_type"]).withColumn("method", F.lit("wma"))
     best = choose_best([sma_m, wma_m], by=["p_type"])
     return best.select("p_type", "method", *_metric_cols())
+
+
+@register("fct1_sma_forecast_blocks", SMA_FC_SQL + """
+SELECT p_type, month, actual, round(predicted, 6) AS predicted, is_test FROM f""")
+def fct1fb(spark, d):
+    """Same forecast through block-split positions and the shift-join lags."""
+    return round_all(moving.sma_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], 3,
+                                         rows_per_block=97))
