@@ -284,3 +284,15 @@ def test_join_key_type_mismatch_is_an_error(spark):
         relational.join(left, right, "inner", on="k")
     ok = spark.createDataFrame([(1, "b")], "k int, y string")
     assert relational.join(left, ok, "inner", on="k").count() == 1
+
+
+def test_lazy_reports(spark):
+    left = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], "k long, v double")
+    right = spark.createDataFrame([(1, "a"), (3, "b"), (4, "c"), (5, "d")], "k long, w string")
+    res = relational.join(left, right, "inner", on="k")
+    r = relational.join_report(left, right, res).first()
+    assert (r["left_rows"], r["right_rows"], r["result_rows"], r["common_cols"]) == (3, 4, 2, 1)
+    c = relational.combine_report([left, left], relational.combine([left, left], "union")).first()
+    assert (c["n_inputs"], c["total_rows_in"], c["rows_out"], c["common_cols"]) == (2, 6, 6, 2)
+    f = clean.fill_report(left, clean.fill(left, "v", "fill_mean")).first()
+    assert (f["missing_before"], f["missing_after"], f["cells_filled"]) == (1, 0, 1)
