@@ -16,6 +16,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def load_all() -> dict[str, tuple]:
     """Registered queries: name -> (builder, oracle SQL or None)."""
-    from tabloom.llm import ann, line_dedup, line_rules, mixing, packing, token_orc  # noqa: F401
+    from tabloom.llm import ann, line_dedup, line_rules, mixing, packing, token_orc, warc  # noqa: F401
     from tabloom.llm.common import REGISTRY
     return REGISTRY
