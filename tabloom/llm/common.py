@@ -71,3 +71,11 @@ def unit_hash(*cols: Column) -> Column:
 def bucket_of(u: Column, n: Column) -> Column:
     """Bucket 0..n-1 of a 63-bit hash, non-decreasing in the hash."""
     return F.least((u.cast("double") / F.lit(float(2 ** 63)) * n).cast("long"), n.cast("long") - 1)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer used, before
+    a step that writes much itself."""
+    import gc
+    gc.collect()
+    spark._jvm.System.gc()
