@@ -35,8 +35,8 @@ from tabloom.llm.common import register, scratch_path, table
 END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Text bytes tokenised at once, and words remembered by a Python worker.
-SLICE_BYTES = 8 << 20
-MEMORY_WORDS = 800_000
+SLICE_BYTES = 4 << 20
+MEMORY_WORDS = 700_000
 
 
 def default_tokenizer() -> str:
@@ -68,22 +68,32 @@ class WordEncoder:
 
     def _clear(self):
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.offsets = np.zeros(1 << 14, np.int64)
+        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            part = words[lo:lo + 20_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                n, got = len(self.known), enc.ids
-                start = self.offsets[n]
-                if n + 2 > len(self.offsets):
-                    self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-                while start + len(got) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[start:start + len(got)] = got
-                self.offsets[n + 1] = start + len(got)
-                self.known[word] = n
+        ids, lens = [], []
+        for lo in range(0, len(words), 10_000):
+            for enc in self.tokenizer.encode_batch_fast(words[lo:lo + 10_000], add_special_tokens=False):
+                got = enc.ids
+                ids += got
+                lens.append(len(got))
+        n = len(self.known)
+        self.known.update(zip(words, range(n, n + len(words))))
+        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.array(lens, np.int64))])
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """Places of the words; new ones are encoded. A full memory starts anew."""
+        get = self.known.get
+        slots = np.array([get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(self.known) + len(new) > MEMORY_WORDS:
+            self._clear()
+            new = np.arange(len(words))
+        if len(new):
+            slots[new] = len(self.known) + np.arange(len(new))
+            self._learn([words[k] for k in new])
+        return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each text (without end ids)."""
@@ -95,12 +105,8 @@ class WordEncoder:
         pieces = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(distinct, "<|"), distinct, plain))
         piece_offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         piece_codes = pieces.flatten().dictionary_encode()
-        piece_words = piece_codes.dictionary.to_pylist()
-        if len(self.known) + len(piece_words) > MEMORY_WORDS:
-            self._clear()
-        self._learn([w for w in piece_words if w not in self.known])
-        slots = np.fromiter((self.known[w] for w in piece_words), np.int64, len(piece_words))
-        piece_picks = slots[piece_codes.indices.to_numpy()] if len(slots) else np.zeros(0, np.int64)
+        slots = self._slots(piece_codes.dictionary.to_pylist())
+        piece_picks = slots[piece_codes.indices.to_numpy()]
         word_ids, ends = _expand(piece_picks, self.offsets, self.ids)
         word_offsets = ends[piece_offsets]
         picks = coded.indices.to_numpy().astype(np.int64)
