@@ -47,7 +47,7 @@ from tabloom.llm.token_orc import text_slices
 N_SHARDS = 8
 MAX_TRUSTED = 20_000
 QUANTILE = 0.995
-SLACK = 1.2
+SLACK = 2.0
 PRIOR_BYTES = 100
 BLOCK_BYTES = 1 << 20
 PAD = 10
