@@ -11,6 +11,13 @@ planning to Catalyst. Modules:
 * ``tabloom.streaming``  operators that also run on streaming DataFrames
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from tabloom.session import get_spark, checkpoint_dir  # noqa: F401
 
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel by value: executors need no copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

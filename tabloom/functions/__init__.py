@@ -2,5 +2,5 @@
 
 from tabloom.functions.expressions import (  # noqa: F401
     OperatorError, is_missing, normalise_nan, numeric_columns, string_columns,
-    portable_hash, row_hash, safe_ratio, qcol,
+    portable_hash, row_hash, qcol,
 )

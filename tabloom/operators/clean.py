@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabloom.functions.expressions import (FLOAT_TYPES, OperatorError, col_type, is_missing,
                                            is_numeric, qcol, require_columns, string_columns)
 from tabloom.operators import profile, windows
-from tabloom.operators.relational import apply_mapping, standardize_columns
+from tabloom.operators.relational import apply_mapping, standard_names, standardize_columns
 
 # Recognisers used by type inference.
 NUMERIC_RE = r"^[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?$"
@@ -327,22 +327,28 @@ def apply_plan(df: DataFrame, plan: DataFrame | list, mapping: dict | None = Non
         steps = [s for s in steps if s.get("auto_apply")]
     mapping = mapping or {}
     out = apply_mapping(df, mapping)
+    now = {c: mapping.get(c, c) for c in df.columns}  # source name -> present name
+    applied = 0
     for s in steps:
-        col = mapping.get(s["column"], s["column"])
+        col = now.get(s["column"], s["column"])
         act = s["action"]
-        if act == "fill_median":
-            if col in out.columns and is_numeric(out, col):
-                out = fill(out, col, "fill_median")
-            elif col in out.columns:
-                out = fill(out, col, "fill_mode")
-        elif act == "drop_duplicates":
+        if act == "drop_duplicates":
             out = drop_duplicates(out)
-        elif act == "cast" and col in out.columns:
-            out = cast_column(out, col, s.get("target_type") or "string")
         elif act == "standardize_names":
+            renamed = dict(zip(out.columns, standard_names(out.columns)))
             out = standardize_columns(out)
-        elif act == "clip" and col in out.columns:
+            now = {k: renamed.get(v, v) for k, v in now.items()}
+        elif col not in out.columns:
+            continue
+        elif act == "fill_median":
+            out = fill(out, col, "fill_median" if is_numeric(out, col) else "fill_mode")
+        elif act == "cast":
+            out = cast_column(out, col, s.get("target_type") or "string")
+        elif act == "clip":
             out = clip(out, col, s.get("lower"), s.get("upper"))
+        else:
+            continue
+        applied += 1
     # Summary stays lazy: one union of the two row counts, pivoted into a row.
     counts = df.select(F.lit("before").alias("_k")).unionByName(out.select(F.lit("after").alias("_k")))
     piv = counts.groupBy().pivot("_k", ["before", "after"]).count()
@@ -354,5 +360,5 @@ def apply_plan(df: DataFrame, plan: DataFrame | list, mapping: dict | None = Non
         (F.coalesce(F.col("before"), F.lit(0)) - F.coalesce(F.col("after"), F.lit(0))).cast("long")
         .alias("rows_removed"),
         F.lit(len(df.columns) - len(out.columns)).cast("long").alias("cols_removed"),
-        F.lit(len(steps)).cast("long").alias("steps_applied"))
+        F.lit(applied).cast("long").alias("steps_applied"))
     return out, summary

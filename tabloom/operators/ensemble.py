@@ -46,7 +46,8 @@ def hard_vote(pred_cols, weights, n_classes: int) -> Column:
 
 
 def soft_vote(prob_cols, weights) -> Column:
-    """Weighted mean class probability, then argmax."""
+    """Weighted mean class probability, rounded to 12 decimals so that equal
+    classes tie (and the first one wins) whatever the order of summation."""
     total = float(sum(weights))
     def add(weight):
         return lambda a, b: a + b * F.lit(float(weight))
@@ -54,7 +55,7 @@ def soft_vote(prob_cols, weights) -> Column:
     acc = F.transform(F.col(prob_cols[0]), lambda x: x * F.lit(float(weights[0])))
     for p, w in zip(prob_cols[1:], weights[1:]):
         acc = F.zip_with(acc, F.col(p), add(w))
-    return F.transform(acc, lambda x: x / F.lit(total))
+    return F.transform(acc, lambda x: F.round(x / F.lit(total), 12))
 
 
 def weighted_mean(pred_cols, weights) -> Column:

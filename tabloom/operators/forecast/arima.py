@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import cdf
-from tabloom.functions.expressions import qcol, require_columns
+from tabloom.functions.expressions import OperatorError, as_list as _as_list, present, qcol, require_columns
+from tabloom.operators.forecast.smoothing import without_nan
 
 # Asymptotic Dickey-Fuller quantiles (constant, no trend), used
 # to interpolate the ADF p-value.
@@ -25,12 +26,6 @@ DF_QUANTILES = [(0.01, -3.43), (0.025, -3.12), (0.05, -2.86), (0.10, -2.57),
                 (0.90, -0.44), (0.95, -0.07), (0.975, 0.23), (0.99, 0.60)]
 
 
-def _as_list(x):
-    if x is None:
-        return []
-    return [x] if isinstance(x, str) else list(x)
-
-
 def css_residuals(w: np.ndarray, phi: np.ndarray, theta: np.ndarray, mu: float) -> np.ndarray:
     p, q = len(phi), len(theta)
     x = w - mu
@@ -159,10 +154,12 @@ def adf_test(y: np.ndarray, max_lag: int | None = None):
         s2 = res @ res / max(rows - X.shape[1], 1)
         aic = rows * math.log(max(res @ res / rows, 1e-300)) + 2 * X.shape[1]
         try:
-            se = math.sqrt(s2 * np.linalg.inv(X.T @ X)[1, 1])
+            var = s2 * np.linalg.inv(X.T @ X)[1, 1]
         except np.linalg.LinAlgError:
             continue
-        stat = b[1] / se if se > 0 else float("nan")
+        if not var > 0:  # constant or singular
+            continue
+        stat = b[1] / math.sqrt(var)
         if best is None or aic < best[0]:
             best = (aic, stat)
     if best is None:
@@ -196,7 +193,7 @@ ARIMA_SCHEMA = ("p int, d int, q int, ar_coef array<double>, ma_coef array<doubl
                 "loglik double, aic double, bic double, n_train long, n_test long, mape double, mae double, "
                 "rmse double, forecast array<double>, lower array<double>, upper array<double>, "
                 "adf_stat double, adf_p double, ljung_box double, ljung_box_p double, durbin_watson double, "
-                "jarque_bera_p double, resid_mean double, resid_std double")
+                "jarque_bera_p double, resid_mean double, resid_std double, error string")
 
 
 def arima_group(pdf: pd.DataFrame, order, test_size: float, confidence: float) -> pd.DataFrame:
@@ -205,6 +202,11 @@ def arima_group(pdf: pd.DataFrame, order, test_size: float, confidence: float) -
     y = pdf["value"].to_numpy(dtype=float)
     n_train = int(len(y) * (1 - test_size))
     train, test = y[:n_train], y[n_train:]
+    need = p + q + d + 3
+    if n_train < need:
+        return without_nan(pd.DataFrame([{"p": p, "d": d, "q": q, "n_train": n_train, "n_test": len(test),
+                                          "error": f"series too short: {n_train} training rows, {need} needed"}],
+                                        columns=[c.split()[0] for c in ARIMA_SCHEMA.split(", ")]))
     w = np.diff(train, n=d) if d else train
     a, b, mu, e = fit_css(w, p, q, with_mean=(d == 0))
     n_eff = len(e)
@@ -238,18 +240,21 @@ def arima_group(pdf: pd.DataFrame, order, test_size: float, confidence: float) -
            "forecast": [float(x) for x in fc], "lower": [float(x) for x in fc - z * se],
            "upper": [float(x) for x in fc + z * se], "adf_stat": adf_stat, "adf_p": adf_p,
            "ljung_box": lb, "ljung_box_p": lb_p, "durbin_watson": dw, "jarque_bera_p": jb_p,
-           "resid_mean": m, "resid_std": s}
+           "resid_mean": m, "resid_std": s, "error": None}
     return pd.DataFrame([row])
 
 
 def arima(df: DataFrame, target: str, time_column: str = "time", series_keys=(), order=(2, 1, 1),
           test_size: float = 0.2, confidence_level: float = 0.95) -> DataFrame:
     """FCT-12/12a: one row per series with coefficients, fit criteria, test
-    metrics, forecasts with intervals and residual diagnostics."""
+    metrics, forecasts with intervals and residual diagnostics; a series that is
+    too short has an ``error`` text instead. Missing values are left out."""
     keys = _as_list(series_keys)
+    if not keys:
+        raise OperatorError("arima needs series_keys: a table of one series is one task")
     require_columns(df, keys + [target, time_column])
     base = df.select(*[qcol(k) for k in keys], qcol(time_column).alias("time"),
-                     qcol(target).cast("double").alias("value"))
+                     present(df, target).cast("double").alias("value")).filter(F.col("value").isNotNull())
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
 
     def fn(key, pdf):
@@ -258,8 +263,6 @@ def arima(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
             out.insert(i, k, key[i])
         return out
 
-    if not keys:
-        return base.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda k, p: fn((), p), ARIMA_SCHEMA)
     return base.groupBy(*[qcol(k) for k in keys]).applyInPandas(fn, key_schema + ", " + ARIMA_SCHEMA)
 
 

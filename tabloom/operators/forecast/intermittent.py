@@ -1,152 +1,44 @@
 """Intermittent-demand forecasting: Croston, SBA, TSB (FCT-7..10).
 
-For a fixed parameter the recursion is a JVM-side fold (``F.aggregate`` with a
-struct state) over each series' sorted values; the parameter search hashes the
-series into bounded groups and runs each group's whole grid inside one
-``applyInPandas`` call, vectorised over series x candidates. The forecast for a period uses the state before that period's
-demand is seen; in-sample MAPE counts only periods with non-zero demand; the
-next-period forecast uses the state after the last observation.
+Series are hashed into a fixed number of groups; a group is searched in numpy,
+vectorised over series x candidates, a bounded chunk of series of similar
+length at a time. The forecast for a period uses the state before that period's
+demand is seen; in-sample MAPE (a fraction) counts only periods with non-zero
+demand; future periods use the state after the last observation (flat).
+
+Missing demand (NULL or NaN) is left out of its series; a NULL series key is a
+series of its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import OperatorError, qcol, require_columns
+from tabloom.functions.expressions import OperatorError, as_list, present, qcol, require_columns
 from tabloom.operators.forecast.smoothing import GRID
 
 METHODS = ("croston", "sba", "tsb")
+GROUPS = 64
+# Cells (series x periods x candidates) worked on at once: bounds a task's memory.
+CHUNK_CELLS = 4_000_000
 
 
-def _as_list(x):
-    if x is None:
-        return []
-    return [x] if isinstance(x, str) else list(x)
-
-
-def _fold(arr: Column, method: str, alpha: float, beta: float) -> Column:
-    """Struct state (a, p, q, f, se, nz) folded over ``arr`` of struct(t, v)."""
-    idx = F.transform(arr, lambda x, i: F.struct(i.alias("i"), x["v"].alias("v")))
-    first = F.try_element_at(F.filter(idx, lambda y: y["v"] > 0), F.lit(1))
-    a0 = first["v"]
-    pos = first["i"].cast("double")
-    p0 = 1.0 / (1.0 + pos) if method == "tsb" else 1.0 + pos
-    f0 = a0 * p0 if method == "tsb" else a0 / p0
-    init = F.struct(a0.cast("double").alias("a"), p0.cast("double").alias("p"), F.lit(1.0).alias("q"),
-                    f0.cast("double").alias("f"), F.lit(0.0).alias("se"), F.lit(0.0).alias("nz"))
-    al, be = F.lit(float(alpha)), F.lit(float(beta))
-
-    def step(acc, x):
-        d = x["v"]
-        pos_d = d > 0
-        err = F.when(d != 0, F.abs((acc["f"] - d) / d)).otherwise(F.lit(0.0))
-        nz = F.when(d != 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        a_new = F.when(pos_d, al * d + (1 - al) * acc["a"]).otherwise(acc["a"])
-        if method == "tsb":
-            p_new = F.when(pos_d, be + (1 - be) * acc["p"]).otherwise((1 - be) * acc["p"])
-            f_new = p_new * a_new
-            q_new = acc["q"]
-        else:
-            p_new = F.when(pos_d, al * acc["q"] + (1 - al) * acc["p"]).otherwise(acc["p"])
-            ratio = a_new / p_new
-            f_new = F.when(pos_d, ratio * (1 - al / 2) if method == "sba" else ratio).otherwise(acc["f"])
-            q_new = F.when(pos_d, F.lit(1.0)).otherwise(acc["q"] + 1)
-        return F.struct(a_new.alias("a"), p_new.alias("p"), q_new.alias("q"), f_new.alias("f"),
-                        (acc["se"] + err).alias("se"), (acc["nz"] + nz).alias("nz"))
-
-    return F.aggregate(arr, init, step)
-
-
-def croston_fold(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
-                 method: str = "croston", alpha: float = 0.1, beta: float = 0.1) -> DataFrame:
-    """FCT-7/8/9 for one parameter as a JVM-side fold (``F.aggregate``).
-
-    Same numbers as :func:`croston`; kept as the expression form of the
-    recursion (no Python workers), at the cost of interpreted lambdas.
-    """
-    if method not in METHODS:
-        raise OperatorError(f"unknown method {method!r}")
-    keys = _as_list(series_keys)
-    require_columns(df, keys + [target, time_column])
-    pt = F.struct(qcol(time_column).alias("t"), qcol(target).cast("double").alias("v"))
-    series = df.groupBy(*[qcol(k) for k in keys]).agg(
-        F.sort_array(F.collect_list(pt)).alias("_s"),
-        (F.avg((qcol(target) == 0).cast("double")) * 100).alias("zero_pct"))
-    st = series.select(*[qcol(k) for k in keys], "zero_pct", _fold(F.col("_s"), method, alpha, beta).alias("_st"))
-    return st.select(*[qcol(k) for k in keys], F.lit(method).alias("method"), F.lit(float(alpha)).alias("alpha"),
-                     F.lit(float(beta) if method == "tsb" else None).cast("double").alias("beta"),
-                     (F.col("_st.se") / F.col("_st.nz")).alias("mape"), F.col("_st.f").alias("forecast"),
-                     F.col("_st.nz").cast("long").alias("nonzero_periods"), "zero_pct")
-
-
-def croston(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
-            method: str = "croston", alpha: float = 0.1, beta: float = 0.1,
-            series_per_group: int = 256) -> DataFrame:
-    """FCT-7/8/9 for one parameter: per series in-sample MAPE on non-zero
-    periods, next-period forecast, zero share. All-zero series give NULLs.
-
-    Series are hashed into groups of about ``series_per_group`` and each group
-    runs the recursion for all its series at once in numpy.
-    """
-    if method not in METHODS:
-        raise OperatorError(f"unknown method {method!r}")
-    keys = _as_list(series_keys)
-    if not keys:
-        raise OperatorError("croston needs series_keys")
-    require_columns(df, keys + [target, time_column])
-    base = df.select(*[qcol(k) for k in keys], qcol(time_column).alias("time"),
-                     qcol(target).cast("double").alias("value"))
-    n_series = base.select(*[qcol(k) for k in keys]).distinct().count()
-    groups = max(1, -(-n_series // series_per_group))
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
-    schema = key_schema + (", method string, alpha double, beta double, mape double, forecast double, "
-                           "nonzero_periods long, zero_pct double")
-
-    def fn(pdf):
-        pdf = pdf.drop(columns=["_g"]).sort_values(keys + ["time"])
-        pdf["_pos"] = pdf.groupby(keys, sort=False).cumcount()
-        wide = pdf.pivot_table(index=keys, columns="_pos", values="value", aggfunc="first", dropna=False)
-        D = wide.to_numpy(dtype=float)
-        out = wide.index.to_frame(index=False)
-        mape, fc = croston_batch(D, method, np.array([float(alpha)]), np.array([float(beta)]))
-        valid = ~np.isnan(D)
-        out["method"] = method
-        out["alpha"] = float(alpha)
-        out["beta"] = float(beta) if method == "tsb" else np.nan
-        out["mape"] = mape[:, 0]
-        has = ~np.isnan(mape[:, 0])
-        out["forecast"] = np.where(has, fc[:, 0], np.nan)
-        out["nonzero_periods"] = (valid & (D != 0)).sum(axis=1).astype("int64")
-        out["zero_pct"] = (valid & (D == 0)).sum(axis=1) / np.maximum(valid.sum(axis=1), 1) * 100
-        return out
-
-    bucket = F.pmod(F.xxhash64(*[qcol(k) for k in keys]), F.lit(groups))
-    return base.withColumn("_g", bucket).groupBy("_g").applyInPandas(fn, schema)
-
-
-# --------------------------------------------------------------------------
-# Grid search (numpy, vectorised over series x candidates)
-# --------------------------------------------------------------------------
-
-# Series per pandas group in the search: bounds the memory of one task
-# (series x periods x candidates floats) whatever the number of series.
-SERIES_PER_GROUP = 256
-
-
-def croston_batch(D: np.ndarray, method: str, alpha: np.ndarray, beta: np.ndarray):
+def croston_batch(D: np.ndarray, method: str, alpha: np.ndarray, beta: np.ndarray,
+                  paths: bool = False):
     """Run one method for S series (rows of D, NaN-padded at the end) and C
-    candidates at once. Returns (mape (S, C), next forecast (S, C))."""
+    candidates at once. Returns (mape (S, C), next forecast (S, C), and with
+    ``paths`` the in-sample one-step forecasts (S, T, C), else None)."""
     S, T = D.shape
-    C = alpha.shape[0]
+    C = alpha.shape[-1]
     valid = ~np.isnan(D)
     pos = np.where(valid & (D > 0), np.arange(T)[None, :], T)
     i0 = pos.min(axis=1)                                     # first positive demand
     has = i0 < T
     a0 = np.where(has, D[np.arange(S), np.minimum(i0, T - 1)], np.nan)
-    al, be = alpha[None, :], beta[None, :]
+    al, be = np.atleast_2d(alpha), np.atleast_2d(beta)  # one row for all series, or one each
     a = np.repeat(a0[:, None], C, axis=1)
     if method == "tsb":
         p = np.repeat((1.0 / (1 + i0))[:, None], C, axis=1).astype(float)
@@ -157,7 +49,10 @@ def croston_batch(D: np.ndarray, method: str, alpha: np.ndarray, beta: np.ndarra
     q = np.ones((S, C))
     se = np.zeros((S, C))
     nz = np.zeros((S, 1))
+    path = np.full((S, T, C), np.nan) if paths else None
     for t in range(T):
+        if paths:
+            path[:, t] = np.where(valid[:, t][:, None], f, np.nan)
         d = D[:, t][:, None]
         ok = valid[:, t][:, None]
         dem = ok & (d > 0)
@@ -179,78 +74,141 @@ def croston_batch(D: np.ndarray, method: str, alpha: np.ndarray, beta: np.ndarra
     with np.errstate(divide="ignore", invalid="ignore"):
         mape = np.where(nz > 0, se / nz, np.nan)
     mape[~has] = np.nan
-    return mape, f
+    return mape, f, path
+
+
+def _series_matrices(table: pa.Table, n_candidates: int):
+    """Split a group's rows (sorted by series and time) into matrices of bounded
+    size: yields (first row of each series, matrix padded with NaN)."""
+    sid = table.column("__tb_s").to_numpy()
+    value = table.column("value").to_numpy()
+    starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+    lens = np.diff(np.r_[starts, len(sid)])
+    order = np.argsort(lens, kind="stable")  # similar lengths together: little padding
+    at = 0
+    while at < len(order):
+        longest = lens[order[at:]]
+        cells = longest * np.arange(1, len(longest) + 1) * n_candidates
+        n = max(1, int(np.searchsorted(cells, CHUNK_CELLS, side="right")))
+        pick = order[at:at + n]
+        D = np.full((n, lens[pick].max()), np.nan)
+        for row, k in enumerate(pick):
+            D[row, :lens[k]] = value[starts[k]:starts[k] + lens[k]]
+        yield starts[pick], D
+        at += n
+
+
+def _by_group(df: DataFrame, target: str, time_column: str, keys, groups: int, n_candidates: int, search, schema: str):
+    """Run ``search(D) -> (row of D, columns)`` on every series; keys are taken
+    from the rows as they are, so NULL keys and their types stay."""
+    base = df.select(*[qcol(k) for k in keys], F.xxhash64(*[qcol(k) for k in keys]).alias("__tb_s"),
+                     qcol(time_column).alias("__tb_time"), present(df, target).cast("double").alias("value")) \
+        .filter(F.col("value").isNotNull())
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("__tb_s", "ascending"), ("__tb_time", "ascending")]).combine_chunks()
+        parts = []
+        for first, D in _series_matrices(table, n_candidates):
+            rows, columns = search(D)
+            own = table.select(keys).take(pa.array(first[rows]))
+            parts.append(pa.table([*own.columns, *columns], names=[*keys, *[c.split()[0] for c in schema.split(", ")]]))
+        return pa.concat_tables(parts)
 
-SEARCH_SCHEMA = ("method string, alpha double, beta double, mape double, forecast double, "
-                 "zero_pct double, is_best boolean, warning string")
+    bucket = F.pmod(F.col("__tb_s"), F.lit(groups))
+    return base.withColumn("__tb_g", bucket).groupBy("__tb_g").applyInArrow(run, f"{key_schema}, {schema}")
 
 
-def search_batch(pdf: pd.DataFrame, keys, methods, alphas, betas) -> pd.DataFrame:
-    """All series of one group: pivot to a (series x period) matrix, search."""
-    pdf = pdf.sort_values(keys + ["time"])
-    pdf["_pos"] = pdf.groupby(keys, sort=False).cumcount()
-    wide = pdf.pivot_table(index=keys, columns="_pos", values="value", aggfunc="first", dropna=False)
-    D = wide.to_numpy(dtype=float)
-    idx = wide.index.to_frame(index=False)
-    valid = ~np.isnan(D)
-    zero_pct = np.where(valid.sum(1) > 0, (valid & (D == 0)).sum(1) / np.maximum(valid.sum(1), 1) * 100, np.nan)
-    warn = np.where(zero_pct == 0, "no zero periods: intermittent methods may not suit this series",
-                    np.where(zero_pct > 80, "more than 80% zero periods: forecasts are unreliable", None))
-    frames = []
-    for m in methods:
-        if m == "tsb":
-            A, B = (x.ravel() for x in np.meshgrid(alphas, betas, indexing="ij"))
-        else:
-            A, B = np.asarray(alphas, dtype=float), np.full(len(alphas), np.nan)
-        mape, fc = croston_batch(D, m, A, B)
-        filled = np.where(np.isnan(mape), np.inf, mape)
-        k = filled.argmin(axis=1)
-        rows = np.arange(len(D))
-        out = idx.copy()
-        out["method"] = m
-        out["alpha"] = A[k]
-        out["beta"] = B[k] if m == "tsb" else np.nan
-        out["mape"] = mape[rows, k]
-        out["forecast"] = fc[rows, k]
-        out["zero_pct"] = zero_pct
-        out["warning"] = warn
-        keep = out[~np.isnan(mape[rows, k])]
-        if len(keep):
-            frames.append(keep)
-    cols = list(keys) + [c.split()[0] for c in SEARCH_SCHEMA.split(", ")]
-    if not frames:
-        return pd.DataFrame(columns=cols)
-    res = pd.concat(frames, ignore_index=True)
-    if len(res):
-        best = res.groupby(keys, sort=False)["mape"].transform("min")
-        first = res.assign(_b=res["mape"] == best).groupby(keys, sort=False)["_b"].cumsum() == 1
-        res["is_best"] = (res["mape"] == best) & first
-    else:
-        res["is_best"] = pd.Series(dtype=bool)
-    return res[list(keys) + [c.split()[0] for c in SEARCH_SCHEMA.split(", ")]]
+def _doubles(x) -> pa.Array:
+    return pa.array(np.asarray(x, dtype=float), from_pandas=True)
+
+
+ONE_SCHEMA = ("method string, alpha double, beta double, mape double, forecast double, "
+              "nonzero_periods bigint, zero_pct double")
+
+
+def croston(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
+            method: str = "croston", alpha: float = 0.1, beta: float = 0.1, groups: int = GROUPS) -> DataFrame:
+    """FCT-7/8/9 for one parameter: per series in-sample MAPE on non-zero
+    periods, next-period forecast, zero share. All-zero series give NULLs."""
+    if method not in METHODS:
+        raise OperatorError(f"unknown method {method!r}")
+    keys = as_list(series_keys)
+    if not keys:
+        raise OperatorError("croston needs series_keys")
+    require_columns(df, keys + [target, time_column])
 
+    def search(D):
+        mape, fc, _ = croston_batch(D, method, np.array([float(alpha)]), np.array([float(beta)]))
+        valid, n = ~np.isnan(D), len(D)
+        has = ~np.isnan(mape[:, 0])
+        return np.arange(n), [
+            pa.array([method] * n), _doubles(np.full(n, alpha)), _doubles(np.full(n, beta if method == "tsb" else np.nan)),
+            _doubles(mape[:, 0]), _doubles(np.where(has, fc[:, 0], np.nan)), pa.array((valid & (D != 0)).sum(axis=1)),
+            _doubles((valid & (D == 0)).sum(axis=1) / valid.sum(axis=1) * 100)]
 
-def croston_search(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
-                   methods=METHODS, alphas=None, betas=None,
-                   series_per_group: int = SERIES_PER_GROUP) -> DataFrame:
-    """FCT-10: best parameter per method and best method per series.
+    return _by_group(df, target, time_column, keys, groups, 1, search, ONE_SCHEMA)
 
-    Series are hashed into ``ceil(n_series / series_per_group)`` groups; each
-    group is searched as one matrix (series x candidates) in numpy.
+
+SEARCH_SCHEMA = ("method string, alpha double, beta double, mape double, forecast double, zero_pct double, "
+                 "is_best boolean, warning string, actual array<double>, predicted array<double>, future array<double>")
+
+#: Warnings of the search.
+NO_ZEROS = "no zero periods: intermittent methods may not suit this series"
+MANY_ZEROS = "more than 80% zero periods: forecasts are unreliable"
+ALL_ZERO = "no demand at all: nothing to forecast"
+
+
+def _search(methods, alphas, betas, extra_periods: int):
+    def candidates(m):
+        if m == "tsb":
+            return [x.ravel() for x in np.meshgrid(alphas, betas, indexing="ij")]
+        return [np.asarray(alphas, dtype=float), np.full(len(alphas), np.nan)]
+
+    def search(D):
+        n, valid = len(D), ~np.isnan(D)
+        zero = (valid & (D == 0)).sum(1) / valid.sum(1) * 100
+        warn = np.where(zero == 100, ALL_ZERO, np.where(zero == 0, NO_ZEROS, np.where(zero > 80, MANY_ZEROS, None)))
+        found = []
+        for m in methods:
+            A, B = candidates(m)
+            mape, fc, _ = croston_batch(D, m, A, B)
+            k = np.where(np.isnan(mape), np.inf, mape).argmin(axis=1)
+            at = np.arange(n)
+            path = croston_batch(D, m, A[k][:, None], B[k][:, None], True)[2][:, :, 0]
+            none = np.isnan(mape[at, k])
+            found.append((m, np.where(none, np.nan, A[k]), np.where(none, np.nan, B[k]), mape[at, k],
+                          np.where(none, np.nan, fc[at, k]), path))
+        score = np.stack([np.where(np.isnan(f[3]), np.inf, f[3]) for f in found])
+        best = np.where(np.isinf(score.min(axis=0)), -1, score.argmin(axis=0))
+        rows = np.tile(np.arange(n), len(found))
+        cut = valid.sum(1)
+        lists = pa.list_(pa.float64())
+        return rows, [
+            pa.array(np.repeat([f[0] for f in found], n)), _doubles(np.concatenate([f[1] for f in found])),
+            _doubles(np.concatenate([f[2] if f[0] == "tsb" else np.full(n, np.nan) for f in found])),
+            _doubles(np.concatenate([f[3] for f in found])), _doubles(np.concatenate([f[4] for f in found])),
+            _doubles(np.tile(zero, len(found))), pa.array(np.concatenate([best == j for j in range(len(found))])),
+            pa.array(list(warn) * len(found), pa.string()),
+            pa.array([list(D[i, :cut[i]]) for i in rows], lists),
+            pa.array([[None if np.isnan(x) else x for x in f[5][i, :cut[i]]] for f in found for i in range(n)], lists),
+            pa.array([[] if np.isnan(f[4][i]) else [f[4][i]] * extra_periods for f in found for i in range(n)], lists)]
+
+    return search
+
+
+def croston_search(df: DataFrame, target: str, time_column: str = "time", series_keys=(), methods=METHODS,
+                   alphas=None, betas=None, extra_periods: int = 0, groups: int = GROUPS) -> DataFrame:
+    """FCT-10: best parameter per method and best method per series, with the
+    actual values, the in-sample forecasts and ``extra_periods`` future ones.
+
+    All-zero series stay, with NULL scores and a warning.
     """
-    keys = _as_list(series_keys)
+    keys = as_list(series_keys)
     if not keys:
         raise OperatorError("croston_search needs series_keys")
     require_columns(df, keys + [target, time_column])
     a = np.array(alphas or GRID, dtype=float)
     b = np.array(betas or GRID, dtype=float)
-    base = df.select(*[qcol(k) for k in keys], qcol(time_column).alias("time"),
-                     qcol(target).cast("double").alias("value"))
-    n_series = base.select(*[qcol(k) for k in keys]).distinct().count()
-    groups = max(1, -(-n_series // series_per_group))
-    bucket = F.pmod(F.xxhash64(*[qcol(k) for k in keys]), F.lit(groups))
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
-    return base.withColumn("_g", bucket).groupBy("_g").applyInPandas(
-        lambda pdf: search_batch(pdf.drop(columns=["_g"]), keys, methods, a, b),
-        key_schema + ", " + SEARCH_SCHEMA)
+    width = max(len(a) * (len(b) if "tsb" in methods else 1), 1)
+    return _by_group(df, target, time_column, keys, groups, width, _search(tuple(methods), a, b, extra_periods), SEARCH_SCHEMA)

@@ -7,17 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import OperatorError, qcol
+from tabloom.functions.expressions import as_list as _as_list, OperatorError, qcol
 
 EPSILON = 1e-10
 
 
-def _as_list(x):
-    if x is None:
-        return []
-    return [x] if isinstance(x, str) else list(x)
-
-
 def metric_exprs(a: Column, p: Column, zero: str = "epsilon") -> list[Column]:
     """MAPE (fraction), MAE, MSE, RMSE, R², n as aggregate expressions."""
     err = p - a

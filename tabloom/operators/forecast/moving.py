@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import OperatorError, qcol, require_columns
+from tabloom.functions.expressions import as_list as _as_list, OperatorError, qcol, require_columns
 from tabloom.operators.forecast.metrics import forecast_metrics
 from tabloom.operators.windows import lagged_values, series_positions
 
@@ -29,12 +29,6 @@ DEFAULT_WEIGHTS = [
 ]
 
 
-def _as_list(x):
-    if x is None:
-        return []
-    return [x] if isinstance(x, str) else list(x)
-
-
 def _lagged_series(df: DataFrame, target_column: str, time_column: str, keys, lags, test_size: float,
                    rows_per_block: int | None = None) -> DataFrame:
     """keys, time, actual, ``_lag{i}`` for i in ``lags``, is_test.

@@ -15,7 +15,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import OperatorError, qcol, require_columns
+from tabloom.functions.expressions import as_list as _as_list, OperatorError, qcol, require_columns
 from tabloom.operators.forecast.metrics import metric_exprs
 
 FEATURES = ["year", "month", "quarter", "time_index", "series_index"]
@@ -23,12 +23,6 @@ RF_GRID = {"numTrees": [20, 50], "maxDepth": [5, 10]}
 GBT_GRID = {"maxIter": [50, 100], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
 
 
-def _as_list(x):
-    if x is None:
-        return []
-    return [x] if isinstance(x, str) else list(x)
-
-
 def calendar_frame(df: DataFrame, target: str, time_column: str, keys, test_size: float) -> DataFrame:
     w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(qcol(time_column))
     n = F.count(F.lit(1)).over(Window.partitionBy(*[qcol(k) for k in keys]))

@@ -19,22 +19,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import OperatorError, qcol, require_columns
+from tabloom.functions.expressions import (OperatorError, as_list as _as_list, null_safe_join, present, qcol,
+                                           require_columns)
 from tabloom.operators.forecast.metrics import metric_exprs
 
 GRID = [round(0.1 * i, 1) for i in range(1, 10)]
 SEASONS = [2, 3, 4, 5, 6]
 
 
-def _as_list(x):
-    if x is None:
-        return []
-    return [x] if isinstance(x, str) else list(x)
-
-
 def split_flags(df: DataFrame, target: str, time_column: str, keys, test_size: float,
                 validation_size: float = 0.0) -> DataFrame:
     """Row position, test flag and validation flag per series (chronological)."""
+    df = df.filter(present(df, target).isNotNull())
     w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(qcol(time_column))
     n = F.count(F.lit(1)).over(Window.partitionBy(*[qcol(k) for k in keys]))
     n_train = F.floor(n * F.lit(1.0 - test_size))
@@ -75,7 +71,7 @@ def ses_search(df: DataFrame, target: str, time_column: str = "time", series_key
 
     cand = cand.select(*[qcol(k) for k in keys], "alpha", fold(F.col("_train")).alias("level"),
                        fold(F.col("_fit")).alias("fit_level"))
-    scored = flagged.join(cand, keys, "inner")
+    scored = null_safe_join(flagged, cand, keys, "inner")
     a = F.col("value")
     test = scored.filter("is_test").groupBy(*[qcol(k) for k in keys], "alpha").agg(
         *metric_exprs(a, F.col("level"), zero="skip"), F.first("level").alias("level"))
@@ -84,7 +80,7 @@ def ses_search(df: DataFrame, target: str, time_column: str = "time", series_key
     else:
         sel = scored.filter("is_valid").groupBy(*[qcol(k) for k in keys], "alpha").agg(
             F.avg(F.when(a != 0, F.abs((F.col("fit_level") - a) / a))).alias("_sel"))
-    out = test.join(sel, keys + ["alpha"], "left")
+    out = null_safe_join(test, sel, keys + ["alpha"], "left")
     w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(F.col("_sel").asc_nulls_last(), "alpha")
     return out.withColumn("best", F.row_number().over(w) == 1).drop("_sel")
 
@@ -145,12 +141,14 @@ def _metrics(pred: np.ndarray, actual: np.ndarray) -> dict:
 
 SMOOTHING_SCHEMA = ("method string, alpha double, beta double, gamma double, season_period int, "
                     "mape double, mae double, mse double, rmse double, r2 double, n_test long, "
-                    "candidates long, failures long")
+                    "candidates long, failures long, warning string, actual array<double>, predicted array<double>, "
+                    "future array<double>")
 
 
 def smoothing_group(pdf: pd.DataFrame, methods, alphas, betas, gammas, seasons, test_size,
-                    select_on: str = "test", validation_size: float = 0.2) -> pd.DataFrame:
-    """Best double and triple candidates for one series (pandas in, pandas out)."""
+                    select_on: str = "test", validation_size: float = 0.2, extra_periods: int = 0) -> pd.DataFrame:
+    """Best double and triple candidates for one series (pandas in, pandas out);
+    a method that the series is too short for gives a row with the reason."""
     pdf = pdf.sort_values("time")
     y = pdf["value"].to_numpy(dtype=float)
     n_train = int(np.floor(len(y) * (1 - test_size)))
@@ -169,7 +167,11 @@ def smoothing_group(pdf: pd.DataFrame, methods, alphas, betas, gammas, seasons,
         pred = holt_paths(train, A[k:k + 1], B[k:k + 1], len(test))[0]
         rows.append({"method": "double", "alpha": A[k], "beta": B[k], "gamma": None, "season_period": None,
                      "mape": float(_mape_skip(pred[None, :], test)[0]), **_metrics(pred, test),
-                     "n_test": len(test), "candidates": len(A), "failures": 0})
+                     "n_test": len(test), "candidates": len(A), "failures": 0, "actual": list(test),
+                     "predicted": list(pred),
+                     "future": list(holt_paths(y, A[k:k + 1], B[k:k + 1], extra_periods)[0]) if extra_periods else []})
+    elif "double" in methods:
+        rows.append({"method": "double", "n_test": len(test), "warning": "series too short for double smoothing"})
     if "triple" in methods and len(test) > 0:
         best, fails, total = None, 0, 0
         for m in seasons:
@@ -187,39 +189,74 @@ def smoothing_group(pdf: pd.DataFrame, methods, alphas, betas, gammas, seasons,
                 best = (score[k], A[k], B[k], G[k], m)
         if best is not None:
             _, a, b, g, m = best
-            pred = holt_winters_paths(train, np.array([a]), np.array([b]), np.array([g]), m, len(test))[0]
-            rows.append({"method": "triple", "alpha": a, "beta": b, "gamma": g, "season_period": m,
+            one = np.array([a]), np.array([b]), np.array([g])
+            pred = holt_winters_paths(train, *one, m, len(test))[0]
+            rows.append({"actual": list(test), "predicted": list(pred),
+                         "future": list(holt_winters_paths(y, *one, m, extra_periods)[0]) if extra_periods else [],
+                         "method": "triple", "alpha": a, "beta": b, "gamma": g, "season_period": m,
                          "mape": float(_mape_skip(pred[None, :], test)[0]), **_metrics(pred, test),
                          "n_test": len(test), "candidates": total, "failures": fails})
+        else:
+            rows.append({"method": "triple", "n_test": len(test), "candidates": total, "failures": fails,
+                         "warning": "series too short for triple smoothing, or no test period with demand"})
+    elif "triple" in methods:
+        rows.append({"method": "triple", "n_test": len(test), "warning": "series too short for triple smoothing"})
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in SMOOTHING_SCHEMA.split(", ")])
-    return out
+    return without_nan(out)
+
+
+def without_nan(out: pd.DataFrame) -> pd.DataFrame:
+    """Missing cells as None, also in columns of lists and texts."""
+    out = out.astype(object)
+    return out.where(out.notna(), None)
 
 
 def smoothing_search(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
                      methods=("double", "triple"), alphas=None, betas=None, gammas=None,
-                     seasons=None, test_size: float = 0.2, select_on: str = "test") -> DataFrame:
-    """FCT-4/5: double and triple smoothing grids, one pandas group per series."""
+                     seasons=None, test_size: float = 0.2, select_on: str = "test",
+                     extra_periods: int = 0) -> DataFrame:
+    """FCT-4/5: double and triple smoothing grids, one pandas group per series,
+    with the actual and predicted test values and ``extra_periods`` future ones.
+
+    Missing values (NULL or NaN) are left out of their series."""
     keys = _as_list(series_keys)
+    if not keys:
+        raise OperatorError("smoothing needs series_keys: a table of one series is one task")
     require_columns(df, keys + [target, time_column])
     a = np.array(alphas or GRID, dtype=float)
     b = np.array(betas or GRID, dtype=float)
     g = np.array(gammas or GRID, dtype=float)
     ms = list(seasons or SEASONS)
     base = df.select(*[qcol(k) for k in keys], qcol(time_column).alias("time"),
-                     qcol(target).cast("double").alias("value"))
+                     present(df, target).cast("double").alias("value")).filter(F.col("value").isNotNull())
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
 
     def fn(key, pdf):
-        out = smoothing_group(pdf, methods, a, b, g, ms, test_size, select_on)
+        out = smoothing_group(pdf, methods, a, b, g, ms, test_size, select_on, extra_periods=extra_periods)
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out
 
-    schema = (key_schema + ", " if key_schema else "") + SMOOTHING_SCHEMA
-    if not keys:
-        base = base.withColumn("_all", F.lit(0))
-        return base.groupBy("_all").applyInPandas(lambda k, p: fn((), p), SMOOTHING_SCHEMA)
-    return base.groupBy(*[qcol(k) for k in keys]).applyInPandas(fn, schema)
+    return base.groupBy(*[qcol(k) for k in keys]).applyInPandas(fn, f"{key_schema}, {SMOOTHING_SCHEMA}")
+
+
+def smoothing_forecasts(ses: DataFrame, others: DataFrame, series_keys, extra_periods: int = 0) -> DataFrame:
+    """Rows of FCT-3..6: ``keys, method, step, actual, predicted`` of the test
+    part and, with NULL actuals, of the future. ``ses`` comes from
+    :func:`ses_search` (its best alpha), ``others`` from :func:`smoothing_search`."""
+    keys = _as_list(series_keys)
+    pair = F.arrays_zip(F.concat("actual", F.transform("future", lambda x: F.lit(None).cast("double"))).alias("actual"),
+                        F.concat("predicted", "future").alias("predicted"))
+    rest = others.filter("predicted IS NOT NULL").select(*[qcol(k) for k in keys], "method", F.posexplode(pair)) \
+        .select(*[qcol(k) for k in keys], "method", (F.col("pos") + 1).cast("long").alias("step"),
+                F.col("col")["actual"].alias("actual"), F.col("col")["predicted"].alias("predicted"))
+    steps = F.sequence(F.lit(1).cast("long"), F.col("n") + F.lit(extra_periods))
+    single = ses.filter("best").select(*[qcol(k) for k in keys], F.lit("single").alias("method"),
+                                       F.col("level").alias("predicted"), F.explode(steps).alias("step")) \
+        .select(*[qcol(k) for k in keys], "method", "step", F.lit(None).cast("double").alias("actual"), "predicted")
+    tests = rest.filter("actual IS NOT NULL").groupBy(*[qcol(k) for k in keys], "step").agg(F.max("actual").alias("a"))
+    single = null_safe_join(single, tests, [*keys, "step"], "left").withColumn("actual", F.col("a")).drop("a")
+    return single.unionByName(rest)
 
 
 def best_smoothing(ses: DataFrame, others: DataFrame, series_keys=()) -> DataFrame:
@@ -227,7 +264,7 @@ def best_smoothing(ses: DataFrame, others: DataFrame, series_keys=()) -> DataFra
     keys = _as_list(series_keys)
     single = ses.filter("best").select(*keys, F.lit("single").alias("method"), "alpha",
                                        "mape", "mae", "mse", "rmse", "r2")
-    rest = others.select(*keys, "method", "alpha", "mape", "mae", "mse", "rmse", "r2")
+    rest = others.filter("warning IS NULL").select(*keys, "method", "alpha", "mape", "mae", "mse", "rmse", "r2")
     allm = single.unionByName(rest)
     w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(F.col("mape").asc_nulls_last(), "method")
     return allm.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk") \

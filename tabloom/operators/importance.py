@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import OperatorError, qcol
+from tabloom.functions.expressions import OperatorError, qcol, row_hash
 from tabloom.operators import stats as st
 from tabloom.operators.ml import build_pipeline, classification_metrics, regression_metrics
-from tabloom.operators.sampling import hash_column, train_test_split
+from tabloom.operators.sampling import train_test_split
+from tabloom.operators.windows import numbered
 
 
 def _task(df: DataFrame, target: str, task: str | None) -> str:
@@ -85,24 +86,14 @@ def linear_importance(df: DataFrame, features, target: str, task: str | None = N
     return _table(df.sparkSession, feats, coef)
 
 
-def permute_column(df: DataFrame, column: str, seed: int, rows_per_bucket: int = 100_000,
-                   key=None) -> DataFrame:
-    """Shuffle one column across rows without a global sort.
-
-    Rows are hashed into buckets of about ``rows_per_bucket``; inside each
-    bucket the column's values are re-paired by two independent hash orders
-    (two bounded windows + one equi-join on (bucket, rank)).
-    """
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    h1, _ = hash_column(df, key, seed)
-    h2, _ = hash_column(df, key, seed + 7919)
-    base = df.withColumn("_b", F.pmod(h1, F.lit(buckets))).withColumn("_h2", h2).withColumn("_h1", h1)
-    w_rows = Window.partitionBy("_b").orderBy("_h1", "_h2")
-    w_vals = Window.partitionBy("_b").orderBy("_h2", "_h1")
-    rows = base.withColumn("_r", F.row_number().over(w_rows)).drop(column)
-    vals = base.select("_b", qcol(column), F.row_number().over(w_vals).alias("_r"))
-    return rows.join(vals, ["_b", "_r"]).drop("_b", "_r", "_h1", "_h2")
+def permute_column(df: DataFrame, column: str, seed: int, key=None) -> DataFrame:
+    """Shuffle one column over all rows: the rows in the order of one hash get the
+    values in the order of another one. Both orders are range sorts numbered by
+    their partitions' row counts; nothing is sorted in one task."""
+    cols = [key] if isinstance(key, str) else (list(key) if key else df.columns)
+    rows = numbered(df.drop(column), [row_hash([c for c in cols if c != column] or [F.lit(0)], seed)], "__tb_r")
+    vals = numbered(df.select(*[qcol(c) for c in dict.fromkeys([*cols, column])]), [row_hash(cols, seed + 7919)], "__tb_r")
+    return rows.join(vals.select("__tb_r", qcol(column)), "__tb_r").drop("__tb_r")
 
 
 def permutation_importance(df: DataFrame, features, target: str, task: str | None = None,

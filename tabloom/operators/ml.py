@@ -12,6 +12,7 @@ import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError, is_numeric, qcol, require_columns
@@ -101,8 +102,7 @@ def make_estimator(model_type: str, params: dict | None = None, seed: int = 42,
         if isinstance(v, float) and v.is_integer() and name not in ("stepSize", "subsamplingRate", "regParam"):
             v = int(v)
         if name == "maxDepth" and isinstance(v, int) and v > 30:
-            warnings.warn("maxDepth capped at 30 (Spark limit)")
-            v = 30
+            raise OperatorError("max_depth is limited to 30 by Spark's trees")
         if not est.hasParam(name):
             warnings.warn(f"parameter {k!r} not supported by {model_type}; ignored")
             continue
@@ -169,13 +169,22 @@ def fit_model(df: DataFrame, features, target: str, model_type: str, params: dic
     task = task_of(model_type)
     if task == "regression" and not is_numeric(df, target):
         raise OperatorError("regression target must be numeric")
-    data = df.select(*[qcol(c) for c in feats], qcol(target).cast("string").alias(target)
-                     if task == "classification" else qcol(target).cast("double").alias(target),
-                     *([qcol(key)] if key else []))
-    split = train_test_split(data, test_size, seed, key=key)
-    train, test = split.filter("NOT is_test"), split.filter("is_test")
-    n_train = train.count()
-    n_classes = train.select(target).distinct().count() if model_type in BINARY_ONLY else None
+    # split the whole rows, before columns go: rows that differ elsewhere stay apart
+    split = train_test_split(df, test_size, seed, key=key, flag="__tb_test")
+    data = split.select(*[qcol(c) for c in feats], qcol(target).cast("string").alias(target)
+                        if task == "classification" else qcol(target).cast("double").alias(target),
+                        *([qcol(key)] if key and key not in feats and key != target else []), "__tb_test")
+    train, test = data.filter("NOT __tb_test").drop("__tb_test"), data.filter("__tb_test").drop("__tb_test")
+    n_classes = None
+    if task == "classification":
+        per = data.filter(qcol(target).isNotNull()).groupBy(qcol(target).alias("c")).agg(
+            F.count_if(~F.col("__tb_test")).alias("n"))
+        row = per.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 0)).first()
+        n_train, n_classes = row[0] or 0, row[1]
+        if row[2]:
+            raise OperatorError(f"{row[2]} of {n_classes} classes have no training row; use more data or a smaller test_size")
+    else:
+        n_train = train.count()
     pipe = build_pipeline(model_type, feats, target, task, params, seed, n_train, n_classes)
     model = pipe.fit(train)
     labels = list(model.stages[0].labels) if task == "classification" else None
@@ -291,9 +300,11 @@ class ModelRegistry:
 
     def _log(self) -> DataFrame:
         try:
-            return self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001 - empty registry
-            return self.spark.createDataFrame([], self.SCHEMA)
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)  # nothing registered yet
 
     def register(self, model_id: str, name: str, fm: FittedModel, path: str, metrics: dict) -> None:
         row = [(model_id, name, fm.model_type, fm.task, path, json.dumps(metrics), None, False)]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.expressions import (OperatorError, is_missing, numeric_columns, qcol,
+from tabloom.functions.expressions import (OperatorError, is_missing, normalise_nan, numeric_columns, qcol,
                                            require_columns)
 
 _STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -38,15 +38,16 @@ def describe(df: DataFrame, columns=None, approx: bool = False, mode: str = "aut
     Quartiles: ``approx`` uses ``percentile_approx``; otherwise exact, either
     fused into the one aggregate (``mode="global"``, small tables) or found by
     the bucketed distributed plan of :mod:`tabloom.operators.quantiles`
-    (``"distributed"``); ``"auto"`` picks by row count.
+    (``"distributed"``); ``"auto"`` picks by the number of cells.
     """
     from tabloom.operators.quantiles import GLOBAL_LIMIT, quantiles
     cols = list(columns) if columns else numeric_columns(df)
     require_columns(df, cols)
     if not cols:
         raise OperatorError("describe needs at least one numeric column")
+    df = normalise_nan(df.select(*[qcol(c) for c in cols]))
     if not approx and mode == "auto":
-        mode = "global" if df.count() <= GLOBAL_LIMIT else "distributed"
+        mode = "global" if df.count() * len(cols) <= GLOBAL_LIMIT else "distributed"
     qs = quantiles(df, cols, (0.25, 0.5, 0.75), mode="distributed") \
         if (not approx and mode == "distributed") else None
     aggs = []
@@ -76,6 +77,7 @@ def null_counts(df: DataFrame, columns=None) -> DataFrame:
 def unique_counts(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
     """AGG-3: distinct non-null values per column (``approx`` = HyperLogLog++)."""
     cols = list(columns) if columns else list(df.columns)
+    df = normalise_nan(df.select(*[qcol(c) for c in cols]))
     fn = F.approx_count_distinct if approx else F.count_distinct
     wide = df.agg(*[fn(qcol(n)).alias(f"{i}__unique_count") for i, n in enumerate(cols)])
     return _rows_from_wide(wide, cols, ["unique_count"])
@@ -85,6 +87,7 @@ def inspect(df: DataFrame, describe_numeric: bool = True, nulls: bool = True,
             uniques: bool = True, approx: bool = False) -> DataFrame:
     """AGG-4: dtype + row count + chosen AGG-1..3 statistics, one fused ``agg``."""
     cols = list(df.columns)
+    df = normalise_nan(df)
     nums = set(numeric_columns(df))
     dtypes = dict(df.dtypes)
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -153,6 +156,7 @@ def group_stats(df: DataFrame, by, column: str) -> DataFrame:
     """AGG-6: mean/min/max of ``column`` per group, and the number of groups."""
     keys = [by] if isinstance(by, str) else list(by)
     require_columns(df, keys + [column])
+    df = normalise_nan(df)
     c = qcol(column)
     g = df.groupBy(*[qcol(k) for k in keys]).agg(F.avg(c).alias("mean"), F.min(c).alias("min"),
                                                  F.max(c).alias("max"), F.count(c).alias("count"))
@@ -173,6 +177,7 @@ def mode_value(df: DataFrame, column: str):
     maximum count and the lowest value holding it are then two partial
     aggregates, so no task ever holds all distinct values.
     """
+    df = normalise_nan(df.select(qcol(column)))
     c = qcol(column)
     counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).count()
     top = counts.agg(F.max("count").alias("m")).first()["m"]
@@ -189,6 +194,7 @@ def modes(df: DataFrame, columns=None) -> DataFrame:
     Numeric columns are compared numerically via a sortable key.
     """
     cols = list(columns) if columns else list(df.columns)
+    df = normalise_nan(df.select(*[qcol(c) for c in cols]))
     nums = set(numeric_columns(df))
     parts = []
     for n in cols:

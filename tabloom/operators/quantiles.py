@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import qcol
+from tabloom.functions.expressions import null_safe_join, qcol
 
 GLOBAL_LIMIT = 5_000_000
 ROWS_PER_BUCKET = 2_000_000
@@ -45,7 +45,7 @@ def distributed_quantiles(df: DataFrame, columns, probs) -> dict:
     ok = [F.when(~F.isnan(v), v) for v in vals]
     n_rows = df.agg(*[F.count(o).alias(f"n{i}") for i, o in enumerate(ok)]).first()
     ns = [n_rows[f"n{i}"] for i in range(len(cols))]
-    bs = [int(min(10_000, max(16, math.ceil(max(n, 1) / ROWS_PER_BUCKET)))) for n in ns]
+    bs = [max(16, math.ceil(max(n, 1) / ROWS_PER_BUCKET)) for n in ns]
     cut_row = df.agg(*[F.percentile_approx(o, [j / b for j in range(1, b)], 10 * b).alias(f"q{i}")
                        for i, (o, b) in enumerate(zip(ok, bs))]).first()
     splits = [[-math.inf] + sorted(set(float(x) for x in (cut_row[f"q{i}"] or []))) + [math.inf]
@@ -152,50 +152,50 @@ def group_quantiles(df: DataFrame, by, column: str, probs, names, mode: str = "a
     limit = GROUP_LIMIT if group_limit is None else group_limit
     k = [qcol(x) for x in keys]
     v = qcol(column).cast("double")
-    clean = df.select(*k, F.when(~F.isnan(v), v).alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = clean.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    clean = df.select(*k, F.when(~F.isnan(v), v).alias("__tb_v")).filter(F.col("__tb_v").isNotNull())
+    sizes = clean.groupBy(*k).agg(F.count(F.lit(1)).alias("__tb_n"))
     if mode == "auto":
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
+        largest = sizes.agg(F.max("__tb_n")).first()[0] or 0
         mode = "global" if largest <= limit else "distributed"
     if mode == "global":
-        q = clean.groupBy(*k).agg(F.percentile("_v", probs).alias("_q"))
+        q = clean.groupBy(*k).agg(F.percentile("__tb_v", probs).alias("_q"))
         return q.select(*k, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    large = sizes.filter(F.col("_n") > limit)
-    largest = large.agg(F.max("_n")).first()[0] or 0
-    b = int(min(1_000, max(16, math.ceil(largest / ROWS_PER_BUCKET))))
-    cuts = clean.join(F.broadcast(large.select(*keys)), keys) \
-        .groupBy(*k).agg(F.percentile_approx("_v", [j / b for j in range(1, b)], 10 * b).alias("_cuts"))
-    cuts = F.broadcast(cuts)  # one row per large group: at most rows / limit rows
-    tagged = clean.join(cuts, keys, "left") \
-        .withColumn("_b", F.size(F.filter(F.coalesce(F.col("_cuts"), F.array().cast("array<double>")),
-                                          lambda x: x < F.col("_v")))).drop("_cuts")
-    counts = tagged.groupBy(*k, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    totals = counts.groupBy(*k, "_b").agg(F.sum("_c").alias("_t"))
-    w_off = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))) \
-        .join(sizes, keys)
+    large = sizes.filter(F.col("__tb_n") > limit)
+    largest = large.agg(F.max("__tb_n")).first()[0] or 0
+    b = max(16, math.ceil(largest / ROWS_PER_BUCKET))
+    cuts = null_safe_join(clean, large.select(*k), keys, "inner") \
+        .groupBy(*k).agg(F.percentile_approx("__tb_v", [j / b for j in range(1, b)], 10 * b).alias("__tb_cuts"))
+    # one row per large group; the join is left to the measured size
+    tagged = null_safe_join(clean, cuts, keys, "left") \
+        .withColumn("__tb_b", F.size(F.filter(F.coalesce(F.col("__tb_cuts"), F.array().cast("array<double>")),
+                                          lambda x: x < F.col("__tb_v")))).drop("__tb_cuts")
+    counts = tagged.groupBy(*k, "__tb_b", "__tb_v").agg(F.count(F.lit(1)).alias("__tb_c"))
+    totals = counts.groupBy(*k, "__tb_b").agg(F.sum("__tb_c").alias("__tb_t"))
+    w_off = Window.partitionBy(*k).orderBy("__tb_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__tb_off", F.coalesce(F.sum("__tb_t").over(w_off), F.lit(0))) \
+        .transform(lambda d: null_safe_join(d, sizes, keys, "inner"))
     # wanted positions (lo and hi of each prob) that fall inside each bucket
     pos = []
     for j, p in enumerate(probs):
-        x = F.lit(float(p)) * (F.col("_n") - 1)
+        x = F.lit(float(p)) * (F.col("__tb_n") - 1)
         for side, kk in (("lo", F.floor(x)), ("hi", F.ceil(x))):
-            pos.append(F.struct(F.lit(j).alias("_j"), F.lit(side).alias("_side"), kk.cast("long").alias("_k")))
-    targets = offsets.select(*k, "_b", "_off", "_t", F.explode(F.array(*pos)).alias("_p")) \
-        .select(*k, "_b", "_off", "_t", "_p.*") \
-        .filter((F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_t"))) \
-        .withColumn("_lk", F.col("_k") - F.col("_off"))
-    w = Window.partitionBy(*k, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    need = targets.select(*keys, "_b").distinct()
-    located = counts.join(need, keys + ["_b"]).withColumn("_cum", F.sum("_c").over(w)) \
-        .join(targets.select(*keys, "_b", "_j", "_side", "_lk"), keys + ["_b"]) \
-        .filter((F.col("_cum") - F.col("_c") <= F.col("_lk")) & (F.col("_lk") < F.col("_cum")))
+            pos.append(F.struct(F.lit(j).alias("__tb_j"), F.lit(side).alias("__tb_side"), kk.cast("long").alias("__tb_k")))
+    targets = offsets.select(*k, "__tb_b", "__tb_off", "__tb_t", F.explode(F.array(*pos)).alias("__tb_p")) \
+        .select(*k, "__tb_b", "__tb_off", "__tb_t", "__tb_p.*") \
+        .filter((F.col("__tb_k") >= F.col("__tb_off")) & (F.col("__tb_k") < F.col("__tb_off") + F.col("__tb_t"))) \
+        .withColumn("__tb_lk", F.col("__tb_k") - F.col("__tb_off"))
+    w = Window.partitionBy(*k, "__tb_b").orderBy("__tb_v").rowsBetween(Window.unboundedPreceding, 0)
+    need = targets.select(*k, "__tb_b").distinct()
+    located = null_safe_join(counts, need, keys + ["__tb_b"], "inner").withColumn("__tb_cum", F.sum("__tb_c").over(w))
+    located = null_safe_join(located, targets.select(*k, "__tb_b", "__tb_j", "__tb_side", "__tb_lk"), keys + ["__tb_b"], "inner") \
+        .filter((F.col("__tb_cum") - F.col("__tb_c") <= F.col("__tb_lk")) & (F.col("__tb_lk") < F.col("__tb_cum")))
     picked = located.groupBy(*k).agg(*[
-        F.max(F.when((F.col("_j") == j) & (F.col("_side") == s), F.col("_v"))).alias(f"_{s}{j}")
+        F.max(F.when((F.col("__tb_j") == j) & (F.col("__tb_side") == s), F.col("__tb_v"))).alias(f"_{s}{j}")
         for j in range(len(probs)) for s in ("lo", "hi")])
-    res = picked.join(sizes, keys)
+    res = null_safe_join(picked, sizes, keys, "inner")
     out = []
     for j, (p, n) in enumerate(zip(probs, names)):
-        x = F.lit(float(p)) * (F.col("_n") - 1)
+        x = F.lit(float(p)) * (F.col("__tb_n") - 1)
         frac = x - F.floor(x)
         out.append((F.col(f"_lo{j}") + (F.col(f"_hi{j}") - F.col(f"_lo{j}")) * frac).alias(n))
     return res.select(*k, *out)

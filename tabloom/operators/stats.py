@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import cdf
-from tabloom.functions.expressions import (OperatorError, numeric_columns, qcol,
+from tabloom.functions.expressions import (OperatorError, normalise_nan, numeric_columns, present, qcol,
                                            require_columns, string_columns)
 
 
@@ -34,8 +34,9 @@ def chi2_pvalue(x: pd.Series, k: pd.Series) -> pd.Series:
 
 
 def to_number(c: Column) -> Column:
-    """pandas ``to_numeric(errors='coerce')``."""
-    return c.cast("string").try_cast("double")
+    """pandas ``to_numeric(errors='coerce')``; NaN is missing."""
+    v = c.cast("string").try_cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 # --------------------------------------------------------------------------
@@ -62,7 +63,7 @@ def average_rank(df: DataFrame, column: str, name: str = "rank",
     import math
     from pyspark.ml.feature import Bucketizer
     from tabloom.operators.quantiles import ROWS_PER_BUCKET
-    v = qcol(column).cast("double")
+    v = present(df, column).cast("double")
     counts = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     nd = counts.count()
     if nd <= (SMALL_DISTINCT if small_distinct is None else small_distinct):
@@ -72,7 +73,7 @@ def average_rank(df: DataFrame, column: str, name: str = "rank",
             .select("_v", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
         return df.join(F.broadcast(ranks) if nd <= 200_000 else ranks, v == ranks["_v"], "left").drop("_v")
     n = df.filter(v.isNotNull()).count()
-    b = int(min(10_000, max(16, math.ceil(n / ROWS_PER_BUCKET))))
+    b = int(max(16, math.ceil(n / ROWS_PER_BUCKET)))
     cuts = df.agg(F.percentile_approx(v, [i / b for i in range(1, b)], 10 * b).alias("q")).first()["q"] or []
     splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
     tagged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(counts)
@@ -102,9 +103,12 @@ def correlation(df: DataFrame, a: str, b: str, method: str = "pearson",
     elif method != "pearson":
         raise OperatorError(f"unknown correlation method {method!r}")
     res = pair.agg(F.corr("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
-    return res.select(F.lit(method).alias("method"), "r", "n", t.alias("t")) \
-        .withColumn("p_value", t_pvalue(F.col("t"), (F.col("n") - 2).cast("double")))
+    rest = F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, rest))  # NULL for r = 1 and r = -1
+    perfect = (rest < 1e-15) & (F.col("n") > 2)
+    return res.select(F.lit(method).alias("method"), "r", "n", t.alias("t"), perfect.alias("__tb_p")) \
+        .withColumn("p_value", F.when(F.col("__tb_p"), F.lit(0.0))
+                    .when(F.col("t").isNotNull(), t_pvalue(F.col("t"), (F.col("n") - 2).cast("double")))).drop("__tb_p")
 
 
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
@@ -113,6 +117,7 @@ def correlation_matrix(df: DataFrame, columns) -> DataFrame:
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         raise OperatorError("need at least two columns")
+    df = normalise_nan(df)
     wide = df.agg(*[F.corr(qcol(cols[i]).cast("double"), qcol(cols[j]).cast("double")).alias(f"r{i}_{j}")
                     for i, j in pairs])
     rows = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
@@ -126,7 +131,8 @@ def correlation_matrix(df: DataFrame, columns) -> DataFrame:
 
 
 def zscore_bounds(df: DataFrame, column: str, k: float = 3.0):
-    row = df.agg(F.avg(qcol(column)).alias("m"), F.stddev_samp(qcol(column)).alias("s")).first()
+    v = present(df, column)
+    row = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).first()
     if row["m"] is None or row["s"] is None:
         return None, None
     return row["m"] - k * row["s"], row["m"] + k * row["s"]
@@ -134,7 +140,7 @@ def zscore_bounds(df: DataFrame, column: str, k: float = 3.0):
 
 def iqr_bounds(df: DataFrame, column: str, k: float = 1.5, approx: bool = False):
     from tabloom.operators.quantiles import quantiles
-    q1, q3 = quantiles(df, [column], [0.25, 0.75], approx=approx)[column]
+    q1, q3 = quantiles(normalise_nan(df.select(qcol(column))), [column], [0.25, 0.75], approx=approx)[column]
     if q1 is None:
         return None, None
     return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
@@ -150,7 +156,7 @@ def outliers(df: DataFrame, column: str, method: str = "zscore", k: float | None
     require_columns(df, [column])
     if method == "zscore":
         lo, hi = zscore_bounds(df, column, 3.0 if k is None else k)
-        c = qcol(column)
+        c = present(df, column)
         if lo is None:
             return df.limit(0)
         return df.filter((F.abs(c - F.lit((lo + hi) / 2)) > F.lit((hi - lo) / 2)))
@@ -158,7 +164,7 @@ def outliers(df: DataFrame, column: str, method: str = "zscore", k: float | None
         lo, hi = iqr_bounds(df, column, 1.5 if k is None else k, approx)
         if lo is None:
             return df.limit(0)
-        c = qcol(column)
+        c = present(df, column)
         return df.filter((c < F.lit(lo)) | (c > F.lit(hi)))
     raise OperatorError(f"unknown outlier method {method!r}")
 
@@ -166,6 +172,7 @@ def outliers(df: DataFrame, column: str, method: str = "zscore", k: float | None
 def outlier_counts(df: DataFrame, columns=None, k: float = 1.5, approx: bool = False) -> DataFrame:
     """IQR outlier bounds and counts for all columns: two fused aggregates."""
     cols = list(columns) if columns else numeric_columns(df)
+    df = normalise_nan(df.select(*[qcol(c) for c in cols]))
     from tabloom.operators.quantiles import quantiles
     qs = quantiles(df, cols, [0.25, 0.75], approx=approx)
     bounds = {}
@@ -213,6 +220,7 @@ def lag_outliers(lagged: DataFrame, k: float = 3.0) -> DataFrame:
 def t_test_by_label(df: DataFrame, label: Column, features) -> DataFrame:
     """STA-6: pooled two-sample t per feature (label true vs false), one aggregate."""
     feats = list(features)
+    df = normalise_nan(df)
     pos, neg = label, ~label
     aggs = []
     for i, f in enumerate(feats):
@@ -238,6 +246,7 @@ def t_test_by_label(df: DataFrame, label: Column, features) -> DataFrame:
 def f_regression(df: DataFrame, features, target: str) -> DataFrame:
     """STA-7: F = r²/(1-r²)·(n-2) per feature against a numeric target."""
     feats = list(features)
+    df = normalise_nan(df)
     y = qcol(target).cast("double")
     aggs = []
     for i, f in enumerate(feats):
@@ -248,9 +257,13 @@ def f_regression(df: DataFrame, features, target: str) -> DataFrame:
     rows = [F.struct(F.lit(f).alias("feature"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
             for i, f in enumerate(feats)]
     t = wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
-    fstat = F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("n") - 2)
-    return t.select("feature", fstat.alias("score"), "n") \
-        .withColumn("p_value", f_pvalue(F.col("score"), F.lit(1.0), (F.col("n") - 2).cast("double")))
+    r2 = F.col("r") * F.col("r")
+    perfect = r2 >= 1 - 1e-15
+    fstat = F.when(perfect, F.lit(float("inf"))).otherwise(F.try_divide(r2, 1 - r2) * (F.col("n") - 2))
+    return t.select("feature", fstat.alias("score"), "n", perfect.alias("__tb_p")) \
+        .withColumn("p_value", F.when(F.col("__tb_p"), F.lit(0.0))
+                    .when(F.col("score").isNotNull(), f_pvalue(F.col("score"), F.lit(1.0), (F.col("n") - 2).cast("double")))) \
+        .drop("__tb_p")
 
 
 def chi2_scores(df: DataFrame, features, target: str) -> DataFrame:

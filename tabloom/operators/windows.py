@@ -15,18 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import (OperatorError, is_numeric, qcol,
-                                           require_columns)
+from tabloom.functions.expressions import (OperatorError, as_list as _as_list, is_numeric, null_safe_join,
+                                           qcol, require_columns)
+from tabloom.session import cut_lineage
 
 _AGGS = ("mean", "median", "sum", "min", "max", "std", "count", "nunique")
 
 
-def _as_list(x):
-    if x is None:
-        return []
-    return [x] if isinstance(x, str) else list(x)
-
-
 def ordered_window(order_by, partition_by=()) -> Window:
     keys, parts = _as_list(order_by), _as_list(partition_by)
     if not keys:
@@ -78,10 +73,6 @@ def aggregated_feature(df: DataFrame, name: str, by, target: str, agg: str = "me
     return base.join(stats, on=keys, how="left")
 
 
-def group_count(df: DataFrame, by) -> int:
-    return df.select(*[qcol(k) for k in _as_list(by)]).distinct().count()
-
-
 # --------------------------------------------------------------------------
 # Fills along an order (WIN-2..4)
 # --------------------------------------------------------------------------
@@ -161,16 +152,18 @@ def _order_number(df: DataFrame, name: str):
 
 
 def tag_blocks(df: DataFrame, order_column: str, blocks: int) -> DataFrame:
-    """Add ``_blk``: value-range block of ``order_column`` (approximate quantile
-    boundaries computed once, applied with ``Bucketizer``)."""
+    """Add ``__tb_blk``: value-range block of ``order_column`` by approximate
+    quantile boundaries; NULL keys, which sort first, form a block before all."""
     import math
     from pyspark.ml.feature import Bucketizer
     ok = _order_number(df, order_column)
     probs = [i / blocks for i in range(1, blocks)]
     cuts = df.agg(F.percentile_approx(ok, probs, 10 * blocks).alias("q")).first()["q"] or []
-    splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
-    return Bucketizer(splits=splits, inputCol="_ok", outputCol="_blk", handleInvalid="keep") \
-        .transform(df.withColumn("_ok", ok)).drop("_ok")
+    splits = [-math.inf] + sorted(set(float(x) for x in cuts if math.isfinite(x))) + [math.inf]
+    tagged = Bucketizer(splits=splits, inputCol="__tb_ok", outputCol="__tb_blk", handleInvalid="keep") \
+        .transform(df.withColumn("__tb_ok", ok))
+    return tagged.withColumn("__tb_blk", F.when(F.col("__tb_ok").isNull(), F.lit(-1.0)).otherwise(F.col("__tb_blk"))) \
+        .drop("__tb_ok")
 
 
 def series_positions(df: DataFrame, order_by, partition_by=(), rows_per_block: int | None = None,
@@ -190,16 +183,31 @@ def series_positions(df: DataFrame, order_by, partition_by=(), rows_per_block: i
         return df.withColumn(pos, F.row_number().over(w)) \
             .withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*pcols)))
     base = tag_blocks(df, keys[0], max(2, -(-n // limit)))
-    w = Window.partitionBy(*pcols, "_blk").orderBy(*[qcol(k) for k in keys])
-    local = base.withColumn("_lrn", F.row_number().over(w))
-    summ = local.groupBy(*pcols, "_blk").agg(F.count(F.lit(1)).alias("_rows"))
-    ws = Window.partitionBy(*pcols).orderBy("_blk")
-    summ = summ.select(*pcols, "_blk",
-                       F.coalesce(F.sum("_rows").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
-                                  F.lit(0)).alias("_off"),
-                       F.sum("_rows").over(Window.partitionBy(*pcols)).alias(size))
-    return local.join(summ, parts + ["_blk"], "left") \
-        .select(*[qcol(c) for c in df.columns], (F.col("_off") + F.col("_lrn")).alias(pos), qcol(size))
+    w = Window.partitionBy(*pcols, "__tb_blk").orderBy(*[qcol(k) for k in keys])
+    local = base.withColumn("__tb_lrn", F.row_number().over(w))
+    summ = local.groupBy(*pcols, "__tb_blk").agg(F.count(F.lit(1)).alias("__tb_rows"))
+    ws = Window.partitionBy(*pcols).orderBy("__tb_blk")
+    summ = summ.select(*pcols, "__tb_blk",
+                       F.coalesce(F.sum("__tb_rows").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
+                                  F.lit(0)).alias("__tb_off"),
+                       F.sum("__tb_rows").over(Window.partitionBy(*pcols)).alias(size))
+    return null_safe_join(local, summ, parts + ["__tb_blk"], "left") \
+        .select(*[qcol(c) for c in df.columns], (F.col("__tb_off") + F.col("__tb_lrn")).alias(pos), qcol(size))
+
+
+def numbered(df: DataFrame, order, name: str) -> DataFrame:
+    """Number all rows from 0 in an order, without a one-task window: a range sort,
+    and the row counts of its partitions (one number each) as offsets."""
+    sorted_rows = cut_lineage(df.orderBy(*order).withColumn("__tb_m", F.monotonically_increasing_id()))
+    part = F.shiftright("__tb_m", 33)
+    total, offsets = 0, []
+    for p, n in sorted((r[0], r[1]) for r in sorted_rows.groupBy(part.alias("p")).count().collect()):
+        offsets.append((p, total))
+        total += n
+    at = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__tb_p long, __tb_o long")
+    return sorted_rows.join(F.broadcast(at), part == F.col("__tb_p")) \
+        .withColumn(name, F.col("__tb_o") + F.col("__tb_m").bitwiseAND(F.lit(2 ** 33 - 1))) \
+        .drop("__tb_m", "__tb_p", "__tb_o")
 
 
 def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blocks: int) -> DataFrame:
@@ -218,45 +226,45 @@ def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blo
     parts = _as_list(partition_by)
     base = tag_blocks(df, keys[0], blocks)
     pcols = [qcol(p) for p in parts]
-    w = Window.partitionBy(*pcols, "_blk").orderBy(*[qcol(k) for k in keys])
+    w = Window.partitionBy(*pcols, "__tb_blk").orderBy(*[qcol(k) for k in keys])
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(0, Window.unboundedFollowing)
-    local = base.withColumn("_lrn", F.row_number().over(w))
+    local = base.withColumn("__tb_lrn", F.row_number().over(w))
     for i, c in enumerate(cols):
         v = qcol(c)
-        pos = F.when(v.isNotNull(), F.col("_lrn"))
-        local = local.withColumn(f"_pv{i}", F.last(v, True).over(before)) \
-            .withColumn(f"_pp{i}", F.last(pos, True).over(before)) \
-            .withColumn(f"_nv{i}", F.first(v, True).over(after)) \
-            .withColumn(f"_np{i}", F.first(pos, True).over(after))
+        pos = F.when(v.isNotNull(), F.col("__tb_lrn"))
+        local = local.withColumn(f"__tb_pv{i}", F.last(v, True).over(before)) \
+            .withColumn(f"__tb_pp{i}", F.last(pos, True).over(before)) \
+            .withColumn(f"__tb_nv{i}", F.first(v, True).over(after)) \
+            .withColumn(f"__tb_np{i}", F.first(pos, True).over(after))
     # per (series, block) summary: rows, last / first non-null value and local position
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = [F.count(F.lit(1)).alias("__tb_rows")]
     for i, c in enumerate(cols):
         v = qcol(c)
-        aggs += [F.max_by(v, F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_bl{i}"),
-                 F.max(F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_blp{i}"),
-                 F.min_by(v, F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_bf{i}"),
-                 F.min(F.when(v.isNotNull(), F.col("_lrn"))).alias(f"_bfp{i}")]
-    summ = local.groupBy(*pcols, "_blk").agg(*aggs)
-    ws = Window.partitionBy(*pcols).orderBy("_blk")
+        aggs += [F.max_by(v, F.when(v.isNotNull(), F.col("__tb_lrn"))).alias(f"__tb_bl{i}"),
+                 F.max(F.when(v.isNotNull(), F.col("__tb_lrn"))).alias(f"__tb_blp{i}"),
+                 F.min_by(v, F.when(v.isNotNull(), F.col("__tb_lrn"))).alias(f"__tb_bf{i}"),
+                 F.min(F.when(v.isNotNull(), F.col("__tb_lrn"))).alias(f"__tb_bfp{i}")]
+    summ = local.groupBy(*pcols, "__tb_blk").agg(*aggs)
+    ws = Window.partitionBy(*pcols).orderBy("__tb_blk")
     prev = ws.rowsBetween(Window.unboundedPreceding, -1)
     nxt = ws.rowsBetween(1, Window.unboundedFollowing)
-    off = F.coalesce(F.sum("_rows").over(prev), F.lit(0))
-    summ = summ.withColumn("_off", off)
+    off = F.coalesce(F.sum("__tb_rows").over(prev), F.lit(0))
+    summ = summ.withColumn("__tb_off", off)
     carry = summ
     for i in range(len(cols)):
-        gl = F.when(F.col(f"_blp{i}").isNotNull(), F.col("_off") + F.col(f"_blp{i}"))
-        gf = F.when(F.col(f"_bfp{i}").isNotNull(), F.col("_off") + F.col(f"_bfp{i}"))
-        carry = carry.withColumn(f"_glp{i}", gl).withColumn(f"_gfp{i}", gf)
-    sel = [*[qcol(p) for p in parts], "_blk", "_off"]
+        gl = F.when(F.col(f"__tb_blp{i}").isNotNull(), F.col("__tb_off") + F.col(f"__tb_blp{i}"))
+        gf = F.when(F.col(f"__tb_bfp{i}").isNotNull(), F.col("__tb_off") + F.col(f"__tb_bfp{i}"))
+        carry = carry.withColumn(f"__tb_glp{i}", gl).withColumn(f"__tb_gfp{i}", gf)
+    sel = [*[qcol(p) for p in parts], "__tb_blk", "__tb_off"]
     for i in range(len(cols)):
-        sel += [F.last(f"_bl{i}", True).over(prev).alias(f"_cv{i}"),
-                F.last(f"_glp{i}", True).over(prev).alias(f"_cp{i}"),
-                F.first(f"_bf{i}", True).over(nxt).alias(f"_dv{i}"),
-                F.first(f"_gfp{i}", True).over(nxt).alias(f"_dp{i}")]
+        sel += [F.last(f"__tb_bl{i}", True).over(prev).alias(f"__tb_cv{i}"),
+                F.last(f"__tb_glp{i}", True).over(prev).alias(f"__tb_cp{i}"),
+                F.first(f"__tb_bf{i}", True).over(nxt).alias(f"__tb_dv{i}"),
+                F.first(f"__tb_gfp{i}", True).over(nxt).alias(f"__tb_dp{i}")]
     carry = carry.select(*sel)
-    joined = local.join(carry, parts + ["_blk"], "left")
-    grn = F.col("_off") + F.col("_lrn")
+    joined = null_safe_join(local, carry, parts + ["__tb_blk"], "left")
+    grn = F.col("__tb_off") + F.col("__tb_lrn")
     out = []
     for name in df.columns:
         if name not in cols:
@@ -264,15 +272,15 @@ def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blo
             continue
         i = cols.index(name)
         v = qcol(name)
-        pv = F.coalesce(F.col(f"_pv{i}"), F.col(f"_cv{i}"))
-        nv = F.coalesce(F.col(f"_nv{i}"), F.col(f"_dv{i}"))
+        pv = F.coalesce(F.col(f"__tb_pv{i}"), F.col(f"__tb_cv{i}"))
+        nv = F.coalesce(F.col(f"__tb_nv{i}"), F.col(f"__tb_dv{i}"))
         if method == "fill_forward":
             out.append(F.coalesce(v, pv).alias(name))
         elif method == "fill_backward":
             out.append(F.coalesce(v, nv).alias(name))
         else:
-            pp = F.coalesce(F.col("_off") + F.col(f"_pp{i}"), F.col(f"_cp{i}"))
-            np_ = F.coalesce(F.col("_off") + F.col(f"_np{i}"), F.col(f"_dp{i}"))
+            pp = F.coalesce(F.col("__tb_off") + F.col(f"__tb_pp{i}"), F.col(f"__tb_cp{i}"))
+            np_ = F.coalesce(F.col("__tb_off") + F.col(f"__tb_np{i}"), F.col(f"__tb_dp{i}"))
             lin = pv + (nv - pv) * (grn - pp) / (np_ - pp)
             out.append(F.coalesce(v.cast("double"), lin, pv.cast("double")).alias(name))
     return joined.select(*out)
@@ -283,22 +291,6 @@ def segmented_fill(df: DataFrame, cols, method: str, order_by, partition_by, blo
 # --------------------------------------------------------------------------
 
 
-def sma_expr(c: Column, w: Window, size: int, offset: int = 0) -> Column:
-    """Mean of ``size`` rows ending ``offset`` rows back; NULL unless all present."""
-    f = w.rowsBetween(-(size - 1) - offset, -offset)
-    return F.when(F.count(c).over(f) == size, F.avg(c).over(f))
-
-
-def wma_expr(c: Column, w: Window, weights, offset: int = 0) -> Column:
-    """Σ wᵢ·value, weights ordered oldest → newest, ending ``offset`` rows back."""
-    k = len(weights)
-    terms = [F.lit(float(wt)) * F.lag(c, k - 1 - i + offset).over(w) for i, wt in enumerate(weights)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
-
-
 def lagged_values(df: DataFrame, value: str, lags, order_by, partition_by=(),
                   rows_per_block: int | None = None, prefix: str = "_lag",
                   n_rows: int | None = None) -> DataFrame:
@@ -317,16 +309,16 @@ def lagged_values(df: DataFrame, value: str, lags, order_by, partition_by=(),
     if _order_number(df, keys[0]) is None or (df.count() if n_rows is None else n_rows) <= limit:
         w = ordered_window(order_by, partition_by)
         return df.select("*", *[(c if i == 0 else F.lag(c, i).over(w)).alias(f"{prefix}{i}") for i in lags])
-    pos = series_positions(df, keys, parts, rows_per_block, n_rows=n_rows).drop("_size")
-    sent = pos.select(*[qcol(p).alias(f"_s{j}") for j, p in enumerate(parts)],
-                      F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("_pos") + i).alias("t"))
-                                          for i in lags])).alias("_e"), c.alias("_val")) \
-        .select("*", "_e.i", "_e.t").drop("_e")
-    got = sent.groupBy(*[f"_s{j}" for j in range(len(parts))], "t").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("_val"))).alias(f"{prefix}{i}") for i in lags])
-    cond = [qcol(p).eqNullSafe(F.col(f"_s{j}")) for j, p in enumerate(parts)] + [F.col("_pos") == F.col("t")]
+    pos = series_positions(df, keys, parts, rows_per_block, pos="__tb_pos", size="__tb_size", n_rows=n_rows).drop("__tb_size")
+    series = [f"__tb_s{j}" for j in range(len(parts))]
+    sent = pos.select(*[qcol(p).alias(s) for p, s in zip(parts, series)], c.alias("__tb_val"),
+                      F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("__tb_pos") + i).alias("t"))
+                                          for i in lags])).alias("__tb_e"))
+    got = sent.groupBy(*series, F.col("__tb_e.t").alias("__tb_t")).agg(
+        *[F.max(F.when(F.col("__tb_e.i") == i, F.col("__tb_val"))).alias(f"__tb_lag{i}") for i in lags])
+    cond = [qcol(p).eqNullSafe(F.col(s)) for p, s in zip(parts, series)] + [F.col("__tb_pos") == F.col("__tb_t")]
     return pos.join(got, reduce(lambda a, b: a & b, cond), "left") \
-        .select(*[qcol(x) for x in df.columns], *[F.col(f"{prefix}{i}") for i in lags])
+        .select(*[qcol(x) for x in df.columns], *[F.col(f"__tb_lag{i}").alias(f"{prefix}{i}") for i in lags])
 
 
 def sma(df: DataFrame, value: str, window: int, order_by, partition_by=(),
@@ -351,19 +343,9 @@ def wma(df: DataFrame, value: str, weights, order_by, partition_by=(),
 
 def lag_features(df: DataFrame, value: str, n: int, order_by, partition_by=(),
                  prefix: str = "lag_", rows_per_block: int | None = None) -> DataFrame:
-    """WIN-7: columns ``lag_1..lag_n``; rows without a full history are dropped."""
-    lagged = lagged_values(df, value, range(1, n + 1), order_by, partition_by, rows_per_block)
-    lagged = lagged.withColumnsRenamed({f"_lag{i}": f"{prefix}{i}" for i in range(1, n + 1)})
-    return lagged.filter(F.col(f"{prefix}{n}").isNotNull())
-
-
-def average_rank(c: Column, partition_by=()) -> Column:
-    """WIN-8: average rank of ties (1-based), as pandas ``rank()``.
-
-    Used inside Spearman; ranks a whole column, so it is an ordered window
-    (use on per-group data or bounded tables).
-    """
-    parts = [qcol(p) for p in _as_list(partition_by)]
-    w = Window.partitionBy(*parts).orderBy(c)
-    ties = Window.partitionBy(*parts, c)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+    """WIN-7: columns ``lag_1..lag_n``; rows with a missing value in any of them
+    are dropped, as ``dropna`` does over the lag columns."""
+    lagged = lagged_values(df, value, range(1, n + 1), order_by, partition_by, rows_per_block, prefix="__tb_out")
+    lagged = lagged.withColumnsRenamed({f"__tb_out{i}": f"{prefix}{i}" for i in range(1, n + 1)})
+    full = reduce(lambda a, b: a & b, [F.col(f"{prefix}{i}").isNotNull() for i in range(1, n + 1)])
+    return lagged.filter(full)

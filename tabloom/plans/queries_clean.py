@@ -227,7 +227,8 @@ def win6(spark, d):
 
 @register("win7_lag_features", f"""SELECT * FROM (SELECT p_type, month, demand, lag(demand, 1) OVER w AS lag_1,
   lag(demand, 2) OVER w AS lag_2, lag(demand, 3) OVER w AS lag_3 FROM {DEM}
-  WINDOW w AS (PARTITION BY p_type ORDER BY month)) WHERE lag_3 IS NOT NULL""")
+  WINDOW w AS (PARTITION BY p_type ORDER BY month))
+  WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL""")
 def win7(spark, d):
     return win.lag_features(fx.demand_monthly(spark, d), "demand", 3, "month", "p_type")
 
@@ -274,7 +275,8 @@ def win5b(spark, d):
 
 
 @register("win7_lag_features_blocks", f"""SELECT * FROM (SELECT event_id, lag(value, 1) OVER w AS lag_1,
-  lag(value, 2) OVER w AS lag_2 FROM {EG} WINDOW w AS ({W_USER})) WHERE lag_2 IS NOT NULL""")
+  lag(value, 2) OVER w AS lag_2 FROM {EG} WINDOW w AS ({W_USER}))
+  WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL""")
 def win7b(spark, d):
     out = win.lag_features(fx.events_gaps(spark, d), "value", 2, ["ts", "event_id"], "user_id", rows_per_block=997)
     return out.select("event_id", "lag_1", "lag_2")

@@ -116,9 +116,34 @@ def fct3(spark, d):
     return round_all(sm.ses_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], select_on="test"))
 
 
+def _no_lists(df):
+    """The scalar columns of a search result."""
+    return df.drop("actual", "predicted", "future")
+
+
 @register("fct4_5_double_triple_smoothing")
 def fct45(spark, d):
-    return round_all(sm.smoothing_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"]))
+    return round_all(_no_lists(sm.smoothing_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"])))
+
+
+@register("fct4_double_smoothing", DEMAND + """,
+s AS (SELECT p_type, list(demand::DOUBLE ORDER BY month) AS y, count(*) AS n,
+  CAST(floor(count(*) * (1 - 0.2)) AS BIGINT) AS k FROM d GROUP BY p_type),
+g AS (SELECT round(0.1 * i, 1) AS v FROM (SELECT unnest(range(1, 10)) AS i)),
+f AS (SELECT p_type, y, n, k, a.v AS alpha, b.v AS beta, list_reduce(list_slice(y, 2, k),
+    lambda acc, x: {'l': a.v * x + (1 - a.v) * (acc.l + acc.b),
+      'b': b.v * ((a.v * x + (1 - a.v) * (acc.l + acc.b)) - acc.l) + (1 - b.v) * acc.b},
+    {'l': y[1], 'b': y[2] - y[1]}) AS st
+  FROM s, g a, g b WHERE k >= 2 AND n > k),
+e AS (SELECT p_type, alpha, beta, n - k AS n_test, y[k + h] AS a, st.l + st.b * h AS p
+  FROM (SELECT *, unnest(range(1, n - k + 1)) AS h FROM f)),
+m AS (SELECT p_type, alpha, beta, n_test, avg(CASE WHEN a <> 0 THEN abs((p - a) / a) END) AS mape,
+  avg(abs(p - a)) AS mae, sqrt(avg((p - a) * (p - a))) AS rmse FROM e GROUP BY ALL)
+SELECT p_type, alpha, beta, n_test, round(mape, 6) AS mape, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY round(mape, 10), alpha, beta) AS rk FROM m) WHERE rk = 1""")
+def fct4(spark, d):
+    out = sm.smoothing_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], methods=("double",))
+    return round_all(out.filter("warning IS NULL").select("p_type", "alpha", "beta", "n_test", "mape", "mae", "rmse"))
 
 
 @register("fct6_best_smoothing")
@@ -129,6 +154,15 @@ def fct6(spark, d):
     return round_all(sm.best_smoothing(ses, rest, ["p_type"]))
 
 
+@register("fct6_forecast_rows")
+def fct6r(spark, d):
+    """Actual, predicted and three future values of single, double and triple smoothing."""
+    dem = fx.demand_monthly(spark, d)
+    ses = sm.ses_search(dem, "demand", "month", ["p_type"], select_on="test")
+    rest = sm.smoothing_search(dem, "demand", "month", ["p_type"], extra_periods=3)
+    return round_all(sm.smoothing_forecasts(ses, rest, ["p_type"], 3))
+
+
 # ---------------------------------------------------------------- FCT-7..10
 def _croston_sql(method, alpha, beta):
     if method == "tsb":
@@ -175,9 +209,37 @@ register("fct8_sba", _croston_sql("sba", 0.3, 0.2))(_croston_q("sba", 0.3, 0.2))
 register("fct9_tsb", _croston_sql("tsb", 0.3, 0.2))(_croston_q("tsb", 0.3, 0.2))
 
 
-@register("fct10_croston_search")
+def _search_sql():
+    """Every candidate of the three methods folded over the series, best by MAPE."""
+    grid = "(SELECT round(0.1 * i, 1) AS v FROM (SELECT unnest(range(1, 10)) AS i))"
+    parts = []
+    for i, method in enumerate(("croston", "sba", "tsb")):
+        one = _croston_sql(method, "a.v", "b.v")
+        head, rest = one.split("\nr AS (", 1)
+        fold = rest.split(") SELECT")[0] if ") SELECT" in rest else rest.split(")\nSELECT")[0]
+        cands = f"{grid} a, {grid} b" if method == "tsb" else f"{grid} a"
+        fold = fold.replace("SELECT l_partkey, zero_pct,", "SELECT l_partkey, zero_pct, a.v AS alpha, "
+                            + ("b.v AS beta," if method == "tsb" else "NULL::DOUBLE AS beta,"), 1)
+        fold = fold.rsplit(" FROM i", 1)[0] + f" FROM i, {cands}"
+        parts.append(f"""SELECT {i} AS o, '{method}' AS method, l_partkey, zero_pct, alpha, beta, st.se / st.nz AS mape,
+  st.f AS forecast FROM ({fold}) WHERE st.nz > 0""")
+    return head.rstrip().rstrip(",") + f""",
+c AS ({" UNION ALL ".join(parts)}),
+m AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, o ORDER BY round(mape, 10), alpha, beta) AS rk FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY round(mape, 10), o) = 1 AS is_best FROM m WHERE rk = 1)
+SELECT l_partkey, method, round(mape, 6) AS mape, round(zero_pct, 6) AS zero_pct, is_best FROM b"""
+
+
+@register("fct10_croston_search", _search_sql())
 def fct10(spark, d):
-    return round_all(im.croston_search(fx.demand_intermittent(spark, d), "demand", "month", ["l_partkey"]))
+    out = im.croston_search(fx.demand_intermittent(spark, d), "demand", "month", ["l_partkey"])
+    return round_all(out.filter("mape IS NOT NULL").select("l_partkey", "method", "mape", "zero_pct", "is_best"))
+
+
+@register("fct10_croston_forecasts")
+def fct10f(spark, d):
+    """All series, the all-zero ones with their warning, and three future periods."""
+    return im.croston_search(fx.demand_intermittent(spark, d), "demand", "month", ["l_partkey"], extra_periods=3)
 
 
 # ---------------------------------------------------------------- FCT-11
@@ -237,7 +299,7 @@ def fct14(spark, d):
 
 @register("fct15_lag_network")
 def fct15(spark, d):
-    return round_all(nn.lag_network(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], epochs=50))
+    return round_all(_no_lists(nn.lag_network(fx.demand_monthly(spark, d), "demand", "month", ["p_type"])))
 
 
 # ---------------------------------------------------------------- FCT-16..18

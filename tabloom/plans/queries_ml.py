@@ -173,14 +173,13 @@ def ml15h(spark, d):
     return t.select("event_id", ens.hard_vote(["_m0", "_m1", "_m2"], [1.0, 2.0, 1.5], 2).alias("prediction"))
 
 
-@register("ml15_soft_voting", """SELECT event_id, round(p1, 6) AS p1,
+@register("ml15_soft_voting", """SELECT event_id, round(p1, 10) AS p1,
   CASE WHEN p1 > 1 - p1 THEN 1.0 ELSE 0.0 END AS prediction FROM (
   SELECT event_id, (least(value / 100, 1.0) * 1.0 + least(value / 80, 1.0) * 3.0) / 4.0 AS p1 FROM events)""")
 def ml15s(spark, d):
     t = vote_table(spark, d)
     prob = ens.soft_vote(["_m0_prob", "_m1_prob"], [1.0, 3.0])
-    return t.select("event_id", F.round(prob[1], 6).alias("p1"),
-                    ens.argmax(F.transform(prob, lambda x: F.round(x, 12))).alias("prediction"))
+    return t.select("event_id", F.round(prob[1], 10).alias("p1"), ens.argmax(prob).alias("prediction"))
 
 
 @register("ml15_regression_voting", """SELECT l_orderkey, l_linenumber,

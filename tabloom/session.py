@@ -36,11 +36,14 @@ def get_spark(master: str | None = None, app: str = "tabloom",
     here only matter for local runs and tests.
     """
     builder = SparkSession.builder.appName(app)
+    settings = dict(_DEFAULTS)
     if master:  # otherwise spark-submit's master (or pyspark's local default) applies
         builder = builder.master(master)
-    settings = dict(_DEFAULTS)
-    settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    settings.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", _default_memory()))
+        if master.startswith("local["):
+            settings["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", _default_memory())
+            settings["spark.sql.shuffle.partitions"] = "8"
+    if shuffle_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
     for k, v in settings.items():
         builder = builder.config(k, v)
@@ -52,13 +55,17 @@ def get_spark(master: str | None = None, app: str = "tabloom",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster configuration names a shared folder; only when it is unset (a
-    local test run) do we create one of our own.
+    The cluster configuration names a shared folder. A local session without
+    one gets a folder of its own; on a cluster a missing setting is an error,
+    because executors do not share the driver's folders.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tabloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

@@ -126,7 +126,7 @@ def test_croston_search_agrees_with_fold(spark):
     fold = intermittent.croston(dem, "demand", "month", ["l_partkey"], "sba", alpha=0.3).toPandas()
     D = dem.toPandas().sort_values(["l_partkey", "month"])
     for key, g in list(D.groupby("l_partkey"))[:20]:
-        mape, fc = intermittent.croston_batch(g["demand"].to_numpy()[None, :], "sba", np.array([0.3]),
+        mape, fc, _ = intermittent.croston_batch(g["demand"].to_numpy()[None, :], "sba", np.array([0.3]),
                                               np.array([np.nan]))
         row = fold[fold.l_partkey == key].iloc[0]
         if not np.isnan(mape[0, 0]):
@@ -272,7 +272,8 @@ def test_forecasters_survive_short_and_flat_series(spark):
     sm = smoothing.smoothing_search(df, "v", "t", ["s"]).toPandas()
     assert "ok" in set(sm["s"])
     cs = intermittent.croston_search(df, "v", "t", ["s"]).toPandas()
-    assert "flat" not in set(cs["s"])          # no demand at all: no Croston fit
+    flat = cs[cs["s"] == "flat"]                # no demand at all: kept, unscored, with a warning
+    assert len(flat) and flat["mape"].isna().all() and (flat["warning"] == intermittent.ALL_ZERO).all()
     nn = network.lag_network(df, "v", "t", ["s"], input_sizes=[2], hidden_sizes=[2], epochs=5).toPandas()
     assert "ok" in set(nn["s"])
 
