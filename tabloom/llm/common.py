@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,3 +81,9 @@ def release_shuffles(spark: SparkSession) -> None:
     import gc
     gc.collect()
     spark._jvm.System.gc()
+
+
+def worker_state() -> dict:
+    """What a Python worker keeps over its tasks. Functions travel by value, so
+    their own globals are built anew for every task."""
+    return sys.modules.setdefault("_tabloom_worker_state", types.ModuleType("_tabloom_worker_state")).__dict__

@@ -49,9 +49,9 @@ from tabloom.llm.token_orc import text_slices
 WIDTH = 50
 GRAM = 20
 LEFT = WIDTH - GRAM
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 HOT_GROUP = 50_000
-PIECE = 4 << 20
+PIECE = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 

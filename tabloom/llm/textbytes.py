@@ -6,26 +6,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tabloom.llm.common import worker_state
 from tabloom.llm.token_orc import text_slices
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _MIX = _rng.integers(1, 2 ** 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_tables: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2^64."""
-    if len(_tables.get("p", ())) < n:
+    tables = worker_state().get("powers")
+    if tables is None or len(tables[0]) < n:
         size = max(n, SLICE_BYTES + 1)
         inverse = np.uint64(pow(int(_BASE), -1, 2 ** 64))
-        _tables["p"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, _BASE)])
-        _tables["i"] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, inverse)])
-    return _tables["p"][:n], _tables["i"][:n]
+        tables = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, x)]) for x in (_BASE, inverse)]
+        if size <= 4 * SLICE_BYTES:  # a very long text has tables of its own
+            worker_state()["powers"] = tables
+    return tables[0][:n], tables[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

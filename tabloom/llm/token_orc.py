@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import register, scratch_path, table
+from tabloom.llm.common import register, scratch_path, table, worker_state
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -116,9 +116,8 @@ class WordEncoder:
 
 def worker_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker, kept over its tasks."""
-    import tokenizers
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    kept = tokenizers.__dict__.setdefault("_word_encoders", {})
+    kept = worker_state().setdefault("encoders", {})
     if path not in kept:
         kept[path] = WordEncoder(path)
     return kept[path]
