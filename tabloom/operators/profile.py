@@ -78,14 +78,30 @@ def unique_counts(df: DataFrame, columns=None, approx: bool = False) -> DataFram
     """AGG-3: distinct non-null values per column (``approx`` = HyperLogLog++)."""
     cols = list(columns) if columns else list(df.columns)
     df = normalise_nan(df.select(*[qcol(c) for c in cols]))
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(*[fn(qcol(n)).alias(f"{i}__unique_count") for i, n in enumerate(cols)])
+    if not approx:
+        return distinct_table(df, cols)
+    wide = df.agg(*[F.approx_count_distinct(qcol(n)).alias(f"{i}__unique_count") for i, n in enumerate(cols)])
     return _rows_from_wide(wide, cols, ["unique_count"])
 
 
+def distinct_table(df: DataFrame, cols) -> DataFrame:
+    """(column, unique_count) by two aggregates over one stacked table of (column
+    number, value hash): no row is expanded once per column, and 20 bytes a cell
+    are shuffled after the map-side aggregate. Values meet by a 128-bit hash."""
+    cells = [F.struct(F.lit(i).alias("i"), F.when(qcol(c).isNotNull(), F.xxhash64(F.lit(1), qcol(c))).alias("h"),
+                      F.xxhash64(F.lit(2), qcol(c)).alias("g")) for i, c in enumerate(cols)]
+    values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("h IS NOT NULL").distinct()
+    names = F.array(*[F.lit(c) for c in cols])
+    counted = values.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("i"))
+    return every.join(F.broadcast(counted), "i", "left") \
+        .select(F.element_at(names, F.col("i") + 1).alias("column"), F.coalesce("n", F.lit(0)).alias("unique_count"))
+
+
 def inspect(df: DataFrame, describe_numeric: bool = True, nulls: bool = True,
             uniques: bool = True, approx: bool = False) -> DataFrame:
-    """AGG-4: dtype + row count + chosen AGG-1..3 statistics, one fused ``agg``."""
+    """AGG-4: dtype + row count + chosen AGG-1..3 statistics: one fused ``agg``, and
+    one stacked value table for exact distinct counts."""
     cols = list(df.columns)
     df = normalise_nan(df)
     nums = set(numeric_columns(df))
@@ -96,23 +112,22 @@ def inspect(df: DataFrame, describe_numeric: bool = True, nulls: bool = True,
         c = qcol(n)
         if nulls:
             aggs.append(F.count_if(is_missing(df, n)).alias(f"{i}__null_count"))
-        if uniques:
-            fn = F.approx_count_distinct if approx else F.count_distinct
-            aggs.append(fn(c).alias(f"{i}__unique_count"))
+        if uniques and approx:
+            aggs.append(F.approx_count_distinct(c).alias(f"{i}__unique_count"))
         if describe_numeric:
             d = c.cast("double") if n in nums else F.lit(None).cast("double")
             aggs += [F.avg(d).alias(f"{i}__mean"), F.stddev_samp(d).alias(f"{i}__std"),
                      F.min(d).alias(f"{i}__min"), F.max(d).alias(f"{i}__max")]
     if nulls:
         fields.append("null_count")
-    if uniques:
+    if uniques and approx:
         fields.append("unique_count")
     if describe_numeric:
         fields += ["mean", "std", "min", "max"]
-    wide = df.agg(*aggs)
-    for i in range(len(cols)):
-        wide = wide.withColumn(f"{i}__rows", F.col("_rows"))
+    wide = df.agg(*aggs).select("*", *[F.col("_rows").alias(f"{i}__rows") for i in range(len(cols))])
     out = _rows_from_wide(wide, cols, fields)
+    if uniques and not approx:
+        out = out.join(F.broadcast(distinct_table(df, cols)), "column")  # one row per column
     types = F.create_map(*[x for n in cols for x in (F.lit(n), F.lit(dtypes[n]))])
     return out.withColumn("dtype", types[F.col("column")])
 

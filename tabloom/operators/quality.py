@@ -10,11 +10,13 @@ counters and bounds (a few numbers per column) pass through the driver.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import is_missing, numeric_columns, qcol, string_columns
+from tabloom.operators.profile import unique_counts
+from tabloom.functions.expressions import is_missing, normalise_nan, numeric_columns, qcol, string_columns
 
 # Value patterns recognised by the profile (anchored regexes).
 PATTERNS = {
@@ -53,56 +55,70 @@ def _severity(rate):
     return F.when(rate > 0.5, "high").when(rate > 0.1, "medium").otherwise("low")
 
 
+@dataclass
+class Counters:
+    """What one scan of the table tells: rows, missing cells, texts and numbers in texts."""
+    rows: int
+    missing: dict
+    texts: dict
+    numeric_texts: dict
+
+
+def counters(df: DataFrame) -> Counters:
+    """All per-column counters of issues, score and report in one aggregate."""
+    cols, strs = list(df.columns), string_columns(df)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
+    aggs += [F.count(qcol(c)).alias(f"t{i}") for i, c in enumerate(strs)]
+    aggs += [F.count_if(qcol(c).rlike(PATTERNS["numeric"])).alias(f"k{i}") for i, c in enumerate(strs)]
+    row = df.agg(*aggs).first()
+    return Counters(row["rows"], {c: row[f"m{i}"] for i, c in enumerate(cols)},
+                    {c: row[f"t{i}"] for i, c in enumerate(strs)}, {c: row[f"k{i}"] for i, c in enumerate(strs)})
+
+
 def quality_issues(df: DataFrame, approx: bool = False) -> DataFrame:
     """DQ-1: union of name, missing, duplicate, type and outlier issues."""
-    spark = df.sparkSession
-    cols = list(df.columns)
-    nums = numeric_columns(df)
-    strs = string_columns(df)
-    numeric_re = PATTERNS["numeric"]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.count(qcol(c)).alias(f"nn{i}") for i, c in enumerate(strs)]
-    aggs += [F.count_if(qcol(c).rlike(numeric_re)).alias(f"num{i}") for i, c in enumerate(strs)]
-    wide = df.agg(*aggs)
-    row = wide.first()  # one row of counters
+    found = counters(df)
+    return df.sparkSession.createDataFrame(_issues(df, found, duplicate_rows(df), approx), _ISSUE_SCHEMA)
+
+
+def _issues(df: DataFrame, found: Counters, duplicates: int, approx: bool) -> list[tuple]:
+    """Issue rows from the counters, the duplicates and one pass each for the
+    quartiles and the values beyond them."""
     from tabloom.operators.quantiles import quantiles
-    rows = row["_rows"]
-    quart = quantiles(df, nums, [0.25, 0.75], approx=approx, n_rows=rows) if nums else {}
-    issues = name_issues(cols)
-    for i, c in enumerate(cols):
-        m = row[f"m{i}"]
+    rows, nums = found.rows, numeric_columns(df)
+    issues = name_issues(df.columns)
+    for c, m in found.missing.items():
         if m and rows:
             rate = m / rows
             sev = "high" if rate > 0.5 else "medium" if rate > 0.1 else "low"
             issues.append(("missing_values", c, sev, int(m), float(rate), None, None, "fill median"))
-    dup = duplicate_rows(df)
-    if dup > 0:
-        issues.append(("duplicate_rows", None, "medium", int(dup), float(dup / rows), None, None,
+    if duplicates > 0:
+        issues.append(("duplicate_rows", None, "medium", int(duplicates), float(duplicates / rows), None, None,
                        "drop duplicates keep first"))
-    for i, c in enumerate(strs):
-        nn = row[f"nn{i}"]
-        if nn and row[f"num{i}"] / nn > 0.8:
-            issues.append(("data_type", c, "medium", int(row[f"num{i}"]), float(row[f"num{i}"] / nn),
+    for c, n in found.texts.items():
+        if n and found.numeric_texts[c] / n > 0.8:
+            issues.append(("data_type", c, "medium", int(found.numeric_texts[c]), float(found.numeric_texts[c] / n),
                            None, None, "numeric"))
-    bounds = {}
-    for c in nums:
-        q = quart[c]
-        if q[0] is not None:
-            iqr = q[1] - q[0]
-            bounds[c] = (q[0] - 1.5 * iqr, q[1] + 1.5 * iqr)
+    values = normalise_nan(df.select(*[qcol(c) for c in nums])) if nums else None
+    quart = quantiles(values, nums, [0.25, 0.75], approx=approx, n_rows=rows) if nums else {}
+    bounds = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in quart.items() if q[0] is not None}
     if bounds:
-        oc = df.agg(*[F.count_if((qcol(c) < F.lit(lo)) | (qcol(c) > F.lit(hi))).alias(f"o{i}")
-                      for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
+        oc = values.agg(*[F.count_if((qcol(c) < F.lit(lo)) | (qcol(c) > F.lit(hi))).alias(f"o{i}")
+                          for i, (c, (lo, hi)) in enumerate(bounds.items())]).first()
         for i, (c, (lo, hi)) in enumerate(bounds.items()):
             if oc[f"o{i}"] > 0:
                 issues.append(("outliers", c, "low", int(oc[f"o{i}"]), float(oc[f"o{i}"] / rows),
                                float(lo), float(hi), "clip"))
-    return spark.createDataFrame(issues, _ISSUE_SCHEMA)
+    return issues
 
 
 def duplicate_rows(df: DataFrame) -> int:
-    return df.groupBy(*[qcol(c) for c in df.columns]).count() \
+    """Rows after the first of each distinct row. Rows meet by a 128-bit hash (with
+    the places of their NULLs), so 16 bytes a row are shuffled whatever the width."""
+    cells = [x for c in df.columns for x in (qcol(c), qcol(c).isNull())]
+    keys = [F.xxhash64(F.lit(seed), *cells).alias(f"h{seed}") for seed in (1, 2)]
+    return df.select(*keys).groupBy("h1", "h2").count() \
         .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
 
 
@@ -155,16 +171,11 @@ def quality_score(issues: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame) -> DataFrame:
     """DQ-9: score, rows, columns, missing cells, duplicate rows, issue count."""
-    issues = quality_issues(df)
-    score = quality_score(issues).first()["score"]
-    cols = list(df.columns)
-    stats = df.agg(F.count(F.lit(1)).alias("rows"),
-                   sum([F.count_if(is_missing(df, c)) for c in cols[1:]],
-                       F.count_if(is_missing(df, cols[0]))).alias("missing_cells")).first()
-    dup = duplicate_rows(df)
-    n_issues = issues.count()
+    found, dup = counters(df), duplicate_rows(df)
+    issues = _issues(df, found, dup, approx=False)
+    score = max(0, 100 - sum(PENALTY.get(i[2], PENALTY["low"]) for i in issues))
     return df.sparkSession.createDataFrame(
-        [(float(score), int(stats["rows"]), len(cols), int(stats["missing_cells"]), int(dup), int(n_issues))],
+        [(float(score), int(found.rows), len(df.columns), int(sum(found.missing.values())), int(dup), len(issues))],
         "score double, rows long, columns long, missing_cells long, duplicate_rows long, issues long")
 
 
@@ -181,17 +192,17 @@ def summarize_issues(issues: DataFrame, k: int = 5) -> DataFrame:
 def field_profile(df: DataFrame, samples: int = 3) -> DataFrame:
     """DQ-11: dtype, null count, distinct count and the smallest distinct values.
 
-    Counters come from one aggregate; the samples per column are a bounded
-    top-k over distinct values (no collect of whole columns).
+    Missing cells come from one aggregate and distinct counts from one stacked
+    value table. Spark tables have no first rows, so the samples are the
+    smallest values: a bounded top-k over distinct values of each column.
     """
     cols = list(df.columns)
     dtypes = dict(df.dtypes)
-    wide = df.agg(*[F.count_if(is_missing(df, c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                  *[F.count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    wide = df.agg(*[F.count_if(is_missing(df, c)).alias(f"n{i}") for i, c in enumerate(cols)])
     rows = [F.struct(F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
-                     F.col(f"n{i}").alias("null_count"), F.col(f"d{i}").alias("distinct_count"))
-            for i, c in enumerate(cols)]
-    prof = wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+                     F.col(f"n{i}").alias("null_count")) for i, c in enumerate(cols)]
+    counted = unique_counts(df, cols).withColumnRenamed("unique_count", "distinct_count")
+    prof = wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*").join(counted, "column")
     spark = df.sparkSession
     sample_rows = []
     for c in cols:
