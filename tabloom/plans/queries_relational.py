@@ -294,6 +294,36 @@ def pip2(spark, d):
     return round_all(out["final"])
 
 
+MODEL_STEPS = [
+    {"id": "m1", "op": "drop_duplicates", "inputs": {"df": "parts_in"}, "output": "clean", "args": {"subset": ["p_partkey"]}},
+    {"id": "m2", "op": "interaction", "inputs": {"df": "clean"}, "output": "feat",
+     "args": {"name": "x", "columns": ["p_size", "p_partkey"], "op": "add"}},
+    {"id": "m3", "op": "fit_predict", "inputs": {"df": "feat"}, "output": "predicted",
+     "args": {"features": ["x"], "target": "p_retailprice", "model_type": "linear_regression", "key": "p_partkey"}},
+    {"id": "m4", "op": "regression_metrics", "inputs": {"pred": "predicted"}, "output": "metrics",
+     "args": {"label": "p_retailprice", "prediction": "predictions"}},
+]
+
+
+@register("pip2_replay_model", f"""WITH f AS (SELECT p_retailprice AS y, CAST(p_size + p_partkey AS DOUBLE) AS x,
+  row_number() OVER (ORDER BY {H.format(k='p_partkey')}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM part),
+m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f WHERE NOT is_test),
+e AS (SELECT y, a + b * x - y AS e FROM f, m WHERE is_test)
+SELECT round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae,
+  round(1 - sum(e * e) / (var_pop(y) * count(y)), 4) AS r2, CAST(count(*) AS BIGINT) AS n FROM e""")
+def pip2m(spark, d):
+    """Clean, make a feature, fit, predict and judge, replayed over another table name."""
+    from tabloom.plans import workflow as wf
+    from tabloom.plans.queries_profile import round_all
+    spec = wf.record(MODEL_STEPS, "price model", datasets=["parts_in"])
+    cat = Catalog(spark)
+    cat.create(fx.load(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "part_table")
+    out = wf.replay(spec, {"parts_in": "part_table"}, cat)["metrics"]
+    if not hasattr(out, "columns"):
+        raise RuntimeError(out.error)
+    return round_all(out, 4)
+
+
 # ------------------------------------------------------------------ SRC / SNK
 def _scratch(spark, tag):
     """A fresh folder under the shared checkpoint directory (never a local tmp)."""

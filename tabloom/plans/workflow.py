@@ -14,40 +14,116 @@ import uuid
 from dataclasses import dataclass
 
 from tabloom.functions.expressions import OperatorError
-from tabloom.operators import clean, features, profile, quality, relational, sampling, stats, windows
+from tabloom.operators import (clean, ensemble, fault, features, importance, ml, profile, quality, relational, sampling,
+                               stats, tuning, windows)
+from tabloom.operators.forecast import arima, intermittent, metrics, moving, network, regressors, smoothing
 from tabloom.sources.catalog import Catalog
 
-# op name -> (callable, names of DataFrame parameters, how several inputs are passed)
+
+
+def _table(fn, pick: int = 0):
+    """An operator that returns several results, as the step of one of them."""
+    def step(df, **kw):
+        return fn(df, **kw)[pick]
+    return step
+
+
+def _judged(model, data, target: str):
+    """Metrics of a model's predictions."""
+    out = model.transform(data)
+    if model.task == "regression":
+        return ml.regression_metrics(out, target, "prediction")
+    return ml.classification_metrics(out)
+
+
+def fit_predict(df, **kw):
+    """Fit a model (``ml.fit_model``) and return the test rows with predictions."""
+    fitted = ml.fit_model(df, **kw)
+    return ml.predict(fitted, fitted.test, keep=[*fitted.features, fitted.target])
+
+
+def fit_metrics(df, **kw):
+    """Fit a model (``ml.fit_model``) and return its metrics on the test rows."""
+    fitted = ml.fit_model(df, **kw)
+    return _judged(fitted, fitted.test, kw["target"])
+
+
+def voting_metrics(df, model_types, weights=None, voting: str = "hard", **kw):
+    """Fit one model per type, vote, and return the metrics on the test rows."""
+    fitted = [ml.fit_model(df, model_type=t, **kw) for t in model_types]
+    vote = ensemble.voting(fitted, weights, voting)
+    return _judged(vote, fitted[0].test, kw["target"])
+
+
+def _composite(build):
+    def step(df, **kw):
+        return build(df, **kw).transform(df)
+    return step
+
+
+def fault_vs_normal(df, **kw):
+    return fault.fault_vs_normal(df, **kw)[0]
+
+
+# op name -> (callable, names of its DataFrame parameters)
 OPERATORS = {
-    "project": (relational.project, ["df"]),
-    "query": (relational.query, ["df"]),
     "create_column": (relational.create_column, ["df"]),
-    "apply_mapping": (relational.apply_mapping, ["df"]),
-    "standardize_columns": (relational.standardize_columns, ["df"]),
     "join": (relational.join, ["left", "right"]),
+    "join_report": (relational.join_report, ["left", "right", "result"]),
     "combine": (relational.combine, ["dfs"]),
-    "head": (relational.head, ["df"]),
-    "sample": (sampling.sample, ["df"]),
-    "train_test_split": (sampling.train_test_split, ["df"]),
-    "describe": (profile.describe, ["df"]),
-    "null_counts": (profile.null_counts, ["df"]),
-    "unique_counts": (profile.unique_counts, ["df"]),
-    "group_stats": (profile.group_stats, ["df"]),
-    "fill": (clean.fill, ["df"]),
-    "fix_misaligned": (lambda df, **kw: clean.fix_misaligned(df, **kw)[0], ["df"]),
-    "infer_types": (lambda df, **kw: clean.infer_types(df, **kw)[0], ["df"]),
-    "drop_duplicates": (clean.drop_duplicates, ["df"]),
-    "clip": (clean.clip, ["df"]),
-    "cast_column": (clean.cast_column, ["df"]),
-    "aggregated_feature": (windows.aggregated_feature, ["df"]),
-    "sma": (windows.sma, ["df"]),
-    "interaction": (features.interaction, ["df"]),
-    "time_features": (features.time_features, ["df"]),
-    "outliers": (stats.outliers, ["df"]),
-    "correlation": (stats.correlation, ["df"]),
-    "quality_issues": (quality.quality_issues, ["df"]),
+    "combine_report": (relational.combine_report, ["dfs", "result"]),
+    "fix_misaligned": (_table(clean.fix_misaligned), ["df"]),
+    "infer_types": (_table(clean.infer_types), ["df"]),
+    "cleaning_plan": (clean.cleaning_plan, ["issues"]),
+    "apply_plan": (_table(clean.apply_plan), ["df", "plan"]),
+    "quality_score": (quality.quality_score, ["issues"]),
+    "summarize_issues": (quality.summarize_issues, ["issues"]),
+    "missing_summary": (_table(profile.missing_summary), ["df"]),
+    "label_encode": (_table(features.label_encode), ["df"]),
+    "lag_analysis": (_table(stats.lag_analysis), ["df"]),
+    "lag_outliers": (stats.lag_outliers, ["lagged"]),
+    "boosted_importance": (importance.boosted_importance, ["df"]),
+    "fit_predict": (fit_predict, ["df"]),
+    "fit_metrics": (fit_metrics, ["df"]),
+    "regression_metrics": (ml.regression_metrics, ["pred"]),
+    "classification_metrics": (ml.classification_metrics, ["pred"]),
+    "voting": (voting_metrics, ["df"]),
+    "stacking": (_composite(ensemble.stacking), ["df"]),
+    "blending": (_composite(ensemble.blending), ["df"]),
+    "tune": (_table(tuning.tune, 1), ["df"]),
+    "smoothing_forecasts": (smoothing.smoothing_forecasts, ["ses", "others"]),
+    "best_smoothing": (smoothing.best_smoothing, ["ses", "others"]),
+    "tree_forecast": (_table(regressors.tree_forecast, 1), ["df"]),
+    "future_periods": (metrics.future_periods, ["last"]),
+    "fault_vs_normal": (fault_vs_normal, ["df"]),
 }
 
+# operators with one table as ``df`` and one table as result, by module
+OPERATORS.update({name: (getattr(module, name), ["df"]) for module, names in {
+    relational: ("project", "query", "query_report", "apply_mapping", "standardize_columns", "head", "page", "top_abs",
+                 "rank_desc", "last_per_group"),
+    sampling: ("sample", "train_test_split", "time_split", "kfold"),
+    profile: ("describe", "null_counts", "unique_counts", "inspect", "group_stats", "duplicate_count", "modes", "zero_share",
+              "covariance_matrix"),
+    quality: ("quality_issues", "quality_report", "missing_issue_table", "numeric_text_share", "pattern_profile",
+              "field_profile"),
+    clean: ("fill", "drop_duplicates", "clip", "cast_column"),
+    windows: ("aggregated_feature", "sma", "wma", "lag_features"),
+    features: ("interaction", "standardize", "minmax_scale", "time_features"),
+    stats: ("outliers", "outlier_counts", "correlation", "correlation_matrix", "average_rank", "f_regression", "chi2_scores",
+            "mutual_info", "detect_tasks"),
+    importance: ("rf_importance", "linear_importance", "permutation_importance", "feature_importance", "select_features",
+                 "lasso_scores", "rfe", "rfecv"),
+    tuning: ("cross_validate", "learning_curve"),
+    fault: ("health_score", "fault_patterns"),
+    moving: ("sma_forecast", "sma_metrics", "wma_search", "wma_forecast"),
+    smoothing: ("ses_search", "smoothing_search"),
+    intermittent: ("croston", "croston_search"),
+    arima: ("arima",),
+    network: ("lag_network",),
+    metrics: ("forecast_metrics",),
+}.items() for name in names})
+
 
 def register_operator(name: str, fn, frame_params=("df",)) -> None:
     OPERATORS[name] = (fn, list(frame_params))
