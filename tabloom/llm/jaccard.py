@@ -12,9 +12,14 @@ reaches ``percent`` / 100; classes are the connected components of the links.
    index lists, sorted by set size and then by position in the set. Within a
    list a partner is skipped by its size block, and within the block from the
    position on at which the rest of the set is too short to reach the overlap.
-4. Round one verifies for each set the nearest partners of its lists only.
-   Sets that link get one class label.
-5. Round two derives the answers of a set from those of its class: only pairs
+4. Entries that may have a partner go through their lists again together with
+   a parity bitmap of their set: the bits in which two bitmaps differ are at
+   most the shingles in which the sets do, an exact bound that keeps nearly all
+   pairs below the threshold from being compared.
+5. Round one verifies each set against one partner per list, the set with the
+   fewest rarer shingles in its size block (in a group of near copies their
+   common original). Sets that link get one class label.
+6. Round two derives the answers of a set from those of its class: only pairs
    in different classes are left to compare, and lists whose sets all share a
    label are skipped whole. Together the rounds compare every pair that could
    link and is not known to be in one class, so classes are exact, and a group
@@ -41,13 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import discard, register, stored, stored_path, table
+from tabloom.llm.common import discard, register, release_shuffles, stored, stored_path, table
 from tabloom.llm.components import components
 from tabloom.llm.textbytes import shingle_sets
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
-WINDOW = 16
+WINDOW = 32
+BITMAP_BITS = 1024
 LONG_LIST = 4096
 
 
@@ -72,27 +78,43 @@ def possible(n1, p1, n2, p2, percent: int):
     return (100 * n1 >= percent * n2) & (np.minimum(n1 - p1, n2 - p2) >= need)
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """For each of ``BITMAP_BITS`` cells, whether an odd number of shingles falls in it."""
+    counts = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def bitmap_allows(n1, n2, bits1, bits2, percent: int):
+    """Whether bitmaps leave room for a link: sets differ in at least as many
+    shingles as their bitmaps do in bits."""
+    apart = np.bitwise_count(bits1 ^ bits2).sum(axis=1, dtype=np.int64)
+    return n1 + n2 - apart >= 2 * pair_overlap(n1, n2, percent)
+
+
 # -- sets -------------------------------------------------------------------
 
+SCAN_SCHEMA = "doc long, n long, sid long, bits binary, block int, cells binary"
+_SCAN_NAMES = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
+
 def _names_and_counts(width: int):
     def rows(batches):
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            ids, ns, names = batch.column(0).to_pylist(), [], []
+            ids, ns, names, bits = batch.column(0).to_pylist(), [], [], []
             for s in shingle_sets(batch.column(1), width):
                 ns.append(len(s))
                 names.append(set_name(s) if len(s) else None)
+                bits.append(parity_bitmap(s) if len(s) else None)
                 np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(names, pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc", "n", "sid", "block", "cells"])
+                 pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_SCAN_NAMES)
         step = len(cells) // SKETCH_BLOCKS
         blocks = [zlib.compress(cells[k * step:(k + 1) * step].tobytes(), 1) for k in range(SKETCH_BLOCKS)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SKETCH_BLOCKS, pa.int64()), pa.nulls(SKETCH_BLOCKS, pa.int64()), pa.nulls(SKETCH_BLOCKS, pa.int64()),
-             pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
-            names=["doc", "n", "sid", "block", "cells"])
+            [*[pa.nulls(SKETCH_BLOCKS, pa.int64())] * 3, pa.nulls(SKETCH_BLOCKS, pa.binary()),
+             pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=_SCAN_NAMES)
     return rows
 
 
@@ -157,114 +179,193 @@ def _runs(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts, lens), np.repeat(lens, lens)
 
 
-def _nearest_partners(percent: int):
-    """Stream of lists sorted by (token, meta, sid) -> the live entries
-    (token, sid, meta, partner): those with a possible partner, or in a list too
-    long to tell from a window, and the nearest possible partner before them."""
-    def emit(tok, sid, meta, context, long_list):
-        n, pos = meta >> 32, meta & 0xFFFFFFFF
-        start, length = _runs(tok)
-        live = length > WINDOW
-        live |= long_list
-        partner = np.full(len(tok), -1)
-        leader = np.full(len(tok), -1)
-        at = np.arange(len(tok))
-        for k in range(1, WINDOW + 1):
-            i = at[at - k >= start]
-            if not len(i):
-                break
-            ok = possible(n[i - k], pos[i - k], n[i], pos[i], percent) & (sid[i - k] != sid[i])
-            live[i[ok]] = True
-            live[i[ok] - k] = True
-            hit = i[ok]
-            partner[hit] = np.where(partner[hit] < 0, hit - k, partner[hit])
-        for s in np.unique(start[length > WINDOW]):  # a leader per size block links distant entries
-            lead, end = s, s + length[s]
-            while lead < end:
-                stop = lead + np.searchsorted(100 * lead_sizes(n, lead, end, percent), 100 * n[lead], side="right")
-                i = np.arange(lead + 1, stop)
-                ok = possible(n[lead], pos[lead], n[i], pos[i], percent)
-                leader[i[ok]] = lead
-                lead = max(stop, lead + 1)
-        rows = [at[(at >= context) & live]]
-        t, s, m = tok[rows[0]], sid[rows[0]], meta[rows[0]]
-        p, l = partner[rows[0]], leader[rows[0]]
-        more = (l >= 0) & (l != p)
-        t, m2 = np.r_[t, t[more]], np.r_[m, m[more]]
-        mate = np.r_[p, l[more]]
-        own = np.r_[s, s[more]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(t), pa.array(own), pa.array(m2), pa.array(sid[np.maximum(mate, 0)], mask=mate < 0)],
-            names=["token", "sid", "meta", "partner"])
+def _size_blocks(start: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """First row of the size block of each row: a list's rows from one size up to
+    the largest that may link with it."""
+    block = start.copy()
+    while True:
+        over = np.flatnonzero(100 * n[block] < percent * n)
+        if not len(over):
+            return block
+        first = np.r_[True, block[over][1:] != block[over][:-1]]
+        block[over] = np.repeat(over[first], np.diff(np.r_[np.flatnonzero(first), len(over)]))
+
 
+def _lists(n_columns: int, context_of, emit):
+    """Walk a stream sorted by (token, meta, sid): ``emit(columns, context, long)``
+    gets whole lists; a list of more than ``LONG_LIST`` entries comes in pieces
+    that begin with ``context`` entries of the piece before (``context_of``)."""
     def rows(batches):
         held, context, long_list = None, 0, False
         for batch in batches:
-            new = [batch.column(k).to_numpy() for k in range(3)]
+            new = [_column(batch.column(k)) for k in range(n_columns)]
             if not len(new[0]):
                 continue
-            cols = new if held is None else [np.r_[a, b] for a, b in zip(held, new)]
+            cols = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new)]
             # one entry per set and list: copies from other tasks are neighbours
             keep = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1]) | (cols[1][1:] != cols[1][:-1])]
             context = int(keep[:context].sum())
             cols = [c[keep] for c in cols]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if last > context or (last == context and context):
-                flags = np.zeros(last, bool)
-                if long_list:
-                    flags[:] = cols[0][:last] == cols[0][0]
+            if last:
                 if last > context:
-                    yield emit(*[c[:last] for c in cols], context, flags)
+                    yield emit([c[:last] for c in cols], context, (cols[0][:last] == cols[0][0]) & long_list)
                 held, context, long_list = [c[last:] for c in cols], 0, False
             else:
                 held = cols
             if len(held[0]) - context > LONG_LIST:
-                yield emit(*held, context, np.ones(len(held[0]), bool))
-                held, context, long_list = [c[-WINDOW:] for c in held], WINDOW, True
+                yield emit(held, context, np.ones(len(held[0]), bool))
+                pick = context_of(held)
+                held, context, long_list = [c[pick] for c in held], len(pick), True
         if held is not None and len(held[0]) > context:
-            yield emit(*held, context, np.full(len(held[0]), long_list))
+            yield emit(held, context, np.full(len(held[0]), long_list))
     return rows
 
 
-def lead_sizes(n, lead, end, percent):
-    """Smallest size that may link with each of the sizes from ``lead`` on."""
-    return -(-percent * n[lead:end] // 100)
+def _column(a: pa.Array) -> np.ndarray:
+    """Numbers, or bitmaps as rows of 64-bit words."""
+    if pa.types.is_binary(a.type):
+        width = BITMAP_BITS // 64
+        return np.frombuffer(b"".join(a.to_pylist()), np.uint64).reshape(-1, width)
+    return a.to_numpy()
+
+
+def _window_search(at, start, may, found):
+    """Try the entries up to ``WINDOW`` places before and after each of ``at``;
+    ``found(i, j)`` gets the hits. Entries with a hit are not tried further."""
+    left = at
+    for k in range(1, WINDOW + 1):
+        for step in (-k, k):
+            i = left[(left + step >= 0) & (left + step < len(start))]
+            i = i[start[i + step] == start[i]]
+            if not len(i):
+                continue
+            i = i[may(i, i + step)]
+            if len(i):
+                found(i, i + step)
+                left = np.setdiff1d(left, i, assume_unique=True)
+
+
+def _live_entries(percent: int):
+    """Stream of lists -> the entries that may have a partner by size and position;
+    lists longer than the window are passed on whole."""
+    def emit(cols, context, long_list):
+        start, length = _runs(cols[0])
+        some = np.flatnonzero((length > 1) | long_list)
+        tok, sid, meta = (c[some] for c in cols)
+        live = (length[some] > WINDOW) | long_list[some]
+        if len(tok):
+            start, _ = _runs(tok)
+            n, pos = meta >> 32, meta & 0xFFFFFFFF
+
+            def may(i, j):
+                lo, hi = np.minimum(i, j), np.maximum(i, j)
+                return possible(n[lo], pos[lo], n[hi], pos[hi], percent)
+
+            def found(i, j):
+                live[i] = True
+                live[j] = True
+
+            _window_search(np.flatnonzero(~live), start, may, found)
+        live &= some >= context
+        return pa.RecordBatch.from_arrays([pa.array(tok[live]), pa.array(sid[live]), pa.array(meta[live])],
+                                          names=["token", "sid", "meta"])
+
+    return _lists(3, lambda held: np.arange(len(held[0]) - WINDOW, len(held[0])), emit)
+
+
+def _size_blocks(start: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """First row of the size block of each row: a list's rows from one size up to
+    the largest that may link with it."""
+    block = start.copy()
+    while True:
+        over = np.flatnonzero(100 * n[block] < percent * n)
+        if not len(over):
+            return block
+        first = np.r_[True, block[over][1:] != block[over][:-1]]
+        block[over] = np.repeat(over[first], np.diff(np.r_[np.flatnonzero(first), len(over)]))
+
+
+def _list_partners(percent: int):
+    """Stream of lists with bitmaps -> the entries (token, sid, meta, bits, partner)
+    that may have a partner in the list.
+
+    The partner to verify first is the set with the fewest rarer shingles in the
+    entry's size block; where that is ruled out, the nearest possible entry.
+    Entries of lists longer than the window are all passed on.
+    """
+    def emit(cols, context, long_list):
+        start, length = _runs(cols[0])
+        some = np.flatnonzero((length > 1) | long_list)
+        tok, sid, meta, bits = (c[some] for c in cols)
+        live = (length[some] > WINDOW) | long_list[some]
+        partner = np.full(len(tok), -1)
+        if len(tok):
+            start, _ = _runs(tok)
+            n, pos, at = meta >> 32, meta & 0xFFFFFFFF, np.arange(len(tok))
+
+            def may(i, j):
+                lo, hi = np.minimum(i, j), np.maximum(i, j)
+                ok = possible(n[lo], pos[lo], n[hi], pos[hi], percent) & (i != j)
+                k = np.flatnonzero(ok)
+                ok[k] = bitmap_allows(n[i[k]], n[j[k]], bits[i[k]], bits[j[k]], percent)
+                return ok
+
+            def found(i, j):
+                partner[i] = j
+                live[i] = True
+                live[j] = True
+
+            block = _size_blocks(start, n, percent)
+            order = np.lexsort((sid, pos, block))
+            first = np.r_[True, block[order][1:] != block[order][:-1]]
+            leader = np.empty(len(tok), np.int64)
+            leader[order] = np.repeat(order[first], np.diff(np.r_[np.flatnonzero(first), len(order)]))
+            led = at[may(at, leader)]
+            found(led, leader[led])
+            _window_search(np.flatnonzero(partner < 0), start, may, found)
+        keep = live & ((some >= context) | (some == 0))
+        mate = partner[keep]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tok[keep]), pa.array(sid[keep]), pa.array(meta[keep]), pa.array([b.tobytes() for b in bits[keep]], pa.binary()),
+             pa.array(sid[np.maximum(mate, 0)] if len(sid) else sid, mask=mate < 0)], names=["token", "sid", "meta", "bits", "partner"])
+
+    def context_of(held):
+        """The leader of the last size block, and the last entries."""
+        block = np.flatnonzero(100 * (held[2] >> 32) >= percent * (held[2][-1] >> 32))
+        lead = block[np.lexsort((held[1][block], held[2][block] & 0xFFFFFFFF))[0]]
+        return np.r_[lead, np.arange(max(lead + 1, len(held[0]) - WINDOW), len(held[0]))]
+
+    return _lists(4, context_of, emit)
 
 
 def _cross_pairs(percent: int):
-    """Stream of lists sorted by (token, meta, sid) with labels -> all possible
-    pairs of different labels."""
-    def pairs(tok, sid, meta, label):
+    """Stream of lists (token, sid, meta, bits, label) -> all possible pairs of
+    different labels."""
+    def emit(cols, context, long_list):
+        tok, sid, meta, bits, label = cols
         n, pos = meta >> 32, meta & 0xFFFFFFFF
         start, _ = _runs(tok)
-        at, k = np.arange(len(tok)), 1
-        left, right = [], []
-        i = at
+        k, i = 1, np.arange(len(tok))
+        left, right = [sid[:0]], [sid[:0]]
         while len(i):
             i = i[i - k >= start[i]]
             i = i[100 * n[i - k] >= percent * n[i]]  # sizes grow along a list: its block ends here
-            ok = (label[i] != label[i - k]) & possible(n[i - k], pos[i - k], n[i], pos[i], percent)
-            left.append(sid[i[ok] - k])
-            right.append(sid[i[ok]])
+            c = i[label[i] != label[i - k]]
+            c = c[possible(n[c - k], pos[c - k], n[c], pos[c], percent)]
+            c = c[bitmap_allows(n[c], n[c - k], bits[c], bits[c - k], percent)]
+            left.append(sid[c - k])
+            right.append(sid[c])
             k += 1
-        a, b = np.concatenate(left or [sid[:0]]), np.concatenate(right or [sid[:0]])
+        a, b = np.concatenate(left), np.concatenate(right)
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    def rows(batches):
-        held = None
-        for batch in batches:
-            new = [batch.column(k).to_numpy() for k in range(4)]
-            if not len(new[0]):
-                continue
-            cols = new if held is None else [np.r_[x, y] for x, y in zip(held, new)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if last:
-                yield pairs(*[c[:last] for c in cols])
-            held = [c[last:] for c in cols]
-        if held is not None:
-            yield pairs(*held)
-    return rows
+    def context_of(held):
+        """All entries that later, larger sets may still link with."""
+        return np.flatnonzero(100 * (held[2] >> 32) >= percent * (held[2][-1] >> 32))
+
+    return _lists(5, context_of, emit)
 
 
 # -- verification -------------------------------------------------------------
@@ -301,8 +402,8 @@ def _linked(percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set names that link."""
-    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")).hint("merge")
+    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")).hint("merge")
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
             .mapInArrow(_linked(percent), "a long, b long"))
 
@@ -313,34 +414,44 @@ def named_classes(docs: DataFrame, id_col: str, text: str, width: int, percent:
     """(doc, n, sid, component) of every row of ``docs``."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    scan = stored(d.mapInArrow(_names_and_counts(width), "doc long, n long, sid long, block int, cells binary"), "sets")
+    scan = stored(d.mapInArrow(_names_and_counts(width), SCAN_SCHEMA), "sets")
     named = scan.filter("block IS NULL").select("doc", "n", "sid")
     order = spark.sparkContext.broadcast(rarity(scan.filter("block IS NOT NULL").select("block", "cells")))
 
+    def by_list(entries, walk, schema):
+        return entries.repartition("token").sortWithinPartitions("token", "meta", "sid").mapInArrow(walk(percent), schema)
+
     lists = d.mapInArrow(_prefixes(width, percent, order), "token long, sid long, meta long")
-    live, live_path = stored_path(
-        lists.repartition("token").sortWithinPartitions("token", "meta", "sid")
-        .mapInArrow(_nearest_partners(percent), "token long, sid long, meta long, partner long"), "lists")
+    entries, entries_path = stored_path(by_list(lists, _live_entries, "token long, sid long, meta long"), "entries")
     order.unpersist()
-
-    near = (live.filter("partner IS NOT NULL")
-            .select(F.least("sid", "partner").alias("a"), F.greatest("sid", "partner").alias("b")).distinct())
-    wanted = live.select("sid").distinct()
-    holder = (named.filter("doc IS NOT NULL AND sid IS NOT NULL").join(wanted, "sid", "left_semi")
+    release_shuffles(spark)
+    bitmaps = (scan.filter("sid IS NOT NULL").join(entries.select("sid").distinct(), "sid", "left_semi")
+               .groupBy("sid").agg(F.first("bits").alias("bits")))
+    live, live_path = stored_path(
+        by_list(entries.join(bitmaps.hint("merge"), "sid").select("token", "sid", "meta", "bits"), _list_partners,
+                "token long, sid long, meta long, bits binary, partner long"), "lists")
+    discard(spark, entries_path)
+    release_shuffles(spark)
+
+    near = stored(live.filter("partner IS NOT NULL")
+                  .select(F.least("sid", "partner").alias("a"), F.greatest("sid", "partner").alias("b")).distinct(), "near")
+    holder = (named.filter("doc IS NOT NULL AND sid IS NOT NULL").join(live.select("sid").distinct(), "sid", "left_semi")
               .groupBy("sid").agg(F.min("doc").alias("holder")))
-    texts = d.join(holder, d["doc"] == holder["holder"]).select("text", "sid")
+    texts = d.join(holder.hint("merge"), d["doc"] == holder["holder"]).select("text", "sid")
     sets, sets_path = stored_path(texts.mapInArrow(_sets(width), "sid long, tokens binary"), "tokens")
+    release_shuffles(spark)
 
     links = stored(verified(near, sets, percent), "links1")
+    release_shuffles(spark)
     label = components(links)
-    lab = (live.select("token", "sid", "meta").distinct().join(label, F.col("sid") == F.col("node"), "left")
-           .select("token", "sid", "meta", F.coalesce("root", "sid").alias("label")))
+    lab = (live.select("token", "sid", "meta", "bits").join(label, F.col("sid") == F.col("node"), "left")
+           .select("token", "sid", "meta", "bits", F.coalesce("root", "sid").alias("label")))
     mixed_lists = (lab.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                    .filter("lo <> hi").select("token"))
-    rest = (lab.join(mixed_lists, "token", "left_semi").repartition("token")
-            .sortWithinPartitions("token", "meta", "sid").mapInArrow(_cross_pairs(percent), "a long, b long").distinct())
-    more = stored(verified(rest, sets, percent), "links2")
-    if more.head(1):
+    rest = stored(by_list(lab.join(mixed_lists, "token", "left_semi"), _cross_pairs, "a long, b long").distinct(), "rest")
+    if rest.head(1):
+        wanted = rest.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        more = stored(verified(rest, sets.join(wanted, "sid", "left_semi"), percent), "links2")
         stars = label.select(F.col("node").alias("a"), F.col("root").alias("b"))
         label = components(stars.union(more))
     discard(spark, live_path)
