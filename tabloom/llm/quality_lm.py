@@ -337,14 +337,14 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     total = total.withColumn("nll", F.when(~F.isnan("nll"), F.col("nll")))
 
     good = total.filter("nll IS NOT NULL").join(trusted, F.col("doc") == F.col("t"), "left_semi")
-    means = good.groupBy(F.col("lang").alias("ml")).agg((F.sum("nll") / F.sum("n")).alias("mean"))
+    means = stored(good.groupBy(F.col("lang").alias("ml")).agg((F.sum("nll") / F.sum("n")).alias("mean")), "lm-means")
 
     def scored(df):
         value = F.exp((F.col("nll") + prior_bytes * F.col("mean")) / (F.col("n") + prior_bytes))
         return df.join(means, F.col("lang") == F.col("ml"), "left").withColumn("score", value).drop("ml")
 
-    limits = (scored(good).groupBy(F.col("lang").alias("ql"))
-              .agg((F.percentile_approx("score", quantile, 10000) * slack).alias("threshold")))
+    limits = stored(scored(good).groupBy(F.col("lang").alias("ql"))
+                    .agg((F.percentile_approx("score", quantile, 10000) * slack).alias("threshold")), "lm-limits")
     out = scored(total).join(limits, F.col("lang") == F.col("ql"), "left")
     return out.select(F.col("doc").alias(id_col), "lang", (F.col("n") - 1).cast("long").alias("n_bytes"),
                       F.exp(F.col("nll") / F.col("n")).alias("perplexity"), "score", "threshold",
