@@ -285,6 +285,7 @@ def fct12a(spark, d):
 # ---------------------------------------------------------------- FCT-13..15
 @register("fct13_random_forest")
 def fct13(spark, d):
+    """The whole search space: 5..100 trees, depth 5..30."""
     cands, fc, imp = rg.tree_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"],
                                       "random_forest", extra_periods=3)
     return round_all(cands)
@@ -292,8 +293,10 @@ def fct13(spark, d):
 
 @register("fct14_boosted_trees")
 def fct14(spark, d):
-    cands, fc, imp = rg.tree_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"],
-                                      "boosted_trees", grid={"maxIter": [10, 20], "maxDepth": [3, 5]})
+    """Part of the search space (depths 3 and 5, one learning rate, up to 50 rounds):
+    the whole of it (fits of 300 rounds) takes many minutes on one machine."""
+    cands, fc, imp = rg.tree_forecast(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], "boosted_trees",
+                                      grid={"maxIter": [10, 25, 50], "maxDepth": [3, 5], "stepSize": [0.1]})
     return round_all(cands)
 
 
