@@ -202,7 +202,7 @@ def lasso_scores(df: DataFrame, features, target: str, task: str | None = None,
 
 
 def rfe(df: DataFrame, features, target: str, n_features: int, task: str | None = None,
-        seed: int = 42, n_trees: int = 50) -> DataFrame:
+        seed: int = 42, n_trees: int = 100) -> DataFrame:
     """FSL-3: drop the least important feature per round (forest importances)."""
     remaining = list(features)
     ranking = {}
@@ -219,8 +219,8 @@ def rfe(df: DataFrame, features, target: str, n_features: int, task: str | None
     return df.sparkSession.createDataFrame(rows, "feature string, score double, rank int, selected boolean")
 
 
-def rfecv(df: DataFrame, features, target: str, task: str | None = None, cv: int = 3, seed: int = 42,
-          n_trees: int = 20) -> DataFrame:
+def rfecv(df: DataFrame, features, target: str, task: str | None = None, cv: int = 5, seed: int = 42,
+          n_trees: int = 100) -> DataFrame:
     """FSL-4: RFE order, then a CV score for each feature count; best count wins."""
     from tabloom.operators.tuning import cross_validate
     order = rfe(df, features, target, 1, task, seed, n_trees).orderBy("rank").collect()

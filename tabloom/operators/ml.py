@@ -40,7 +40,7 @@ PARAM_NAMES = {
     "n_estimators": "numTrees", "max_depth": "maxDepth", "learning_rate": "stepSize",
     "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
     "subsample": "subsamplingRate", "max_iter": "maxIter", "random_state": "seed",
-    "max_bins": "maxBins",
+    "max_bins": "maxBins", "fit_intercept": "fitIntercept", "min_info_gain": "minInfoGain",
 }
 
 

@@ -21,16 +21,22 @@ from tabloom.functions.expressions import OperatorError
 from tabloom.operators.ml import build_pipeline, classification_metrics, regression_metrics, task_of
 from tabloom.operators.sampling import hash_column, kfold
 
-# Built-in search grids per model family (small by default).
+# Search grids per model family, for the parameters that Spark's
+# estimators have (unlimited depth is 30 here, the limit of Spark's trees; the
+# least child weight and gain of boosted trees are rows per node and gain per split).
 GRIDS = {
-    "random_forest": {"n_estimators": [50, 100], "max_depth": [5, 10]},
-    "decision_tree": {"max_depth": [3, 5, 10], "min_samples_leaf": [1, 5]},
-    "gradient_boosting": {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
-    "xgboost": {"n_estimators": [50, 100], "learning_rate": [0.1, 0.3], "max_depth": [3, 6]},
-    "svm": {"C": [0.1, 1.0, 10.0]},
-    "ridge": {"alpha": [0.1, 1.0, 10.0]},
-    "lasso": {"alpha": [0.001, 0.01, 0.1]},
-    "logistic_regression": {"C": [0.1, 1.0, 10.0]},
+    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [30, 10, 20], "min_samples_leaf": [1, 2, 4],
+                      "max_features": ["sqrt", "log2", "all"]},
+    "decision_tree": {"max_depth": [30, 5, 10, 15, 20], "min_samples_leaf": [1, 2, 4, 8]},
+    "gradient_boosting": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.05, 0.1, 0.2],
+                          "max_depth": [3, 5, 7, 9], "min_samples_leaf": [1, 2, 4], "subsample": [0.8, 0.9, 1.0]},
+    "xgboost": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.05, 0.1, 0.2], "max_depth": [3, 5, 7, 9],
+                "min_samples_leaf": [1, 3, 5], "subsample": [0.8, 0.9, 1.0], "max_features": ["0.8", "0.9", "all"],
+                "min_info_gain": [0.0, 0.1, 0.2]},
+    "svm": {"C": [0.1, 1.0, 10.0, 100.0]},
+    "ridge": {"alpha": [0.1, 1.0, 10.0, 100.0], "fit_intercept": [True, False]},
+    "lasso": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0], "fit_intercept": [True, False]},
+    "logistic_regression": {"C": [0.1, 1.0, 10.0, 100.0], "fit_intercept": [True, False]},
 }
 
 FAMILY_TYPES = {
