@@ -32,11 +32,30 @@ def test_matches_oracle(spark, con, name):
     assert r1 == r2
 
 
+#: Least values of result columns of the queries that have no oracle.
+FLOORS = {
+    "ml_fit_linear_regression": {"r2": 0.5}, "ml_fit_ridge": {"r2": 0.5}, "ml_fit_lasso": {"r2": 0.5},
+    "ml_fit_random_forest_regressor": {"r2": 0.5}, "ml_fit_gradient_boosting_regressor": {"r2": 0.5},
+    "ml_fit_decision_tree_regressor": {"r2": 0.5}, "ml_fit_xgboost_regressor": {"r2": 0.5},
+    "ml16_stacking": {"r2": 0.5}, "ml17_blending": {"r2": 0.5},
+}
+#: Columns that are shares of a whole or scores between 0 and 1.
+SHARES = {"accuracy", "precision", "recall", "f1", "importance"}
+
+
 @pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_runs(spark, name):
-    df = E.queries()[name](spark, SF_TINY)
-    assert df.count() >= 0
-    assert df.columns
+def test_rows_only_are_plausible(spark, name):
+    rows = [r.asDict() for r in E.queries()[name](spark, SF_TINY).collect()]
+    assert rows, name
+    for r in rows:
+        for c, least in FLOORS.get(name, {}).items():
+            assert r[c] >= least, (name, c, r[c])
+        for c in SHARES & set(r):
+            assert r[c] is None or not isinstance(r[c], float) or r[c] <= 1 + 1e-9 or name.startswith("fsc"), (name, c, r[c])
+        for c in ("mape", "mae", "mse", "rmse"):
+            assert r.get(c) is None or r[c] >= 0, (name, c, r[c])
+    if "percent" in rows[0] and rows[0]["percent"] is not None:
+        assert abs(sum(r["percent"] for r in rows) - 100) < 1e-6
 
 
 def test_entry(spark):
