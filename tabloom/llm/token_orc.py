@@ -36,7 +36,7 @@ END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Text bytes tokenised at once, and words remembered by a Python worker.
 SLICE_BYTES = 4 << 20
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 750_000
 
 
 def default_tokenizer() -> str:
@@ -69,6 +69,7 @@ class WordEncoder:
     def _clear(self):
         self.known: dict[str, int] = {}
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.used = np.zeros(0, bool)
 
     def _learn(self, words: list[str]) -> None:
         ids, lens = [], []
@@ -81,15 +82,28 @@ class WordEncoder:
         self.known.update(zip(words, range(n, n + len(words))))
         self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.array(lens, np.int64))])
+        self.used = np.concatenate([self.used, np.zeros(len(words), bool)])
+
+    def _forget(self) -> None:
+        """Keep the words that came again since they were learned; all go when those
+        would fill half of the memory."""
+        keep = np.flatnonzero(self.used)
+        if len(keep) > MEMORY_WORDS // 2:
+            self._clear()
+            return
+        words = list(self.known)  # in the order of their places
+        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, self.offsets = _expand(keep, self.offsets, self.ids)
+        self.used = np.zeros(len(keep), bool)
 
     def _slots(self, words: list[str]) -> np.ndarray:
-        """Places of the words; new ones are encoded. A full memory starts anew."""
-        get = self.known.get
-        slots = np.array([get(w, -1) for w in words], np.int64)
+        """Places of the words; new ones are encoded. A full memory forgets first."""
+        slots = np.array([self.known.get(w, -1) for w in words], np.int64)
+        if len(self.known) + int((slots < 0).sum()) > MEMORY_WORDS:
+            self._forget()
+            slots = np.array([self.known.get(w, -1) for w in words], np.int64)
         new = np.flatnonzero(slots < 0)
-        if len(self.known) + len(new) > MEMORY_WORDS:
-            self._clear()
-            new = np.arange(len(words))
+        self.used[slots[slots >= 0]] = True
         if len(new):
             slots[new] = len(self.known) + np.arange(len(new))
             self._learn([words[k] for k in new])

@@ -58,3 +58,15 @@ def test_slices_cover_all_rows():
     import pyarrow as pa
     texts = pa.array(["a" * 50, None, "", "b" * 500, "c"])
     assert list(T.text_slices(texts, 60)) == [(0, 3), (3, 4), (4, 5)]
+
+
+def test_a_full_memory_forgets_rare_words_only(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(T, "MEMORY_WORDS", 60)
+    e = T.WordEncoder(T.default_tokenizer())
+    for k in range(12):
+        text = " ".join(["hot", "words", "stay."] + [f"rare{chr(97 + k)}{chr(97 + j)}" for j in range(20)])
+        ids, ends = e.encode(pa.array([text, "", "hot"]))
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids[:ends[1]].tolist() == want and ends[1] == ends[2] and len(e.known) <= 60
+    assert "hot" in e.known
