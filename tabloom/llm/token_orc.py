@@ -36,6 +36,8 @@ END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Text bytes tokenised at once, and words remembered by a Python worker.
 SLICE_BYTES = 4 << 20
+#: An ASCII letter before marks that never belong to its token (no apostrophe).
+LETTER_MARK = r"""([a-z])([-.,!?;:$%&*#+=@~^_/\\(){}\[\]"]+)"""
 MEMORY_WORDS = 750_000
 
 
@@ -56,9 +58,10 @@ def _expand(picks: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple
 class WordEncoder:
     """Ids of texts by way of their distinct words.
 
-    A word is cut further before a run of ``.`` or ``,`` that follows a letter,
-    and ASCII letters are lower-cased: the tokenizer separates and lower-cases
-    there itself. Words that may hold a special token are left as they are.
+    A word is cut further between an ASCII letter and a mark that follows it and
+    around every digit, and ASCII letters are lower-cased: the tokenizer separates
+    and lower-cases there itself. Words that may hold a special token are left as
+    they are.
     """
 
     def __init__(self, path: str):
@@ -115,7 +118,8 @@ class WordEncoder:
         per_text = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary
-        plain = pc.replace_substring_regex(pc.ascii_lower(distinct), r"([a-z])([.,]+)", r"\1 \2")
+        plain = pc.replace_substring_regex(pc.ascii_lower(distinct), LETTER_MARK, r"\1 \2")
+        plain = pc.replace_substring_regex(plain, r"([0-9])", r" \1 ")
         pieces = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(distinct, "<|"), distinct, plain))
         piece_offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         piece_codes = pieces.flatten().dictionary_encode()

@@ -70,3 +70,16 @@ def test_a_full_memory_forgets_rare_words_only(monkeypatch):
         want = e.tokenizer.encode(text, add_special_tokens=False).ids
         assert ids[:ends[1]].tolist() == want and ends[1] == ends[2] and len(e.known) <= 60
     assert "hot" in e.known
+
+
+def test_random_texts_equal_whole_text_encoding():
+    import random
+
+    import pyarrow as pa
+    r = random.Random(1)
+    marks = "abzAZ09.,!?;:$%&*#+=@~^_/\\(){}[]\"-'<|> é́ßΣς½²한̀⃣‍٣"
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    e = T.WordEncoder(T.default_tokenizer())
+    ids, ends = e.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[ends[k]:ends[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
