@@ -22,6 +22,7 @@ table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -62,12 +63,35 @@ class WordEncoder:
     around every digit, and ASCII letters are lower-cased: the tokenizer separates
     and lower-cases there itself. Words that may hold a special token are left as
     they are.
+
+    Pieces of lower-case Latin letters go to the tokenizer's model itself, others
+    through the whole tokenizer. A tokenizer that does not work by lower-case words
+    (a probe tells) encodes whole texts.
     """
 
+    PROBE = ["Hello, World.  don't: (x3) 42!\nLine two\tTAB", "L'ÉTÉ, naïve straße; ñandú über-x [a] {b} #c @d é", "the", "<|x|> y"]
+    LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters: dict[int, str] = {}
+        self.by_word = True
+        self._clear()
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(self.PROBE, add_special_tokens=False)]
+        self.by_word = self._ids(self.PROBE) == whole
         self._clear()
+        if not self.by_word or self.tokenizer.pre_tokenizer is None:
+            return
+        letters = [c for c in map(chr, range(0x61, 0x100)) if self.LETTERS.fullmatch(c)]
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        if self._ids(self.PROBE) != whole:
+            self.letters = {}
+        self._clear()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        ids, ends = self.encode(pa.array(texts))
+        return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
 
     def _clear(self):
         self.known: dict[str, int] = {}
@@ -75,13 +99,20 @@ class WordEncoder:
         self.used = np.zeros(0, bool)
 
     def _learn(self, words: list[str]) -> None:
-        ids, lens = [], []
-        for lo in range(0, len(words), 10_000):
-            for enc in self.tokenizer.encode_batch_fast(words[lo:lo + 10_000], add_special_tokens=False):
+        simple, other = [], []
+        for w in words:
+            (simple if self.letters and self.LETTERS.fullmatch(w) else other).append(w)
+        ids, lens, model = [], [], self.tokenizer.model
+        for w in simple:
+            got = model.tokenize(w.translate(self.letters))
+            ids += [t.id for t in got]
+            lens.append(len(got))
+        for lo in range(0, len(other), 10_000):
+            for enc in self.tokenizer.encode_batch_fast(other[lo:lo + 10_000], add_special_tokens=False):
                 got = enc.ids
                 ids += got
                 lens.append(len(got))
-        n = len(self.known)
+        n, words = len(self.known), simple + other
         self.known.update(zip(words, range(n, n + len(words))))
         self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.array(lens, np.int64))])
@@ -108,12 +139,16 @@ class WordEncoder:
         new = np.flatnonzero(slots < 0)
         self.used[slots[slots >= 0]] = True
         if len(new):
-            slots[new] = len(self.known) + np.arange(len(new))
             self._learn([words[k] for k in new])
+            slots[new] = [self.known[words[k]] for k in new]
         return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each text (without end ids)."""
+        if not self.by_word:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ends = np.cumsum([0] + [len(x) for x in found])
+            return np.array([i for x in found for i in x], np.int32), ends
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         per_text = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()

@@ -83,3 +83,15 @@ def test_random_texts_equal_whole_text_encoding():
     ids, ends = e.encode(pa.array(texts))
     for k, t in enumerate(texts):
         assert ids[ends[k]:ends[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    e = T.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.by_word
+    texts = ["Hello  World", "", "a\nb"]
+    ids, ends = e.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [
+        x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert T.WordEncoder(T.default_tokenizer()).letters
