@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import sys
+import time
 import types
 import uuid
 
@@ -77,10 +79,12 @@ def bucket_of(u: Column, n: Column) -> Column:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that are no longer used, before
-    a step that writes much itself."""
-    import gc
-    gc.collect()
-    spark._jvm.System.gc()
+    a step that writes much itself. Handles on the Python side go first; Spark
+    cleans up after a collection in a thread of its own, so it gets a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def worker_state() -> dict:

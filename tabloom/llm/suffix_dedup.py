@@ -51,7 +51,7 @@ GRAM = 20
 LEFT = WIDTH - GRAM
 RUN_BYTES = 8 << 20
 HOT_GROUP = 50_000
-PIECE = 1 << 20
+PIECE = SLICE_BYTES // 2
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -89,7 +89,7 @@ def _piece_stretches(data: np.ndarray, lengths: np.ndarray):
 def stretches(texts: pa.Array):
     """For slices of the texts: (first row, bytes, offsets, row, anchor, first
     window, last window, gram key of 48 bits, stretch key of 64 bits)."""
-    for x, y in text_slices(texts, SLICE_BYTES):
+    for x, y in text_slices(texts, SLICE_BYTES // 2):
         data, offsets = raw_bytes(texts.slice(x, y - x))
         ends = np.repeat(offsets[1:], np.diff(offsets))
         parts = []
@@ -329,7 +329,7 @@ def _merge_suffixes(group: pa.Table) -> pa.Table:
     held, groups, out, current = [], [], [], -1
     for run, i, prefix in merge([r[:2] for r in runs]):
         if prefix < GRAM:
-            if len(held) > 20_000:
+            if len(held) > 10_000:
                 out.append(_compare(runs, held, groups))
                 held, groups = [], []
             current += 1
