@@ -13,8 +13,15 @@ proportion to the text.
 
 A document's score is its perplexity with ``prior_bytes`` bytes at the mean of
 its language's trusted text mixed in, so that a few odd bytes do not sink a
-short text. It is kept up to ``slack`` times the language's ``quantile`` of the
-trusted documents' scores.
+short text. A byte model finds repeated text easy, so the score is multiplied by
+how far the document's repetition (bytes per distinct trigram of a window of
+``WINDOW`` bytes, which does not depend on its length) exceeds the ``quantile``
+of trusted documents.
+
+A document is kept up to ``slack`` times the language's ``quantile`` of held-out
+trusted scores: trusted documents fall into two halves by a hash of their id, and
+each is scored by a model of the other half. A language whose trusted documents
+are all in one half takes their scores under their own model.
 
 Bounds: the model is fitted on at most ``max_trusted`` documents that carry a
 trusted label (quality 1 and not toxic), taken in the order of a hash of their
@@ -47,8 +54,9 @@ from tabloom.llm.token_orc import text_slices
 N_SHARDS = 8
 MAX_TRUSTED = 20_000
 QUANTILE = 0.995
-SLACK = 2.0
+SLACK = 1.2
 PRIOR_BYTES = 100
+WINDOW = 256
 BLOCK_BYTES = 1 << 20
 PAD = 10
 
@@ -227,13 +235,24 @@ def _unplanes(data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-BLOCK_SCHEMA = ("lang string, shard int, salt int, model binary, rows array<long>, docs array<long>, "
-                "sizes array<int>, grams binary, counts binary")
+BLOCK_SCHEMA = ("lang string, shard int, salt int, kind int, model binary, rows array<long>, docs array<long>, "
+                "fresh array<int>, sizes array<int>, grams binary, counts binary")
 _BLOCK_NAMES = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
 
+def _fresh(g: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Distinct trigrams of each document, counted anew in every window."""
+    start = np.searchsorted(doc, np.arange(n))
+    windows = (np.diff(np.r_[start, len(doc)]) + WINDOW - 1) // WINDOW
+    first = np.cumsum(windows) - windows
+    at = first[doc] + (np.arange(len(doc)) - start[doc]) // WINDOW
+    key = np.sort((at.astype(np.uint64) << np.uint64(24)) | g)  # np.unique without counts is far slower
+    new = np.r_[True, key[1:] != key[:-1]]
+    return np.add.reduceat(new.astype(np.int64), np.searchsorted(key, first.astype(np.uint64) << np.uint64(24)))
+
+
 def _document_blocks(salts: int):
-    """Blocks of documents of one language and shard: for each document its
+    """Blocks of documents of one group and shard: for each document its
     distinct trigrams (sorted, as differences) and their counts."""
     def rows(batches):
         from pyspark import TaskContext
@@ -245,6 +264,7 @@ def _document_blocks(salts: int):
                 ids, texts = batch.column(0).filter(pick), batch.column(2).filter(pick)
                 for lo, hi in text_slices(texts, BLOCK_BYTES):
                     g, doc = trigrams(texts.slice(lo, hi - lo))
+                    fresh = _fresh(g, doc, hi - lo)
                     middle = (g >> np.uint32(8)) & np.uint32(0xFF)
                     key = (shard_of(middle).astype(np.uint64) << np.uint64(56)) | (doc.astype(np.uint64) << np.uint64(24)) | g
                     key, count = np.unique(key, return_counts=True)
@@ -261,31 +281,35 @@ def _document_blocks(salts: int):
                         delta = np.r_[0, np.diff(k)]
                         delta[first] = k[first]
                         own = d[first]
-                        out.append((lang, s, block % salts, None, row + own, ids.take(pa.array(lo + own)).to_pylist(),
-                                    np.diff(np.r_[np.flatnonzero(first), len(d)]), _planes(delta, 3),
-                                    _planes(c, 4)))
+                        out.append((lang, s, block % salts, None, None, row + own, ids.take(pa.array(lo + own)).to_pylist(),
+                                    fresh[own].copy(), np.diff(np.r_[np.flatnonzero(first), len(d)]),
+                                    _planes(delta, 3), _planes(c, 4)))
+                        fresh[own] = 0  # counted once
                     row += hi - lo
                     yield _block_batch(out)
     return rows
 
 
 def _block_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()),
-             pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()),
+             pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=_BLOCK_NAMES)
 
 
 def _score_blocks(batches):
-    """Model shards come before the blocks of their (lang, shard, salt)."""
-    model, of = None, None
+    """Models come before the blocks of their (lang, shard, salt): the group's own
+    (kind 0) and the one that its documents are held out of (kind 1)."""
+    models, of = {}, None
     for batch in batches:
         for lo in range(0, batch.num_rows, 32):
             part = batch.slice(lo, 32)
             out = []
-            for lang, shard, salt, blob, rows, docs, sizes, grams, counts in zip(*(c for c in part.columns)):
+            for lang, shard, salt, kind, blob, rows, docs, fresh, sizes, grams, counts in zip(*(c for c in part.columns)):
                 here = (lang.as_py(), shard.as_py(), salt.as_py())
+                if here != of:
+                    models, of = {}, here
                 if blob.is_valid:
-                    model, of = _unpack_model(blob.as_py()), here
+                    models[kind.as_py()] = _unpack_model(blob.as_py())
                     continue
                 sizes = sizes.values.to_numpy().astype(np.int64)
                 starts = np.cumsum(sizes) - sizes
@@ -295,13 +319,26 @@ def _score_blocks(batches):
                 g = (total - np.repeat(base, sizes)).astype(np.uint32)
                 c = _unplanes(counts.as_py(), 4).astype(np.float64)
                 n = np.add.reduceat(c, starts)
-                nll = np.add.reduceat(-c * log_likelihood(model, g), starts) if of == here else np.full(len(n), np.nan)
-                out.append((rows.values, docs.values, pa.array([here[0]] * len(n)), n, nll))
+                nll = [np.add.reduceat(-c * log_likelihood(models[k], g), starts) if k in models else np.full(len(n), np.nan)
+                       for k in (0, 1)]
+                out.append((rows.values, docs.values, pa.array([here[0]] * len(n)), fresh.values.cast(pa.int64()), n, *nll))
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([o[0] for o in out]), pa.concat_arrays([o[1] for o in out]),
-                     pa.concat_arrays([o[2] for o in out]), pa.array(np.concatenate([o[3] for o in out])),
-                     pa.array(np.concatenate([o[4] for o in out]))], names=["row", "doc", "lang", "n", "nll"])
+                cols = [[c if isinstance(c, pa.Array) else pa.array(c) for c in col] for col in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], names=_PART_NAMES)
+
+
+PART_SCHEMA = "row long, doc long, lang string, fresh long, n double, nll double, held double"
+_PART_NAMES = [c.split()[0] for c in PART_SCHEMA.split(", ")]
+
+
+def _by_fold(d: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc, lang, text) with groups for ``lang``: a letter before the language says
+    which half of the trusted documents a row is in, or that it is in none (u).
+    Rows without an id stay out of the join."""
+    halves = trusted.withColumn("fold", F.pmod(F.xxhash64("t", F.lit("fold")), F.lit(2)).cast("string"))
+    known = (d.filter("doc IS NOT NULL").join(halves, F.col("doc") == F.col("t"), "left")
+             .select("doc", F.concat(F.coalesce("fold", F.lit("u")), "lang").alias("lang"), "text"))
+    return known.unionByName(d.filter("doc IS NULL").withColumn("lang", F.concat(F.lit("u"), "lang")))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -318,34 +355,58 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                .select(F.col(id_col).cast("long").alias("t")).distinct())
     sample = trusted.orderBy(F.xxhash64("t"), "t").limit(max_trusted)
     sample = spark.createDataFrame(sample.collect(), "t long")  # at most max_trusted ids
-    counts = (d.join(F.broadcast(sample), F.col("doc") == F.col("t"), "left_semi").select("lang", "text")
-              .mapInArrow(_trusted_counts, "lang string, g long, c long")
-              .groupBy("lang", "g").agg(F.sum("c").alias("c")))
-    model = stored(kneser_ney(stored(counts, "kn3")).groupBy("lang", "shard")
+    grouped = _by_fold(d, trusted)
+    language = F.expr("substring(lang, 2)")
+    halves = stored(_by_fold(d.join(F.broadcast(sample), F.col("doc") == F.col("t"), "left_semi"), sample).select("lang", "text")
+                    .mapInArrow(_trusted_counts, "lang string, g long, c long")
+                    .groupBy("lang", "g").agg(F.sum("c").alias("c")), "kn3")
+    whole = halves.groupBy(F.concat(F.lit("f"), language).alias("lang"), "g").agg(F.sum("c").alias("c"))
+    model = stored(kneser_ney(stored(halves.unionByName(whole), "kn3")).groupBy("lang", "shard")
                    .applyInArrow(_pack_model, "lang string, shard int, model binary"), "kn-model")
+    of = F.substring("lang", 1, 1)
+    users = (F.when(of == "f", F.array(*map(F.lit, "u01"))).when(of == "0", F.array(F.lit("1"))).otherwise(F.array(F.lit("0"))))
+    model = (model.withColumn("of", F.explode(users))
+             .select(F.concat("of", language).alias("lang"), "shard", (of != "f").cast("int").alias("kind"), "model"))
 
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // N_SHARDS)
-    empty = [F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in BLOCK_SCHEMA.split(", ")[4:]]
-    shards = (model.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "model", *empty))
-    blocks = d.mapInArrow(_document_blocks(salts), BLOCK_SCHEMA)
+    empty = [F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in BLOCK_SCHEMA.split(", ")[5:]]
+    shards = (model.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+                           "kind", "model", *empty))
+    blocks = grouped.mapInArrow(_document_blocks(salts), BLOCK_SCHEMA)
     met = (shards.unionByName(blocks).withColumn("is_block", F.col("model").isNull())
            .repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "is_block")
            .drop("is_block"))
-    parts = met.mapInArrow(_score_blocks, "row long, doc long, lang string, n double, nll double")
-    total = stored(parts.groupBy("row").agg(F.first("doc").alias("doc"), F.first("lang").alias("lang"),
-                                            F.sum("n").alias("n"), F.sum("nll").alias("nll")), "lm-scores")
-    total = total.withColumn("nll", F.when(~F.isnan("nll"), F.col("nll")))
-
-    good = total.filter("nll IS NOT NULL").join(trusted, F.col("doc") == F.col("t"), "left_semi")
-    means = stored(good.groupBy(F.col("lang").alias("ml")).agg((F.sum("nll") / F.sum("n")).alias("mean")), "lm-means")
-
-    def scored(df):
-        value = F.exp((F.col("nll") + prior_bytes * F.col("mean")) / (F.col("n") + prior_bytes))
-        return df.join(means, F.col("lang") == F.col("ml"), "left").withColumn("score", value).drop("ml")
-
-    limits = stored(scored(good).groupBy(F.col("lang").alias("ql"))
-                    .agg((F.percentile_approx("score", quantile, 10000) * slack).alias("threshold")), "lm-limits")
-    out = scored(total).join(limits, F.col("lang") == F.col("ql"), "left")
+    parts = met.mapInArrow(_score_blocks, PART_SCHEMA)
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    total = (parts.groupBy("row").agg(F.first("doc").alias("doc"), F.first("lang").alias("lang"),
+                                      *[F.sum(c).alias(c) for c in ("fresh", "n", "nll", "held")])
+             .select("row", "doc", (of != "u").alias("good"), language.alias("lang"), "n", "fresh", known("nll"), known("held")))
+    total = stored(total, "lm-scores")
+
+    good = total.filter("good AND nll IS NOT NULL")
+    held = F.col("held").isNotNull()
+    means = stored(good.groupBy(F.col("lang").alias("ml")).agg(
+        F.coalesce(F.sum("held") / F.sum(F.when(held, F.col("n"))), F.sum("nll") / F.sum("n")).alias("mean"),
+        (F.sum("n") / F.sum("fresh")).alias("again")), "lm-means")
+
+    def scored(df, nll="nll"):
+        """Perplexity and repetition, both with ``prior_bytes`` bytes of the language's mean."""
+        lm = F.exp((F.col(nll) + prior_bytes * F.col("mean")) / (F.col("n") + prior_bytes))
+        repetition = (F.col("n") + prior_bytes) / (F.col("fresh") + prior_bytes / F.col("again"))
+        return (df.join(means, F.col("lang") == F.col("ml"), "left").drop("ml")
+                .withColumn("lm", lm).withColumn("repetition", repetition))
+
+    def judged(df):
+        return (df.join(usual, F.col("lang") == F.col("ul"), "left").drop("ul")
+                .withColumn("score", F.col("lm") * F.greatest(F.lit(1.0), F.col("repetition") / F.col("usual"))))
+
+    cut = lambda score: F.percentile_approx(score, quantile, 10000)
+    seen = scored(good.withColumn("own", F.coalesce("held", "nll")), "own")
+    usual = stored(seen.groupBy(F.col("lang").alias("ul")).agg(cut("repetition").alias("usual")), "lm-usual")
+    limits = stored(judged(seen).groupBy(F.col("lang").alias("ql"))
+                    .agg((F.coalesce(cut(F.when(held, F.col("score"))), cut(F.col("score"))) * slack).alias("threshold")),
+                    "lm-limits")
+    out = judged(scored(total)).join(limits, F.col("lang") == F.col("ql"), "left")
     return out.select(F.col("doc").alias(id_col), "lang", (F.col("n") - 1).cast("long").alias("n_bytes"),
                       F.exp(F.col("nll") / F.col("n")).alias("perplexity"), "score", "threshold",
                       F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"))

@@ -6,6 +6,7 @@ import __spark_entry__ as E
 from tabloom.llm.quality_lm import filtered, scores
 
 SF_SMALL = "/root/testdata/sf0.01"
+SF_LARGE = "/root/testdata/sf0.1"
 
 
 def discounts(counts):
@@ -100,6 +101,32 @@ def test_held_out_accuracy(spark):
     assert sum(bad) <= .4 * len(bad)
 
 
+def test_held_out_threshold_rejects_every_kind(spark):
+    """Held-out labels: at most 10 % of the bad documents stay, repeated words too."""
+    docs = spark.read.parquet(f"{SF_LARGE}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_LARGE}/labels.parquet")
+    out = {r.doc_id: r.kept for r in scores(docs, labels.filter("doc_id % 2 = 0")).collect()}
+    held = labels.filter("doc_id % 2 = 1").join(docs, "doc_id").collect()
+    good, bad = [out[r.doc_id] for r in held if r.quality == 1], [r for r in held if r.quality == 0]
+    again = lambda w: sum(a == b for a, b in zip(w, w[1:])) / len(w)
+    repeated = [out[r.doc_id] for r in bad if again(r.text.split()) > .5]
+    navigation = [out[r.doc_id] for r in bad if " | " in r.text]
+    assert sum(good) >= .995 * len(good) and sum(out[r.doc_id] for r in bad) <= .1 * len(bad)
+    assert sum(repeated) <= .05 * len(repeated) and sum(navigation) <= .2 * len(navigation)
+
+
+def test_repetition_does_not_depend_on_length():
+    import numpy as np
+    import pyarrow as pa
+    from tabloom.llm.quality_lm import _fresh, trigrams
+    texts = ["abcdefgh" * 32, "", "abcdefgh" * 3200, "x" * 1000]
+    g, doc = trigrams(pa.array(texts))
+    fresh = _fresh(g, doc, len(texts))
+    assert fresh.tolist() == [sum(len(set(g[doc == k][a:a + 256])) for a in range(0, (doc == k).sum(), 256)) for k in range(4)]
+    ratio = np.bincount(doc) / fresh
+    assert abs(ratio[0] / ratio[2] - 1) < .3 and ratio[3] > 5 * ratio[0]
+
+
 def test_query_returns_every_document(spark):
     df = E.queries()["op7_quality_lm"](spark, SF_SMALL)
     assert df.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
