@@ -39,6 +39,9 @@ FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array
 SLICE_BYTES = 4 << 20
 #: An ASCII letter before marks that never belong to its token (no apostrophe).
 LETTER_MARK = r"""([a-z])([-.,!?;:$%&*#+=@~^_/\\(){}\[\]"]+)"""
+#: Words that are cut and lower-cased before the tokenizer: ASCII and Latin-1 letters.
+#: They hold no combining mark, so its normal form C does not join letters in them.
+PLAIN_WORD = "^[\\x00-\\x7FÀ-ÿ]*$"
 MEMORY_WORDS = 750_000
 
 
@@ -61,15 +64,17 @@ class WordEncoder:
 
     A word is cut further between an ASCII letter and a mark that follows it and
     around every digit, and ASCII letters are lower-cased: the tokenizer separates
-    and lower-cases there itself. Words that may hold a special token are left as
-    they are.
+    and lower-cases there itself. Words that may hold a special token, or characters
+    beyond Latin-1 letters, are left as they are: the tokenizer composes before it
+    lower-cases, and some letters with a mark are composed in lower case only.
 
     Pieces of lower-case Latin letters go to the tokenizer's model itself, others
     through the whole tokenizer. A tokenizer that does not work by lower-case words
     (a probe tells) encodes whole texts.
     """
 
-    PROBE = ["Hello, World.  don't: (x3) 42!\nLine two\tTAB", "L'ÉTÉ, naïve straße; ñandú über-x [a] {b} #c @d é", "the", "<|x|> y"]
+    PROBE = ["Hello, World.  don't: (x3) 42!\nLine two\tTAB", "L'ÉTÉ, naïve straße; ñandú über-x [a] {b} #c @d é", "the", "<|x|> y",
+             "J\u030c H\u0331. T\u0308 W\u030a Y\u030a, aJ\u030c1 J\u030cJ"]
     LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
@@ -155,7 +160,8 @@ class WordEncoder:
         distinct = coded.dictionary
         plain = pc.replace_substring_regex(pc.ascii_lower(distinct), LETTER_MARK, r"\1 \2")
         plain = pc.replace_substring_regex(plain, r"([0-9])", r" \1 ")
-        pieces = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(distinct, "<|"), distinct, plain))
+        whole = pc.or_(pc.match_substring(distinct, "<|"), pc.invert(pc.match_substring_regex(distinct, PLAIN_WORD)))
+        pieces = pc.ascii_split_whitespace(pc.if_else(whole, distinct, plain))
         piece_offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         piece_codes = pieces.flatten().dictionary_encode()
         slots = self._slots(piece_codes.dictionary.to_pylist())

@@ -85,6 +85,22 @@ def test_random_texts_equal_whole_text_encoding():
         assert ids[ends[k]:ends[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_letters_that_are_composed_in_lower_case_only():
+    """The tokenizer composes (NFC) before it lower-cases."""
+    import unicodedata
+
+    import pyarrow as pa
+    pairs = [c + chr(m) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in range(0x300, 0x370)]
+    only_lower = [p for p in pairs if len(unicodedata.normalize("NFC", p)) == 2 and len(unicodedata.normalize("NFC", p.lower())) == 1]
+    assert {"J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"} <= set(only_lower)
+    texts = [t for p in pairs for t in (p, f"a{p}b, X.{p}1 {p}!", f"É{p} Ça.")]
+    e = T.WordEncoder(T.default_tokenizer())
+    assert e.by_word and e.letters
+    ids, ends = e.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[ends[k]:ends[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     import pyarrow as pa
