@@ -41,6 +41,30 @@ def model(texts):
     return p
 
 
+def whole_order_model(texts, order):
+    c = {order: Counter()}
+    for t in texts:
+        b = b"\n" * (order - 1) + t.encode() + b"\n"
+        c[order].update(b[k:k + order] for k in range(len(b) - order + 1))
+    for k in range(order - 1, 0, -1):
+        c[k] = Counter(g[1:] for g in c[k + 1])
+    levels = []
+    for k in range(1, order + 1):
+        d, total, back = discounts(c[k]), Counter(), Counter()
+        for g, n in c[k].items():
+            total[g[:-1]] += n
+            back[g[:-1]] += d(n)
+        levels.append((c[k], d, total, back))
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / 256
+        c, d, total, back = levels[len(g) - 1]
+        if not total[g[:-1]]:
+            return low
+        return ((c[g] - d(c[g])) if c[g] else 0) / total[g[:-1]] + back[g[:-1]] / total[g[:-1]] * low
+    return p
+
+
 def perplexity(p, t):
     b = b"\n\n" + (t or "").encode() + b"\n"
     logs = [math.log(p((b[k], b[k + 1], b[k + 2]))) for k in range(len(b) - 2)]
@@ -127,6 +151,46 @@ def test_repetition_does_not_depend_on_length():
     assert abs(ratio[0] / ratio[2] - 1) < .3 and ratio[3] > 5 * ratio[0]
 
 
+def test_whole_order_equals_a_plain_model(spark):
+    import numpy as np
+    import pyarrow as pa
+    from tabloom.llm import quality_lm as Q
+    rows, junk, _ = corpus()
+    texts = [t for _, g, t in rows if g == "fr"]
+    plain = whole_order_model(texts, Q.ORDER)
+    counts = Counter(Q.grams(pa.array(texts))[0].tolist())
+    table = spark.createDataFrame([("fr", g, c) for g, c in counts.items()], "lang string, g long, c long")
+    for shards in (3, 40):
+        shard = {r.shard: Q._unpack_model(r.model) for r in Q.models(table, shards).collect()}
+        assert sorted(shard) == list(range(shards))
+        g = np.unique(Q.grams(pa.array([texts[0], junk[1][2], "le été eaux", "", "le le"]))[0])
+        for x in g.tolist():
+            want = math.log(plain(x.to_bytes(Q.ORDER, "big")))
+            got = Q.log_likelihood(shard[Q.shard_of(x >> 8 & 0xFFFF, shards)], np.array([x], np.uint64))[0]
+            assert abs(got - want) < 1e-4
+
+
+def test_all_trusted_text_is_counted(spark):
+    """A language with one trusted document has its model, however many there are."""
+    many = spark.range(40_000).selectExpr("id AS doc_id", "'en' AS lang", "concat('text ', id) AS text")
+    few = spark.range(40_000, 40_012).selectExpr("id AS doc_id", "concat('x', id) AS lang", "'alone' AS text")
+    docs = many.unionByName(few)
+    out = scores(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert out.filter("perplexity IS NULL OR threshold IS NULL").count() == 0 and out.count() == 40_012
+
+
+def test_languages_without_trusted_text_are_judged(spark):
+    docs = spark.read.parquet(f"{SF_LARGE}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_LARGE}/labels.parquet")
+    es = docs.filter("lang = 'es'").select("doc_id")
+    rows = scores(docs, labels.join(es, "doc_id", "left_anti")).filter("lang = 'es'").collect()
+    assert rows and all(r.perplexity is None and r.score is not None and r.threshold is not None for r in rows)
+    kept = {r.doc_id: r.kept for r in rows}
+    held = labels.join(es, "doc_id").collect()
+    good, bad = [kept[r.doc_id] for r in held if r.quality == 1], [kept[r.doc_id] for r in held if r.quality == 0]
+    assert sum(good) >= .97 * len(good) and sum(bad) <= .6 * len(bad)
+
+
 def test_query_returns_every_document(spark):
     df = E.queries()["op7_quality_lm"](spark, SF_SMALL)
     assert df.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
