@@ -271,11 +271,12 @@ def models(counts: DataFrame, shards: int) -> DataFrame:
 def _planes(x: np.ndarray, n: int) -> bytes:
     """The lowest ``n`` byte planes of unsigned integers, compressed."""
     b = x.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zlib.compress(np.ascontiguousarray(b[:, :n].T).tobytes(), 1)
+    return np.int64(n * len(x)).tobytes() + pa.compress(np.ascontiguousarray(b[:, :n].T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unplanes(data: bytes, n: int) -> np.ndarray:
-    b = np.frombuffer(zlib.decompress(data), np.uint8).reshape(n, -1)
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    b = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8).reshape(n, size // n)
     out = np.zeros((b.shape[1], 8), np.uint8)
     out[:, :n] = b.T
     return out.view("<u8").reshape(-1).astype(np.int64)
@@ -301,8 +302,8 @@ def _fresh(g: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def _document_blocks(salts: int, shards: int):
     """Blocks of documents of one group and shard: distinct n-grams (sorted, as
-    differences), in how many documents each is, these documents and its count in
-    each. A block's first shard tells ids, languages and repetition."""
+    differences), in how many documents each is, these documents (as differences
+    too) and its count in each. A block's first shard tells ids, languages and repetition."""
     def rows(batches):
         from pyspark import TaskContext
         row, block = TaskContext.get().partitionId() << 33, TaskContext.get().partitionId()
@@ -327,8 +328,12 @@ def _document_blocks(salts: int, shards: int):
                         key, count = np.unique((at.astype(np.uint64) << np.uint64(32)) | doc[pick].astype(np.uint64), return_counts=True)
                         held = np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(distinct))
                         delta = np.r_[distinct[:1], np.diff(distinct)]
+                        owners = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                        steps = np.diff(owners, prepend=0)
+                        first = np.cumsum(held) - held
+                        steps[first] = owners[first]
                         out.append((grp, s, block % salts, None, None, row, hi - lo, *about, _planes(delta, ORDER), _planes(held, 4),
-                                    _planes(key & np.uint64(0xFFFFFFFF), 4), _planes(count, 4)))
+                                    _planes(steps, 4), _planes(count, 4)))
                         about = (None, None, None)
                     row += hi - lo
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), _BLOCK_TYPES)], names=_BLOCK_NAMES)
@@ -352,8 +357,10 @@ def _score_blocks(batches):
             if blob is not None:
                 models[kind] = _unpack_model(blob)
                 continue
-            delta, held, owners, counts = (_unplanes(part.column(k)[0].as_py(), n) for k, n in ((10, ORDER), (11, 4), (12, 4), (13, 4)))
+            delta, held, steps, counts = (_unplanes(part.column(k)[0].as_py(), n) for k, n in ((10, ORDER), (11, 4), (12, 4), (13, 4)))
             g = np.cumsum(delta).astype(np.uint64)
+            first, total = np.cumsum(held) - held, np.cumsum(steps)
+            owners = total - np.repeat(total[first] - steps[first], held)
             sums = lambda each: np.bincount(owners, -counts * np.repeat(each, held), size)
             nothing = np.full(size, np.nan)
             plain = sums(log_likelihood(models[0], g, True)) if 0 in models and grp != POOLED else nothing
