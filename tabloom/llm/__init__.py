@@ -16,6 +16,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def load_all() -> dict[str, tuple]:
     """Registered queries: name -> (builder, oracle SQL or None)."""
-    from tabloom.llm import ann, jaccard, line_dedup, line_rules, mixing, packing, quality_lm, simhash, suffix_dedup, token_orc, warc  # noqa: F401
+    from tabloom.llm import ann, divergence, jaccard, line_dedup, line_rules, mixing, packing, quality_lm, simhash, suffix_dedup, token_orc, warc, whitening  # noqa: F401
     from tabloom.llm.common import REGISTRY
     return REGISTRY
