@@ -6,10 +6,15 @@
 * Double/triple smoothing run in ``applyInPandas`` per series, with the whole
   candidate grid vectorised in numpy (loop over time only).
 
-A series is a per-period aggregate, so one group holds at most the number of
-periods. Initial states: level = first value (single); level = y0 and trend =
-y1 - y0 (double); first-season means (triple). The reference lets its library
-estimate initial states, so results differ slightly by design.
+Tables without series keys, and tables with a series of more than
+``LONG_SERIES`` periods, are run by the block scan of
+:mod:`tabloom.operators.forecast.affine` (``plan="blocks"``), which gives the
+same candidates, scores and forecasts without a task per series.
+
+Initial states, ``initial="fixed"``: level = first value (single); level = y0
+and trend = y1 - y0 (double); first-season means (triple). With
+``initial="estimated"`` the start state of each candidate has the least squared
+one-step error on the part that it is fitted to.
 """
 
 from __future__ import annotations
@@ -21,10 +26,32 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import (OperatorError, as_list as _as_list, null_safe_join, present, qcol,
                                            require_columns)
+from tabloom.operators.forecast import affine
 from tabloom.operators.forecast.metrics import metric_exprs
+from tabloom.operators.windows import series_positions
+from tabloom.session import cut_lineage
 
 GRID = [round(0.1 * i, 1) for i in range(1, 10)]
 SEASONS = [2, 3, 4, 5, 6]
+LONG_SERIES = 200_000
+
+
+def _plan(df: DataFrame, keys, plan: str) -> str:
+    """``plan``, or for ``"auto"`` the plan that fits the longest series."""
+    if plan not in ("auto", "series", "blocks"):
+        raise OperatorError("plan must be 'auto', 'series' or 'blocks'")
+    if plan == "series" and not keys:
+        raise OperatorError("plan 'series' needs series_keys: a table of one series would be one task")
+    if plan != "auto":
+        return plan
+    if not keys:
+        return "blocks"
+    longest = df.groupBy(*[qcol(k) for k in keys]).count().agg(F.max("count")).head()[0]
+    return "blocks" if (longest or 0) > LONG_SERIES else "series"
+
+
+def _key_columns(keys) -> list:
+    return [F.col("key").getField(k).alias(k) for k in keys]
 
 
 def split_flags(df: DataFrame, target: str, time_column: str, keys, test_size: float,
@@ -44,7 +71,8 @@ def split_flags(df: DataFrame, target: str, time_column: str, keys, test_size: f
 
 def ses_search(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
                alphas=None, test_size: float = 0.2, select_on: str = "validation",
-               validation_size: float = 0.2) -> DataFrame:
+               validation_size: float = 0.2, initial: str = "fixed", plan: str = "auto",
+               block: int = affine.BLOCK) -> DataFrame:
     """FCT-3: single exponential smoothing over an alpha grid; flat forecast.
 
     ``select_on="test"`` reproduces the reference (chooses alpha on the test
@@ -57,6 +85,13 @@ def ses_search(df: DataFrame, target: str, time_column: str = "time", series_key
     grid = list(alphas) if alphas else GRID
     if select_on not in ("test", "validation"):
         raise OperatorError("select_on must be 'test' or 'validation'")
+    if initial not in ("fixed", "estimated"):
+        raise OperatorError("initial must be 'fixed' or 'estimated'")
+    if _plan(df, keys, plan) == "blocks":
+        grid_plan = affine.chunks(["single"], grid, [], [], [])
+        found, _ = affine.candidate_scores(df, target, time_column, keys, grid_plan, test_size, select_on, validation_size, initial, block)
+        return found.select(*_key_columns(keys), "alpha", "mape", "mae", "mse", "rmse", "r2", F.col("n_test").alias("n"),
+                            F.get("state", F.lit(0)).alias("level"), (F.col("rank") == 1).alias("best"))
     flagged = split_flags(df, target, time_column, keys, test_size,
                           validation_size if select_on == "validation" else 0.0)
     pt = F.struct(F.col("time").alias("t"), F.col("value").alias("v"))
@@ -69,8 +104,19 @@ def ses_search(df: DataFrame, target: str, time_column: str = "time", series_key
         return F.aggregate(F.slice(arr, 2, 1 << 30), F.try_element_at(arr, F.lit(1))["v"],
                            lambda acc, x: acc * (1 - F.col("alpha")) + x["v"] * F.col("alpha"))
 
-    cand = cand.select(*[qcol(k) for k in keys], "alpha", fold(F.col("_train")).alias("level"),
-                       fold(F.col("_fit")).alias("fit_level"))
+    def fitted(arr):
+        """The level from zero (s), the weight of the start (r) and the sums that give
+        the start with the least squared error (g / w)."""
+        def step(acc, x):
+            e = x["v"] - acc["s"]
+            return F.struct((acc["s"] + F.col("alpha") * e).alias("s"), (acc["r"] * (1 - F.col("alpha"))).alias("r"),
+                            (acc["g"] + acc["r"] * e).alias("g"), (acc["w"] + acc["r"] * acc["r"]).alias("w"))
+        begin = F.struct(*[F.lit(v).alias(c) for c, v in (("s", 0.0), ("r", 1.0), ("g", 0.0), ("w", 0.0))])
+        return F.aggregate(arr, begin, step, lambda acc: F.when(acc["w"] > 0, acc["s"] + acc["r"] * acc["g"] / acc["w"]))
+
+    level = fold if initial == "fixed" else fitted
+    cand = cand.select(*[qcol(k) for k in keys], "alpha", level(F.col("_train")).alias("level"),
+                       level(F.col("_fit")).alias("fit_level"))
     scored = null_safe_join(flagged, cand, keys, "inner")
     a = F.col("value")
     test = scored.filter("is_test").groupBy(*[qcol(k) for k in keys], "alpha").agg(
@@ -81,7 +127,7 @@ def ses_search(df: DataFrame, target: str, time_column: str = "time", series_key
         sel = scored.filter("is_valid").groupBy(*[qcol(k) for k in keys], "alpha").agg(
             F.avg(F.when(a != 0, F.abs((F.col("fit_level") - a) / a))).alias("_sel"))
     out = null_safe_join(test, sel, keys + ["alpha"], "left")
-    w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(F.col("_sel").asc_nulls_last(), "alpha")
+    w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(F.round("_sel", 12).asc_nulls_last(), "alpha")
     return out.withColumn("best", F.row_number().over(w) == 1).drop("_sel")
 
 
@@ -146,9 +192,24 @@ SMOOTHING_SCHEMA = ("method string, alpha double, beta double, gamma double, sea
 
 
 def smoothing_group(pdf: pd.DataFrame, methods, alphas, betas, gammas, seasons, test_size,
-                    select_on: str = "test", validation_size: float = 0.2, extra_periods: int = 0) -> pd.DataFrame:
+                    select_on: str = "test", validation_size: float = 0.2, extra_periods: int = 0,
+                    initial: str = "fixed") -> pd.DataFrame:
     """Best double and triple candidates for one series (pandas in, pandas out);
     a method that the series is too short for gives a row with the reason."""
+    if initial == "fixed":
+        holt, winters = holt_paths, holt_winters_paths
+    else:
+        def estimated(method, m, y, alpha, beta, gamma, steps):
+            k = affine.Chunk(method, m, alpha, beta, gamma, 0)
+            if len(y) < k.need:
+                raise ValueError("series too short")
+            return affine.forecast(k, affine.smoothed_states(k, y, "estimated"), np.arange(1, steps + 1))
+
+        def holt(y, a, b, steps):
+            return estimated("double", 0, y, a, b, np.zeros_like(a), steps)
+
+        def winters(y, a, b, g, m, steps):
+            return estimated("triple", m, y, a, b, g, steps)
     pdf = pdf.sort_values("time")
     y = pdf["value"].to_numpy(dtype=float)
     n_train = int(np.floor(len(y) * (1 - test_size)))
@@ -162,14 +223,14 @@ def smoothing_group(pdf: pd.DataFrame, methods, alphas, betas, gammas, seasons,
     if "double" in methods and len(train) >= 2 and len(test) > 0:
         A, B = np.meshgrid(alphas, betas, indexing="ij")
         A, B = A.ravel(), B.ravel()
-        score = _mape_skip(holt_paths(fit, A, B, len(sel)), sel) if len(fit) >= 2 and len(sel) else None
-        k = int(np.nanargmin(score)) if score is not None and np.isfinite(score).any() else 0
-        pred = holt_paths(train, A[k:k + 1], B[k:k + 1], len(test))[0]
+        score = _mape_skip(holt(fit, A, B, len(sel)), sel) if len(fit) >= 2 and len(sel) else None
+        k = int(np.nanargmin(np.round(score, 12))) if score is not None and np.isfinite(score).any() else 0
+        pred = holt(train, A[k:k + 1], B[k:k + 1], len(test))[0]
         rows.append({"method": "double", "alpha": A[k], "beta": B[k], "gamma": None, "season_period": None,
                      "mape": float(_mape_skip(pred[None, :], test)[0]), **_metrics(pred, test),
                      "n_test": len(test), "candidates": len(A), "failures": 0, "actual": list(test),
                      "predicted": list(pred),
-                     "future": list(holt_paths(y, A[k:k + 1], B[k:k + 1], extra_periods)[0]) if extra_periods else []})
+                     "future": list(holt(y, A[k:k + 1], B[k:k + 1], extra_periods)[0]) if extra_periods else []})
     elif "double" in methods:
         rows.append({"method": "double", "n_test": len(test), "warning": "series too short for double smoothing"})
     if "triple" in methods and len(test) > 0:
@@ -178,21 +239,22 @@ def smoothing_group(pdf: pd.DataFrame, methods, alphas, betas, gammas, seasons,
             A, B, G = (x.ravel() for x in np.meshgrid(alphas, betas, gammas, indexing="ij"))
             total += len(A)
             try:
-                score = _mape_skip(holt_winters_paths(fit, A, B, G, m, len(sel)), sel)
+                score = _mape_skip(winters(fit, A, B, G, m, len(sel)), sel)
             except ValueError:
                 fails += len(A)
                 continue
             if not np.isfinite(score).any():
                 continue
+            score = np.round(score, 12)  # equal but for rounding: the first one
             k = int(np.nanargmin(score))
             if best is None or score[k] < best[0]:
                 best = (score[k], A[k], B[k], G[k], m)
         if best is not None:
             _, a, b, g, m = best
             one = np.array([a]), np.array([b]), np.array([g])
-            pred = holt_winters_paths(train, *one, m, len(test))[0]
+            pred = winters(train, *one, m, len(test))[0]
             rows.append({"actual": list(test), "predicted": list(pred),
-                         "future": list(holt_winters_paths(y, *one, m, extra_periods)[0]) if extra_periods else [],
+                         "future": list(winters(y, *one, m, extra_periods)[0]) if extra_periods else [],
                          "method": "triple", "alpha": a, "beta": b, "gamma": g, "season_period": m,
                          "mape": float(_mape_skip(pred[None, :], test)[0]), **_metrics(pred, test),
                          "n_test": len(test), "candidates": total, "failures": fails})
@@ -214,15 +276,22 @@ def without_nan(out: pd.DataFrame) -> pd.DataFrame:
 def smoothing_search(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
                      methods=("double", "triple"), alphas=None, betas=None, gammas=None,
                      seasons=None, test_size: float = 0.2, select_on: str = "test",
-                     extra_periods: int = 0) -> DataFrame:
+                     extra_periods: int = 0, initial: str = "fixed", plan: str = "auto",
+                     block: int = affine.BLOCK, validation_size: float = 0.2) -> DataFrame:
     """FCT-4/5: double and triple smoothing grids, one pandas group per series,
     with the actual and predicted test values and ``extra_periods`` future ones.
 
+    The block plan leaves ``actual`` and ``predicted`` NULL (a long series' test
+    part is no cell); :func:`long_forecasts` gives them as rows.
     Missing values (NULL or NaN) are left out of their series."""
     keys = _as_list(series_keys)
-    if not keys:
-        raise OperatorError("smoothing needs series_keys: a table of one series is one task")
     require_columns(df, keys + [target, time_column])
+    if initial not in ("fixed", "estimated"):
+        raise OperatorError("initial must be 'fixed' or 'estimated'")
+    if _plan(df, keys, plan) == "blocks":
+        found = _search_blocks(df, target, time_column, keys, methods, alphas, betas, gammas, seasons, test_size, select_on,
+                               validation_size, initial, block, extra_periods)
+        return found.select(*[qcol(k) for k in keys], *[c.split()[0] for c in SMOOTHING_SCHEMA.split(", ")])
     a = np.array(alphas or GRID, dtype=float)
     b = np.array(betas or GRID, dtype=float)
     g = np.array(gammas or GRID, dtype=float)
@@ -232,7 +301,7 @@ def smoothing_search(df: DataFrame, target: str, time_column: str = "time", seri
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
 
     def fn(key, pdf):
-        out = smoothing_group(pdf, methods, a, b, g, ms, test_size, select_on, extra_periods=extra_periods)
+        out = smoothing_group(pdf, methods, a, b, g, ms, test_size, select_on, validation_size, extra_periods, initial)
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out
@@ -240,6 +309,57 @@ def smoothing_search(df: DataFrame, target: str, time_column: str = "time", seri
     return base.groupBy(*[qcol(k) for k in keys]).applyInPandas(fn, f"{key_schema}, {SMOOTHING_SCHEMA}")
 
 
+def _search_blocks(df, target, time_column, keys, methods, alphas, betas, gammas, seasons, test_size, select_on, validation_size,
+                   initial, block, extra_periods) -> DataFrame:
+    """The best candidate of every series and method by the block scan, with its
+    states at the ends of the train part and of the series."""
+    plan = affine.chunks(methods, list(alphas or GRID), list(betas or GRID), list(gammas or GRID), list(seasons or SEASONS))
+    found, series = affine.candidate_scores(df, target, time_column, keys, plan, test_size, select_on, validation_size, initial, block)
+    best = found.filter("rank = 1").filter((F.col("method") != "triple") | F.col("score").isNotNull())
+    spark = df.sparkSession
+    totals = spark.createDataFrame([(k, m, sum(len(c) for c in plan if c.method == k and c.m == m)) for k, m in
+                                    dict.fromkeys((c.method, c.m) for c in plan)], "method string, m int, size long")
+    fails = (F.col("method") == "triple") & (F.col("n_fit") < 2 * F.col("m"))
+    tries = (series.join(F.broadcast(totals)).groupBy("key", "n", "n_train", "method")
+             .agg(F.sum("size").alias("candidates"), F.sum(F.when(fails, F.col("size")).otherwise(0)).alias("failures")))
+    out = tries.withColumnRenamed("key", "tk").withColumnRenamed("method", "tm").join(
+        best, F.expr("tk <=> key AND tm = method"), "left")
+    text = F.concat(F.lit("series too short for "), F.col("tm"), F.lit(" smoothing"),
+                    F.when((F.col("tm") == "triple") & (F.col("n") > F.col("n_train")), ", or no test period with demand").otherwise(""))
+    none = F.lit(None).cast("array<double>")
+    steps = F.sequence(F.lit(1), F.lit(extra_periods)) if extra_periods else F.array().cast("array<int>")
+    future = F.transform(steps, lambda h: affine.forecast_column(F.col("tm"), F.col("last_state"), F.col("season_period"), h))
+    tried = F.when(F.col("method").isNotNull() | ((F.col("tm") == "triple") & (F.col("n") > F.col("n_train"))), F.lit(True))
+    return out.select(*[F.col("tk").getField(k).alias(k) for k in keys], F.col("tm").alias("method"), "alpha", "beta", "gamma", "season_period",
+                      "mape", "mae", "mse", "rmse", "r2", (F.col("n") - F.col("n_train")).alias("n_test"),
+                      F.when(tried, F.col("candidates")).alias("candidates"), F.when(tried, F.col("failures")).alias("failures"),
+                      F.when(F.col("method").isNull(), text).alias("warning"), none.alias("actual"), none.alias("predicted"),
+                      F.when(F.col("method").isNotNull(), future).alias("future"), F.col("tk").alias("series"), "state", "n", "n_train")
+
+
+def long_forecasts(df: DataFrame, target: str, time_column: str = "time", series_keys=(), methods=("single", "double", "triple"),
+                   alphas=None, betas=None, gammas=None, seasons=None, test_size: float = 0.2, select_on: str = "test",
+                   extra_periods: int = 0, initial: str = "fixed", block: int = affine.BLOCK, validation_size: float = 0.2) -> DataFrame:
+    """Rows of FCT-3..6 for series of any length: ``keys, method, step, actual,
+    predicted`` of the test part and, with NULL actuals, of the future."""
+    keys = _as_list(series_keys)
+    require_columns(df, keys + [target, time_column])
+    found = _search_blocks(df, target, time_column, keys, methods, alphas, betas, gammas, seasons, test_size, select_on,
+                           validation_size, initial, block, extra_periods).filter("state IS NOT NULL")
+    found = cut_lineage(found.select("series", "method", "season_period", "state", "n", "n_train", "future"))
+    key = F.struct(*[qcol(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    base = df.select(key.alias("key"), qcol(time_column).alias("time"), present(df, target).cast("double").alias("actual")).filter("actual IS NOT NULL")
+    rows = series_positions(base, "time", "key", rows_per_block=max(block, 1), pos="p", size="size")
+    step = F.col("p") - F.col("n_train")
+    tests = (rows.join(found, F.expr("key <=> series")).filter(step > 0)
+             .select("series", "method", step.alias("step"), "actual",
+                     affine.forecast_column(F.col("method"), F.col("state"), F.col("season_period"), step).alias("predicted")))
+    later = (found.select("series", "method", F.col("n") - F.col("n_train"), F.posexplode("future").alias("i", "predicted"))
+             .toDF("series", "method", "n_test", "i", "predicted")
+             .select("series", "method", (F.col("n_test") + F.col("i") + 1).alias("step"), F.lit(None).cast("double").alias("actual"), "predicted"))
+    return tests.unionByName(later).select(*[F.col("series").getField(k).alias(k) for k in keys], "method", "step", "actual", "predicted")
+
+
 def smoothing_forecasts(ses: DataFrame, others: DataFrame, series_keys, extra_periods: int = 0) -> DataFrame:
     """Rows of FCT-3..6: ``keys, method, step, actual, predicted`` of the test
     part and, with NULL actuals, of the future. ``ses`` comes from

@@ -146,6 +146,90 @@ def fct4(spark, d):
     return round_all(out.filter("warning IS NULL").select("p_type", "alpha", "beta", "n_test", "mape", "mae", "rmse"))
 
 
+@register("fct3_ses_blocks", SES_SQL)
+def fct3_blocks(spark, d):
+    """The plan for long series, forced on the small table."""
+    return round_all(sm.ses_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], select_on="test", plan="blocks", block=16))
+
+
+#: The total demand as one series without keys, and double smoothing of it.
+TOTAL = DEMAND + """,
+s AS (SELECT list(demand::DOUBLE ORDER BY month) AS y, count(*) AS n, CAST(floor(count(*) * (1 - 0.2)) AS BIGINT) AS k
+  FROM (SELECT month, sum(demand) AS demand FROM d GROUP BY month)),
+g AS (SELECT round(0.1 * i, 1) AS v FROM (SELECT unnest(range(1, 10)) AS i))"""
+
+
+def _total(spark, d):
+    return fx.demand_monthly(spark, d).groupBy("month").agg(F.sum("demand").alias("demand"))
+
+
+@register("fct4_one_series_blocks", TOTAL + """,
+f AS (SELECT y, n, k, a.v AS alpha, b.v AS beta, list_reduce(list_slice(y, 2, k),
+    lambda acc, x: {'l': a.v * x + (1 - a.v) * (acc.l + acc.b),
+      'b': b.v * ((a.v * x + (1 - a.v) * (acc.l + acc.b)) - acc.l) + (1 - b.v) * acc.b},
+    {'l': y[1], 'b': y[2] - y[1]}) AS st
+  FROM s, g a, g b WHERE k >= 2 AND n > k),
+e AS (SELECT alpha, beta, n - k AS n_test, y[k + h] AS a, st.l + st.b * h AS p
+  FROM (SELECT *, unnest(range(1, n - k + 1)) AS h FROM f)),
+m AS (SELECT alpha, beta, n_test, avg(CASE WHEN a <> 0 THEN abs((p - a) / a) END) AS mape,
+  avg(abs(p - a)) AS mae, sqrt(avg((p - a) * (p - a))) AS rmse FROM e GROUP BY ALL)
+SELECT alpha, beta, n_test, round(mape, 6) AS mape, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM m
+ORDER BY round(mape, 10), alpha, beta LIMIT 1""")
+def fct4_total(spark, d):
+    out = sm.smoothing_search(_total(spark, d), "demand", "month", methods=("double",), block=16)
+    return round_all(out.select("alpha", "beta", "n_test", "mape", "mae", "rmse"))
+
+
+@register("fct3_ses_estimated", DEMAND + """,
+s AS (SELECT p_type, list(demand::DOUBLE ORDER BY month) AS y, count(*) AS n,
+  CAST(floor(count(*) * (1 - 0.2)) AS BIGINT) AS k FROM d GROUP BY p_type),
+g AS (SELECT round(0.1 * i, 1) AS v FROM (SELECT unnest(range(1, 10)) AS i)),
+f AS (SELECT p_type, y, n, k, a.v AS alpha, list_reduce(list_slice(y, 1, k),
+    lambda acc, x: {'s': acc.s + a.v * (x - acc.s), 'r': acc.r * (1 - a.v), 'g': acc.g + acc.r * (x - acc.s),
+      'w': acc.w + acc.r * acc.r}, {'s': 0.0::DOUBLE, 'r': 1.0::DOUBLE, 'g': 0.0::DOUBLE, 'w': 0.0::DOUBLE}) AS st
+  FROM s, g a WHERE k >= 1 AND n > k),
+e AS (SELECT p_type, alpha, st.s + st.r * st.g / st.w AS level, unnest(list_slice(y, k + 1, n)) AS a FROM f)
+SELECT p_type, alpha, round(level, 6) AS level, round(avg(CASE WHEN a <> 0 THEN abs((level - a) / a) END), 6) AS mape,
+  round(avg(abs(level - a)), 6) AS mae, count(*) AS n FROM e GROUP BY p_type, alpha, level""")
+def fct3_estimated(spark, d):
+    """Start levels with the least squared one-step error."""
+    out = sm.ses_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], select_on="test", initial="estimated")
+    return round_all(out.select("p_type", "alpha", "level", "mape", "mae", "n"))
+
+
+@register("fct5_triple_smoothing", DEMAND + """,
+s AS (SELECT p_type, list(demand::DOUBLE ORDER BY month) AS y, count(*) AS n,
+  CAST(floor(count(*) * (1 - 0.2)) AS BIGINT) AS k FROM d GROUP BY p_type),
+g AS (SELECT round(0.1 * i, 1) AS v FROM (SELECT unnest(range(1, 10)) AS i)),
+b AS (SELECT *, list_avg(list_slice(y, 1, m)) AS l0, list_avg(list_slice(y, m + 1, 2 * m)) AS l1
+  FROM s, (SELECT unnest(range(2, 7)) AS m) WHERE k >= 2 * m AND n > k),
+f AS (SELECT p_type, y, n, k, m, al.v AS alpha, be.v AS beta, ga.v AS gamma, list_reduce(list_slice(y, m + 1, k),
+    lambda acc, x: {
+      'l': al.v * (x - acc.q[1]) + (1 - al.v) * (acc.l + acc.b),
+      'b': be.v * ((al.v * (x - acc.q[1]) + (1 - al.v) * (acc.l + acc.b)) - acc.l) + (1 - be.v) * acc.b,
+      'q': list_append(list_slice(acc.q, 2, m),
+             ga.v * (x - (al.v * (x - acc.q[1]) + (1 - al.v) * (acc.l + acc.b))) + (1 - ga.v) * acc.q[1])},
+    {'l': l0, 'b': (l1 - l0) / m, 'q': list_transform(list_slice(y, 1, m), lambda v: v - l0)}) AS st
+  FROM b, g al, g be, g ga),
+e AS (SELECT p_type, m, alpha, beta, gamma, n - k AS n_test, y[k + h] AS a, st.l + st.b * h + st.q[(h - 1) % m + 1] AS p
+  FROM (SELECT *, unnest(range(1, n - k + 1)) AS h FROM f)),
+r AS (SELECT p_type, m, alpha, beta, gamma, n_test, avg(CASE WHEN a <> 0 THEN abs((p - a) / a) END) AS mape,
+  avg(abs(p - a)) AS mae, sqrt(avg((p - a) * (p - a))) AS rmse FROM e GROUP BY ALL)
+SELECT p_type, alpha, beta, gamma, m::INTEGER AS season_period, n_test, round(mape, 6) AS mape, round(mae, 6) AS mae,
+  round(rmse, 6) AS rmse FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY round(mape, 10), m, alpha, beta, gamma) AS rk FROM r) WHERE rk = 1""")
+def fct5(spark, d):
+    out = sm.smoothing_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], methods=("triple",))
+    return round_all(out.filter("warning IS NULL").select("p_type", "alpha", "beta", "gamma", "season_period", "n_test", "mape", "mae", "rmse"))
+
+
+@register("fct5_estimated_start")
+def fct5_estimated(spark, d):
+    """Double and triple smoothing with estimated start states, by the block plan."""
+    return round_all(_no_lists(sm.smoothing_search(fx.demand_monthly(spark, d), "demand", "month", ["p_type"], initial="estimated",
+                                                   plan="blocks")))
+
+
 @register("fct6_best_smoothing")
 def fct6(spark, d):
     dem = fx.demand_monthly(spark, d)
@@ -247,7 +331,7 @@ def _fct11_sql(zero):
     mape = ("avg(abs((p - a) / CASE WHEN a = 0 THEN 1e-10 ELSE a END))" if zero == "epsilon"
             else "avg(CASE WHEN a <> 0 THEN abs((p - a) / a) END)")
     return f"""SELECT l_returnflag, round({mape}, 6) AS mape, round(avg(abs(p - a)), 6) AS mae,
-  round(avg((p - a) ^ 2), 6) AS mse, round(sqrt(avg((p - a) ^ 2)), 6) AS rmse,
+  round(avg((p - a) ^ 2), 3) AS mse, round(sqrt(avg((p - a) ^ 2)), 6) AS rmse,
   round(CASE WHEN var_pop(a) * count(a) = 0 THEN 0.0 ELSE 1 - sum((p - a) ^ 2) / (var_pop(a) * count(a)) END, 6) AS r2,
   CAST(count(*) AS BIGINT) AS n FROM (SELECT l_returnflag, l_extendedprice AS a, l_quantity * 2000 AS p FROM lineitem)
   GROUP BY l_returnflag"""
@@ -257,7 +341,8 @@ def _fct11(zero):
     def q(spark, d):
         li = fx.load(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("actual"),
                                                   (F.col("l_quantity") * 2000).alias("predicted"))
-        return round_all(forecast_metrics(li, by=["l_returnflag"], zero=zero))
+        out = forecast_metrics(li, by=["l_returnflag"], zero=zero).withColumn("mse", F.round("mse", 3))  # about 1e9
+        return round_all(out)
     return q
 
 
