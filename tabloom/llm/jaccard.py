@@ -93,9 +93,10 @@ def bitmap_allows(n1, n2, bits1, bits2, percent: int):
 
 # -- sets -------------------------------------------------------------------
 
-SCAN_SCHEMA = "doc long, n long, sid long, bits binary, block int, cells binary"
+SCAN_SCHEMA = "doc long, tkey long, n long, sid long, bits binary, block int, cells binary"
 _SCAN_NAMES = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
 
+
 def _names_and_counts(width: int):
     def rows(batches):
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -108,12 +109,12 @@ def _names_and_counts(width: int):
                 np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(names, pa.int64()),
+                [pa.array(ids, pa.int64()), batch.column(2), pa.array(ns, pa.int64()), pa.array(names, pa.int64()),
                  pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_SCAN_NAMES)
         step = len(cells) // SKETCH_BLOCKS
         blocks = [zlib.compress(cells[k * step:(k + 1) * step].tobytes(), 1) for k in range(SKETCH_BLOCKS)]
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(SKETCH_BLOCKS, pa.int64())] * 3, pa.nulls(SKETCH_BLOCKS, pa.binary()),
+            [*[pa.nulls(SKETCH_BLOCKS, pa.int64())] * 4, pa.nulls(SKETCH_BLOCKS, pa.binary()),
              pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=_SCAN_NAMES)
     return rows
 
@@ -274,18 +275,6 @@ def _live_entries(percent: int):
     return _lists(3, lambda held: np.arange(len(held[0]) - WINDOW, len(held[0])), emit)
 
 
-def _size_blocks(start: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """First row of the size block of each row: a list's rows from one size up to
-    the largest that may link with it."""
-    block = start.copy()
-    while True:
-        over = np.flatnonzero(100 * n[block] < percent * n)
-        if not len(over):
-            return block
-        first = np.r_[True, block[over][1:] != block[over][:-1]]
-        block[over] = np.repeat(over[first], np.diff(np.r_[np.flatnonzero(first), len(over)]))
-
-
 def _list_partners(percent: int):
     """Stream of lists with bitmaps -> the entries (token, sid, meta, bits, partner)
     that may have a partner in the list.
@@ -411,11 +400,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # -- the join -----------------------------------------------------------------
 
 def named_classes(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
-    """(doc, n, sid, component) of every row of ``docs``."""
+    """(doc, tkey, n, sid, root, component) of every row of ``docs``: ``tkey`` is
+    the xxhash64 of the text, ``root`` the set name that all of a class share."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    scan = stored(d.mapInArrow(_names_and_counts(width), SCAN_SCHEMA), "sets")
-    named = scan.filter("block IS NULL").select("doc", "n", "sid")
+    scan = stored(d.select("doc", "text", F.xxhash64("text").alias("tkey")).mapInArrow(_names_and_counts(width), SCAN_SCHEMA), "sets")
+    named = scan.filter("block IS NULL").select("doc", "tkey", "n", "sid")
     order = spark.sparkContext.broadcast(rarity(scan.filter("block IS NOT NULL").select("block", "cells")))
 
     def by_list(entries, walk, schema):
@@ -461,7 +451,7 @@ def named_classes(docs: DataFrame, id_col: str, text: str, width: int, percent:
               .withColumn("root", F.coalesce("root", "sid")).drop("node"))
     first = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("first"))
     return (joined.join(first.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left")
-            .select("doc", "n", "sid", F.when(F.col("doc").isNull(), F.lit(None))
+            .select("doc", "tkey", "n", "sid", "root", F.when(F.col("doc").isNull(), F.lit(None))
                     .when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("first")).alias("component")))
 
 
@@ -473,11 +463,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5,
                   percent: int = 80) -> DataFrame:
-    """``docs`` with the document of the smallest id of every class; rows that
-    repeat an id and its text count once, rows without id or words all stay."""
-    c = classes(docs, id_col, text, width, percent)
-    drop = (c.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct())
-    left = docs.join(drop, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one row of every class: of its rows with the smallest id, the
+    one whose text has the smallest hash. Ids may repeat, with one text or several:
+    rows are told apart by id and text, so a row leaves only for a row of its own
+    class. Rows that repeat an id and its text count once; rows without id or
+    words all stay."""
+    named = named_classes(docs, id_col, text, width, percent).filter("doc IS NOT NULL AND root IS NOT NULL")
+    first = named.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("doc", "tkey")).alias("stays"))
+    gone = (named.join(first, F.col("root") == F.col("r")).filter("doc <> stays.doc OR tkey <> stays.tkey")
+            .select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey")).distinct())
+    left = docs.join(gone, (F.col(id_col) == F.col("__doc")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__tkey")), "left_anti")
     whole = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text])
     return whole.unionByName(left.filter(F.col(id_col).isNull()))
 

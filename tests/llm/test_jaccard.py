@@ -73,16 +73,41 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, width, percent, lon
     assert sorted([tuple(r) for r in got], key=str) == brute(rows, width, percent)
 
 
+def class_of(rows, width, percent):
+    """Every row with the number of its class among the rows with id and words."""
+    numbered = [(k, t) for k, (i, t) in enumerate(rows) if i is not None and WORD.search(t or "")]
+    label = {k: c for k, _, c in brute(numbered, width, percent)}
+    return [label.get(k) for k in range(len(rows))]
+
+
 def test_one_per_class(spark):
     rows = sample(4)
     df = frame(spark, rows)
     out = J.one_per_class(df, width=5, percent=80)
     assert out.columns == df.columns
-    keep = {i for i, _, c in brute(rows, 5, 80) if i == c}
     got = [(r.doc_id, r.text) for r in out.collect()]
-    assert {i for i, _ in got if i is not None} <= keep
-    assert len([1 for i, _ in got if i is None]) == 1
-    assert len(got) == len(set(got))
+    label = class_of(rows, 5, 80)
+    classes = {}
+    for row, c in zip(rows, label):
+        classes.setdefault(c, []).append(row)
+    free = classes.pop(None)
+    for c, members in classes.items():  # every class keeps exactly one row, of its smallest id
+        kept = [g for g in got if g in members]
+        assert len(kept) == 1 and kept[0][0] == min(i for i, _ in members), c
+    assert len(got) == len(classes) + len(set(free))
+
+
+def test_one_per_class_with_ids_on_several_texts(spark):
+    r = random.Random(9)
+    word = lambda n: " ".join("v%d" % r.randrange(5000) for _ in range(n))
+    a, b, c = word(80), word(80), word(80)
+    rows = [(1, a), (3, a + " end"), (3, b), (7, b + " end"), (8, c), (8, c + " end"), (8, c), (None, a), (9, None), (9, ""), (9, None)]
+    got = sorted([(x.doc_id, x.text) for x in J.one_per_class(frame(spark, rows)).collect()], key=str)
+    of = lambda *texts: [g for g in got if g[1] in texts and g[0] is not None]
+    assert of(a, a + " end") == [(1, a)]
+    assert of(b, b + " end") == [(3, b)]
+    assert len(of(c, c + " end")) == 1 and of(c, c + " end")[0][0] == 8
+    assert [g for g in got if not g[1] or g[0] is None] == sorted([(None, a), (9, None), (9, "")], key=str)
 
 
 def test_empty_table(spark):
