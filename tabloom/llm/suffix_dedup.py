@@ -51,6 +51,7 @@ GRAM = 20
 LEFT = WIDTH - GRAM
 RUN_BYTES = 8 << 20
 HOT_GROUP = 50_000
+MAX_RANGES = 1 << 16  # splitters that the driver holds; beyond 512 GB of text ranges grow
 PIECE = SLICE_BYTES // 2
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -83,7 +84,8 @@ def _piece_stretches(data: np.ndarray, lengths: np.ndarray):
     lo, hi = s[first], s[np.r_[first[1:] - 1, len(s) - 1]]
     end = hi + WIDTH
     whole = mixed((total[end] - total[lo]) * inv[lo] + (end - lo).astype(np.uint64))
-    return a[first], lo, hi, grams[a[first]] >> np.uint64(16), whole
+    # an anchor's hash is the least of many: mixed once more, its keys fill all ranges alike
+    return a[first], lo, hi, mixed(grams[a[first]]) >> np.uint64(16), whole
 
 
 def stretches(texts: pa.Array):
@@ -380,13 +382,13 @@ def _runs_and_splitters(d: DataFrame, run_bytes: int) -> tuple[int, list[int]]:
     b = F.encode("text", "utf-8")
     at = F.pmod(F.xxhash64("doc", F.lit(3)), F.greatest(F.octet_length(b), F.lit(1)).cast("long")).cast("int") + 1
     head = F.conv(F.hex(F.rpad(F.substring(b, at, 6), 6, F.lit(b"\0"))), 16, 10).cast("long")
-    steps = [k / 1024 for k in range(1, 1024)]
-    row = d.select(F.octet_length(b).alias("n"), head.alias("h")).agg(
-        F.sum("n"), F.percentile_approx("h", steps, 10000)).head()
-    n = max(1, -(-(row[0] or 0) // run_bytes))
-    cuts = sorted(set(row[1] or []))
-    step = max(1, len(cuts) // min(n, 1024))
-    return n, cuts[step - 1::step] if n > 1 else []
+    sized = d.select(F.octet_length(b).alias("n"), head.alias("h"))
+    n = max(1, -(-(sized.agg(F.sum("n")).head()[0] or 0) // run_bytes))
+    if n == 1:
+        return n, []
+    ranges = min(n, MAX_RANGES)
+    cuts = sized.agg(F.percentile_approx("h", [k / ranges for k in range(1, ranges)], 10 * ranges)).head()[0]
+    return n, sorted(set(cuts or []))
 
 
 def _expand(docs: DataFrame, id_col: str, text: str) -> DataFrame:
