@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError, qcol, row_hash
 from tabloom.operators import stats as st
+from tabloom.operators.knn_information import mutual_info_knn
 from tabloom.operators.ml import build_pipeline, classification_metrics, regression_metrics
 from tabloom.operators.sampling import train_test_split
 from tabloom.operators.windows import numbered
@@ -161,6 +162,9 @@ def select_features(df: DataFrame, features, target: str, method: str = "f_regre
     if method == "mutual_info":
         cls = _task(df, target, task) == "classification"
         return _pick(st.mutual_info(df, feats, target, classification=cls), k, threshold, n)
+    if method == "mutual_info_knn":
+        cls = _task(df, target, task) == "classification"
+        return _pick(mutual_info_knn(df, feats, target, cls, seed=seed), k, threshold, n)
     if method == "rf_importance":
         imp = rf_importance(df, feats, target, task, n_trees=n_trees, seed=seed) \
             .select("feature", F.col("importance").alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import fault as flt
 from tabloom.operators import features as fe
 from tabloom.operators import stats as st
+from tabloom.operators.knn_information import mutual_info_knn
 from tabloom.plans import fixtures as fx
 from tabloom.plans.queries_profile import round_all, union_sql
 from tabloom.plans.registry import register
@@ -126,6 +127,37 @@ def sta9(spark, d):
     return round_all(st.mutual_info(fx.load(spark, d, "lineitem"), FEATS, "l_returnflag"))
 
 
+def _cents(spark, d):
+    """Events with the value in whole cents, so that equal distances are equal numbers."""
+    return fx.load(spark, d, "events").select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).alias("cents"))
+
+
+@register("sta9_mutual_info_knn", """
+WITH c AS (SELECT event_type AS y, round(value * 100) AS x FROM events),
+s AS (SELECT y, count(*) AS n FROM c GROUP BY y HAVING count(*) > 1),
+r AS (SELECT c.y, x, n, least(3, n - 1) AS k, [x, lag(x, 1) OVER w, lag(x, 2) OVER w, lag(x, 3) OVER w] AS lo,
+    [x, lead(x, 1) OVER w, lead(x, 2) OVER w, lead(x, 3) OVER w] AS hi
+  FROM c JOIN s ON c.y = s.y WINDOW w AS (PARTITION BY c.y ORDER BY x)),
+d AS (SELECT y, x, n, k, list_min(list_transform(range(0, k + 1), lambda a: CASE WHEN lo[a + 1] IS NULL OR hi[k - a + 1] IS NULL
+    THEN NULL ELSE greatest(x - lo[a + 1], hi[k - a + 1] - x) END)) AS d FROM r),
+u AS (SELECT x, d, n, k, count(*) AS w FROM d GROUP BY ALL),
+v AS (SELECT x, count(*) AS w FROM d GROUP BY x),
+m AS (SELECT u.x, u.d, u.n, u.k, u.w, sum(v.w) AS m FROM u JOIN v
+  ON v.x BETWEEN u.x - u.d AND u.x + u.d AND (abs(v.x - u.x) < u.d OR v.x = u.x) GROUP BY ALL),
+h AS (SELECT i, sum(1.0::DOUBLE / i) OVER (ORDER BY i) - 1.0 / i AS h FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM c))) AS i))
+SELECT 'cents' AS feature, round(greatest(0, (SELECT h FROM h WHERE i = (SELECT count(*) FROM d))
+  + sum(w * (hk.h - hn.h - hm.h)) / sum(w)), 6) AS score
+FROM m JOIN h hk ON hk.i = m.k JOIN h hn ON hn.i = m.n JOIN h hm ON hm.i = m.m""")
+def sta9_knn(spark, d):
+    return round_all(mutual_info_knn(_cents(spark, d), ["cents"], "event_type", noise=False))
+
+
+@register("sta9_mutual_info_knn_continuous")
+def sta9_knn_continuous(spark, d):
+    """Neighbours in the plane of each feature and the price; ties broken by a hash of the row."""
+    return mutual_info_knn(fx.load(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", classification=False)
+
+
 # ------------------------------------------------------------------ FE-1..9
 def _fe(op, cols, sql):
     def q(spark, d):

@@ -14,7 +14,7 @@ import uuid
 from dataclasses import dataclass
 
 from tabloom.functions.expressions import OperatorError
-from tabloom.operators import (clean, ensemble, fault, features, importance, ml, profile, quality, relational, sampling,
+from tabloom.operators import (clean, ensemble, fault, features, importance, knn_information, ml, profile, quality, relational, sampling,
                                stats, tuning, windows)
 from tabloom.operators.forecast import arima, intermittent, metrics, moving, network, regressors, smoothing
 from tabloom.sources.catalog import Catalog
@@ -112,6 +112,7 @@ OPERATORS.update({name: (getattr(module, name), ["df"]) for module, names in {
     features: ("interaction", "standardize", "minmax_scale", "time_features"),
     stats: ("outliers", "outlier_counts", "correlation", "correlation_matrix", "average_rank", "f_regression", "chi2_scores",
             "mutual_info", "detect_tasks"),
+    knn_information: ("mutual_info_knn",),
     importance: ("rf_importance", "linear_importance", "permutation_importance", "feature_importance", "select_features",
                  "lasso_scores", "rfe", "rfecv"),
     tuning: ("cross_validate", "learning_curve"),
