@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.expressions import OperatorError, is_numeric, qcol, require_columns
 from tabloom.operators.sampling import train_test_split
 
-# Task of each model type (classification / regression).
+# The model types and their task (classification / regression).
 MODEL_TASKS = {
     "linear_regression": "regression",
     "decision_tree_regressor": "regression",
@@ -41,6 +41,8 @@ PARAM_NAMES = {
     "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
     "subsample": "subsamplingRate", "max_iter": "maxIter", "random_state": "seed",
     "max_bins": "maxBins", "fit_intercept": "fitIntercept", "min_info_gain": "minInfoGain",
+    "min_child_weight": "minChildWeight", "colsample_bytree": "colsampleByTree", "reg_lambda": "regLambda",
+    "reg_alpha": "regAlpha", "l1_ratio": "elasticNetParam",
 }
 
 
@@ -83,10 +85,9 @@ def make_estimator(model_type: str, params: dict | None = None, seed: int = 42,
         est = R.GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed, **common)
     elif model_type == "gradient_boosting_classifier":
         est = C.GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed, **common)
-    elif model_type == "xgboost_regressor":
-        est = R.GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6, seed=seed, **common)
-    elif model_type == "xgboost_classifier":
-        est = C.GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, seed=seed, **common)
+    elif model_type in ("xgboost_regressor", "xgboost_classifier"):
+        from tabloom.operators.boosting import SecondOrderBoosting
+        est = SecondOrderBoosting(objective="squared" if model_type == "xgboost_regressor" else "softmax", seed=seed, **common)
     elif model_type == "logistic_regression":
         cval = float(params.pop("C", 1.0))
         est = C.LogisticRegression(maxIter=1000, regParam=1.0 / (cval * n), elasticNetParam=0.0,
@@ -99,7 +100,7 @@ def make_estimator(model_type: str, params: dict | None = None, seed: int = 42,
         params["maxIter"] = params.pop("n_estimators")
     for k, v in params.items():
         name = PARAM_NAMES.get(k, k)
-        if isinstance(v, float) and v.is_integer() and name not in ("stepSize", "subsamplingRate", "regParam"):
+        if isinstance(v, float) and v.is_integer() and name not in ("stepSize", "subsamplingRate", "regParam", "elasticNetParam"):
             v = int(v)
         if name == "maxDepth" and isinstance(v, int) and v > 30:
             raise OperatorError("max_depth is limited to 30 by Spark's trees")
@@ -135,7 +136,7 @@ def task_of(model_type: str) -> str:
     return MODEL_TASKS[model_type]
 
 
-BINARY_ONLY = ("gradient_boosting_classifier", "xgboost_classifier", "svm")
+BINARY_ONLY = ("gradient_boosting_classifier", "svm")
 
 
 def build_pipeline(model_type, features, target, task, params=None, seed=42, n_rows=None,

@@ -22,8 +22,7 @@ from tabloom.operators.ml import build_pipeline, classification_metrics, regress
 from tabloom.operators.sampling import hash_column, kfold
 
 # Search grids per model family, for the parameters that Spark's
-# estimators have (unlimited depth is 30 here, the limit of Spark's trees; the
-# least child weight and gain of boosted trees are rows per node and gain per split).
+# estimators have (unlimited depth is 30 here, the limit of Spark's trees).
 GRIDS = {
     "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [30, 10, 20], "min_samples_leaf": [1, 2, 4],
                       "max_features": ["sqrt", "log2", "all"]},
@@ -31,8 +30,8 @@ GRIDS = {
     "gradient_boosting": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.05, 0.1, 0.2],
                           "max_depth": [3, 5, 7, 9], "min_samples_leaf": [1, 2, 4], "subsample": [0.8, 0.9, 1.0]},
     "xgboost": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.05, 0.1, 0.2], "max_depth": [3, 5, 7, 9],
-                "min_samples_leaf": [1, 3, 5], "subsample": [0.8, 0.9, 1.0], "max_features": ["0.8", "0.9", "all"],
-                "min_info_gain": [0.0, 0.1, 0.2]},
+                "min_child_weight": [1, 3, 5], "subsample": [0.8, 0.9, 1.0], "colsample_bytree": [0.8, 0.9, 1.0],
+                "gamma": [0, 0.1, 0.2]},
     "svm": {"C": [0.1, 1.0, 10.0, 100.0]},
     "ridge": {"alpha": [0.1, 1.0, 10.0, 100.0], "fit_intercept": [True, False]},
     "lasso": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0], "fit_intercept": [True, False]},

@@ -59,7 +59,7 @@ def _fit_query(model_type, target="y", params=None):
 for _mt, _p in (("linear_regression", None), ("decision_tree_regressor", {"max_depth": 5}),
                 ("random_forest_regressor", {"n_estimators": 20, "max_depth": 5}),
                 ("gradient_boosting_regressor", {"n_estimators": 20}),
-                ("xgboost_regressor", {"n_estimators": 20}),
+                ("xgboost_regressor", None), ("xgboost_classifier", None),
                 ("logistic_regression", None), ("random_forest_classifier", {"n_estimators": 20}),
                 ("decision_tree_classifier", {"max_depth": 5}),
                 ("gradient_boosting_classifier", {"n_estimators": 10}), ("svm", None),
