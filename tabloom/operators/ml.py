@@ -31,6 +31,7 @@ MODEL_TASKS = {
     "xgboost_classifier": "classification",
     "logistic_regression": "classification",
     "svm": "classification",
+    "svr": "regression",
     "ridge": "regression",
     "lasso": "regression",
 }
@@ -89,10 +90,16 @@ def make_estimator(model_type: str, params: dict | None = None, seed: int = 42,
         from tabloom.operators.boosting import SecondOrderBoosting
         est = SecondOrderBoosting(objective="squared" if model_type == "xgboost_regressor" else "softmax", seed=seed, **common)
     elif model_type == "logistic_regression":
-        cval = float(params.pop("C", 1.0))
-        est = C.LogisticRegression(maxIter=1000, regParam=1.0 / (cval * n), elasticNetParam=0.0,
-                                   standardization=False, **common)
-    else:  # svm: linear kernel only
+        cval, penalty = float(params.pop("C", 1.0)), params.pop("penalty", "l2")
+        mix = {"l1": 1.0, "l2": 0.0, "elasticnet": float(params.pop("l1_ratio", 0.5)), None: 0.0, "none": 0.0}
+        if penalty not in mix:
+            raise OperatorError(f"unknown penalty {penalty!r}")
+        est = C.LogisticRegression(maxIter=1000, regParam=0.0 if penalty in (None, "none") else 1.0 / (cval * n),
+                                   elasticNetParam=mix[penalty], standardization=False, **common)
+    elif model_type == "svr":
+        from tabloom.operators.kernels import EpsilonRegression
+        est = EpsilonRegression(**common)
+    else:  # svm: on kernel features, see build_pipeline
         cval = float(params.pop("C", 1.0))
         est = C.LinearSVC(regParam=1.0 / (cval * n), maxIter=1000, **common)
     if model_type in ("gradient_boosting_regressor", "gradient_boosting_classifier",
@@ -100,7 +107,7 @@ def make_estimator(model_type: str, params: dict | None = None, seed: int = 42,
         params["maxIter"] = params.pop("n_estimators")
     for k, v in params.items():
         name = PARAM_NAMES.get(k, k)
-        if isinstance(v, float) and v.is_integer() and name not in ("stepSize", "subsamplingRate", "regParam", "elasticNetParam"):
+        if isinstance(v, float) and v.is_integer() and name not in ("stepSize", "subsamplingRate", "regParam", "elasticNetParam", "C"):
             v = int(v)
         if name == "maxDepth" and isinstance(v, int) and v > 30:
             raise OperatorError("max_depth is limited to 30 by Spark's trees")
@@ -142,7 +149,9 @@ BINARY_ONLY = ("gradient_boosting_classifier", "svm")
 def build_pipeline(model_type, features, target, task, params=None, seed=42, n_rows=None,
                    n_classes: int | None = None):
     """Label indexer (classification) + assembler + estimator. Binary-only
-    estimators (GBT, linear SVC) are wrapped in ``OneVsRest`` for > 2 classes."""
+    estimators (GBT, linear SVC) are wrapped in ``OneVsRest`` for > 2 classes.
+    Support vector models with a ``kernel`` other than linear get a Nyström map
+    before them (``gamma``, ``degree``, ``coef0``, ``n_components``)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import OneVsRest
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -151,10 +160,21 @@ def build_pipeline(model_type, features, target, task, params=None, seed=42, n_r
         stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                                     handleInvalid="skip"))
     stages.append(VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"))
-    est = make_estimator(model_type, params, seed, n_rows,
+    features_col = "features"
+    if model_type in ("svm", "svr"):
+        params = json.loads(params) if isinstance(params, str) and params.strip() else dict(params or {})
+        options = {k: params.pop(k) for k in ("kernel", "gamma", "degree", "coef0", "n_components") if k in params}
+        if options.get("kernel", "linear") != "linear":
+            from tabloom.operators.kernels import KernelMap
+            features_col = "kernel_features"
+            options["nComponents"] = options.pop("n_components", 256)
+            stages.append(KernelMap(inputCol="features", outputCol=features_col, seed=seed, **options))
+    est = make_estimator(model_type, params, seed, n_rows, features_col,
                          label_col="label" if task == "classification" else target)
+    if features_col != "features" and model_type == "svm":
+        est.setStandardization(False)  # the map's scale is the kernel
     if model_type in BINARY_ONLY and (n_classes or 2) > 2:
-        est = OneVsRest(classifier=est, featuresCol="features", labelCol="label", parallelism=4)
+        est = OneVsRest(classifier=est, featuresCol=features_col, labelCol="label", parallelism=4)
     stages.append(est)
     return Pipeline(stages=stages)
 

@@ -32,10 +32,11 @@ GRIDS = {
     "xgboost": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.05, 0.1, 0.2], "max_depth": [3, 5, 7, 9],
                 "min_child_weight": [1, 3, 5], "subsample": [0.8, 0.9, 1.0], "colsample_bytree": [0.8, 0.9, 1.0],
                 "gamma": [0, 0.1, 0.2]},
-    "svm": {"C": [0.1, 1.0, 10.0, 100.0]},
+    "svm": {"kernel": ["linear", "poly", "rbf"], "C": [0.1, 1.0, 10.0, 100.0], "gamma": ["scale", "auto", 0.1, 1.0]},
     "ridge": {"alpha": [0.1, 1.0, 10.0, 100.0], "fit_intercept": [True, False]},
     "lasso": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0], "fit_intercept": [True, False]},
-    "logistic_regression": {"C": [0.1, 1.0, 10.0, 100.0], "fit_intercept": [True, False]},
+    "logistic_regression": {"C": [0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2", "elasticnet", None],
+                            "fit_intercept": [True, False]},
 }
 
 FAMILY_TYPES = {
@@ -48,6 +49,7 @@ FAMILY_TYPES = {
     ("xgboost", "regression"): "xgboost_regressor",
     ("xgboost", "classification"): "xgboost_classifier",
     ("svm", "classification"): "svm",
+    ("svm", "regression"): "svr",
     ("ridge", "regression"): "ridge",
     ("lasso", "regression"): "lasso",
     ("logistic_regression", "classification"): "logistic_regression",

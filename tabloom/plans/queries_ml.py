@@ -62,11 +62,15 @@ for _mt, _p in (("linear_regression", None), ("decision_tree_regressor", {"max_d
                 ("xgboost_regressor", None), ("xgboost_classifier", None),
                 ("logistic_regression", None), ("random_forest_classifier", {"n_estimators": 20}),
                 ("decision_tree_classifier", {"max_depth": 5}),
-                ("gradient_boosting_classifier", {"n_estimators": 10}), ("svm", None),
+                ("gradient_boosting_classifier", {"n_estimators": 10}), ("svm", None), ("svr", None),
                 ("ridge", {"alpha": 1.0}), ("lasso", {"alpha": 0.01})):
     register(f"ml_fit_{_mt}")(_fit_query(_mt, params=_p))
 
 
+register("ml_fit_svm_rbf")(_fit_query("svm", params={"kernel": "rbf"}))
+register("ml_fit_svr_poly")(_fit_query("svr", params={"kernel": "poly"}))
+
+
 @register("ml12_save_load_predict")
 def ml12(spark, d):
     from tabloom.plans.queries_relational import _scratch
