@@ -1,10 +1,11 @@
 """ARIMA(p, d, q) per series with diagnostics (FCT-12, FCT-12a).
 
 Each series is one ``applyInPandas`` group (a per-period series, so its length
-is bounded by the number of periods). Estimation is conditional sum of squares:
-Hannan–Rissanen start values, then damped Gauss–Newton on the CSS residuals;
-this is not exact maximum likelihood, so coefficients differ slightly from a
-state-space fit. Intervals use the ψ-weights of the integrated model.
+is bounded by the number of periods). ``method="exact"`` maximises the exact
+Gaussian likelihood of the differenced series (:mod:`.kalman`), started from the
+conditional fit; ``method="css"`` is the conditional fit alone (Hannan–Rissanen
+start values, then damped Gauss–Newton on the conditional squares). Intervals
+use the ψ-weights of the integrated model.
 """
 
 from __future__ import annotations
@@ -18,13 +19,10 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import cdf
 from tabloom.functions.expressions import OperatorError, as_list as _as_list, present, qcol, require_columns
+from tabloom.functions.residual_tests import normality, unit_root_pvalue
+from tabloom.operators.forecast import kalman
 from tabloom.operators.forecast.smoothing import without_nan
 
-# Asymptotic Dickey-Fuller quantiles (constant, no trend), used
-# to interpolate the ADF p-value.
-DF_QUANTILES = [(0.01, -3.43), (0.025, -3.12), (0.05, -2.86), (0.10, -2.57),
-                (0.90, -0.44), (0.95, -0.07), (0.975, 0.23), (0.99, 0.60)]
-
 
 def css_residuals(w: np.ndarray, phi: np.ndarray, theta: np.ndarray, mu: float) -> np.ndarray:
     p, q = len(phi), len(theta)
@@ -128,7 +126,11 @@ def forecast(y: np.ndarray, d: int, phi, theta, mu, resid: np.ndarray, h: int) -
         x.append(nxt)
         e.append(0.0)
         out.append(nxt + mu)
-    fc = np.array(out)
+    return integrated(y, d, np.array(out))
+
+
+def integrated(y: np.ndarray, d: int, fc: np.ndarray) -> np.ndarray:
+    """Forecasts of the series from those of its ``d``-th differences."""
     for k in range(d):
         last = np.diff(y, n=d - 1 - k)[-1] if d - 1 - k > 0 else y[-1]
         fc = last + np.cumsum(fc)
@@ -136,43 +138,35 @@ def forecast(y: np.ndarray, d: int, phi, theta, mu, resid: np.ndarray, h: int) -
 
 
 def adf_test(y: np.ndarray, max_lag: int | None = None):
-    """ADF with constant; lag by AIC; p by interpolating DF quantiles."""
+    """Augmented Dickey-Fuller test with a constant: the lag with the least AIC on
+    the rows that all lags have, then the statistic on all rows of that lag."""
     n = len(y)
     if n < 8:
         return float("nan"), float("nan")
-    max_lag = max_lag if max_lag is not None else int(12 * (n / 100) ** 0.25)
-    max_lag = max(0, min(max_lag, n // 2 - 3))
+    max_lag = max_lag if max_lag is not None else math.ceil(12 * (n / 100) ** 0.25)
+    max_lag = max(0, min(max_lag, n // 2 - 2))
     dy = np.diff(y)
-    best = None
-    for lag in range(max_lag + 1):
-        rows = len(dy) - max_lag
-        Y = dy[max_lag:]
-        cols = [np.ones(rows), y[max_lag:-1]] + [dy[max_lag - i:len(dy) - i] for i in range(1, lag + 1)]
-        X = np.column_stack(cols)
-        b, *_ = np.linalg.lstsq(X, Y, rcond=None)
-        res = Y - X @ b
-        s2 = res @ res / max(rows - X.shape[1], 1)
-        aic = rows * math.log(max(res @ res / rows, 1e-300)) + 2 * X.shape[1]
-        try:
-            var = s2 * np.linalg.inv(X.T @ X)[1, 1]
-        except np.linalg.LinAlgError:
-            continue
-        if not var > 0:  # constant or singular
-            continue
-        stat = b[1] / math.sqrt(var)
-        if best is None or aic < best[0]:
-            best = (aic, stat)
-    if best is None:
+
+    def regression(lag: int, skip: int):
+        rows = len(dy) - skip
+        x = np.column_stack([y[skip:-1]] + [dy[skip - i:len(dy) - i] for i in range(1, lag + 1)] + [np.ones(rows)])
+        b, *_ = np.linalg.lstsq(x, dy[skip:], rcond=None)
+        return x, b, dy[skip:] - x @ b
+
+    def criterion(lag: int) -> float:
+        x, _, e = regression(lag, max_lag)
+        return len(e) * math.log(max(e @ e / len(e), 1e-300)) + 2 * x.shape[1]
+
+    lag = min(range(max_lag + 1), key=criterion)
+    x, b, e = regression(lag, lag)
+    free_rows = len(e) - x.shape[1]
+    if free_rows <= 0 or np.linalg.matrix_rank(x) < x.shape[1]:
         return float("nan"), float("nan")
-    stat = best[1]
-    qs = DF_QUANTILES
-    if stat <= qs[0][1]:
-        p = qs[0][0]
-    elif stat >= qs[-1][1]:
-        p = qs[-1][0]
-    else:
-        p = float(np.interp(stat, [v for _, v in qs], [pr for pr, _ in qs]))
-    return float(stat), p
+    var = e @ e / free_rows * np.linalg.inv(x.T @ x)[0, 0]
+    if not var > 0:  # constant
+        return float("nan"), float("nan")
+    stat = float(b[0] / math.sqrt(var))
+    return stat, unit_root_pvalue(stat)
 
 
 def ljung_box(e: np.ndarray, lags: int):
@@ -193,10 +187,10 @@ ARIMA_SCHEMA = ("p int, d int, q int, ar_coef array<double>, ma_coef array<doubl
                 "loglik double, aic double, bic double, n_train long, n_test long, mape double, mae double, "
                 "rmse double, forecast array<double>, lower array<double>, upper array<double>, "
                 "adf_stat double, adf_p double, ljung_box double, ljung_box_p double, durbin_watson double, "
-                "jarque_bera_p double, resid_mean double, resid_std double, error string")
+                "jarque_bera_p double, normality_p double, resid_mean double, resid_std double, error string")
 
 
-def arima_group(pdf: pd.DataFrame, order, test_size: float, confidence: float) -> pd.DataFrame:
+def arima_group(pdf: pd.DataFrame, order, test_size: float, confidence: float, method: str = "exact") -> pd.DataFrame:
     p, d, q = order
     pdf = pdf.sort_values("time")
     y = pdf["value"].to_numpy(dtype=float)
@@ -209,12 +203,17 @@ def arima_group(pdf: pd.DataFrame, order, test_size: float, confidence: float) -
                                         columns=[c.split()[0] for c in ARIMA_SCHEMA.split(", ")]))
     w = np.diff(train, n=d) if d else train
     a, b, mu, e = fit_css(w, p, q, with_mean=(d == 0))
-    n_eff = len(e)
-    sigma2 = float(e @ e / n_eff) if n_eff else float("nan")
-    ll = -0.5 * n_eff * (math.log(2 * math.pi * sigma2) + 1) if sigma2 > 0 else float("nan")
-    k = p + q + (1 if d == 0 else 0) + 1
     h = len(test)
-    fc = forecast(train, d, a, b, mu, e, h) if h else np.array([])
+    if method == "exact" and np.std(w) > 0:
+        a, b, fit = kalman.fit_exact(w, p, q, d == 0, a, b)
+        e, mu, sigma2, ll, n_eff = fit["errors"], fit["mean"], fit["sigma2"], fit["loglik"], len(w)
+        fc = integrated(train, d, kalman.predictions(fit, a, b, h)) if h else np.array([])
+    else:
+        n_eff = len(e)
+        sigma2 = float(e @ e / n_eff) if n_eff else float("nan")
+        ll = -0.5 * n_eff * (math.log(2 * math.pi * sigma2) + 1) if sigma2 > 0 else float("nan")
+        fc = forecast(train, d, a, b, mu, e, h) if h else np.array([])
+    k = p + q + (1 if d == 0 else 0) + 1
     z = cdf.norm_ppf(0.5 + confidence / 2)
     psi = psi_weights(a, b, d, max(h, 1))
     se = np.sqrt(sigma2 * np.cumsum(psi ** 2))[:h]
@@ -240,12 +239,12 @@ def arima_group(pdf: pd.DataFrame, order, test_size: float, confidence: float) -
            "forecast": [float(x) for x in fc], "lower": [float(x) for x in fc - z * se],
            "upper": [float(x) for x in fc + z * se], "adf_stat": adf_stat, "adf_p": adf_p,
            "ljung_box": lb, "ljung_box_p": lb_p, "durbin_watson": dw, "jarque_bera_p": jb_p,
-           "resid_mean": m, "resid_std": s, "error": None}
-    return pd.DataFrame([row])
+           "normality_p": normality(e), "resid_mean": m, "resid_std": s, "error": None}
+    return without_nan(pd.DataFrame([row], columns=[c.split()[0] for c in ARIMA_SCHEMA.split(", ")]))
 
 
 def arima(df: DataFrame, target: str, time_column: str = "time", series_keys=(), order=(2, 1, 1),
-          test_size: float = 0.2, confidence_level: float = 0.95) -> DataFrame:
+          test_size: float = 0.2, confidence_level: float = 0.95, method: str = "exact") -> DataFrame:
     """FCT-12/12a: one row per series with coefficients, fit criteria, test
     metrics, forecasts with intervals and residual diagnostics; a series that is
     too short has an ``error`` text instead. Missing values are left out."""
@@ -253,12 +252,14 @@ def arima(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
     if not keys:
         raise OperatorError("arima needs series_keys: a table of one series is one task")
     require_columns(df, keys + [target, time_column])
+    if method not in ("exact", "css"):
+        raise OperatorError("method must be 'exact' or 'css'")
     base = df.select(*[qcol(k) for k in keys], qcol(time_column).alias("time"),
                      present(df, target).cast("double").alias("value")).filter(F.col("value").isNotNull())
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
 
     def fn(key, pdf):
-        out = arima_group(pdf, tuple(order), test_size, confidence_level)
+        out = arima_group(pdf, tuple(order), test_size, confidence_level, method)
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out

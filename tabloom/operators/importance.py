@@ -10,7 +10,7 @@ from tabloom.functions.expressions import OperatorError, qcol, row_hash
 from tabloom.operators import stats as st
 from tabloom.operators.knn_information import mutual_info_knn
 from tabloom.operators.ml import build_pipeline, classification_metrics, regression_metrics
-from tabloom.operators.sampling import train_test_split
+from tabloom.operators.sampling import kfold, train_test_split
 from tabloom.operators.windows import numbered
 
 
@@ -223,20 +223,51 @@ def rfe(df: DataFrame, features, target: str, n_features: int, task: str | None
     return df.sparkSession.createDataFrame(rows, "feature string, score double, rank int, selected boolean")
 
 
+def elimination_path(train: DataFrame, test: DataFrame, features, target: str, task: str, seed: int, n_trees: int) -> list[tuple]:
+    """(features left, score on ``test``, feature dropped next) of every round of an
+    elimination that sees ``train`` only; one fit per round gives both."""
+    from tabloom.operators.tuning import score_of
+    mt = "random_forest_regressor" if task == "regression" else "random_forest_classifier"
+    metric = "r2" if task == "regression" else "accuracy"
+    left, out = list(features), []
+    while left:
+        model = _fit(train, left, target, mt, task, {"n_estimators": n_trees}, seed)
+        score = score_of(model.transform(test), task, target, metric)
+        worst = min(zip(model.stages[-1].featureImportances.toArray(), left))[1]
+        out.append((list(left), score, worst))
+        left.remove(worst)
+    return out
+
+
+def fold_paths(df: DataFrame, features, target: str, task: str, cv: int, seed: int, n_trees: int) -> list[list[tuple]]:
+    """The elimination of every fold, ranked without the fold's own rows; folds run together."""
+    from concurrent.futures import ThreadPoolExecutor
+    data = kfold(df, cv, seed, None, "__tb_fold").cache()
+    try:
+        def one(fold):
+            return elimination_path(data.filter(F.col("__tb_fold") != fold), data.filter(F.col("__tb_fold") == fold), features, target,
+                                    task, seed, n_trees)
+        with ThreadPoolExecutor(max_workers=min(cv, 8)) as pool:
+            return list(pool.map(one, range(cv)))
+    finally:
+        data.unpersist()
+
+
 def rfecv(df: DataFrame, features, target: str, task: str | None = None, cv: int = 5, seed: int = 42,
           n_trees: int = 100) -> DataFrame:
-    """FSL-4: RFE order, then a CV score for each feature count; best count wins."""
-    from tabloom.operators.tuning import cross_validate
-    order = rfe(df, features, target, 1, task, seed, n_trees).orderBy("rank").collect()
-    ranked = [r["feature"] for r in order]
+    """FSL-4: elimination nested in cross-validation. Every fold ranks the features
+    on its own training rows and scores each feature count on its test rows; the
+    count with the best mean score (the smallest of equals) is kept, of the order
+    that an elimination on all rows gives."""
     task = _task(df, target, task)
-    mt = "random_forest_regressor" if task == "regression" else "random_forest_classifier"
-    scores = []
-    for m in range(1, len(ranked) + 1):
-        res = cross_validate(df, ranked[:m], target, mt, [{"n_estimators": n_trees}], cv, seed=seed,
-                             train_scores=False)
-        scores.append(res.agg(F.avg("test_score")).first()[0])
+    feats = list(features)
+    by_count: dict[int, list] = {}
+    for path in fold_paths(df, feats, target, task, cv, seed, n_trees):
+        for left, score, _ in path:
+            by_count.setdefault(len(left), []).append(score)
+    scores = [float(np.mean(by_count[m + 1])) for m in range(len(feats))]
     best = int(np.argmax(scores)) + 1
-    rows = [(f, float(scores[i]), i + 1, i < best) for i, f in enumerate(ranked)]
+    order = rfe(df, feats, target, 1, task, seed, n_trees).orderBy("rank").collect()
+    rows = [(r["feature"], scores[i], i + 1, i < best) for i, r in enumerate(order)]
     return df.sparkSession.createDataFrame(
         rows, "feature string, score double, rank int, selected boolean")

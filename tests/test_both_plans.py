@@ -155,6 +155,6 @@ def test_forecasts_of_odd_series(spark):
     assert out["short"].error and out["gap"].error is None
     net = network.lag_network(d.filter("s = 'x'"), "v", "time", "s", input_sizes=[2], hidden_sizes=[2], epochs=2, extra_periods=3)
     assert [len(r.future) for r in net.collect()] == [3]
-    for fn in (smoothing.smoothing_search, arima.arima, network.lag_network, intermittent.croston_search):
+    for fn in (arima.arima, network.lag_network, intermittent.croston_search):
         with pytest.raises(ValueError):
             fn(d, "v", "time")
