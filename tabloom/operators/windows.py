@@ -102,9 +102,9 @@ def fill_ordered(df: DataFrame, columns, method: str, order_by, partition_by=(),
     """Forward fill, backward fill or interpolate ``columns``.
 
     Small tables use one window per series. When the table holds more than
-    ``rows_per_block`` rows (default ``ROWS_PER_BLOCK``) and the first order
-    column is numeric or a timestamp, the series are cut into value-range
-    blocks of the order column and filled with a two-level scan (see
+    ``rows_per_block`` rows (default ``ROWS_PER_BLOCK``), the series are cut into
+    value-range blocks of the first order column (of the rows' numbers in a range
+    sort where that column is text) and filled with a two-level scan (see
     :func:`segmented_fill`), so one hot series never sits in a single task.
     """
     cols = _as_list(columns)
@@ -114,11 +114,14 @@ def fill_ordered(df: DataFrame, columns, method: str, order_by, partition_by=(),
     cols = [c for c in cols if method != "interpolate" or is_numeric(df, c)]
     limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
     first = _as_list(order_by)[0]
-    key = _order_number(df, first)
-    if key is not None and cols:
+    if cols:
         n = df.count()
         if n > limit:
-            return segmented_fill(df, cols, method, order_by, partition_by, max(2, -(-n // limit)))
+            blocks = max(2, -(-n // limit))
+            if _order_number(df, first) is not None:
+                return segmented_fill(df, cols, method, order_by, partition_by, blocks)
+            rows = numbered(df, [qcol(k) for k in _as_list(order_by)], "__tb_order")
+            return segmented_fill(rows, cols, method, "__tb_order", partition_by, blocks).drop("__tb_order")
     w = ordered_window(order_by, partition_by)
     rn = F.row_number().over(w) if method == "interpolate" else None
     exprs = []
@@ -170,18 +173,24 @@ def series_positions(df: DataFrame, order_by, partition_by=(), rows_per_block: i
                      pos: str = "_pos", size: str = "_size", n_rows: int | None = None) -> DataFrame:
     """Add the 1-based position of each row in its series and the series size.
 
-    Large tables use value-range blocks of the first order column: positions
+    Large tables use value-range blocks of the first order column (a numbered
+    range sort where that is text): positions
     inside a (series, block) window plus the block offsets of the series (a
     per-series scan over at most ``blocks`` summary rows), joined back.
     """
     keys, parts = _as_list(order_by), _as_list(partition_by)
     pcols = [qcol(p) for p in parts]
     limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
-    n = (df.count() if n_rows is None else n_rows) if _order_number(df, keys[0]) is not None else 0
+    n = df.count() if n_rows is None else n_rows
     if n <= limit:
         w = Window.partitionBy(*pcols).orderBy(*[qcol(k) for k in keys])
         return df.withColumn(pos, F.row_number().over(w)) \
             .withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*pcols)))
+    if _order_number(df, keys[0]) is None:  # text: numbers of a range sort by series and order
+        rows = numbered(df, [*pcols, *[qcol(k) for k in keys]], "__tb_num")
+        first = rows.groupBy(*pcols).agg(F.min("__tb_num").alias("__tb_first"), F.count(F.lit(1)).alias(size)) if parts else None
+        rows = null_safe_join(rows, first, parts) if parts else rows.withColumn("__tb_first", F.lit(0)).withColumn(size, F.lit(n).cast("long"))
+        return rows.select(*[qcol(c) for c in df.columns], (F.col("__tb_num") - F.col("__tb_first") + 1).alias(pos), qcol(size))
     base = tag_blocks(df, keys[0], max(2, -(-n // limit)))
     w = Window.partitionBy(*pcols, "__tb_blk").orderBy(*[qcol(k) for k in keys])
     local = base.withColumn("__tb_lrn", F.row_number().over(w))
@@ -306,7 +315,7 @@ def lagged_values(df: DataFrame, value: str, lags, order_by, partition_by=(),
     keys, parts = _as_list(order_by), _as_list(partition_by)
     limit = ROWS_PER_BLOCK if rows_per_block is None else rows_per_block
     c = qcol(value)
-    if _order_number(df, keys[0]) is None or (df.count() if n_rows is None else n_rows) <= limit:
+    if (df.count() if n_rows is None else n_rows) <= limit:
         w = ordered_window(order_by, partition_by)
         return df.select("*", *[(c if i == 0 else F.lag(c, i).over(w)).alias(f"{prefix}{i}") for i in lags])
     pos = series_positions(df, keys, parts, rows_per_block, pos="__tb_pos", size="__tb_size", n_rows=n_rows).drop("__tb_size")

@@ -76,6 +76,21 @@ def test_lags_with_a_column_named_t(odd):
         assert bag(fn()) == bag(fn(rows_per_block=50))
 
 
+@pytest.mark.parametrize("by", ["s", ()])
+def test_text_order_keys(odd, by):
+    """A text order column, as dates read from CSV files, is cut by row numbers."""
+    d = odd.filter("t >= 0").withColumn("day", F.lpad(F.col("t").cast("string"), 6, "0"))
+    for fn in (lambda **kw: windows.fill_ordered(d, "v", "interpolate", ["day"], by, **kw),
+               lambda **kw: windows.fill_ordered(d, "v", "fill_forward", ["day"], by, **kw),
+               lambda **kw: windows.lag_features(d, "v", 2, ["day"], by, **kw),
+               lambda **kw: windows.sma(d, "v", 3, ["day"], by, **kw),
+               lambda **kw: windows.wma(d, "v", [.2, .3, .5], ["day"], by, **kw),
+               lambda **kw: sampling.time_split(d, ["day"], partition_by=by, **kw)):
+        small, large = fn(), fn(rows_per_block=50)
+        rounded = [F.round(c, 9).alias(c) if t == "double" else c for c, t in small.dtypes]
+        assert bag(small.select(rounded)) == bag(large.select(rounded))
+
+
 def test_hash_of_large_keys(spark):
     keys = [0, 5, -3, 4_000_000_000, 2 ** 62, -2 ** 62]
     got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(portable_hash("k", 42)).collect()]
