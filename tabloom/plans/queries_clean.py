@@ -250,6 +250,21 @@ def win2b(spark, d):
                    partition_by="user_id", rows_per_block=997).select("event_id", "user_id", "value")
 
 
+@register("win3_fill_backward_blocks", registered_sql("win3_fill_backward"))
+def win3b(spark, d):
+    """The large plan by a text order column: time and id as one text."""
+    e = fx.events_gaps(spark, d).withColumn("at", F.concat(F.col("ts").cast("string"), F.lpad(F.col("event_id").cast("string"), 12, "0")))
+    return cl.fill(e, "value", "fill_backward", order_by=["at"], partition_by="user_id", rows_per_block=997) \
+        .select("event_id", "user_id", "value")
+
+
+@register("win6_wma_blocks", f"""SELECT event_id, round(0.2 * lag(value, 2) OVER w + 0.3 * lag(value, 1) OVER w + 0.5 * value, 6) AS wma
+  FROM {EG} WINDOW w AS ({W_USER})""")
+def win6b(spark, d):
+    out = win.wma(fx.events_gaps(spark, d), "value", [0.2, 0.3, 0.5], ["ts", "event_id"], "user_id", rows_per_block=997)
+    return round_all(out.select("event_id", "wma"))
+
+
 @register("win4_interpolate_blocks", registered_sql("win4_interpolate"))
 def win4b(spark, d):
     return round_all(cl.fill(fx.events_gaps(spark, d), "value", "interpolate", order_by=["ts", "event_id"],

@@ -56,13 +56,10 @@ def _fit_query(model_type, target="y", params=None):
     return q
 
 
-for _mt, _p in (("linear_regression", None), ("decision_tree_regressor", {"max_depth": 5}),
-                ("random_forest_regressor", {"n_estimators": 20, "max_depth": 5}),
-                ("gradient_boosting_regressor", {"n_estimators": 20}),
-                ("xgboost_regressor", None), ("xgboost_classifier", None),
-                ("logistic_regression", None), ("random_forest_classifier", {"n_estimators": 20}),
-                ("decision_tree_classifier", {"max_depth": 5}),
-                ("gradient_boosting_classifier", {"n_estimators": 10}), ("svm", None), ("svr", None),
+for _mt, _p in (("linear_regression", None), ("decision_tree_regressor", None), ("random_forest_regressor", None),
+                ("gradient_boosting_regressor", None), ("xgboost_regressor", None), ("xgboost_classifier", None),
+                ("logistic_regression", None), ("random_forest_classifier", None), ("decision_tree_classifier", None),
+                ("gradient_boosting_classifier", None), ("svm", None), ("svr", None),
                 ("ridge", {"alpha": 1.0}), ("lasso", {"alpha": 0.01})):
     register(f"ml_fit_{_mt}")(_fit_query(_mt, params=_p))
 
@@ -208,8 +205,7 @@ def ml15m(spark, d):
 @register("ml16_stacking")
 def ml16(spark, d):
     data = linear_data(spark, d)
-    m = ens.stacking(data, LIN_FEATS, "y", ["linear_regression", "decision_tree_regressor"],
-                     "linear_regression", cv=3)
+    m = ens.stacking(data, LIN_FEATS, "y", ["linear_regression", "decision_tree_regressor"], "linear_regression")
     return round_all(ml.regression_metrics(m.transform(data), "y", "prediction"))
 
 
@@ -223,15 +219,14 @@ def ml17(spark, d):
 # ------------------------------------------------------------------ ML-18..23
 @register("ml18_grid_search")
 def ml18(spark, d):
-    res, summary, _ = tu.tune(linear_data(spark, d), LIN_FEATS, "y", "ridge", k=3,
-                              param_grid={"alpha": [0.1, 10.0]})
+    """The whole grid of ridge regression."""
+    res, summary, _ = tu.tune(linear_data(spark, d), LIN_FEATS, "y", "ridge")
     return round_all(summary)
 
 
 @register("ml19_random_search")
 def ml19(spark, d):
-    res, summary, _ = tu.tune(linear_data(spark, d), LIN_FEATS, "y", "decision_tree", method="random",
-                              n_iter=2, k=3, param_grid={"max_depth": [2, 6], "min_samples_leaf": [1, 20]})
+    res, summary, _ = tu.tune(linear_data(spark, d), LIN_FEATS, "y", "decision_tree", method="random")
     return round_all(summary)
 
 
@@ -281,19 +276,19 @@ def ml22(spark, d):
 
 @register("ml23_learning_curve")
 def ml23(spark, d):
-    return round_all(tu.learning_curve(linear_data(spark, d), LIN_FEATS, "y", "linear_regression", k=3))
+    return round_all(tu.learning_curve(linear_data(spark, d), LIN_FEATS, "y", "linear_regression"))
 
 
 # ------------------------------------------------------------------ FSC / FSL
 @register("fsc1_rf_importance")
 def fsc1(spark, d):
-    return round_all(imp.rf_importance(linear_data(spark, d), LIN_FEATS, "y", "regression", n_trees=20))
+    return round_all(imp.rf_importance(linear_data(spark, d), LIN_FEATS, "y", "regression"))
 
 
 @register("fsc2_permutation_importance")
 def fsc2(spark, d):
     return round_all(imp.permutation_importance(linear_data(spark, d), LIN_FEATS, "y", "regression",
-                                                model_type="linear_regression", repeats=2))
+                                                model_type="linear_regression"))
 
 
 @register("fsc3_linear_importance")
@@ -303,8 +298,7 @@ def fsc3(spark, d):
 
 @register("fsc4_boosted_importance")
 def fsc4(spark, d):
-    return round_all(imp.boosted_importance(linear_data(spark, d), LIN_FEATS, "y", "regression",
-                                            params={"n_estimators": 20}))
+    return round_all(imp.boosted_importance(linear_data(spark, d), LIN_FEATS, "y", "regression"))
 
 
 F_SCORES_SQL = union_sql([f"""SELECT '{f}' AS feature,
@@ -332,8 +326,7 @@ def fsl5(spark, d):
 
 @register("fsl1_rf_select")
 def fsl1(spark, d):
-    return round_all(imp.select_features(linear_data(spark, d), LIN_FEATS, "y", "rf_importance", task="regression",
-                                         n_trees=20))
+    return round_all(imp.select_features(linear_data(spark, d), LIN_FEATS, "y", "rf_importance", task="regression"))
 
 
 @register("fsl2_lasso_select")
@@ -344,10 +337,9 @@ def fsl2(spark, d):
 @register("fsl3_rfe")
 def fsl3(spark, d):
     return round_all(imp.select_features(linear_data(spark, d), LIN_FEATS, "y", "rfe", task="regression",
-                                         n_features=2, n_trees=20))
+                                         n_features=2))
 
 
 @register("fsl4_rfecv")
 def fsl4(spark, d):
-    return round_all(imp.select_features(linear_data(spark, d), LIN_FEATS, "y", "rfecv", task="regression", cv=2,
-                                         n_trees=10))
+    return round_all(imp.select_features(linear_data(spark, d), LIN_FEATS, "y", "rfecv", task="regression"))
