@@ -39,6 +39,7 @@ from tabloom.session import cut_lineage
 
 DRIVER_BYTES = 32 << 20
 KEEP_ROUNDS = 10
+ROWS_PER_TASK = 100_000
 LEAST_GAIN = 1e-6
 
 
@@ -271,7 +272,8 @@ class SecondOrderBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Def
         probs = [i / n_bins for i in range(1, n_bins)]
         cuts = data.agg(*[F.percentile_approx(F.get("x", F.lit(j)), probs, 20 * n_bins).alias(f"c{j}") for j in range(width)]).head()
         cuts = [np.array(sorted(set(cuts[j] or []))) for j in range(width)]
-        blocks = cut_lineage(data.mapInArrow(_cut(cuts, np.full(trees, base)), _BLOCKS))
+        # every level is a job: small tables go to few tasks (coalesce never makes more)
+        blocks = cut_lineage(data.coalesce(-(-first.n // ROWS_PER_TASK)).mapInArrow(_cut(cuts, np.full(trees, base)), _BLOCKS))
         tasks = blocks.rdd.getNumPartitions()
         lam, alpha = v["regLambda"], v["regAlpha"]
         pick = random.Random(v["seed"])

@@ -342,4 +342,5 @@ def fsl3(spark, d):
 
 @register("fsl4_rfecv")
 def fsl4(spark, d):
-    return round_all(imp.select_features(linear_data(spark, d), LIN_FEATS, "y", "rfecv", task="regression"))
+    return round_all(imp.select_features(linear_data(spark, d), LIN_FEATS, "y", "rfecv", task="regression", cv=2,
+                                         n_trees=10))
