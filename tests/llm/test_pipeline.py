@@ -44,3 +44,40 @@ def test_clean_documents_pass(spark):
     kept = {r.doc_id for r in P.quality(spark, docs, SF_TINY).collect()}
     good = [i for i, q in labels.items() if q == 1]
     assert sum(i in kept for i in good) >= .97 * len(good)
+
+
+def odd_folder(spark, path, rows, limit):
+    """documents.parquet and labels.parquet with awkward rows among ``limit`` usual ones."""
+    docs = table(spark, SF_TINY, "documents").limit(limit)
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("taken", "size", "doc", "label", "sid", "root", "key", "tkey", "batch", "kept")
+    whole = docs.unionByName(odd).selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(names)])
+    whole.write.parquet(f"{path}/documents.parquet")
+    table(spark, SF_TINY, "labels").write.parquet(f"{path}/labels.parquet")
+    return whole
+
+
+def test_awkward_rows_pass_through(spark, tmp_path):
+    text = " ".join("word%d" % (k % 97) for k in range(300)) + "."
+    rows = [(9001, None, "en", "a", None), (9002, "", "en", "a", 0), (9003, " \n\n ", None, None, 3), (None, text, "en", "b", 1),
+            (9004, text, "en", "b", 1), (9004, text, "en", "b", 1), (9004, text + " and a tail", None, None, 1), (9005, "one", "xx", "new", 3)]
+    docs = odd_folder(spark, tmp_path, rows, 120)
+    columns, stage_rows = docs.columns, docs
+    for name, stage in P.STAGES[:-1]:
+        stage_rows = stored(stage(spark, stage_rows, str(tmp_path)), "t")
+        assert stage_rows.columns == columns, name
+        if name == "near_duplicates":
+            got = [(r.doc_id, r.text) for r in stage_rows.collect()]
+            assert len(got) == len(set(got)) and len([g for g in got if g[0] == 9004]) <= 1
+    packed = P.run(spark, str(tmp_path)).collect()
+    assert packed and all(r.n_tokens > 0 for r in packed)
+    assert not {9001, 9002, 9003} & {r.doc_id for r in packed}
+
+
+def test_empty_documents(spark, tmp_path):
+    docs = odd_folder(spark, tmp_path, [], 0)
+    after = docs
+    for _, stage in P.STAGES[:-1]:
+        after = stored(stage(spark, after, str(tmp_path)), "t")
+        assert after.columns == docs.columns and after.count() == 0
+    assert P.run(spark, str(tmp_path)).count() == 0
