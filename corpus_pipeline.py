@@ -13,6 +13,13 @@ works on all that its predecessor kept:
 All stages but the last return the columns of ``documents``. ``run`` writes the
 result of each stage as Parquet to the shared folder and rereads it. Labels
 come from ``labels`` beside ``documents``.
+
+Defined cases: a NULL or empty text has no words, so it is no near copy, is taken
+zero times by the mix and gives no piece; a NULL language is a language and a NULL
+source a source of its own; rows that repeat an id and its text count once after
+stage 3, rows of one id with different texts are judged each; rows with a NULL id
+are no copies of others; extra columns, of any name, are kept up to the mix; an empty
+table of documents gives empty stages.
 """
 
 from __future__ import annotations
