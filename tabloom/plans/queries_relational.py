@@ -9,7 +9,9 @@ from tabloom.operators import relational as rel
 from tabloom.operators import sampling as smp
 from tabloom.plans import fixtures as fx
 from tabloom.plans.registry import REGISTRY, register
+from tabloom.session import scratch_path
 from tabloom.sources.catalog import Catalog
+from tabloom.sources.paged import read_page, write_paged
 
 H = "((({k}) + 42) * 2654435761) % 4294967296"
 
@@ -209,6 +211,19 @@ def srt2(spark, d):
     return rel.page(_o(spark, d).select("o_orderkey", "o_custkey"), "o_orderkey", skip=100, limit=50)
 
 
+DEEP_COLS = "l_orderkey, l_linenumber, l_extendedprice"
+
+
+@register("src6_deep_page", f"""SELECT {DEEP_COLS}, at FROM (SELECT {DEEP_COLS},
+  CAST(row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS BIGINT) AS at FROM lineitem)
+  WHERE at BETWEEN 5000 AND 5199""")
+def src6_deep(spark, d):
+    """A page of a sorted, indexed copy of the whole table."""
+    items = fx.load(spark, d, "lineitem").select(*DEEP_COLS.split(", "))
+    path = write_paged(items, scratch_path(spark, "paged"), ["l_extendedprice", "l_orderkey", "l_linenumber"])
+    return read_page(spark, path, skip=5000, limit=200, position="at")
+
+
 @register("srt3_top_abs", """SELECT o_orderkey, round(o_totalprice - 150000, 6) AS dev FROM orders
   ORDER BY abs(o_totalprice - 150000) DESC, o_orderkey LIMIT 3""")
 def srt3(spark, d):

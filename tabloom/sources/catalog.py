@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError, qcol
+from tabloom.operators.relational import page
+from tabloom.sources.paged import read_page, write_paged
 
 
 @dataclass
@@ -26,6 +28,7 @@ class Entry:
     created_at: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
     labels: dict = field(default_factory=dict)
     source_key: str | None = None
+    pages: str | None = None
 
 
 class Catalog:
@@ -76,6 +79,19 @@ class Catalog:
         self._entries[new] = e
         e.df.createOrReplaceTempView(self.view_name(new))
 
+    def write_pages(self, dataset_id: str, path: str, order_by) -> str:
+        """SRC-6: keep a sorted, indexed copy of the dataset for :meth:`page`."""
+        self._entries[dataset_id].pages = write_paged(self.read(dataset_id), path, order_by)
+        return path
+
+    def page(self, dataset_id: str, skip: int = 0, limit: int = 100, order_by=None) -> DataFrame:
+        """SRC-6: one page, from the sorted copy unless another order is asked for."""
+        df = self.read(dataset_id)
+        pages = self._entries[dataset_id].pages
+        if order_by is None and pages is None:
+            raise OperatorError("page needs order_by, or write_pages before")
+        return read_page(self.spark, pages, skip, limit) if order_by is None else page(df, order_by, skip, limit)
+
     def reset(self) -> None:
         for k in list(self._entries):
             self.spark.catalog.dropTempView(self.view_name(k))
