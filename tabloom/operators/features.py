@@ -88,9 +88,8 @@ def minmax_inverse(c, lo: float, hi: float):
 QUARTER_RE = r"^\s*(\d{4})\s*第\s*(\d)\s*季度\s*$"
 
 
-def time_features(df: DataFrame, time_column: str, order_by=None, by=()) -> DataFrame:
-    """FE-9: year, month, quarter from a timestamp, a date text or quarter text;
-    a running index (per series) when the time cannot be parsed."""
+def time_parts(df: DataFrame, time_column: str) -> DataFrame:
+    """The calendar columns of FE-9 (year, month, quarter), row by row, so also on streams."""
     require_columns(df, [time_column])
     c = qcol(time_column)
     txt = c.cast("string")
@@ -101,9 +100,14 @@ def time_features(df: DataFrame, time_column: str, order_by=None, by=()) -> Data
     year = F.when(is_q, qy.cast("int")).otherwise(F.year(ts))
     quarter = F.when(is_q, qq.cast("int")).otherwise(F.quarter(ts))
     month = F.when(is_q, (qq.cast("int") - 1) * 3 + 1).otherwise(F.month(ts))
+    return df.select("*", year.alias("year"), month.alias("month"), quarter.alias("quarter"))
+
+
+def time_features(df: DataFrame, time_column: str, order_by=None, by=()) -> DataFrame:
+    """FE-9: year, month, quarter from a timestamp, a date text or quarter text;
+    a running index (per series) when the time cannot be parsed."""
     from tabloom.operators.windows import series_positions
     keys = [by] if isinstance(by, str) else list(by)
     order = [order_by] if isinstance(order_by, str) else list(order_by or [time_column])
-    out = df.select("*", year.alias("year"), month.alias("month"), quarter.alias("quarter"))
-    return series_positions(out, order, keys, pos="time_index").drop("_size") \
+    return series_positions(time_parts(df, time_column), order, keys, pos="time_index").drop("_size") \
         .withColumn("time_index", F.col("time_index").cast("int"))

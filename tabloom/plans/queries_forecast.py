@@ -9,6 +9,8 @@ from tabloom.operators.forecast import moving
 from tabloom.operators.forecast.metrics import forecast_metrics
 from tabloom.plans import fixtures as fx
 from tabloom.plans.registry import register
+from tabloom.session import scratch_path
+from tabloom.streaming.state import run_available, smooth_stream
 
 DEMAND = f"WITH d AS ({fx.DEMAND_SQL})"
 
@@ -146,6 +148,22 @@ def fct4(spark, d):
     return round_all(out.filter("warning IS NULL").select("p_type", "alpha", "beta", "n_test", "mape", "mae", "rmse"))
 
 
+@register("fct3_ses_stream", """WITH f AS (SELECT event_type, ts, value FROM events
+  WHERE value IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT event_type, list(value ORDER BY ts, value) AS arr FROM f
+  WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM f) GROUP BY event_type)
+SELECT event_type, CAST(len(arr) AS BIGINT) AS n,
+  round(list_reduce(arr[2:], lambda acc, x: acc * 0.8 + x * 0.2, arr[1]), 6) AS level FROM s""")
+def fct3_stream(spark, d):
+    """The whole table as a stream: every series' level at the last watermark."""
+    events = fx.load(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    out = scratch_path(spark, "smooth")
+    run_available(smooth_stream(stream, "value", "ts", "event_type", 0.2, "1 hour"), f"{out}/rows", f"{out}/state")
+    last = spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.max(F.struct("n", "level")).alias("last"))
+    return last.select("event_type", "last.n", r(F.col("last.level")).alias("level"))
+
+
 @register("fct3_ses_blocks", SES_SQL)
 def fct3_blocks(spark, d):
     """The plan for long series, forced on the small table."""

@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from tabloom.operators import profile as pf
 from tabloom.operators import quality as dq
+from tabloom.operators import sketches as sk
 from tabloom.plans import fixtures as fx
 from tabloom.plans.registry import register
+from tabloom.session import scratch_path
 
 
 def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -152,6 +154,38 @@ def agg10(spark, d):
     return round_all(out).withColumn("cov", F.round("cov", 4))
 
 
+SKETCHED = ["o_totalprice", "o_custkey"]
+_LN_G = "ln(1.01 / 0.99)"
+
+
+def _sketch_sql(c):
+    def at(p):
+        v = f"arr[1 + CAST(floor({p} * (n - 1)) AS BIGINT)]"
+        return f"least(greatest(2 * pow(1.01 / 0.99, ceil(ln({v}) / {_LN_G})) / (1.01 / 0.99 + 1), lo), hi)"
+    return f"""SELECT '{c}' AS "column", n AS "count", CAST(0 AS BIGINT) AS missing, round(mu, 6) AS mean, round(sd, 6) AS std,
+  CAST(lo AS DOUBLE) AS "min", round({at(0.25)}, 6) AS q25, round({at(0.5)}, 6) AS q50, round({at(0.75)}, 6) AS q75,
+  CAST(hi AS DOUBLE) AS "max" FROM (SELECT CAST(count({c}) AS BIGINT) AS n, avg({c}) AS mu, stddev_samp({c}) AS sd, min({c}) AS lo,
+  max({c}) AS hi, list({c} ORDER BY {c}) AS arr FROM orders)"""
+
+
+def _stored_orders(spark, d):
+    """Three loads of orders, each written by itself, merged from the stored sketches."""
+    orders, path = fx.load(spark, d, "orders"), scratch_path(spark, "sketch")
+    for part in range(3):
+        sk.write_load(orders.filter(F.col("o_orderkey") % 3 == part), path, f"part{part}", SKETCHED + ["o_orderpriority"])
+    return sk.describe_sketch(sk.read_loads(spark, path))
+
+
+@register("agg1_sketch_describe", " UNION ALL ".join(_sketch_sql(c) for c in SKETCHED))
+def agg1_sketch(spark, d):
+    return round_all(_stored_orders(spark, d).filter(F.col("column").isin(SKETCHED)).drop("distinct"))
+
+
+@register("agg3_sketch_distinct")
+def agg3_sketch(spark, d):
+    return _stored_orders(spark, d).select("column", "distinct")
+
+
 @register("agg11_eda_trend", """SELECT date_trunc('month', ts) AS period, round(avg(value), 6) AS value,
   CAST(count(*) AS BIGINT) AS rows FROM events GROUP BY 1""")
 def agg11(spark, d):

@@ -214,14 +214,14 @@ def srt2(spark, d):
 DEEP_COLS = "l_orderkey, l_linenumber, l_extendedprice"
 
 
-@register("src6_deep_page", f"""SELECT {DEEP_COLS}, at FROM (SELECT {DEEP_COLS},
-  CAST(row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS BIGINT) AS at FROM lineitem)
-  WHERE at BETWEEN 5000 AND 5199""")
+@register("src6_deep_page", f"""SELECT {DEEP_COLS}, pos FROM (SELECT {DEEP_COLS},
+  CAST(row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS BIGINT) AS pos FROM lineitem)
+  WHERE pos BETWEEN 5000 AND 5199""")
 def src6_deep(spark, d):
     """A page of a sorted, indexed copy of the whole table."""
     items = fx.load(spark, d, "lineitem").select(*DEEP_COLS.split(", "))
     path = write_paged(items, scratch_path(spark, "paged"), ["l_extendedprice", "l_orderkey", "l_linenumber"])
-    return read_page(spark, path, skip=5000, limit=200, position="at")
+    return read_page(spark, path, skip=5000, limit=200, position="pos")
 
 
 @register("srt3_top_abs", """SELECT o_orderkey, round(o_totalprice - 150000, 6) AS dev FROM orders
