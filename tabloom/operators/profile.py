@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.expressions import (OperatorError, is_missing, normalise_nan, numeric_columns, qcol,
+from tabloom.functions.expressions import (OperatorError, as_list, is_missing, normalise_nan, numeric_columns, present, qcol,
                                            require_columns)
 
 _STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -253,13 +253,44 @@ def covariance_matrix(df: DataFrame, columns, where: Column | None = None) -> Da
     return wide.select("n", F.explode(F.array(*rows)).alias("_r")).select("n", "_r.*")
 
 
-def eda_summary(df: DataFrame, time_column: str, measures, unit: str = "month") -> dict:
+def eda_summary(df: DataFrame, time_column: str, measures, unit: str = "month", group=None) -> dict:
     """AGG-11: the automatic report's tables (base stats, trend, relationships,
-    anomalies) as lazy DataFrames."""
+    anomalies) as lazy DataFrames.
+
+    ``group`` (one column or several) adds ``comparison``, one row per group and
+    measure, and splits the trend by group. A missing group value is a group of
+    its own; a hot group is summed inside tasks first.
+    """
     from tabloom.operators.stats import correlation_matrix, outlier_counts
+    measures, by = list(measures), as_list(group)
+    require_columns(df, [time_column, *measures, *by])
+    taken = {"period", "measure", "rows", "count", "mean", "std", "min", "max", "share", "lift", *measures} & set(by)
+    if taken:
+        raise OperatorError(f"rename the group columns {sorted(taken)}: the tables have columns of these names")
     base = describe(df, measures)
-    trend = df.groupBy(F.date_trunc(unit, qcol(time_column)).alias("period")).agg(
-        *[F.avg(qcol(m)).alias(m) for m in measures], F.count(F.lit(1)).alias("rows"))
+    trend = df.groupBy(F.date_trunc(unit, qcol(time_column)).alias("period"), *[qcol(g) for g in by]).agg(
+        *[F.avg(present(df, m)).alias(m) for m in measures], F.count(F.lit(1)).alias("rows"))
     rel = correlation_matrix(df, measures) if len(measures) > 1 else None
     anomalies = outlier_counts(df, measures)
-    return {"base": base, "trend": trend, "relationships": rel, "anomalies": anomalies}
+    found = {"base": base, "trend": trend, "relationships": rel, "anomalies": anomalies}
+    if by:
+        found["comparison"] = _comparison(df, measures, by)
+    return found
+
+
+def _comparison(df: DataFrame, measures, by) -> DataFrame:
+    """Per group and measure: rows, present values, mean, std (n-1), min, max, the
+    group's share of the measure's sum and its mean against the mean of all groups'
+    rows (``lift``)."""
+    cells = df.select(*[qcol(g) for g in by], F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), present(df, m).cast("double").alias("x")) for m in measures])).alias("__tb_c"))
+    x, key = F.col("__tb_c.x"), F.col("__tb_c.measure")
+    per = cells.groupBy(*[qcol(g) for g in by], key.alias("measure")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("__tb_sum"))
+    # One row per measure.
+    whole = per.groupBy(F.col("measure").alias("__tb_m")).agg(F.sum("__tb_sum").alias("__tb_all"), F.sum("count").alias("__tb_n"))
+    return per.join(F.broadcast(whole), F.col("measure") == F.col("__tb_m")).select(
+        *[qcol(g) for g in by], "measure", "rows", "count", "mean", "std", "min", "max",
+        F.try_divide("__tb_sum", "__tb_all").alias("share"),
+        F.try_divide(F.col("mean"), F.try_divide("__tb_all", "__tb_n")).alias("lift"))

@@ -157,7 +157,8 @@ SELECT event_type, CAST(len(arr) AS BIGINT) AS n,
 def fct3_stream(spark, d):
     """The whole table as a stream: every series' level at the last watermark."""
     events = fx.load(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    # A pattern, as a stream takes a plain path for a folder and the table may be one file.
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
     out = scratch_path(spark, "smooth")
     run_available(smooth_stream(stream, "value", "ts", "event_type", 0.2, "1 hour"), f"{out}/rows", f"{out}/state")
     last = spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.max(F.struct("n", "level")).alias("last"))

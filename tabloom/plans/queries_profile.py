@@ -192,6 +192,42 @@ def agg11(spark, d):
     return round_all(pf.eda_summary(fx.load(spark, d, "events"), "ts", ["value"])["trend"])
 
 
+def _eda(spark, d):
+    return pf.eda_summary(fx.load(spark, d, "lineitem"), "l_shipdate", ["l_quantity", "l_extendedprice"], group="l_returnflag")
+
+
+@register("agg11_eda_group_trend", """SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS period, l_returnflag,
+  round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 6) AS l_extendedprice,
+  CAST(count(*) AS BIGINT) AS rows FROM lineitem GROUP BY 1, 2""")
+def agg11_group_trend(spark, d):
+    return round_all(_eda(spark, d)["trend"])
+
+
+@register("agg11_eda_comparison", union_sql(f"""SELECT l_returnflag, '{m}' AS measure, CAST(count(*) AS BIGINT) AS rows,
+  CAST(count({m}) AS BIGINT) AS "count", round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std,
+  CAST(min({m}) AS DOUBLE) AS "min", CAST(max({m}) AS DOUBLE) AS "max",
+  round(sum({m}) / (SELECT sum({m}) FROM lineitem), 6) AS share,
+  round(avg({m}) / (SELECT avg({m}) FROM lineitem), 6) AS lift FROM lineitem GROUP BY 1"""
+  for m in ("l_quantity", "l_extendedprice")))
+def agg11_comparison(spark, d):
+    return round_all(_eda(spark, d)["comparison"])
+
+
+@register("agg11_eda_relationships", """SELECT 'l_quantity' AS col_a, 'l_extendedprice' AS col_b,
+  round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem""")
+def agg11_relationships(spark, d):
+    return round_all(_eda(spark, d)["relationships"])
+
+
+@register("agg11_eda_anomalies", union_sql(f"""SELECT '{m}' AS "column", CAST(count(*) FILTER (
+  WHERE {m} < q1 - 1.5 * (q3 - q1) OR {m} > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS "count",
+  round(any_value(q1 - 1.5 * (q3 - q1)), 6) AS lower, round(any_value(q3 + 1.5 * (q3 - q1)), 6) AS upper FROM lineitem,
+  (SELECT quantile_cont(CAST({m} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({m} AS DOUBLE), 0.75) AS q3 FROM lineitem)"""
+  for m in ("l_quantity", "l_extendedprice")))
+def agg11_anomalies(spark, d):
+    return round_all(_eda(spark, d)["anomalies"])
+
+
 # ------------------------------------------------------------------ DQ
 def dirty_orders(spark, d):
     """orders with NULL prices, a duplicated slice and price outliers."""
