@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.expressions import OperatorError, qcol
+from tabloom.functions.expressions import OperatorError, qcol, require_columns
 from tabloom.operators.ml import FittedModel, build_pipeline, task_of, with_target
 from tabloom.operators.sampling import kfold, train_test_split
 from tabloom.session import cut_lineage
@@ -143,10 +143,26 @@ def _meta_pipeline(meta_type, meta_cols, target, task, seed, n):
     return build_pipeline(meta_type, meta_cols, target, task, None, seed, n)
 
 
+def _chosen(df: DataFrame, features, use_features) -> list:
+    """``features``, or the part of them that ``use_features`` names (in its order)."""
+    feats = list(features)
+    if use_features is None:
+        return feats
+    chosen = [use_features] if isinstance(use_features, str) else list(use_features)
+    unknown = [c for c in chosen if c not in feats]
+    if unknown or not chosen:
+        raise OperatorError(f"use_features must name some of the features; unknown: {unknown}")
+    require_columns(df, chosen)
+    return chosen
+
+
 def stacking(df: DataFrame, features, target: str, base_types, meta_type: str, cv: int = 5,
-             seed: int = 42, key=None) -> StackedModel:
+             seed: int = 42, key=None, use_features=None) -> StackedModel:
     """ML-16: out-of-fold base predictions (hash folds) train the meta model;
-    base models are then refitted on all rows for inference."""
+    base models are then refitted on all rows for inference. ``use_features``
+    restricts the base models to a part of the features; the others need not be
+    there when the model is applied."""
+    features = _chosen(df, features, use_features)
     task = task_of(base_types[0])
     data = kfold(df, cv, seed, key, "_fold")
     parts = []
@@ -170,8 +186,10 @@ def stacking(df: DataFrame, features, target: str, base_types, meta_type: str, c
 
 
 def blending(df: DataFrame, features, target: str, base_types, meta_type: str, holdout: float = 0.2,
-             seed: int = 42, key=None) -> StackedModel:
-    """ML-17: bases on 80 %, meta model on their predictions for the other 20 %."""
+             seed: int = 42, key=None, use_features=None) -> StackedModel:
+    """ML-17: bases on 80 %, meta model on their predictions for the other 20 %.
+    ``use_features`` as for :func:`stacking`."""
+    features = _chosen(df, features, use_features)
     task = task_of(base_types[0])
     split = train_test_split(df, holdout, seed, key, "_blend")
     train, hold = split.filter("NOT _blend"), split.filter("_blend")

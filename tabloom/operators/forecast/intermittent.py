@@ -1,6 +1,7 @@
 """Intermittent-demand forecasting: Croston, SBA, TSB (FCT-7..10).
 
-Series are hashed into a fixed number of groups; a group is searched in numpy,
+Series are hashed into groups, as many as the counted rows ask for (about
+``ROWS_PER_GROUP`` rows each, at least ``GROUPS``); a group is searched in numpy,
 vectorised over series x candidates, a bounded chunk of series of similar
 length at a time. The forecast for a period uses the state before that period's
 demand is seen; in-sample MAPE (a fraction) counts only periods with non-zero
@@ -22,6 +23,7 @@ from tabloom.operators.forecast.smoothing import GRID
 
 METHODS = ("croston", "sba", "tsb")
 GROUPS = 64
+ROWS_PER_GROUP = 1_000_000
 # Cells (series x periods x candidates) worked on at once: bounds a task's memory.
 CHUNK_CELLS = 4_000_000
 
@@ -98,12 +100,14 @@ def _series_matrices(table: pa.Table, n_candidates: int):
         at += n
 
 
-def _by_group(df: DataFrame, target: str, time_column: str, keys, groups: int, n_candidates: int, search, schema: str):
+def _by_group(df: DataFrame, target: str, time_column: str, keys, groups: int | None, n_candidates: int, search, schema: str):
     """Run ``search(D) -> (row of D, columns)`` on every series; keys are taken
     from the rows as they are, so NULL keys and their types stay."""
     base = df.select(*[qcol(k) for k in keys], F.xxhash64(*[qcol(k) for k in keys]).alias("__tb_s"),
                      qcol(time_column).alias("__tb_time"), present(df, target).cast("double").alias("value")) \
         .filter(F.col("value").isNotNull())
+    if groups is None:
+        groups = max(GROUPS, -(-base.count() // ROWS_PER_GROUP))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
 
     def run(table: pa.Table) -> pa.Table:
@@ -128,7 +132,7 @@ ONE_SCHEMA = ("method string, alpha double, beta double, mape double, forecast d
 
 
 def croston(df: DataFrame, target: str, time_column: str = "time", series_keys=(),
-            method: str = "croston", alpha: float = 0.1, beta: float = 0.1, groups: int = GROUPS) -> DataFrame:
+            method: str = "croston", alpha: float = 0.1, beta: float = 0.1, groups: int | None = None) -> DataFrame:
     """FCT-7/8/9 for one parameter: per series in-sample MAPE on non-zero
     periods, next-period forecast, zero share. All-zero series give NULLs."""
     if method not in METHODS:
@@ -198,7 +202,7 @@ def _search(methods, alphas, betas, extra_periods: int):
 
 
 def croston_search(df: DataFrame, target: str, time_column: str = "time", series_keys=(), methods=METHODS,
-                   alphas=None, betas=None, extra_periods: int = 0, groups: int = GROUPS) -> DataFrame:
+                   alphas=None, betas=None, extra_periods: int = 0, groups: int | None = None) -> DataFrame:
     """FCT-10: best parameter per method and best method per series, with the
     actual values, the in-sample forecasts and ``extra_periods`` future ones.
 
