@@ -1,13 +1,15 @@
 """Incremental, reversible line deduplication.
 
 A line's key is a 128-bit digest of the line with white space stripped and A-Z
-lower-cased. The index keeps, sharded by key:
+lower-cased. The index keeps:
 
 * ``postings``: one row per (key, document), the exact references;
 * ``counts``: per key the number of documents and the largest id, the exact
   reference counts derived from the postings;
-* ``filters``: per shard a cuckoo filter of the keys that ``min_docs`` or more
-  documents hold.
+* ``filters``: per shard of the keys a cuckoo filter of those that ``min_docs`` or
+  more documents hold. The number of shards follows the counted keys: about
+  ``KEYS_PER_SHARD`` distinct ones each, so a shard's task keeps its size as the
+  corpus grows; an update that outgrows it deals and builds the filters anew.
 
 Inserting documents raises counts and adds the keys that become common to the
 filters; deleting documents lowers them and takes keys out of the filters
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import SPACE_BYTES, register, scratch_path, table
 from tabloom.llm.cuckoo import CuckooFilter
 
-N_SHARDS = 64
+LEAST_SHARDS = 64
+KEYS_PER_SHARD = 100_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -53,7 +56,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return hashlib.blake2b(bare.lower(), digest_size=16).digest()  # bytes.lower() maps A-Z only
 
 
-def _key_rows(min_chars: int, n_shards: int):
+def _key_rows(min_chars: int):
     def rows(batches):
         for batch in batches:
             ids, keys = [], []
@@ -64,17 +67,18 @@ def _key_rows(min_chars: int, n_shards: int):
                 found.discard(None)
                 keys.extend(found)
                 ids.extend([i] * len(found))
-            shards = [int.from_bytes(k[:4], "little") % n_shards for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())],
-                names=["shard", "key", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc"])
     return rows
 
 
-def line_postings(docs: DataFrame, id_col: str, text: str, min_chars: int, n_shards: int) -> DataFrame:
-    """(shard, key, doc) once per row of ``docs`` and long line."""
+def line_postings(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
+    """(key, doc) once per row of ``docs`` and long line."""
     return docs.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(
-        _key_rows(min_chars, n_shards), "shard int, key binary, doc long")
+        _key_rows(min_chars), "key binary, doc long")
+
+
+def _sharded(keys: DataFrame, n_shards: int) -> DataFrame:
+    return keys.select(F.pmod(F.crc32("key"), F.lit(n_shards)).cast("int").alias("shard"), "key")
 
 
 def _build_filter(group: pa.Table) -> pa.Table:
@@ -130,47 +134,59 @@ class LineIndex:
     """Line references of a corpus in versioned tables below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, min_chars: int = 40, min_docs: int = 5,
-                 n_shards: int = N_SHARDS, id_col: str = "doc_id", text: str = "text"):
+                 n_shards: int | None = None, id_col: str = "doc_id", text: str = "text"):
         self.spark, self.root = spark, root or scratch_path(spark, "lines")
-        self.min_chars, self.min_docs, self.n_shards = min_chars, min_docs, n_shards
-        self.id_col, self.text, self.version = id_col, text, self._current()
+        self.min_chars, self.min_docs, self.fixed_shards = min_chars, min_docs, n_shards
+        self.id_col, self.text = id_col, text
+        self.version, self.n_shards = self._current()
 
     # -- tables -------------------------------------------------------------
 
-    def _current(self) -> int:
+    def _current(self) -> tuple[int, int]:
+        """Version and number of shards in force; (0, 0) for a new index."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return 0
-        return self.spark.read.parquet(f"{self.root}/CURRENT").agg(F.max("version")).head()[0] or 0
+            return 0, 0
+        last = self.spark.read.parquet(f"{self.root}/CURRENT").agg(F.max(F.struct("version", "shards"))).head()[0]
+        return (last["version"], last["shards"]) if last else (0, 0)
 
     def _table(self, name: str, version: int | None = None) -> DataFrame:
-        schema = {"postings": "shard int, key binary, doc long", "counts": "shard int, key binary, n_docs long, max_doc long",
+        schema = {"postings": "key binary, doc long", "counts": "key binary, n_docs long, max_doc long",
                   "filters": "shard int, cells binary"}[name]
         version = self.version if version is None else version
         if not version:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{version}")
 
-    def _publish(self, postings: DataFrame, filters) -> None:
+    def _publish(self, postings: DataFrame) -> None:
         """Write the next version: postings, their counts and the filters."""
         new = self.version + 1
         postings.write.mode("overwrite").parquet(f"{self.root}/postings/v{new}")
-        counts = (self._table("postings", new).groupBy("shard", "key")
+        counts = (self._table("postings", new).groupBy("key")
                   .agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc")))
         counts.write.mode("overwrite").parquet(f"{self.root}/counts/v{new}")
-        filters(new).write.mode("overwrite").parquet(f"{self.root}/filters/v{new}")
-        self.spark.range(1).select(F.lit(new).alias("version")).write.mode("append").parquet(f"{self.root}/CURRENT")
-        self.version = new
-
-    def _common(self, version: int) -> DataFrame:
-        return self._table("counts", version).filter(F.col("n_docs") >= self.min_docs).select("shard", "key")
-
-    def _new_filters(self, new: int) -> DataFrame:
+        shards = self.fixed_shards or self._shards(self._table("counts", new).count())
+        self._new_filters(new, shards).write.mode("overwrite").parquet(f"{self.root}/filters/v{new}")
+        self.spark.range(1).select(F.lit(new).alias("version"), F.lit(shards).alias("shards")) \
+            .write.mode("append").parquet(f"{self.root}/CURRENT")
+        self.version, self.n_shards = new, shards
+
+    def _shards(self, n_keys: int) -> int:
+        """Shards for so many keys: the present number until they hold twice their share."""
+        if self.version and n_keys <= 2 * KEYS_PER_SHARD * self.n_shards:
+            return self.n_shards
+        return max(LEAST_SHARDS, -(-n_keys // KEYS_PER_SHARD))
+
+    def _common(self, version: int, shards: int) -> DataFrame:
+        return _sharded(self._table("counts", version).filter(F.col("n_docs") >= self.min_docs), shards)
+
+    def _new_filters(self, new: int, shards: int) -> DataFrame:
         """Filters of version ``new``: the old ones with the keys that crossed the
-        threshold added or taken out; a shard that overflows is rebuilt."""
-        if not self.version:
-            return self._common(new).groupBy("shard").applyInArrow(_build_filter, "shard int, cells binary")
-        was, now = self._common(self.version), self._common(new)
+        threshold added or taken out; a shard that overflows is rebuilt, and all of
+        them when the number of shards changes."""
+        if shards != self.n_shards:
+            return self._common(new, shards).groupBy("shard").applyInArrow(_build_filter, "shard int, cells binary")
+        was, now = self._common(self.version, shards), self._common(new, shards)
         on = ["shard", "key"]
         changes = (now.join(was, on, "left_anti").withColumn("add", F.lit(True))
                    .unionByName(was.join(now, on, "left_anti").withColumn("add", F.lit(False))))
@@ -186,21 +202,20 @@ class LineIndex:
     # -- updates ------------------------------------------------------------
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        return line_postings(docs, self.id_col, self.text, self.min_chars, self.n_shards)
+        return line_postings(docs, self.id_col, self.text, self.min_chars)
 
     def insert(self, docs: DataFrame) -> "LineIndex":
         """Add the lines of ``docs``; documents already present count once."""
         rows = self._postings(docs)
         if self.version:
             rows = self._table("postings").unionByName(rows)
-        self._publish(rows.distinct(), self._new_filters)
+        self._publish(rows.distinct())
         return self
 
     def delete(self, docs: DataFrame) -> "LineIndex":
         """Take all lines of the documents with the ids of ``docs`` out again."""
         gone = docs.select(F.col(self.id_col).cast("long").alias("doc")).distinct()
-        self._publish(self._table("postings").join(gone, "doc", "left_anti").select("shard", "key", "doc"),
-                      self._new_filters)
+        self._publish(self._table("postings").join(gone, "doc", "left_anti").select("key", "doc"))
         return self
 
     # -- answers ------------------------------------------------------------
@@ -208,7 +223,9 @@ class LineIndex:
     def common_keys(self, postings: DataFrame) -> DataFrame:
         """(key, max_doc) of the keys of ``postings`` that ``min_docs`` or more
         indexed documents hold: filters first, exact counts for what they report."""
-        keys = postings.select("shard", "key").distinct()
+        if not self.version:
+            return self._table("counts").select("key", "max_doc")
+        keys = _sharded(postings.select("key").distinct(), self.n_shards)
         reported = (self._table("filters").groupBy("shard").cogroup(keys.groupBy("shard"))
                     .applyInArrow(_probe, "key binary"))
         exact = self._table("counts").filter(F.col("n_docs") >= self.min_docs).select("key", "max_doc")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tabloom.llm import line_dedup
 from tabloom.llm.cuckoo import CuckooFilter
 from tabloom.llm.line_dedup import LineIndex, deduplicated, line_key
 
@@ -62,6 +63,24 @@ def test_insert_and_delete_are_reversible(spark):
     assert again.version == index.version
 
 
+def test_shards_follow_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 1)
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 1)
+    index = LineIndex(spark).insert(frame(spark, ROWS[:1]))
+    few = index.n_shards
+    index.insert(frame(spark, ROWS[1:]))
+    assert index.n_shards == index._table("counts").count() > 2 * few
+    assert got(index.clean(frame(spark, ROWS))) == brute(ROWS)
+    index.delete(frame(spark, ROWS[4:9]))  # fewer keys keep their shards
+    left = ROWS[:4] + ROWS[9:]
+    assert got(LineIndex(spark, root=index.root).clean(frame(spark, left))) == brute(left)
+
+
+def test_index_without_documents_drops_nothing(spark):
+    df = frame(spark, ROWS)
+    assert all(r.n_dropped == 0 for r in LineIndex(spark).clean(df).collect())
+
+
 def test_deduplicated_keeps_columns_and_drops_emptied_documents(spark):
     df = frame(spark, ROWS + [(2, LONG)])
     out = deduplicated(df)
