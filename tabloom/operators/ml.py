@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError, is_numeric, qcol, require_columns
+from tabloom.operators import cells
 from tabloom.operators.sampling import train_test_split
 
 # The model types and their task (classification / regression).
@@ -151,7 +152,8 @@ def build_pipeline(model_type, features, target, task, params=None, seed=42, n_r
     """Label indexer (classification) + assembler + estimator. Binary-only
     estimators (GBT, linear SVC) are wrapped in ``OneVsRest`` for > 2 classes.
     Support vector models with a ``kernel`` other than linear get a Nyström map
-    before them (``gamma``, ``degree``, ``coef0``, ``n_components``)."""
+    before them (``gamma``, ``degree``, ``coef0``, ``n_components``). With many rows
+    (``n_rows``) trees are fitted on cells of equal bins, see ``cells.py``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import OneVsRest
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -159,7 +161,11 @@ def build_pipeline(model_type, features, target, task, params=None, seed=42, n_r
     if task == "classification":
         stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
                                     handleInvalid="skip"))
-    stages.append(VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"))
+    inputs, on_cells = list(features), cells.suits(model_type, params, n_rows, len(features))
+    if on_cells:
+        stages.append(cells.Bins(inputs))
+        inputs = cells.bin_columns(len(inputs))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"))
     features_col = "features"
     if model_type in ("svm", "svr"):
         params = json.loads(params) if isinstance(params, str) and params.strip() else dict(params or {})
@@ -175,6 +181,8 @@ def build_pipeline(model_type, features, target, task, params=None, seed=42, n_r
         est.setStandardization(False)  # the map's scale is the kernel
     if model_type in BINARY_ONLY and (n_classes or 2) > 2:
         est = OneVsRest(classifier=est, featuresCol=features_col, labelCol="label", parallelism=4)
+    if on_cells:
+        est = (cells.CellForest if model_type.startswith("random_forest") else cells.OnCells)(est, inputs, task)
     stages.append(est)
     return Pipeline(stages=stages)
 
