@@ -15,12 +15,15 @@ tasks' sums are small together (``DRIVER_BYTES``) the driver adds them up,
 otherwise they are added per (node, feature) in a shuffle, and only best splits
 come back. Margins are written every ``KEEP_ROUNDS`` rounds; in between tasks
 add the few trees since. Samples come from generators seeded by round and block,
-so a repeated task draws the same rows.
+so a repeated task draws the same rows. Large tables without row samples are first
+summed by cell (the bins of all features, and the class): rows of a cell have equal
+margins, so a weighted row with the cell's mean label gives the same sums.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import numpy as np
@@ -40,6 +43,7 @@ from tabloom.session import cut_lineage
 DRIVER_BYTES = 32 << 20
 KEEP_ROUNDS = 10
 ROWS_PER_TASK = 100_000
+CELL_ROWS = 200_000  # rows from which cells are summed
 LEAST_GAIN = 1e-6
 
 
@@ -125,24 +129,65 @@ def sampled(rate: float, seed: int, turn: int, block: int, n: int) -> np.ndarray
 
 # -- blocks -------------------------------------------------------------------------
 
-def _cut(cuts: list[np.ndarray], margin0: np.ndarray):
+def _binned(column, n: int, cuts: list[np.ndarray]) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)], axis=1).astype(np.uint16)
+
+
+def _cut(cuts: list[np.ndarray], margin0: np.ndarray, of=None):
+    """Blocks of rows (bins, label, margin, weight); ``of`` reads a batch, by default (x, y)."""
+    def rows(batch):
+        y = batch.column(1).to_numpy().astype("<f8")
+        return _binned(batch.column(0), batch.num_rows, cuts), y, np.ones(len(y))
+
     def run(batches):
         from pyspark import TaskContext
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            bins = np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)], axis=1).astype(np.uint16)
-            y = batch.column(1).to_numpy().astype("<f8")
+            bins, y, weight = (of or rows)(batch)
             margin = np.tile(margin0, (len(y), 1))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([v.tobytes()], pa.binary()) for v in (bins, y, margin))],
-                                             names=["block", "bins", "y", "margin"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([v.tobytes()], pa.binary()) for v in (bins, y, margin, weight))],
+                                             names=["block", "bins", "y", "margin", "weight"])
             block += 1
     return run
 
 
-_BLOCKS = "block long, bins binary, y binary, margin binary"
+_BLOCKS = "block long, bins binary, y binary, margin binary, weight binary"
+
+
+def _codes(bins: np.ndarray, sizes: list[int]) -> np.ndarray:
+    code = np.zeros(len(bins), np.int64)
+    for j, size in enumerate(sizes):
+        code = code * size + bins[:, j]
+    return code
+
+
+def _cells(cuts: list[np.ndarray], classes: int):
+    """(code of bins and class, rows, sum of labels) of every batch."""
+    sizes = [len(c) + 1 for c in cuts]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = batch.column(1).to_numpy().astype("<f8")
+            code = _codes(_binned(batch.column(0), len(y), cuts), sizes)
+            code, at = np.unique(code * classes + y.astype(np.int64) if classes > 1 else code, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(at).astype(float)), pa.array(np.bincount(at, y))], names=["code", "n", "s"])
+    return run
+
+
+def _of_cells(cuts: list[np.ndarray], classes: int):
+    def rows(batch):
+        code, n, s = (batch.column(i).to_numpy() for i in range(3))
+        y, code = (code % classes).astype("<f8") if classes > 1 else s / n, code // classes
+        bins = np.empty((len(code), len(cuts)), np.uint16)
+        for j in reversed(range(len(cuts))):
+            bins[:, j], code = code % (len(cuts[j]) + 1), code // (len(cuts[j]) + 1)
+        return bins, y, n.astype("<f8")
+    return rows
 
 
 def _read(batch, r: int, width: int, trees: int, pending: list):
@@ -153,15 +198,15 @@ def _read(batch, r: int, width: int, trees: int, pending: list):
     for group in pending:
         for k, (tree, weight) in enumerate(group):
             margin[:, k] += weight[leaves(tree, bins)]
-    return bins, y, margin
+    return bins, y, margin, np.frombuffer(batch.column("weight")[r].as_buffer(), "<f8")
 
 
 def _write_margins(width: int, trees: int, pending: list):
     def run(batches):
         for batch in batches:
             margins = [_read(batch, r, width, trees, pending)[2].tobytes() for r in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("block", "bins", "y")] + [pa.array(margins, pa.binary())],
-                                             names=["block", "bins", "y", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("block", "bins", "y")] + [pa.array(margins, pa.binary()), batch.column("weight")],
+                                             names=["block", "bins", "y", "margin", "weight"])
     return run
 
 
@@ -172,8 +217,8 @@ def _histograms(width: int, n_trees: int, pending: list, grown: list, active: li
         total = [np.zeros((2, len(nodes), len(cols), n_bins)) for nodes, cols in zip(active, columns)]
         for batch in batches:
             for r in range(batch.num_rows):
-                bins, y, margin = _read(batch, r, width, n_trees, pending)
-                g, h = gradients(objective, y, margin)
+                bins, y, margin, weight = _read(batch, r, width, n_trees, pending)
+                g, h = (v * weight[:, None] for v in gradients(objective, y, margin))
                 use = sampled(rate, seed, turn, batch.column("block")[r].as_py(), len(y))
                 for k, (tree, nodes, cols) in enumerate(zip(grown, active, columns)):
                     if not len(nodes):
@@ -273,7 +318,15 @@ class SecondOrderBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Def
         cuts = data.agg(*[F.percentile_approx(F.get("x", F.lit(j)), probs, 20 * n_bins).alias(f"c{j}") for j in range(width)]).head()
         cuts = [np.array(sorted(set(cuts[j] or []))) for j in range(width)]
         # every level is a job: small tables go to few tasks (coalesce never makes more)
-        blocks = cut_lineage(data.coalesce(-(-first.n // ROWS_PER_TASK)).mapInArrow(_cut(cuts, np.full(trees, base)), _BLOCKS))
+        margin0, n_rows, rows, of = np.full(trees, base), first.n, data, None
+        classes = 1 if objective == "squared" else int(first.top) + 1
+        if n_rows >= CELL_ROWS and v["subsamplingRate"] >= 1 and math.prod(len(c) + 1 for c in cuts) * classes < 1 << 62:
+            summed = cut_lineage(data.mapInArrow(_cells(cuts, classes), "code long, n double, s double").groupBy("code")
+                                 .agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+            n_cells = summed.count()
+            if n_cells <= n_rows // 2:
+                rows, of, n_rows = summed, _of_cells(cuts, classes), n_cells
+        blocks = cut_lineage(rows.coalesce(-(-n_rows // ROWS_PER_TASK)).mapInArrow(_cut(cuts, margin0, of), _BLOCKS))
         tasks = blocks.rdd.getNumPartitions()
         lam, alpha = v["regLambda"], v["regAlpha"]
         pick = random.Random(v["seed"])
@@ -346,11 +399,15 @@ class SecondOrderBoostingModel(Model, _BoostingParams, DefaultParamsReadable, De
                 return pd.Series([], dtype=object)
             m = np.stack(x.to_list())
             bins = np.stack([np.searchsorted(c, m[:, j], side="right") for j, c in enumerate(cuts)], axis=1)
+            at = None
+            if math.prod(len(c) + 1 for c in cuts) < 1 << 62:  # rows of a cell are predicted once
+                _, first, at = np.unique(_codes(bins, [len(c) + 1 for c in cuts]), return_index=True, return_inverse=True)
+                bins, m = bins[first], m[first]
             out = np.full((len(m), p["trees"]), p["base"])
             for g in groups:
                 for k, (tree, weight) in enumerate(g):
                     out[:, k] += weight[leaves(tree, bins)]
-            return pd.Series(list(out))
+            return pd.Series(list(out if at is None else out[at]))
 
         out = df.withColumn("rawPrediction", margins(vector_to_array(self.getFeaturesCol())))
         raw = F.col("rawPrediction")
