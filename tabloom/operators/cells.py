@@ -99,7 +99,23 @@ def weighted(df: DataFrame, columns, label: str, task: str, groups=()) -> DataFr
     n = F.count(F.lit(1))
     if task == "classification":
         return df.groupBy(*keys, label).agg(n.cast("double").alias("__tb_w"))
-    return df.groupBy(*keys).agg(n.cast("double").alias("__tb_w"), F.when(F.count(y) == n, F.avg(y)).alias(label))
+    return df.groupBy(*keys).agg(n.cast("double").alias("__tb_w"), F.when(F.count(y) == n, F.avg(y)).alias(label),
+                                  (F.var_pop(y) * n).alias("__tb_m2"))
+
+
+def weighted_score(pred: DataFrame, task: str, target: str, metric: str) -> float:
+    """``score_of`` on cells: errors about the cell's mean plus the spread of its labels."""
+    from tabloom.operators.ml import classification_metrics
+    w = F.col("__tb_w")
+    if task == "classification":
+        return classification_metrics(pred, "label", "prediction", "__tb_w").first()[metric]
+    y, p = qcol(target), F.col("prediction")
+    mean = pred.agg(F.sum(w * y) / F.sum(w)).first()[0]
+    r = pred.agg(F.sum(w).alias("n"), F.sum(F.col("__tb_m2") + w * (y - p) ** 2).alias("sse"),
+                 F.sum(F.col("__tb_m2") + w * (y - F.lit(mean)) ** 2).alias("sst")).first()
+    if metric == "r2":
+        return 1 - r.sse / r.sst if r.sst else 0.0
+    return -r.sse / r.n if metric == "mse" else -math.sqrt(r.sse / r.n)
 
 
 def few_tasks(rows: DataFrame, n: int) -> DataFrame:

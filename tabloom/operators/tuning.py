@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError
-from tabloom.operators.ml import build_pipeline, classification_metrics, regression_metrics, task_of
+from tabloom.operators import cells, moments
+from tabloom.operators.ml import build_pipeline, classification_metrics, make_estimator, regression_metrics, task_of
 from tabloom.operators.sampling import hash_column, kfold
+from tabloom.session import cut_lineage
 
 # Search grids per model family, for the parameters that Spark's
 # estimators have (unlimited depth is 30 here, the limit of Spark's trees).
@@ -107,6 +109,9 @@ def cross_validate(df: DataFrame, features, target: str, model_type: str, candid
     allowed = REGRESSION_METRICS if task == "regression" else CLASSIFICATION_METRICS
     if metric not in allowed:
         raise OperatorError(f"metric must be one of {allowed}")
+    scored = _from_sums(df, list(features), target, model_type, candidates, k, metric, seed, key, parallelism, train_scores)
+    if scored is not None:
+        return df.sparkSession.createDataFrame(scored, CV_SCHEMA)
     # every (candidate, fold) fit re-reads the table: keep it cached for the
     # duration of the search (all jobs finish inside this function)
     data = kfold(df, k, seed, key, "_fold").cache()
@@ -126,8 +131,54 @@ def cross_validate(df: DataFrame, features, target: str, model_type: str, candid
             rows = list(pool.map(run, jobs))
     finally:
         data.unpersist()
-    return df.sparkSession.createDataFrame(
-        rows, "candidate long, params string, fold long, test_score double, train_score double")
+    return df.sparkSession.createDataFrame(rows, CV_SCHEMA)
+
+
+CV_SCHEMA = "candidate long, params string, fold long, test_score double, train_score double"
+LINEAR = ("linear_regression", "ridge", "lasso")
+
+
+def _from_sums(df, feats, target, model_type, candidates, k, metric, seed, key, parallelism, train_scores) -> list | None:
+    """Fits and scores of a large table from sums that one pass leaves per fold: moments
+    for linear models, cells of equal bins for decision trees; None for other models."""
+    if model_type not in LINEAR and not model_type.startswith("decision_tree_"):
+        return None
+    n = df.count()
+    task = task_of(model_type)
+    if n < cells.CELL_ROWS or not (model_type in LINEAR or all(cells.suits(model_type, p, n, len(feats)) for p in candidates)):
+        return None
+    data = kfold(df, k, seed, key, "_fold")
+    n_train = int(n * (k - 1) / k)
+    if model_type in LINEAR:
+        sums = moments.by_group(data, feats, target, ["_fold"])
+        if sums is None:
+            return None
+
+        def run(job):
+            ci, params, fold = job
+            train, test = (moments.merge([m for (f,), m in sums.items() if (f == fold) == held]) for held in (False, True))
+            model = moments.fit(df.sparkSession, build_pipeline(model_type, feats, target, task, params, seed, n_train), feats, target, train)
+            return (ci, json.dumps(params, sort_keys=True), fold, moments.score(model, test, metric),
+                    moments.score(model, train, metric) if train_scores else None)
+    else:
+        bins, cols = cells.Bins(feats).fit(data), cells.bin_columns(len(feats))
+        rows = cut_lineage(cells.weighted(bins.transform(data), cols, target, task, ["_fold"]))
+        rows = cells.assembled(cells.few_tasks(rows, rows.count()), cols, "features").cache()
+
+        def run(job):
+            from pyspark.ml.feature import StringIndexer
+            ci, params, fold = job
+            train, test = rows.filter(F.col("_fold") != fold), rows.filter(F.col("_fold") == fold)
+            if task == "classification":
+                index = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+                train, test = index.transform(train), index.transform(test)
+            est = make_estimator(model_type, params, seed, n_train, label_col="label" if task == "classification" else target)
+            model = cells.fit_weighted(est, train, train.agg(F.sum("__tb_w")).first()[0])
+            return (ci, json.dumps(params, sort_keys=True), fold, float(cells.weighted_score(model.transform(test), task, target, metric)),
+                    float(cells.weighted_score(model.transform(train), task, target, metric)) if train_scores else None)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(run, [(ci, p, f) for ci, p in enumerate(candidates) for f in range(k)]))
 
 
 def tune(df: DataFrame, features, target: str, family: str, task: str | None = None, method: str = "grid",
@@ -176,10 +227,24 @@ def learning_curve(df: DataFrame, features, target: str, model_type: str, sizes=
     task = task_of(model_type)
     metric = metric or ("r2" if task == "regression" else "accuracy")
     h, bits = hash_column(df, key, seed + 1)
-    data = kfold(df, k, seed, key, "_fold").withColumn("_u", h / F.lit(float(1 << bits))).cache()
+    data = kfold(df, k, seed, key, "_fold").withColumn("_u", h / F.lit(float(1 << bits)))
+    sums = None
+    if model_type in LINEAR and df.count() >= cells.CELL_ROWS:
+        steps = sorted(sizes)
+        step = F.lit(len(steps))
+        for i, s in reversed(list(enumerate(steps))):
+            step = F.when(F.col("_u") < s, F.lit(i)).otherwise(step)
+        sums = moments.by_group(data.withColumn("_step", step), list(features), target, ["_fold", "_step"])
+    if sums is None:
+        data = data.cache()
 
     def run(job):
         size, fold = job
+        if sums is not None:
+            train = moments.merge([m for (f, i), m in sums.items() if f != fold and i <= steps.index(size)])
+            test = moments.merge([m for (f, _), m in sums.items() if f == fold])
+            model = moments.fit(df.sparkSession, build_pipeline(model_type, features, target, task, None, seed), list(features), target, train)
+            return float(size), fold, moments.score(model, train, metric), moments.score(model, test, metric)
         train = data.filter((F.col("_fold") != fold) & (F.col("_u") < size))
         test = data.filter(F.col("_fold") == fold)
         model = build_pipeline(model_type, features, target, task, None, seed).fit(train)
