@@ -19,6 +19,7 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -31,6 +32,7 @@ from tabloom.functions.lbfgs import minimise
 from tabloom.session import cut_lineage
 
 KERNELS = ("linear", "poly", "rbf")
+SLICE = 1024  # rows whose kernel with all landmarks is held at once
 
 
 def kernel_matrix(x: np.ndarray, z: np.ndarray, kernel: str, gamma: float, degree: int, coef0: float) -> np.ndarray:
@@ -103,11 +105,30 @@ class KernelMapModel(Model, _KernelParams, DefaultParamsReadable, DefaultParamsW
             import pandas as pd
             if not len(x):
                 return pd.Series([], dtype=object)
-            return pd.Series(list(kernel_matrix(np.stack(x.to_list()), z, kernel, gamma, degree, coef0) @ whiten))
+            rows = np.stack(x.to_list())
+            parts = [kernel_matrix(rows[i:i + SLICE], z, kernel, gamma, degree, coef0) @ whiten for i in range(0, len(rows), SLICE)]
+            return pd.Series(list(np.concatenate(parts)))
 
         return df.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(self.getInputCol()))))
 
 
+class WeightedMachine(Estimator):
+    """Kernel map and linear classifier, fitted on one weighted row per (features, label):
+    the same loss, while the mapped table is as long as the distinct rows only."""
+
+    def __init__(self, kernel_map, classifier):
+        super().__init__()
+        self.kernel_map, self.classifier = kernel_map, classifier
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        features, label = self.kernel_map.getInputCol(), self.classifier.getLabelCol()
+        mapped = self.kernel_map.fit(df)
+        rows = cut_lineage(df.groupBy(vector_to_array(features).alias("x"), label).agg(F.count(F.lit(1)).cast("double").alias("__tb_w")))
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+        rows = mapped.transform(rows.select(array_to_vector("x").alias(features), label, "__tb_w").repartition(tasks))
+        return PipelineModel([mapped, self.classifier.copy({self.classifier.weightCol: "__tb_w"}).fit(rows)])
+
+
 # -- support vector regression ----------------------------------------------------
 
 class _RegressionParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter):
