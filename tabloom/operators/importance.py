@@ -12,6 +12,7 @@ from tabloom.operators.knn_information import mutual_info_knn
 from tabloom.operators.ml import build_pipeline, classification_metrics, regression_metrics
 from tabloom.operators.sampling import kfold, train_test_split
 from tabloom.operators.windows import numbered
+from tabloom.session import cut_lineage
 
 
 def _task(df: DataFrame, target: str, task: str | None) -> str:
@@ -108,6 +109,7 @@ def permutation_importance(df: DataFrame, features, target: str, task: str | Non
     split = train_test_split(df, test_size, seed, key)
     train, test = split.filter("NOT is_test").drop("is_test"), split.filter("is_test").drop("is_test")
     model = _fit(train, feats, target, mt, task, None, seed)
+    test = cut_lineage(test)  # read for every feature and repeat, the split is not computed again
 
     def score(d):
         pred = model.transform(d)
