@@ -11,6 +11,7 @@ stay in the state until later rows move it.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tabloom.functions.expressions import OperatorError, as_list, present, qcol, require_columns
 
-_STATE = "level double, n bigint, times array<bigint>, vals array<double>"
+#: Waiting rows are packed, 8 bytes a number: lists of Python numbers take ten times that.
+_STATE = "level double, n bigint, times binary, vals binary"
+ROWS_OUT = 50_000
 
 
 def smooth_stream(stream: DataFrame, target: str, time_column: str, series_keys, alpha: float = 0.3,
@@ -45,32 +48,42 @@ def smooth_stream(stream: DataFrame, target: str, time_column: str, series_keys,
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = ", ".join(f"{n} {types[n]}" for n in names) + ", us bigint, value double, n bigint, forecast double, level double"
 
+    at_once = ROWS_OUT
+
     def fold(key, frames, state):
-        level, n, times, values = state.get if state.exists else (None, 0, [], [])
-        times, values = list(times), list(values)
+        level, n, times, values = state.get if state.exists else (None, 0, b"", b"")
+        times, values = [np.frombuffer(times, "<i8")], [np.frombuffer(values, "<f8")]
         if not state.hasTimedOut:
             for frame in frames:
-                times += frame["__tb_us"].tolist()
-                values += frame["value"].tolist()
+                times.append(frame["__tb_us"].to_numpy("<i8", copy=True))
+                values.append(frame["value"].to_numpy("<f8", copy=True))
+        times, values = np.concatenate(times), np.concatenate(values)
+        order = np.lexsort((values, times))
+        times, values = times[order], values[order]
+        del order
         mark = state.getCurrentWatermarkMs()
-        waiting = pd.DataFrame({"us": times, "value": values}).sort_values(["us", "value"], kind="stable")
-        done = waiting[waiting["us"] <= mark * 1000]
-        rest = waiting[waiting["us"] > mark * 1000]
-        if len(done):
+        done = int(np.searchsorted(times, mark * 1000, side="right"))
+        rest = times[done:].tobytes(), values[done:].tobytes()
+        first = int(times[done]) if done < len(times) else None
+        times, values = times[:done], values[:done]
+        if done:
             start = [] if level is None else [level]
-            levels = pd.Series(start + done["value"].tolist(), dtype=float).ewm(alpha=alpha, adjust=False).mean()
-            before = levels.shift(1).iloc[len(start):].tolist()
-            levels = levels.iloc[len(start):].tolist()
-            columns = {name: [k] * len(done) for name, k in zip(names, key)}
-            columns.update(us=done["us"].tolist(), value=done["value"].tolist(), n=range(n + 1, n + len(done) + 1),
-                           forecast=before, level=levels)
-            level, n = float(levels[-1]), n + len(done)
-            result = pd.DataFrame(columns)
-            result["forecast"] = result["forecast"].astype(object).where(result["forecast"].notna(), None)
-            yield result
-        state.update((level, n, [int(t) for t in rest["us"]], [float(v) for v in rest["value"]]))
-        if len(rest):  # called again, rows or none, when the watermark reaches the first that waits
-            state.setTimeoutTimestamp(max(mark, -(-int(rest["us"].iloc[0]) // 1000) - 1))
+            levels = pd.Series(np.concatenate([start, values])).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+            before = np.concatenate([[np.nan], levels[:-1]])[len(start):]
+            levels = levels[len(start):]
+            for i in range(0, done, at_once):
+                part = slice(i, min(i + at_once, done))
+                columns = {name: [k] * (part.stop - i) for name, k in zip(names, key)}
+                columns.update(us=times[part], value=values[part], n=np.arange(n + i + 1, n + part.stop + 1),
+                               forecast=before[part], level=levels[part])
+                result = pd.DataFrame(columns)
+                if np.isnan(before[i]):  # the first of a series
+                    result["forecast"] = result["forecast"].astype(object).where(result["forecast"].notna(), None)
+                yield result
+            level, n = float(levels[-1]), n + done
+        state.update((level, n, *rest))
+        if first is not None:  # called again, rows or none, when the watermark reaches the first that waits
+            state.setTimeoutTimestamp(max(mark, -(-first // 1000) - 1))
 
     folded = rows.groupBy(*names).applyInPandasWithState(fold, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return folded.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.timestamp_micros("us").alias("time"),

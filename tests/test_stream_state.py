@@ -151,3 +151,21 @@ def test_fitted_model_and_encoder_on_a_stream(spark):
     fitted = ml.fit_model(orders, ["o_custkey", "o_orderkey"], "o_totalprice", "linear_regression")
     _, encoder = features.label_encode(orders, "o_orderpriority")
     through_stream(spark, lambda t: ml.predict(fitted, encoder.transform(t), keep=["o_orderkey", "o_orderpriority_code"]), "ML-11")
+
+
+def test_rows_leave_in_parts(spark, tmp_path, monkeypatch):
+    """A long series is folded as packed numbers and leaves in parts of bounded size."""
+    from tabloom.streaming import state
+    assert "array" not in state._STATE
+    monkeypatch.setattr(state, "ROWS_OUT", 7)
+    src = spark.range(60).selectExpr("'k' k", "timestamp_seconds(1700000000 + id * 60) t", "cast(id % 9 as double) v")
+    src.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+    state.run_available(state.smooth_stream(stream, "v", "t", "k", 0.5, "10 minutes"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()
+    level, want = None, []
+    for i in range(len(got)):
+        before, level = level, float(i % 9) if level is None else 0.5 * level + 0.5 * (i % 9)
+        want.append((i + 1, before, level))
+    assert len(got) >= 49 and [(r.n, r.forecast) for r in got[:1]] == [(1, None)]
+    assert all(r.n == n and abs(r.level - v) < 1e-9 and (b is None or abs(r.forecast - b) < 1e-9) for r, (n, b, v) in zip(got, want))
