@@ -127,21 +127,22 @@ DEMAND_SQL = """SELECT p_type, date_trunc('month', l_shipdate) AS month,
 def demand_intermittent(spark, d) -> DataFrame:
     """Monthly demand per part, months without sales filled with 0.
 
-    The calendar (first to last shipment month overall) is two scalars; every
-    part expands to the whole calendar with ``sequence`` (a generator, bounded
-    by the number of months), then the sales are left-joined on (part, month).
+    The calendar (first to last shipment month overall) is two scalars. Line items
+    are dealt by part once; a part's sales become one map of months (a part has at
+    most one entry per month), looked up for every month of the calendar, so the
+    filled rows are never shuffled or joined. A NULL part has no sales of its own.
     """
-    li = load(spark, d, "lineitem")
-    per = li.groupBy("l_partkey", F.date_trunc("month", "l_shipdate").alias("month")) \
-        .agg(F.sum("l_quantity").alias("q"))
     month = F.date_trunc("month", "l_shipdate")
+    li = load(spark, d, "lineitem")
     lo, hi = li.agg(F.min(month), F.max(month)).first()  # two scalars, one column read
     months = F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("INTERVAL 1 MONTH"))
-    grid = per.select("l_partkey").distinct() \
-        .select("l_partkey", F.explode(months).alias("m")) \
-        .select("l_partkey", F.col("m").cast("timestamp_ntz").alias("month"))
-    return grid.join(per, ["l_partkey", "month"], "left") \
-        .select("l_partkey", "month", F.coalesce("q", F.lit(0.0)).alias("demand"))
+    per = li.select("l_partkey", month.cast("date").alias("m"), "l_quantity").repartition("l_partkey") \
+        .groupBy("l_partkey", "m").agg(F.sum("l_quantity").alias("q"))
+    sold = F.when(F.col("m").isNotNull() & F.col("l_partkey").isNotNull(), F.struct("m", "q"))
+    sales = per.groupBy("l_partkey").agg(F.map_from_entries(F.collect_list(sold)).alias("sales"))
+    filled = F.transform(months, lambda m: F.struct(m.cast("timestamp_ntz").alias("month"),
+                                                    F.coalesce(F.try_element_at("sales", m), F.lit(0.0)).alias("demand")))
+    return sales.select("l_partkey", F.inline(filled))
 
 
 DEMAND_PART_SQL = """WITH per AS (SELECT l_partkey, date_trunc('month', l_shipdate) AS month,

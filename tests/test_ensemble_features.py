@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,3 +28,35 @@ def test_croston_groups_follow_the_rows(spark, monkeypatch):
     assert im.croston(t, "d", "time", ["s"]).orderBy("s").collect() == want
     monkeypatch.setattr(im, "ROWS_PER_GROUP", 2)  # 300 groups
     assert im.croston(t, "d", "time", ["s"]).orderBy("s").collect() == want
+
+
+def test_croston_search_shares_states_bit_for_bit():
+    """The states of alpha and beta kept apart give the figures of every candidate run on its own."""
+    rng = np.random.default_rng(3)
+    D = np.where(rng.random((40, 30)) < 0.6, 0.0, rng.integers(-1, 9, (40, 30)).astype(float))
+    D[0] = 0.0
+    D[1:6, 20:] = np.nan
+    grid = np.arange(1, 10) / 10
+    found = im.search_batch(D, im.METHODS, grid, grid[:4])
+    for m in im.METHODS:
+        a, b = [x.ravel() for x in np.meshgrid(grid, grid[:4], indexing="ij")] if m == "tsb" else (grid, grid)
+        mape, ahead, _ = im.croston_batch(D, m, a, b)
+        np.testing.assert_array_equal(found[m][0], mape)
+        np.testing.assert_array_equal(found[m][1], ahead)
+
+
+def test_filled_demand_is_dealt_once(spark, tmp_path):
+    """Line items are shuffled by part, the months filled in are neither joined nor dealt again for the search."""
+    from tabloom.plans import fixtures as fx
+    spark.sql("""SELECT IF(id % 7 = 0, NULL, id % 5) AS l_partkey, CAST(id % 3 AS DOUBLE) AS l_quantity,
+        IF(id % 11 = 0, NULL, timestamp_ntz'2020-01-15 00:00:00' + make_interval(0, CAST(id % 4 AS INT) * 2)) AS l_shipdate
+        FROM range(60)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    dem = fx.demand_intermittent(spark, str(tmp_path))
+    rows = {(r.l_partkey, r.month.month): r.demand for r in dem.collect()}
+    assert len(rows) == 6 * 7 and sum(v for (p, _), v in rows.items() if p is None) == 0
+    want = sum(i % 3 for i in range(60) if i % 7 and i % 11)
+    assert sum(rows.values()) == want
+    found = im.croston_search(dem, "demand", "month", ["l_partkey"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert found.count() == 18
