@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tabloom.functions import cdf
 from tabloom.functions.expressions import (OperatorError, normalise_nan, numeric_columns, present, qcol,
                                            require_columns, string_columns)
+from tabloom.session import cut_lineage
 
 
 @F.pandas_udf(T.DoubleType())
@@ -49,57 +50,73 @@ SMALL_DISTINCT = 1_000_000
 
 def average_rank(df: DataFrame, column: str, name: str = "rank",
                  small_distinct: int | None = None) -> DataFrame:
-    """Average-tie rank (1-based) of ``column`` over the whole table, distributed.
+    """Average-tie rank (1-based) of ``column`` over the whole table, see ``average_ranks``."""
+    return average_ranks(df, {column: name}, small_distinct)
 
-    Distinct values are counted with ``groupBy`` and tagged with value-range
-    buckets (approximate quantile boundaries, ``Bucketizer``); bucket totals
-    (one row per bucket) give each bucket's offset, and a running count inside
-    each bucket gives every value's global rank, so no single-partition
-    window is needed. The boundaries are literals, so retries are
+
+def average_ranks(df: DataFrame, columns: dict[str, str], small_distinct: int | None = None) -> DataFrame:
+    """Average-tie ranks (1-based) of columns (column: name of its rank) over the
+    whole table, distributed.
+
+    Distinct values of all columns are counted in one ``groupBy``, kept, and tagged
+    with value-range buckets (approximate quantile boundaries of the distinct values,
+    ``Bucketizer``); bucket totals (one row per bucket) give each bucket's offset, and
+    a running count inside each bucket gives every value's global rank, so no
+    single-partition window is needed. The boundaries are literals, so retries are
     deterministic. Ranks are joined back on the value (AQE splits a hot value).
     With at most ``SMALL_DISTINCT`` distinct values (checked by a count) the
-    value table is ranked in one window directly.
+    values are ranked in one window directly.
     """
     import math
     from pyspark.ml.feature import Bucketizer
     from tabloom.operators.quantiles import ROWS_PER_BUCKET
-    v = present(df, column).cast("double")
-    counts = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    nd = counts.count()
-    if nd <= (SMALL_DISTINCT if small_distinct is None else small_distinct):
-        # checked size: at most SMALL_DISTINCT distinct values ranked in one window
-        w1 = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        ranks = counts.withColumn("_cum", F.sum("_c").over(w1)) \
-            .select("_v", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
-        return df.join(F.broadcast(ranks) if nd <= 200_000 else ranks, v == ranks["_v"], "left").drop("_v")
-    n = df.filter(v.isNotNull()).count()
-    b = int(max(16, math.ceil(n / ROWS_PER_BUCKET)))
-    cuts = df.agg(F.percentile_approx(v, [i / b for i in range(1, b)], 10 * b).alias("q")).first()["q"] or []
-    splits = [-math.inf] + sorted(set(float(x) for x in cuts)) + [math.inf]
-    tagged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(counts)
-    totals = sorted((r["_b"], r["_t"]) for r in tagged.groupBy("_b").agg(F.sum("_c").alias("_t")).collect())
-    rows, acc = [], 0
-    for bucket, t in totals:
-        rows.append((float(bucket), int(acc)))
-        acc += t
-    offsets = df.sparkSession.createDataFrame(rows, "_b double, _off long")  # one row per bucket
-    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = tagged.join(F.broadcast(offsets), "_b") \
-        .withColumn("_cum", F.sum("_c").over(w)) \
-        .select(F.col("_v"), (F.col("_off") + F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0)
-                .alias(name))
-    return df.join(ranks, v == ranks["_v"], "left").drop("_v")
+    limit = SMALL_DISTINCT if small_distinct is None else small_distinct
+    values = [present(df, c).cast("double") for c in columns]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), v.alias("_v")) for i, v in enumerate(values)]))
+    counts = cut_lineage(df.select(each.alias("_e")).select("_e._k", "_e._v").filter("_v IS NOT NULL")
+                         .groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    distinct = {r["_k"]: r["n"] for r in counts.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    split = {k: int(max(16, math.ceil(n / ROWS_PER_BUCKET))) for k, n in distinct.items() if n > limit}
+    cuts = counts.agg(*[F.percentile_approx(F.when(F.col("_k") == k, F.col("_v")), [i / b for i in range(1, b)], 10 * b)
+                        .alias(f"q{k}") for k, b in split.items()]).first() if split else None
+    for k, (v, name) in enumerate(zip(values, columns.values())):
+        own, value = counts.filter(F.col("_k") == k).drop("_k"), f"__tb_v{k}"
+        if k not in split:
+            # checked size: at most SMALL_DISTINCT distinct values ranked in one window
+            w1 = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+            cum = own.withColumn("_cum", F.sum("_c").over(w1))
+        else:
+            splits = [-math.inf] + (sorted({float(x) for x in cuts[f"q{k}"] if math.isfinite(x)}) or [0.0]) + [math.inf]
+            tagged = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(own)
+            rows, acc = [], 0
+            for bucket, t in sorted((r["_b"], r["_t"]) for r in tagged.groupBy("_b").agg(F.sum("_c").alias("_t")).collect()):
+                rows.append((float(bucket), int(acc)))
+                acc += t
+            offsets = df.sparkSession.createDataFrame(rows, "_b double, _off long")  # one row per bucket
+            w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+            cum = tagged.join(F.broadcast(offsets), "_b").withColumn("_cum", F.col("_off") + F.sum("_c").over(w))
+        ranks = cum.select(F.col("_v").alias(value), (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
+        df = df.join(F.broadcast(ranks) if distinct.get(k, 0) <= 200_000 else ranks, v == F.col(value), "left").drop(value)
+    return df
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """``to_number``; doubles and whole numbers are not written as text and read again."""
+    exact = (T.DoubleType, T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if isinstance(df.select(qcol(column)).schema.fields[0].dataType, exact):
+        v = qcol(column).cast("double")
+        return F.when(~F.isnan(v), v)
+    return to_number(qcol(column))
 
 
 def correlation(df: DataFrame, a: str, b: str, method: str = "pearson",
                 small_distinct: int | None = None) -> DataFrame:
     """STA-1/2: r, n, t and the two-sided p-value on pairwise complete rows."""
     require_columns(df, [a, b])
-    pair = df.select(to_number(qcol(a)).alias("_a"), to_number(qcol(b)).alias("_b")) \
+    pair = df.select(_number(df, a).alias("_a"), _number(df, b).alias("_b")) \
         .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     if method == "spearman":
-        pair = average_rank(average_rank(pair, "_a", "_ra", small_distinct), "_b", "_rb", small_distinct) \
-            .select(F.col("_ra").alias("_a"), F.col("_rb").alias("_b"))
+        pair = average_ranks(pair, {"_a": "_ra", "_b": "_rb"}, small_distinct).select(F.col("_ra").alias("_a"), F.col("_rb").alias("_b"))
     elif method != "pearson":
         raise OperatorError(f"unknown correlation method {method!r}")
     res = pair.agg(F.corr("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"))

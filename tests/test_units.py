@@ -297,3 +297,19 @@ def test_lazy_reports(spark):
     assert (c["n_inputs"], c["total_rows_in"], c["rows_out"], c["common_cols"]) == (2, 6, 6, 2)
     f = clean.fill_report(left, clean.fill(left, "v", "fill_mean")).first()
     assert (f["missing_before"], f["missing_after"], f["cells_filled"]) == (1, 0, 1)
+
+
+def test_ranks_of_two_columns_from_one_count(spark):
+    """Both columns' ranks by buckets and by one window, with ties, missing and infinite values."""
+    from tabloom.operators import stats
+    rows = [(i, float(i * 7 % 40) if i % 9 else None, float("nan") if i == 5 else float("inf") if i == 8 else float(i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "i int, a double, b double")
+    pdf = pd.DataFrame(rows, columns=["i", "a", "b"]).set_index("i")
+    for small in (0, None):
+        got = stats.average_ranks(df, {"a": "ra", "b": "rb"}, small).toPandas().set_index("i").sort_index()
+        for c in "ab":
+            np.testing.assert_array_equal(got[f"r{c}"], pdf[c].rank())
+        assert list(got.columns) == ["a", "b", "ra", "rb"]
+    r = stats.correlation(df.filter("b < 9"), "a", "b", "spearman", small_distinct=0).first().r
+    kept = pdf[(pdf.b < 9) & pdf.a.notna()].rank()
+    assert abs(r - kept.a.corr(kept.b)) < 1e-12
