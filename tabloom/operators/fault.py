@@ -9,6 +9,7 @@ evaluated on every row, so scoring is one scan.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,8 +174,11 @@ def cluster_profile(assigned: DataFrame, normal_means: dict, cluster_col: str =
 
 def fault_patterns(df: DataFrame, target: str, k: int = 3, features=None, seed: int = 42,
                    n_init: int = 10, max_iter: int = 300) -> DataFrame:
-    """FLT-4: KMeans over the fault rows (best of ``n_init`` seeded runs by cost),
-    then :func:`cluster_profile` against the normal means."""
+    """FLT-4: k-means over the fault rows (best of ``n_init`` seeded runs by cost),
+    then :func:`cluster_profile` against the normal means.
+
+    Spark's ``KMeans`` draws the first centers of every run (k-means||); the runs'
+    steps are then made together, one pass per step for all runs not yet at rest."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     feats = features_of(df, target, features)
@@ -183,16 +187,74 @@ def fault_patterns(df: DataFrame, target: str, k: int = 3, features=None, seed:
     n_fault = faults.count()
     if n_fault < k:
         raise OperatorError(f"fault rows ({n_fault}) fewer than clusters ({k})")
-    vec = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip").transform(faults).cache()
-    best, best_cost = None, None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="cluster",
-                       maxIter=max_iter).fit(vec)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    assigned = best.transform(vec).drop("_features")
-    normal = df.filter(flag == F.lit(False)).agg(*[F.avg(qcol(f)).alias(f) for f in feats]).first().asDict()
-    out = cluster_profile(assigned, normal)
+    rows = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip").transform(faults)
+    vec = rows.select("_features").cache()
+    first = [KMeans(k=k, seed=seed + i, featuresCol="_features", maxIter=0) for i in range(n_init)]
+    starts = [np.array(est.fit(vec).clusterCenters()) for est in first]
     vec.unpersist()
-    return out
+    centers = lloyd(rows.select(*[qcol(f).cast("double") for f in feats]), starts, max_iter, first[0].getTol())
+    assigned = rows.drop("_features").withColumn("cluster", nearest_center([qcol(f).cast("double") for f in feats], centers))
+    normal = df.filter(flag == F.lit(False)).agg(*[F.avg(qcol(f)).alias(f) for f in feats]).first().asDict()
+    return cluster_profile(assigned, normal)
+
+
+def nearest_center(values: list[Column], centers: np.ndarray) -> Column:
+    """Number of the nearest center, of equally near ones the first."""
+    far = F.array(*[sum(((v - F.lit(float(c))) * (v - F.lit(float(c))) for v, c in zip(values, center)), F.lit(0.0)) for center in centers])
+    return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+
+
+def _packed(width: int):
+    """Rows as binary blocks of one column after the other."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                block = np.stack([batch.column(j).to_numpy(zero_copy_only=False) for j in range(width)])
+                yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+    return run
+
+
+def _step(centers: dict[int, np.ndarray], width: int):
+    """Per run and cluster of a task's blocks: sums, rows, squared distances."""
+    def run(batches):
+        sums = {i: np.zeros((len(c), width + 2)) for i, c in centers.items()}
+        for batch in batches:
+            for block in batch.column(0):
+                x = np.frombuffer(block.as_buffer()).reshape(width, -1)
+                for i, c in centers.items():
+                    far = np.stack([sum((v - at) ** 2 for v, at in zip(x, center)) for center in c])
+                    own = far.argmin(axis=0)
+                    cost = far[own, np.arange(len(own))]
+                    for j, v in enumerate((*x, None, cost)):
+                        sums[i][:, j] += np.bincount(own, v, len(c))
+        for i, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([s.tobytes()], pa.binary())], names=["run", "sums"])
+    return run
+
+
+def lloyd(rows: DataFrame, starts: list[np.ndarray], max_iter: int, tol: float) -> np.ndarray:
+    """Centers of the cheapest run of Lloyd's steps from ``starts``. As in Spark's ``KMeans``
+    a run rests when no center moves by more than ``tol``, empty clusters keep their
+    center, and the cost is that of the last step. Rows are kept as packed blocks; a task
+    returns a few sums per run and cluster."""
+    width = len(rows.columns)
+    blocks = rows.mapInArrow(_packed(width), "block binary").persist()
+    live, done, cost = dict(enumerate(starts)), {}, {}
+    for _ in range(max_iter):
+        total = {}
+        for r in blocks.mapInArrow(_step(dict(live), width), "run long, sums binary").collect():
+            total[r.run] = total.get(r.run, 0) + np.frombuffer(r.sums).reshape(-1, width + 2)
+        for i, s in total.items():
+            n = s[:, width:width + 1]
+            new = np.where(n > 0, s[:, :width] / np.maximum(n, 1), live[i])
+            cost[i] = s[:, -1].sum()
+            if (((new - live[i]) ** 2).sum(axis=1) <= tol * tol).all():
+                done[i] = new
+                del live[i]
+            else:
+                live[i] = new
+        if not live:
+            break
+    blocks.unpersist()
+    done |= live
+    return done[min(done, key=lambda i: (cost.get(i, 0.0), i))]

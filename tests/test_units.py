@@ -313,3 +313,27 @@ def test_ranks_of_two_columns_from_one_count(spark):
     r = stats.correlation(df.filter("b < 9"), "a", "b", "spearman", small_distinct=0).first().r
     kept = pdf[(pdf.b < 9) & pdf.a.notna()].rank()
     assert abs(r - kept.a.corr(kept.b)) < 1e-12
+
+
+def test_lloyd_steps_are_those_of_kmeans(spark):
+    """All runs stepped together end where Spark's runs end, the cheapest is kept."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    from tabloom.operators import fault
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(900, 2)) + rng.integers(0, 4, (900, 1)) * 3.0, columns=["a", "b"])
+    pdf["fail"] = np.arange(900) % 3 != 0
+    df = spark.createDataFrame(pdf).repartition(3).cache()
+    faults = df.filter("fail")
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(faults).cache()
+    whole = [KMeans(k=4, seed=s, featuresCol="f", maxIter=300).fit(vec) for s in range(4)]
+    starts = [np.array(KMeans(k=4, seed=s, featuresCol="f", maxIter=0).fit(vec).clusterCenters()) for s in range(4)]
+    for one, start in zip(whole, starts):
+        np.testing.assert_allclose(fault.lloyd(faults.select("a", "b"), [start], 300, 1e-4), one.clusterCenters(), atol=1e-9)
+    best = min(whole, key=lambda m: m.summary.trainingCost)
+    centers = fault.lloyd(faults.select("a", "b"), starts, 300, 1e-4)
+    np.testing.assert_allclose(centers, best.clusterCenters(), atol=1e-9)
+    own = fault.nearest_center([F.col("a"), F.col("b")], centers)
+    assert best.transform(vec).filter(own != F.col("prediction")).count() == 0
+    sizes = sorted(r["count"] for r in fault.fault_patterns(df, "fail", 4, ["a", "b"], seed=0, n_init=4).collect())
+    assert sizes == sorted(best.summary.clusterSizes)
