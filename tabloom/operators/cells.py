@@ -287,19 +287,123 @@ class CellForest(Estimator):
             made = spark.range(0, trees, 1, trees).mapInArrow(grown, "tree long, nodes string")
         else:
             def summed(group: pa.Table) -> pa.Table:
-                t = group.column("tree")[0].as_py()
-                parts = sorted(zip(group.column("part").to_pylist(), range(group.num_rows)))
-                w, s = sum(np.frombuffer(group.column("sums")[i].as_py()).reshape(2, -1) for _, i in parts)
+                t, (w, s) = group.column("tree")[0].as_py(), _added(group)
                 tree = grow(bins, s[:, None], w, *options, np.random.default_rng([seed & 0xFFFFFFFF, t, 1]))
                 return pa.table({"tree": pa.array([t]), "nodes": pa.array([json.dumps(tree)])})
 
-            tasks = max(spark.sparkContext.defaultParallelism, -(-int(found["n"].sum()) // ROWS_PER_TASK))
-            draws = data.coalesce(tasks).mapInArrow(_drawn(codes, trees, seed), "part long, tree long, sums binary")
-            made = draws.groupBy("tree").applyInArrow(summed, "tree long, nodes string")
-        forest = [json.loads(r.nodes) for r in sorted(made.collect())]
-        model = CellForestModel()
-        return model._set(featuresCol=est.getFeaturesCol(), predictionCol=est.getPredictionCol(),
-                          forest=json.dumps({"task": self.task, "width": width, "forest": forest}))
+            made = _draws(data, codes, trees, seed, int(found["n"].sum())).groupBy("tree").applyInArrow(summed, "tree long, nodes string")
+        return _model(est, self.task, width, made)
+
+
+def _added(group: pa.Table) -> np.ndarray:
+    """A tree's sums over the tasks, in the order of the tasks."""
+    parts = sorted(zip(group.column("part").to_pylist(), range(group.num_rows)))
+    return sum(np.frombuffer(group.column("sums")[i].as_py()).reshape(2, -1) for _, i in parts)
+
+
+def _draws(data: DataFrame, codes: np.ndarray, trees: int, seed: int, n_rows: int, cuts=None) -> DataFrame:
+    """Draws of rows (code, y), or with ``cuts`` of rows (every feature, y)."""
+    tasks = max(data.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_TASK))
+    drawn = _drawn(codes, trees, seed)
+
+    def run(batches):
+        return drawn(batches if cuts is None else _coded(batches, cuts))
+    return data.coalesce(tasks).mapInArrow(run, "part long, tree long, sums binary")
+
+
+def _coded(batches, cuts):
+    """Rows (every feature, y) as (code, y); a missing value counts as a missing label."""
+    for batch in batches:
+        *x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        code, gone = np.zeros(len(y), np.int64), np.isnan(y)
+        for j, (v, at) in enumerate(zip(x, cuts)):
+            code += np.searchsorted(at, v, side="right") * MAX_BINS ** j
+            gone = gone | np.isnan(v)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.where(gone, np.nan, y))], names=["code", "y"])
+
+
+def _counted(cuts):
+    """(code, rows, rows with a missing value) of runs of about ``ROWS_PER_TASK`` rows."""
+    def run(batches):
+        held, size = [], 0
+
+        def sums():
+            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            bad = np.bincount(at, np.concatenate([b for _, b in held]), len(codes)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.bincount(at, minlength=len(codes))), pa.array(bad)],
+                                              names=["code", "n", "bad"])
+        for batch in _coded(batches, cuts):
+            held.append((batch.column(0).to_numpy(), np.isnan(batch.column(1).to_numpy())))
+            size += batch.num_rows
+            if size >= ROWS_PER_TASK:
+                yield sums()
+                held, size = [], 0
+        if size:
+            yield sums()
+    return run
+
+
+def _model(est, task: str, width: int, made: DataFrame) -> CellForestModel:
+    forest = [json.loads(r.nodes) for r in sorted(made.collect())]
+    return CellForestModel()._set(featuresCol=est.getFeaturesCol(), predictionCol=est.getPredictionCol(),
+                                  forest=json.dumps({"task": task, "width": width, "forest": forest}))
+
+
+class SharedForests:
+    """Regression forests of the same rows on any of their features (an elimination): cuts,
+    draws by tree and cell, and the test rows' cells are made once, for all features. A forest on
+    some of them adds up the cells that differ in the others only, with the same draws of rows.
+    ``usable`` is False for tables that a ``CellForest`` would not take, and for missing
+    values, where other features would keep other rows."""
+
+    def __init__(self, est, train: DataFrame, columns, n_train: int, test: DataFrame | None = None, n_test: int = 0):
+        self.est, self.columns, self.usable = est, list(columns), False
+        label, trees, bins = est.getLabelCol(), est.getNumTrees(), bin_columns(len(self.columns))
+        model = Bins(self.columns).fit(train)
+        cuts = [np.array(c[1:-1]) for c in model.getSplitsArray()]
+        rows = train.select(*[qcol(c).cast("double").alias(f"x{j}") for j, c in enumerate(self.columns)], qcol(label).cast("double").alias("y"))
+        counted = cut_lineage(rows.mapInArrow(_counted(cuts), "code long, n long, bad long")
+                              .groupBy("code").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+        cells, n, bad = counted.agg(F.count(F.lit(1)), F.sum("n"), F.sum("bad")).head()
+        if not cells or bad or n != n_train or cells * trees > CELL_SUMS:
+            return
+        if test is not None:
+            self.test = cut_lineage(weighted(model.transform(test), bins, label, "regression"))
+            known = F.sum(F.when(qcol(label).isNotNull() & ~F.isnan(label), F.col("__tb_w")))
+            cells, n = self.test.agg(F.count(F.lit(1)), known).head()
+            if n != n_test:
+                return
+            self.test = few_tasks(self.test, cells)
+        self.codes = np.sort(counted.select("code").toPandas()["code"].to_numpy())  # at most CELL_SUMS / trees
+        draws = _draws(rows, self.codes, trees, est.getSeed(), n_train, cuts)
+        added = draws.groupBy("tree").applyInArrow(
+            lambda g: pa.table({"tree": pa.array([g.column("tree")[0].as_py()]), "sums": pa.array([_added(g).tobytes()], pa.binary())}),
+            "tree long, sums binary")
+        self.sums = cut_lineage(added.repartition(trees))
+        self.usable = True
+
+    def fit(self, left) -> CellForestModel:
+        at, est, width = [self.columns.index(c) for c in left], self.est, len(left)
+        own = sum(self.codes // MAX_BINS ** j % MAX_BINS * MAX_BINS ** i for i, j in enumerate(at))
+        codes, cell = np.unique(own, return_inverse=True)
+        bins, seed = _unpacked(codes, width), est.getSeed()
+        options = (est.getMaxDepth(), subset_size(est.getFeatureSubsetStrategy(), width, "regression", est.getNumTrees()),
+                   est.getMinInstancesPerNode(), est.getMinInfoGain())
+
+        def grown(batches):
+            for batch in batches:
+                for t, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    w, s = (np.bincount(cell, v, len(codes)) for v in np.frombuffer(sums).reshape(2, -1))
+                    tree = grow(bins, s[:, None], w, *options, np.random.default_rng([seed & 0xFFFFFFFF, t, 1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([json.dumps(tree)])], names=["tree", "nodes"])
+
+        return _model(est, "regression", width, self.sums.mapInArrow(grown, "tree long, nodes string"))
+
+    def score(self, model: CellForestModel, left, metric: str) -> float:
+        """``metric`` of a model on the test rows, from their cells."""
+        inputs = [bin_columns(len(self.columns))[self.columns.index(c)] for c in left]
+        pred = model.transform(assembled(self.test, inputs, self.est.getFeaturesCol()))
+        return weighted_score(pred, "regression", self.est.getLabelCol(), metric)
 
 
 class CellTree:

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError, qcol, row_hash
+from tabloom.operators import cells
 from tabloom.operators import stats as st
 from tabloom.operators.knn_information import mutual_info_knn
-from tabloom.operators.ml import build_pipeline, classification_metrics, regression_metrics
+from tabloom.operators.ml import build_pipeline, classification_metrics, make_estimator, regression_metrics
 from tabloom.operators.sampling import kfold, train_test_split
 from tabloom.operators.windows import numbered
 from tabloom.session import cut_lineage
@@ -207,15 +208,38 @@ def lasso_scores(df: DataFrame, features, target: str, task: str | None = None,
     return df.sparkSession.createDataFrame([(f, float(c)) for f, c in zip(feats, coef)], "feature string, score double")
 
 
+def _forest_rounds(train: DataFrame, features, target: str, task: str, seed: int, n_trees: int, test: DataFrame | None = None):
+    """left -> (importances, score on ``test``): a forest of ``train`` on the features left.
+    Large tables are binned, drawn and summed by cell once for all rounds."""
+    from tabloom.operators.tuning import score_of
+    mt = "random_forest_regressor" if task == "regression" else "random_forest_classifier"
+    metric, params, n = "r2" if task == "regression" else "accuracy", {"n_estimators": n_trees}, train.count()
+    if task == "regression" and cells.suits(mt, params, n, len(features)):
+        shared = cells.SharedForests(make_estimator(mt, params, seed, n, "features", target), train, features, n,
+                                     test, test.count() if test is not None else 0)
+        if shared.usable:
+            def on_cells(left):
+                model = shared.fit(left)
+                return model.featureImportances.toArray(), shared.score(model, left, metric) if test is not None else None
+            return on_cells
+
+    def on_rows(left):
+        model = build_pipeline(mt, left, target, task, params, seed, n).fit(train)
+        return model.stages[-1].featureImportances.toArray(), \
+            score_of(model.transform(test), task, target, metric) if test is not None else None
+    return on_rows
+
+
 def rfe(df: DataFrame, features, target: str, n_features: int, task: str | None = None,
         seed: int = 42, n_trees: int = 100) -> DataFrame:
     """FSL-3: drop the least important feature per round (forest importances)."""
     remaining = list(features)
+    task = _task(df, target, task)
     ranking = {}
     rank = len(remaining)
+    fitted = _forest_rounds(df, remaining, target, task, seed, n_trees) if rank > n_features else None
     while len(remaining) > n_features:
-        imp = rf_importance(df, remaining, target, task, n_trees=n_trees, seed=seed).collect()  # one row per feature
-        worst = min(imp, key=lambda r: (r["importance"], r["feature"]))["feature"]
+        worst = min(zip(fitted(remaining)[0], remaining))[1]
         ranking[worst] = rank
         rank -= 1
         remaining.remove(worst)
@@ -228,31 +252,25 @@ def rfe(df: DataFrame, features, target: str, n_features: int, task: str | None
 def elimination_path(train: DataFrame, test: DataFrame, features, target: str, task: str, seed: int, n_trees: int) -> list[tuple]:
     """(features left, score on ``test``, feature dropped next) of every round of an
     elimination that sees ``train`` only; one fit per round gives both."""
-    from tabloom.operators.tuning import score_of
-    mt = "random_forest_regressor" if task == "regression" else "random_forest_classifier"
-    metric = "r2" if task == "regression" else "accuracy"
     left, out = list(features), []
+    fitted = _forest_rounds(train, left, target, task, seed, n_trees, test)
     while left:
-        model = _fit(train, left, target, mt, task, {"n_estimators": n_trees}, seed)
-        score = score_of(model.transform(test), task, target, metric)
-        worst = min(zip(model.stages[-1].featureImportances.toArray(), left))[1]
+        importances, score = fitted(left)
+        worst = min(zip(importances, left))[1]
         out.append((list(left), score, worst))
         left.remove(worst)
     return out
 
 
-def fold_paths(df: DataFrame, features, target: str, task: str, cv: int, seed: int, n_trees: int) -> list[list[tuple]]:
-    """The elimination of every fold, ranked without the fold's own rows; folds run together."""
+def fold_paths(data: DataFrame, features, target: str, task: str, cv: int, seed: int, n_trees: int) -> list[list[tuple]]:
+    """The elimination of every fold (``__tb_fold``), ranked without the fold's own rows; folds run together."""
     from concurrent.futures import ThreadPoolExecutor
-    data = kfold(df, cv, seed, None, "__tb_fold").cache()
-    try:
-        def one(fold):
-            return elimination_path(data.filter(F.col("__tb_fold") != fold), data.filter(F.col("__tb_fold") == fold), features, target,
-                                    task, seed, n_trees)
-        with ThreadPoolExecutor(max_workers=min(cv, 8)) as pool:
-            return list(pool.map(one, range(cv)))
-    finally:
-        data.unpersist()
+
+    def one(fold):
+        return elimination_path(data.filter(F.col("__tb_fold") != fold), data.filter(F.col("__tb_fold") == fold), features, target,
+                                task, seed, n_trees)
+    with ThreadPoolExecutor(max_workers=min(cv, 8)) as pool:
+        return list(pool.map(one, range(cv)))
 
 
 def rfecv(df: DataFrame, features, target: str, task: str | None = None, cv: int = 5, seed: int = 42,
@@ -264,12 +282,17 @@ def rfecv(df: DataFrame, features, target: str, task: str | None = None, cv: int
     task = _task(df, target, task)
     feats = list(features)
     by_count: dict[int, list] = {}
-    for path in fold_paths(df, feats, target, task, cv, seed, n_trees):
-        for left, score, _ in path:
-            by_count.setdefault(len(left), []).append(score)
+    # folds hash the whole row; the rounds read features and target only
+    data = kfold(df, cv, seed, None, "__tb_fold").select(*[qcol(c) for c in dict.fromkeys([*feats, target])], "__tb_fold").cache()
+    try:
+        for path in fold_paths(data, feats, target, task, cv, seed, n_trees):
+            for left, score, _ in path:
+                by_count.setdefault(len(left), []).append(score)
+        order = rfe(data, feats, target, 1, task, seed, n_trees).orderBy("rank").collect()
+    finally:
+        data.unpersist()
     scores = [float(np.mean(by_count[m + 1])) for m in range(len(feats))]
     best = int(np.argmax(scores)) + 1
-    order = rfe(df, feats, target, 1, task, seed, n_trees).orderBy("rank").collect()
     rows = [(r["feature"], scores[i], i + 1, i < best) for i, r in enumerate(order)]
     return df.sparkSession.createDataFrame(
         rows, "feature string, score double, rank int, selected boolean")
