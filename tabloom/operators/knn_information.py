@@ -11,12 +11,13 @@ A point counts itself; scores below 0 are 0.
 
 On Spark: neighbours on a line come from a range sort numbered over all rows,
 cut into blocks that also get the ``k`` rows before and after them. Neighbours in
-the plane come from cells of about ``CELL`` points (strips of the feature, cut
-along the target); a point whose box leaves its cell also asks the cells that the
-box meets. Counts on an axis are rank differences: interval ends are sorted into
-the values and carry the running count. Nothing is held per class, value or
-feature in one task; the driver gets the strips' bounds and one row count per
-sort partition.
+the plane come from tiles of about ``CELL`` points, one task each (``Plane``): a k-d
+tree from a sample lays them out, exact row counts and bounds of its leaves say how far
+a point's neighbours can lie, and a tile also gets the points within that distance.
+Counts of a discrete target are rank differences: interval ends are sorted into
+the values and carry the running count; counts beside a continuous one are made in buckets
+of the axis. Nothing is held per class, value or feature in one task; the driver gets the
+sample, one row per leaf and bucket, and one row count per sort partition.
 
 Equal values: with ``noise`` (the default) a seeded normal number of relative size
 1e-10 is added to every value, so ties break at random but the same way in every
@@ -38,7 +39,10 @@ from tabloom.operators.windows import numbered
 from tabloom.session import cut_lineage
 
 LINE_BLOCK = 65_536
-CELL = 1024
+CELL = 262_144    # points of a tile of the plane, values of a bucket of an axis
+BOX = 24          # points of a box inside a tile
+RUN = 100_000     # points a task packs at a time
+SAMPLE = 50_000   # points that lay out the plane, or one of 512 when those are more
 
 
 def digamma(c: Column) -> Column:
@@ -58,9 +62,9 @@ def _normal(seed: int, *cols: Column) -> Column:
     return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
 
 
-def points(df: DataFrame, features: list[str], target: str, classification: bool, noise: bool, seed: int, key) -> DataFrame:
-    """(f, x, y): complete pairs of every feature, by feature number. For a
-    continuous ``y`` both are in units of their standard deviation."""
+def _sides(df: DataFrame, features: list[str], target: str, classification: bool, noise: bool, seed: int, key):
+    """[(present value, value ready for scoring)] of the features, and of the target last. For a
+    continuous target all are in units of their standard deviation."""
     sides = [(f"x{i}", present(df, f).cast("double")) for i, f in enumerate(features)]
     if not classification:
         sides.append(("y", present(df, target).cast("double")))
@@ -74,8 +78,17 @@ def points(df: DataFrame, features: list[str], target: str, classification: bool
             value = value + F.lit(1e-10 * max(unit, size)) * _normal(seed, F.lit(i), *row)
         return value if classification else value / F.lit(unit)
 
-    y = present(df, target).cast("string") if classification else ready(len(features), *sides[-1])
-    wide = df.select(y.alias("y"), *[ready(i, *sides[i]).alias(sides[i][0]) for i in range(len(features))])
+    found = [(value, ready(i, name, value)) for i, (name, value) in enumerate(sides)]
+    if classification:
+        label = present(df, target).cast("string")
+        found.append((label, label))
+    return found
+
+
+def points(df: DataFrame, features: list[str], target: str, classification: bool, noise: bool, seed: int, key) -> DataFrame:
+    """(f, x, y): complete pairs of every feature, by feature number."""
+    *xs, (_, y) = _sides(df, features, target, classification, noise, seed, key)
+    wide = df.select(y.alias("y"), *[x.alias(f"x{i}") for i, (_, x) in enumerate(xs)])
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("x")) for i in range(len(features))]))
     return wide.select("y", each.alias("p")).select("p.f", "p.x", "y").filter("x IS NOT NULL AND y IS NOT NULL")
 
@@ -163,132 +176,303 @@ def discrete_scores(p: DataFrame, k: int, block: int = LINE_BLOCK) -> DataFrame:
 
 # -- continuous target ---------------------------------------------------------------
 
-_NEAR = "array<struct<d:double,x:double,y:double>>"
-
-
-def _k_nearest(x, y, px, py, k: int, skip=None):
-    """Distances to and coordinates of the ``k`` nearest of (px, py) for points
-    (x, y); ``skip`` holds the place of the point itself."""
-    out = []
-    for lo in range(0, len(x), 256):
-        s = slice(lo, lo + 256)
-        d = np.maximum(np.abs(px - x[s, None]), np.abs(py - y[s, None]))
-        if skip is not None:
-            d[np.arange(len(d)), skip[s]] = np.inf
-        if d.shape[1] > k:
-            best = np.argpartition(d, k - 1, axis=1)[:, :k]
-        else:
-            best = np.tile(np.arange(d.shape[1]), (len(d), 1))
-        for row, b in zip(d, best):
-            out.append([{"d": float(row[j]), "x": float(px[j]), "y": float(py[j])} for j in b if np.isfinite(row[j])])
+def _runs(batches):
+    """Columns x and y of runs of about ``RUN`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= RUN:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _split(at: np.ndarray, order: np.ndarray):
+    """(number, places) of every number in ``at``; ``order`` sorts it."""
+    first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]]) if len(order) else []
+    return [(int(at[o[0]]), o) for o in np.split(order, first[1:])] if len(order) else []
+
+
+class Plane:
+    """Layout of the points of a feature: a k-d tree whose cuts come from a sample of the points,
+    with the exact rows and bounds of its leaves. ``tiles`` are the nodes of one level, a task each.
+    Leaf ``c`` has its ``k`` neighbours within ``reach[c]``, the longer side of the smallest
+    node around it with more than ``k`` rows, so a tile gets the points of its leaves' boxes
+    widened by that, and no neighbour lies outside of them. ``edges`` cut either axis into buckets."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, n: int, cell: int):
+        self.depth = max(0, math.ceil(math.log2(max(len(x), 1) / 12)))
+        self.level = min(self.depth, max(0, math.ceil(math.log2(n / cell))))
+        self.axis, self.cut = np.zeros(2 << self.depth, np.int8), np.full(2 << self.depth, np.inf)
+        parts = {1: np.arange(len(x))}
+        for _ in range(self.depth):
+            below = {}
+            for node, at in parts.items():
+                if len(at) < 2:
+                    continue
+                wide = np.ptp(x[at]) >= np.ptp(y[at])
+                v = x[at] if wide else y[at]
+                self.axis[node], self.cut[node] = 0 if wide else 1, np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+                below[2 * node], below[2 * node + 1] = at[v <= self.cut[node]], at[v > self.cut[node]]
+            parts = below
+        buckets = -(-n // cell)
+        self.edges = [np.unique(np.sort(v)[len(v) * np.arange(1, buckets) // buckets]) for v in (x, y)]
+
+    def leaf(self, x, y):
+        node = np.ones(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (np.where(self.axis[node] == 0, x, y) > self.cut[node])
+        return node
+
+    def bounds(self, batches):
+        """(kind, number, rows, least and largest x and y): kind 2 for leaves, 0 and 1 for buckets."""
+        for x, y in _runs(batches):
+            ids = [*(np.searchsorted(e, v) for e, v in zip(self.edges, (x, y))), self.leaf(x, y)]
+            for kind, at in enumerate(ids):
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+                ends = [f.reduceat(v[order], first) for v in (x, y) for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), kind, np.int32)), pa.array(at[order][first].astype(np.int64)),
+                     pa.array(np.diff(np.r_[first, len(order)])), *map(pa.array, ends)], names=["kind", "id", "n", "x0", "x1", "y0", "y1"])
+
+    def known(self, rows, k: int) -> None:
+        """Take in the merged bounds."""
+        size = 2 << self.depth
+        n, box = np.zeros(size, np.int64), np.tile([np.inf, -np.inf, np.inf, -np.inf], (size, 1))
+        self.rows = [np.zeros(len(e) + 1, np.int64) for e in self.edges]
+        self.least, self.most = ([np.full(len(e) + 1, v) for e in self.edges] for v in (np.inf, -np.inf))
+        for kind, at, count, *ends in rows:
+            if kind == 2:
+                n[at], box[at] = count, ends
+            else:
+                self.rows[kind][at], self.least[kind][at], self.most[kind][at] = count, ends[2 * kind], ends[2 * kind + 1]
+        self.before = [np.r_[0, np.cumsum(r)] for r in self.rows]
+        for node in range((1 << self.depth) - 1, 0, -1):
+            a, b = 2 * node, 2 * node + 1
+            n[node] = n[a] + n[b]
+            box[node] = [min(box[a, 0], box[b, 0]), max(box[a, 1], box[b, 1]), min(box[a, 2], box[b, 2]), max(box[a, 3], box[b, 3])]
+        side = np.maximum(box[:, 1] - box[:, 0], box[:, 3] - box[:, 2])
+        reach = np.where(n > k, side, np.inf)
+        for level in range(1, self.depth + 1):
+            at = np.arange(1 << level, 2 << level)
+            reach[at] = np.where(n[at] > k, reach[at], reach[at // 2])
+        leaves = np.arange(1 << self.depth, 2 << self.depth)
+        leaves = leaves[n[leaves] > 0]
+        grown = np.tile([np.inf, -np.inf, np.inf, -np.inf], (size, 1))
+        # widened a little more, against rounding of the differences
+        wide = reach[leaves] * (1 + 1e-9) + np.abs(box[leaves]).max(axis=1) * 1e-14
+        grown[leaves] = box[leaves] + wide[:, None] * np.array([-1, 1, -1, 1])
+        for node in range((1 << self.depth) - 1, 0, -1):
+            a, b = 2 * node, 2 * node + 1
+            grown[node] = [min(grown[a, 0], grown[b, 0]), max(grown[a, 1], grown[b, 1]), min(grown[a, 2], grown[b, 2]), max(grown[a, 3], grown[b, 3])]
+        self.grown = grown
+
+    def dealt(self, batches):
+        """(tile, its own points, points around it that its own may have as neighbours)."""
+        for x, y in _runs(batches):
+            tile = self.leaf(x, y) >> (self.depth - self.level)
+            at, node = np.arange(len(x)), np.ones(len(x), np.int64)
+            for level in range(self.depth + 1):
+                if level:
+                    at, node = np.repeat(at, 2), np.repeat(2 * node, 2) + np.tile([0, 1], len(at))
+                g = self.grown[node]
+                inside = (x[at] >= g[:, 0]) & (x[at] <= g[:, 1]) & (y[at] >= g[:, 2]) & (y[at] <= g[:, 3])
+                if level == self.level:
+                    inside &= node != tile[at]
+                at, node = at[inside], node[inside]
+            pair = np.unique((node >> (self.depth - self.level)) * len(x) + at)
+            near, around = pair // len(x), pair % len(x)
+            out = {t: [np.stack([x[o], y[o]]).tobytes(), b""] for t, o in _split(tile, np.argsort(tile, kind="stable"))}
+            for t, o in _split(near, np.arange(len(near))):
+                out.setdefault(t, [b"", b""])[1] = np.stack([x[around[o]], y[around[o]]]).tobytes()
+            for t, blobs in out.items():
+                yield pa.RecordBatch.from_arrays([pa.array([t]), *[pa.array([v], pa.binary()) for v in blobs]], names=["tile", "own", "around"])
+
+    def ranked(self, axis: int, e: np.ndarray):
+        """Bucket of each end, values before the bucket, and values before the end (-1: ask the bucket)."""
+        at = np.searchsorted(self.edges[axis], e)
+        before = self.before[axis]
+        return at, before[at], np.where(e < self.least[axis][at], before[at], np.where(e > self.most[axis][at], before[at + 1], -1))
+
+
+def _columns(blobs: pa.ChunkedArray, width: int) -> np.ndarray:
+    parts = [np.frombuffer(b).reshape(width, -1) for b in blobs.to_pylist() if b]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0))
+
+
+def k_nearest(x: np.ndarray, y: np.ndarray, own: int, k: int):
+    """Distance to the k-th neighbour and that neighbour for the first ``own`` points: boxes of
+    about ``BOX`` points by halving, a point first asks its own box, then the boxes
+    that points nearer than the k-th found there can lie in."""
+    size = len(x)
+    depth = max(0, math.ceil(math.log2(max(size, 1) / BOX)))
+    each = -(-size // (1 << depth))
+    xs, ys = np.append(x, np.nan), np.append(y, np.nan)
+    perm = np.full((1, each << depth), -1)
+    perm[0, :size] = np.arange(size)
+    boxes = []
+    for level in range(depth + 1):
+        px, py = xs[perm], ys[perm]
+        boxes.append([f.reduce(v, axis=1) for v in (px, py) for f in (np.fmin, np.fmax)])
+        if level < depth:
+            x0, x1, y0, y1 = (v[:, None] for v in boxes[-1])
+            ux, uy = (px - x0) / np.where(x1 > x0, x1 - x0, 1.0), (py - y0) / np.where(y1 > y0, y1 - y0, 1.0)
+            half = perm.shape[1] // 2
+            # along the longer side by 64ths, inside of one along the other: close values are not split on their own side
+            key = np.where(x1 - x0 < y1 - y0, np.floor(uy * 64) + ux * 0.99, np.floor(ux * 64) + uy * 0.99)
+            order = np.argpartition(key, half, axis=1)
+            perm = np.take_along_axis(perm, order, axis=1).reshape(-1, half)
+    px, py = xs[perm], ys[perm]
+    d, near = np.full(size, np.inf), np.full(size, -1)
+    step = max(1, 65_536 // each ** 2)  # arrays that stay in the cache
+    for lo in range(0, len(perm), step):
+        s = slice(lo, lo + step)
+        far = np.maximum(np.abs(px[s, :, None] - px[s, None, :]), np.abs(py[s, :, None] - py[s, None, :]))
+        far[:, np.arange(each), np.arange(each)] = np.inf
+        far[np.isnan(far)] = np.inf
+        if each > k:
+            kth = np.argpartition(far, k - 1, axis=2)[:, :, k - 1]
+            value = np.take_along_axis(far, kth[:, :, None], axis=2)[:, :, 0]
+            real = perm[s] >= 0
+            d[perm[s][real]], near[perm[s][real]] = value[real], np.take_along_axis(perm[s], kth, axis=1)[real]
+    for lo in range(0, own, 32_768):
+        q = np.arange(lo, min(own, lo + 32_768))
+        q = q[d[q] > 0]
+        at, box = q, np.zeros(len(q), np.int64)
+        for level, (x0, x1, y0, y1) in enumerate(boxes):
+            if level:
+                at, box = np.repeat(at, 2), np.repeat(2 * box, 2) + np.tile([0, 1], len(at))
+            r = d[at]
+            met = (x[at] - r <= x1[box]) & (x[at] + r >= x0[box]) & (y[at] - r <= y1[box]) & (y[at] + r >= y0[box])
+            at, box = at[met], box[met]
+        found = []
+        for first in range(0, len(at), 4_096):
+            a, c = at[first:first + 4_096], box[first:first + 4_096]
+            far = np.maximum(np.abs(px[c] - x[a][:, None]), np.abs(py[c] - y[a][:, None]))
+            row, col = np.nonzero((far < d[a][:, None]) & (perm[c] != a[:, None]))
+            found.append((a[row], far[row, col], perm[c[row], col]))
+        who, far, other = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((y[other], x[other], far, who))
+        who, far, other = who[order], far[order], other[order]
+        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+        enough = first[np.diff(np.r_[first, len(who)]) >= k] + k - 1  # else the k-th of the own box stays
+        d[who[enough]], near[who[enough]] = far[enough], other[enough]
+    return d[:own], x[near[:own]], y[near[:own]]
+
+
+def _psi(m: np.ndarray) -> np.ndarray:
+    x = m + 10.0
+    i = 1.0 / (x * x)
+    out = np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
+    for j in range(10):
+        out -= 1.0 / (m + float(j))
     return out
 
 
-def _own_cell(k: int):
-    def run(group: pa.Table) -> pa.Table:
-        x, y, r = (group.column(c).to_numpy() for c in ("x", "y", "num"))
-        near = _k_nearest(x, y, x, y, k, np.arange(len(x)))
-        reach = np.array([max(v["d"] for v in n) if len(n) == k else np.inf for n in near])
-        left, right = (group.column(c).to_numpy() for c in ("left", "right"))
-        low, high = np.full(len(x), y.min()), np.full(len(x), y.max())
-        low[group.column("first").to_numpy(zero_copy_only=False)] = -np.inf
-        high[group.column("last").to_numpy(zero_copy_only=False)] = np.inf
-        leaves = ~((x - reach > left) & (x + reach < right) & (y - reach > low) & (y + reach < high))
-        return pa.table({"f": group.column("f"), "strip": group.column("strip"), "cell": group.column("cell"), "pid": pa.array(r), "x": pa.array(x),
-                         "y": pa.array(y), "reach": pa.array(reach), "leaves": pa.array(leaves),
-                         "near": pa.array(near, pa.list_(pa.struct([("d", pa.float64()), ("x", pa.float64()), ("y", pa.float64())])))})
-    return run
+_ASKED = "axis int, bucket long, vals binary, asks binary, far binary, psi double"
 
 
-def _met_cells(asks: pa.Table, cells: pa.Table) -> pa.Table:
-    """Cells of a strip that the boxes of points meet."""
-    names = ["f", "strip", "cell", "pid", "x", "y", "reach"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-    cells = cells.sort_by("cell")
-    low, high, number = (cells.column(c).to_numpy() for c in ("low", "high", "cell"))
-    if not asks.num_rows or not len(number):
-        return pa.schema(list(zip(names, kinds))).empty_table()
-    y, reach = asks.column("y").to_numpy(), asks.column("reach").to_numpy()
-    a = np.searchsorted(high, y - reach, side="left")
-    b = np.searchsorted(low, y + reach, side="right")
-    n = np.maximum(b - a, 0)
-    row = np.repeat(np.arange(len(y)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-    out = {c: asks.column(c).to_numpy()[row] for c in ("f", "strip", "pid", "x", "y", "reach")} | {"cell": number[at]}
-    own = (asks.column("own").to_numpy()[row] == out["strip"]) & (asks.column("home").to_numpy()[row] == out["cell"])
-    return pa.table([pa.array(out[c][~own], t) for c, t in zip(names, kinds)], names=names)
-
-
-def _other_cell(k: int):
-    def run(asks: pa.Table, cell: pa.Table) -> pa.Table:
-        kind = pa.list_(pa.struct([("d", pa.float64()), ("x", pa.float64()), ("y", pa.float64())]))
-        if not asks.num_rows or not cell.num_rows:
-            return pa.table({"pid": pa.array([], pa.int64()), "near": pa.array([], kind)})
-        near = _k_nearest(*(asks.column(c).to_numpy() for c in ("x", "y")), *(cell.column(c).to_numpy() for c in ("x", "y")), k)
-        reach = asks.column("reach").to_numpy()
-        return pa.table({"pid": asks.column("pid"), "near": pa.array([[v for v in n if v["d"] <= r] for n, r in zip(near, reach)], kind)})
+def _tile(plane: Plane, k: int):
+    """Neighbours of a tile's points and the intervals nearer than they are. Ends in gaps between
+    buckets are counted at once, an interval in one bucket asks that bucket (``asks``: lo, hi),
+    others (``far``: lo, hi, known part, number of the point or -1) one bucket or two."""
+    def run(group: pa.Table) -> pa.Table:
+        tile = group.column("tile")[0].as_py()
+        mine, around = _columns(group.column("own"), 2), _columns(group.column("around"), 2)
+        own = mine.shape[1]
+        point = np.concatenate([mine, around], axis=1)
+        d, *ends = k_nearest(point[0], point[1], own, k)
+        rows, psi = [], 0.0
+        for axis, (v, at) in enumerate(zip(mine, ends)):
+            lo, hi = np.where(v - at == d, at, v - d), np.where(at - v == d, at, v + d)
+            lo_at, lo_base, lo_known = plane.ranked(axis, lo)
+            hi_at, hi_base, hi_known = plane.ranked(axis, hi)
+            ask_lo, ask_hi = lo_known < 0, hi_known < 0
+            psi += _psi((hi_known - lo_known)[~ask_lo & ~ask_hi].astype(float)).sum()
+            same = ask_lo & ask_hi & (lo_at == hi_at)
+            number = np.where(ask_lo & ask_hi, (np.int64(tile) << 32) + np.arange(own), -1)
+            none = np.full(own, -np.inf)
+            far = []
+            for asked, at_, cols in ((ask_lo & ~same, lo_at, (lo, none, np.where(ask_hi, -lo_base, hi_known - lo_base))),
+                                     (ask_hi & ~same, hi_at, (none, hi, np.where(ask_lo, hi_base, hi_base - lo_known)))):
+                far.append((at_[asked], np.stack([*cols, number.view(np.float64)])[:, asked]))
+            far_at, far = np.concatenate([f[0] for f in far]), np.concatenate([f[1] for f in far], axis=1)
+            v_at, out = np.searchsorted(plane.edges[axis], v), {}
+            same = np.flatnonzero(same)
+            for j, (where, cols) in enumerate(((v_at, v[None]), (lo_at[same], np.stack([lo, hi])[:, same]), (far_at, far))):
+                for bucket, o in _split(where, np.argsort(where, kind="stable")):
+                    out.setdefault(bucket, [b"", b"", b""])[j] = np.ascontiguousarray(cols[:, o]).tobytes()
+            rows += [(axis, bucket, *blobs, 0.0) for bucket, blobs in out.items()]
+        rows.append((-1, -1, b"", b"", b"", psi))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()))],
+                        names=["axis", "bucket", "vals", "asks", "far", "psi"])
     return run
 
 
-def plane_neighbours(p: DataFrame, k: int, cell: int = CELL) -> DataFrame:
-    """(f, pid, x, y, d, nx, ny): distance to the k-th neighbour in the plane of each
-    point and that neighbour's coordinates."""
-    sizes = {r.f: r.n for r in p.groupBy("f").agg(F.count("*").alias("n")).collect()}
-    cuts = {}
-    for f, n in sizes.items():
-        strips = max(1, math.isqrt(n // cell))
-        cuts[f] = strips
-    probs = {f: [i / s for i in range(1, s)] for f, s in cuts.items() if s > 1}
-    found = p.groupBy().agg(F.lit(1), *[F.percentile_approx(F.when(F.col("f") == f, F.col("x")), q, 20 * (len(q) + 1)).alias(f"c{f}")
-                                        for f, q in probs.items()]).head() if probs else None
-    bounds = [(f, [-math.inf, *sorted(set(found[f"c{f}"] if f in probs else [])), math.inf]) for f in sizes]
-    spark = p.sparkSession
-    edges = spark.createDataFrame(bounds, "ef int, edges array<double>")  # strips of a feature: the root of its cells
-    strip = F.size(F.filter("edges", lambda e: e <= F.col("x"))) - 1
-    placed = (p.join(F.broadcast(edges), F.expr("f = ef")).withColumn("strip", strip)
-              .select("f", "x", "y", "strip", F.element_at("edges", F.col("strip") + 1).alias("left"), F.element_at("edges", F.col("strip") + 2).alias("right")))
-    rows = numbered(placed, ["f", "strip", "y", "x"], "num")
-    strips = rows.groupBy(F.col("f").alias("sf"), F.col("strip").alias("ss")).agg(F.min("num").alias("from"), F.count("*").alias("n"))
-    cells_of = F.greatest(F.lit(1), F.floor(F.col("n") / cell))
-    number = F.floor((F.col("num") - F.col("from")) * cells_of / F.col("n"))
-    rows = cut_lineage(rows.join(strips, F.expr("f = sf AND strip = ss")).withColumn("cell", number)
-                       .withColumn("first", F.col("cell") == 0).withColumn("last", F.col("cell") == cells_of - 1)
-                       .select("f", "strip", "cell", "num", "x", "y", "left", "right", "first", "last"))
-    own = cut_lineage(rows.groupBy("f", "strip", "cell").applyInArrow(
-        _own_cell(k), f"f int, strip int, cell long, pid long, x double, y double, reach double, leaves boolean, near {_NEAR}"))
-    ask = own.filter("leaves").join(F.broadcast(edges), F.expr("f = ef"))
-    first = F.size(F.filter("edges", lambda e: e <= F.col("x") - F.col("reach"))) - 1
-    last = F.size(F.filter("edges", lambda e: e <= F.col("x") + F.col("reach"))) - 1
-    last = F.least(last, F.size("edges") - 2)
-    asks = ask.select("f", "pid", "x", "y", "reach", F.col("strip").alias("own"), F.col("cell").alias("home"),
-                      F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("strip"))
-    cells = rows.groupBy("f", "strip", "cell").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    met = (asks.groupBy("f", "strip").cogroup(cells.groupBy("f", "strip"))
-           .applyInArrow(_met_cells, "f int, strip int, cell long, pid long, x double, y double, reach double"))
-    more = (met.groupBy("f", "strip", "cell").cogroup(rows.select("f", "strip", "cell", "x", "y").groupBy("f", "strip", "cell"))
-            .applyInArrow(_other_cell(k), f"pid long, near {_NEAR}"))
-    merged = own.select("pid", "near").unionByName(more).groupBy("pid").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
-    kth = F.get("near", F.lit(k - 1))
-    return (own.select("f", "pid", "x", "y").join(merged, "pid").withColumn("kth", kth).filter("kth IS NOT NULL")
-            .select("f", "pid", "x", "y", F.col("kth.d").alias("d"), F.col("kth.x").alias("nx"), F.col("kth.y").alias("ny")))
+def _bucket(group: pa.Table) -> pa.Table:
+    """Counts of a bucket: the sum of psi of whole intervals (pid -1) and the part of others."""
+    axis = group.column("axis")[0].as_py()
+    vals = np.sort(_columns(group.column("vals"), 1)[0])
+    psi = float(np.sum(group.column("psi").to_numpy()))
+
+    def inside(lo, hi):
+        closed = lo == hi
+        left, right = np.searchsorted(vals, hi, "left"), np.searchsorted(vals, hi, "right")
+        return np.where(closed, right, left) - np.where(closed, left, np.searchsorted(vals, lo, "right"))
+
+    psi += _psi(inside(*_columns(group.column("asks"), 2)).astype(float)).sum()
+    lo, hi, base, number = _columns(group.column("far"), 4)
+    number = np.ascontiguousarray(number).view(np.int64)
+    # an end at -inf has no values before it
+    part = base + inside(lo, hi)
+    whole = number < 0
+    psi += _psi(part[whole]).sum()
+    return pa.table({"axis": pa.array(np.r_[-1, np.full((~whole).sum(), axis)], pa.int32()), "pid": pa.array(np.r_[-1, number[~whole]], pa.int64()),
+                     "m": pa.array(np.r_[0.0, part[~whole]]), "psi": pa.array(np.r_[psi, np.zeros((~whole).sum())])})
+
+
+def plane_score(q: DataFrame, k: int, cell: int = CELL) -> float | None:
+    """Score of points (x, y); None with at most ``k`` points. The points are read from their
+    source three times and shuffled once as packed columns, with the points around every tile."""
+    n = q.count()
+    if n <= k:
+        return None
+    share = max(SAMPLE / n, 1 / 512)
+    some = (q.sample(False, share, 1) if share < 1 else q).toPandas()
+    plane = Plane(some["x"].to_numpy(), some["y"].to_numpy(), n, cell)
+    ends = q.mapInArrow(plane.bounds, "kind int, id long, n long, x0 double, x1 double, y0 double, y1 double")
+    plane.known([tuple(r) for r in ends.groupBy("kind", "id").agg(
+        F.sum("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).collect()], k)
+    tiles = q.mapInArrow(plane.dealt, "tile long, own binary, around binary").groupBy("tile").applyInArrow(_tile(plane, k), _ASKED)
+    parts = tiles.groupBy("axis", "bucket").applyInArrow(_bucket, "axis int, pid long, m double, psi double")
+    sums = parts.groupBy("axis", "pid").agg(F.sum("m").alias("m"), F.sum("psi").alias("psi"))
+    psi = sums.agg(F.sum(F.when(F.col("pid") < 0, F.col("psi")).otherwise(digamma(F.col("m"))))).head()[0]
+    at = _psi(np.array([float(n), float(k)]))
+    return max(0.0, float(at.sum() - psi / n))
 
 
 def continuous_scores(p: DataFrame, k: int, cell: int = CELL) -> DataFrame:
     """(f, score) for a continuous ``y``; features with at most ``k`` pairs have none."""
-    near = cut_lineage(plane_neighbours(p, k, cell))
+    features = sorted(r.f for r in p.select("f").distinct().collect())
+    return _score_table(p.sparkSession, {f: plane_score(p.filter(F.col("f") == f).select("x", "y"), k, cell) for f in features})
+
+
+def _score_table(spark, scores: dict) -> DataFrame:
+    return spark.createDataFrame([r for r in scores.items() if r[1] is not None], "f int, score double")
 
-    def interval(axis: int, v: str, other: str) -> DataFrame:
-        value, at, d = F.col(v), F.col(other), F.col("d")
-        lo = F.when(value - at == d, at).otherwise(value - d)
-        hi = F.when(at - value == d, at).otherwise(value + d)
-        return near.select((F.col("f") * 2 + axis).alias("axis"), "pid", lo.alias("lo"), hi.alias("hi"), (d == 0).alias("closed"))
 
-    values = p.select((F.col("f") * 2).alias("axis"), F.col("x").alias("v")).unionByName(p.select((F.col("f") * 2 + 1).alias("axis"), F.col("y").alias("v")))
-    counts = interval_counts(values, interval(0, "x", "nx").unionByName(interval(1, "y", "ny")))
-    means = (counts.select(F.floor(F.col("axis") / 2).cast("int").alias("f"), digamma(F.col("m")).alias("psi"))
-             .groupBy("f").agg(F.sum("psi").alias("psi"), (F.count("*") / 2).alias("total")))
-    score = digamma(F.col("total")) + digamma(F.lit(k)) - F.col("psi") / F.col("total")
-    return means.select("f", F.greatest(F.lit(0.0), score).alias("score"))
+def _without_old_shuffles(q: DataFrame, k: int) -> float | None:
+    """``plane_score``; the shuffle files of each of its jobs go when the job ends."""
+    conf, name = q.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return plane_score(q, k)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 # -- the operator -------------------------------------------------------------------
@@ -303,7 +487,12 @@ def mutual_info_knn(df: DataFrame, features, target: str, classification: bool =
     require_columns(df, [*feats, target, *as_list(key)])
     if neighbours < 1:
         raise OperatorError("neighbours must be at least 1")
-    p = cut_lineage(points(df, feats, target, classification, noise, seed, key))
-    scores = discrete_scores(p, neighbours) if classification else continuous_scores(p, neighbours)
+    if classification:
+        scores = discrete_scores(cut_lineage(points(df, feats, target, True, noise, seed, key)), neighbours)
+    else:
+        # one feature after the other, each from the source: nothing is kept beside the running shuffle
+        *xs, (raw_y, y) = _sides(df, feats, target, False, noise, seed, key)
+        planes = [df.filter(raw.isNotNull() & raw_y.isNotNull()).select(x.alias("x"), y.alias("y")) for raw, x in xs]
+        scores = _score_table(df.sparkSession, {i: _without_old_shuffles(q, neighbours) for i, q in enumerate(planes)})
     names = df.sparkSession.createDataFrame(list(enumerate(feats)), "n int, feature string")
     return names.join(scores, F.expr("n = f"), "left").select("feature", "score")

@@ -110,3 +110,22 @@ def test_missing_rare_and_empty(spark):
     assert scores(K.mutual_info_knn(few, ["x"], "y", classification=False)) == {"x": None}
     with pytest.raises(OperatorError):
         K.mutual_info_knn(few, ["x"], "y", neighbours=0)
+
+
+def test_tiles_get_every_neighbour_and_few_other_points(spark):
+    """Values in narrow groups: a tile gets its neighbours from around it, not every tile of the group."""
+    r = np.random.default_rng(4)
+    n = 3000
+    x, y = r.integers(0, 3, n) + r.normal(size=n) * 1e-9, r.random(n) * 3
+    d, nx, ny = K.k_nearest(x, y, n, 3)
+    far = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+    np.fill_diagonal(far, np.inf)
+    np.testing.assert_array_equal(d, np.sort(far, axis=1)[:, 2])
+    np.testing.assert_array_equal(np.maximum(np.abs(nx - x), np.abs(ny - y)), d)
+    q = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(3).cache()
+    assert abs(K.plane_score(q, 3, 150) - plain_continuous(x, y)) < 1e-9
+    plane = K.Plane(x, y, n, 150)
+    plane.known([tuple(v) for v in q.mapInArrow(plane.bounds, "kind int, id long, n long, x0 double, x1 double, y0 double, y1 double")
+                .groupBy("kind", "id").agg(F.sum("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).collect()], 3)
+    dealt = q.mapInArrow(plane.dealt, "tile long, own binary, around binary").selectExpr("sum(length(own)) / 16 AS own", "sum(length(around)) / 16 AS around").first()
+    assert dealt.own == n and dealt.around < 4 * n  # 20 tiles
