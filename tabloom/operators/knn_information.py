@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import OperatorError, as_list, present, qcol, require_columns
 from tabloom.operators.windows import numbered
-from tabloom.session import cut_lineage
+from tabloom.session import cut_lineage, scratch_path
 
 LINE_BLOCK = 65_536
 CELL = 262_144    # points of a tile of the plane, values of a bucket of an axis
-BOX = 24          # points of a box inside a tile
+BOX = 12          # points of a box inside a tile
+LOOSE = 0.3       # parts of a box's side: farther neighbours are first looked for in the next boxes
 RUN = 100_000     # points a task packs at a time
 SAMPLE = 50_000   # points that lay out the plane, or one of 512 when those are more
 
@@ -189,58 +190,103 @@ def _runs(batches):
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _split(at: np.ndarray, order: np.ndarray):
-    """(number, places) of every number in ``at``; ``order`` sorts it."""
-    first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]]) if len(order) else []
-    return [(int(at[o[0]]), o) for o in np.split(order, first[1:])] if len(order) else []
+def _grouped(at: np.ndarray):
+    """(distinct numbers, places sorted by number, first place of each)."""
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 65_536 else at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    return sorted_at[first], order, first
+
+
+def _split(at: np.ndarray):
+    """(number, places) of every number in ``at``."""
+    ids, order, first = _grouped(at)
+    return zip(ids.tolist(), np.split(order, first[1:])) if len(ids) else ()
+
+
+def _gap(v: np.ndarray, lo: int, hi: int) -> int:
+    """Place in sorted ``v`` before its widest gap from place ``lo`` to ``hi``."""
+    return lo + int(np.argmax(np.diff(v[lo:hi + 1]))) if hi > lo else lo
+
+
+def _cut(v: np.ndarray) -> tuple[float, bool]:
+    """Where to halve numbers: in the gap next to the median, so that close values stay together, else at
+    the median; and whether this cuts through close values."""
+    v = np.sort(v)
+    half, wide = (len(v) - 1) // 2, v[-1] - v[0]
+    lo = len(v) // 8
+    gaps = lo + np.flatnonzero(np.diff(v[lo:len(v) - lo]) * 256 >= wide)
+    if len(gaps) and wide > 0:
+        at = gaps[np.argmin(np.abs(gaps - half))]
+        return v[at] + (v[at + 1] - v[at]) / 2, False
+    return v[half], v[len(v) * 5 // 8] - v[len(v) * 3 // 8] < wide / 4096
 
 
 class Plane:
     """Layout of the points of a feature: a k-d tree whose cuts come from a sample of the points,
-    with the exact rows and bounds of its leaves. ``tiles`` are the nodes of one level, a task each.
-    Leaf ``c`` has its ``k`` neighbours within ``reach[c]``, the longer side of the smallest
+    with the exact rows and bounds of its leaves. Tiles are the largest nodes of at most ``cell`` points, a
+    task each. Leaf ``c`` has its ``k`` neighbours within ``reach[c]``, the longer side of the smallest
     node around it with more than ``k`` rows, so a tile gets the points of its leaves' boxes
-    widened by that, and no neighbour lies outside of them. ``edges`` cut either axis into buckets."""
+    widened by that, and no neighbour lies outside of them. ``edges`` cut either axis into buckets.
+    Cuts and edges go through gaps: values that differ by noise only stay together."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, n: int, cell: int):
+        self.cell = cell
         self.depth = max(0, math.ceil(math.log2(max(len(x), 1) / 12)))
-        self.level = min(self.depth, max(0, math.ceil(math.log2(n / cell))))
-        self.axis, self.cut = np.zeros(2 << self.depth, np.int8), np.full(2 << self.depth, np.inf)
+        self.axis, self.cut = np.zeros(2 << self.depth, bool), np.full(2 << self.depth, np.inf)
         parts = {1: np.arange(len(x))}
         for _ in range(self.depth):
             below = {}
             for node, at in parts.items():
                 if len(at) < 2:
                     continue
-                wide = np.ptp(x[at]) >= np.ptp(y[at])
-                v = x[at] if wide else y[at]
-                self.axis[node], self.cut[node] = 0 if wide else 1, np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
-                below[2 * node], below[2 * node + 1] = at[v <= self.cut[node]], at[v > self.cut[node]]
+                sides = [x[at], y[at]]
+                axis = int(np.ptp(sides[0]) < np.ptp(sides[1]))
+                cut, close = _cut(sides[axis])
+                if close and (other := _cut(sides[1 - axis])) and not other[1]:
+                    axis, cut = 1 - axis, other[0]
+                self.axis[node], self.cut[node] = axis, cut
+                below[2 * node], below[2 * node + 1] = at[sides[axis] <= cut], at[sides[axis] > cut]
             parts = below
-        buckets = -(-n // cell)
-        self.edges = [np.unique(np.sort(v)[len(v) * np.arange(1, buckets) // buckets]) for v in (x, y)]
+        buckets, self.edges = -(-n // cell), []
+        for v in (np.sort(x), np.sort(y)):
+            around, at = len(v) // buckets // 4, [len(v) * b // buckets for b in range(1, buckets)]
+            at = [_gap(v, max(0, a - around), min(len(v) - 1, a + around)) for a in at]
+            self.edges.append(np.unique([v[a] + (v[min(a + 1, len(v) - 1)] - v[a]) / 2 for a in at]))
 
     def leaf(self, x, y):
-        node = np.ones(len(x), np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + (np.where(self.axis[node] == 0, x, y) > self.cut[node])
-        return node
+        out = np.empty(len(x), np.int64)
+        for lo in range(0, len(x), 16_384):  # arrays that stay in the cache
+            a, b = x[lo:lo + 16_384], y[lo:lo + 16_384]
+            node = np.ones(len(a), np.int64)
+            for _ in range(self.depth):
+                node = 2 * node + (np.where(self.axis[node], b, a) > self.cut[node])
+            out[lo:lo + 16_384] = node
+        return out
 
     def bounds(self, batches):
         """(kind, number, rows, least and largest x and y): kind 2 for leaves, 0 and 1 for buckets."""
+        sizes = [len(e) + 1 for e in self.edges] + [2 << self.depth]
+        rows = [np.zeros(size, np.int64) for size in sizes]
+        ends = [np.tile([[np.inf], [-np.inf], [np.inf], [-np.inf]], size) for size in sizes]
         for x, y in _runs(batches):
-            ids = [*(np.searchsorted(e, v) for e, v in zip(self.edges, (x, y))), self.leaf(x, y)]
+            leaf = self.leaf(x, y) - (1 << self.depth)
+            ids = [*(np.searchsorted(e, v) for e, v in zip(self.edges, (x, y))), leaf]
             for kind, at in enumerate(ids):
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-                ends = [f.reduceat(v[order], first) for v in (x, y) for f in (np.minimum, np.maximum)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), kind, np.int32)), pa.array(at[order][first].astype(np.int64)),
-                     pa.array(np.diff(np.r_[first, len(order)])), *map(pa.array, ends)], names=["kind", "id", "n", "x0", "x1", "y0", "y1"])
+                some, order, first = _grouped(at)
+                some = some + (1 << self.depth) * (kind == 2)
+                rows[kind][some] += np.diff(np.r_[first, len(order)])
+                for e, (f, v) in enumerate(((np.minimum, x), (np.maximum, x), (np.minimum, y), (np.maximum, y))):
+                    ends[kind][e, some] = f(ends[kind][e, some], f.reduceat(v[order], first))
+        for kind, (n, end) in enumerate(zip(rows, ends)):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(n[at]), *(pa.array(v[at]) for v in end)],
+                names=["kind", "id", "n", "x0", "x1", "y0", "y1"])
 
     def known(self, rows, k: int) -> None:
         """Take in the merged bounds."""
-        size = 2 << self.depth
+        size, bottom = 2 << self.depth, 1 << self.depth
         n, box = np.zeros(size, np.int64), np.tile([np.inf, -np.inf, np.inf, -np.inf], (size, 1))
         self.rows = [np.zeros(len(e) + 1, np.int64) for e in self.edges]
         self.least, self.most = ([np.full(len(e) + 1, v) for e in self.edges] for v in (np.inf, -np.inf))
@@ -250,46 +296,74 @@ class Plane:
             else:
                 self.rows[kind][at], self.least[kind][at], self.most[kind][at] = count, ends[2 * kind], ends[2 * kind + 1]
         self.before = [np.r_[0, np.cumsum(r)] for r in self.rows]
-        for node in range((1 << self.depth) - 1, 0, -1):
-            a, b = 2 * node, 2 * node + 1
-            n[node] = n[a] + n[b]
-            box[node] = [min(box[a, 0], box[b, 0]), max(box[a, 1], box[b, 1]), min(box[a, 2], box[b, 2]), max(box[a, 3], box[b, 3])]
+
+        def upwards(v):
+            for level in range(self.depth - 1, -1, -1):
+                a, b = v[2 << level:4 << level:2], v[(2 << level) + 1:4 << level:2]
+                v[1 << level:2 << level] = np.where(np.arange(4) % 2, np.maximum(a, b), np.minimum(a, b)) if v.ndim > 1 else a + b
+
+        upwards(n)
+        upwards(box)
         side = np.maximum(box[:, 1] - box[:, 0], box[:, 3] - box[:, 2])
         reach = np.where(n > k, side, np.inf)
+        self.tile = np.arange(size)
         for level in range(1, self.depth + 1):
             at = np.arange(1 << level, 2 << level)
             reach[at] = np.where(n[at] > k, reach[at], reach[at // 2])
-        leaves = np.arange(1 << self.depth, 2 << self.depth)
+            whole = n[self.tile[at // 2]] <= self.cell
+            self.tile[at] = np.where(whole, self.tile[at // 2], at)
+        leaves = np.arange(bottom, size)
         leaves = leaves[n[leaves] > 0]
         grown = np.tile([np.inf, -np.inf, np.inf, -np.inf], (size, 1))
         # widened a little more, against rounding of the differences
         wide = reach[leaves] * (1 + 1e-9) + np.abs(box[leaves]).max(axis=1) * 1e-14
         grown[leaves] = box[leaves] + wide[:, None] * np.array([-1, 1, -1, 1])
-        for node in range((1 << self.depth) - 1, 0, -1):
-            a, b = 2 * node, 2 * node + 1
-            grown[node] = [min(grown[a, 0], grown[b, 0]), max(grown[a, 1], grown[b, 1]), min(grown[a, 2], grown[b, 2]), max(grown[a, 3], grown[b, 3])]
-        self.grown = grown
+        self.grown = grown[bottom:].copy()
+        upwards(grown)
+        # leaves of other tiles whose widened boxes meet a leaf
+        found = []
+        for lo in range(0, len(leaves), 4_096):
+            at = leaves[lo:lo + 4_096]
+            node = np.ones(len(at), np.int64)
+            for level in range(self.depth + 1):
+                if level:
+                    at, node = np.repeat(at, 2), np.repeat(2 * node, 2) + np.tile([0, 1], len(at))
+                b, g = box[at], grown[node]
+                met = (b[:, 1] >= g[:, 0]) & (b[:, 0] <= g[:, 1]) & (b[:, 3] >= g[:, 2]) & (b[:, 2] <= g[:, 3])
+                met &= self.tile[node] != self.tile[at]
+                at, node = at[met], node[met]
+            found.append(np.stack([at, node]))
+        at, near = np.concatenate(found, axis=1) - bottom if found else np.zeros((2, 0), np.int64)
+        order = np.argsort(at, kind="stable")
+        self.near, self.first = near[order], np.searchsorted(at[order], np.arange(bottom + 1))
+        self.tile = self.tile[bottom:].copy()
 
     def dealt(self, batches):
         """(tile, its own points, points around it that its own may have as neighbours)."""
         for x, y in _runs(batches):
-            tile = self.leaf(x, y) >> (self.depth - self.level)
-            at, node = np.arange(len(x)), np.ones(len(x), np.int64)
-            for level in range(self.depth + 1):
-                if level:
-                    at, node = np.repeat(at, 2), np.repeat(2 * node, 2) + np.tile([0, 1], len(at))
-                g = self.grown[node]
-                inside = (x[at] >= g[:, 0]) & (x[at] <= g[:, 1]) & (y[at] >= g[:, 2]) & (y[at] <= g[:, 3])
-                if level == self.level:
-                    inside &= node != tile[at]
-                at, node = at[inside], node[inside]
-            pair = np.unique((node >> (self.depth - self.level)) * len(x) + at)
-            near, around = pair // len(x), pair % len(x)
-            out = {t: [np.stack([x[o], y[o]]).tobytes(), b""] for t, o in _split(tile, np.argsort(tile, kind="stable"))}
-            for t, o in _split(near, np.arange(len(near))):
-                out.setdefault(t, [b"", b""])[1] = np.stack([x[around[o]], y[around[o]]]).tobytes()
+            leaf = self.leaf(x, y) - (1 << self.depth)
+            out = {t: [np.stack([x[o], y[o]]).tobytes(), b""] for t, o in _split(self.tile[leaf])}
+            at = np.flatnonzero(self.first[leaf + 1] > self.first[leaf])
+            for lo in range(0, len(at), 16_384):
+                some = at[lo:lo + 16_384]
+                first, many = self.first[leaf[some]], np.diff(self.first)[leaf[some]]
+                some, start = np.repeat(some, many), np.cumsum(many) - many
+                other = self.near[np.repeat(first - start, many) + np.arange(len(some))]
+                g = self.grown[other]
+                inside = (x[some] >= g[:, 0]) & (x[some] <= g[:, 1]) & (y[some] >= g[:, 2]) & (y[some] <= g[:, 3])
+                pair = np.unique(self.tile[other[inside]] * len(x) + some[inside])
+                around = pair % len(x)
+                for t, o in _split(pair // len(x)):
+                    rest = out.setdefault(t, [b"", b""])
+                    if rest[1]:
+                        yield self._dealt(t, b"", rest[1])
+                    rest[1] = np.stack([x[around[o]], y[around[o]]]).tobytes()
             for t, blobs in out.items():
-                yield pa.RecordBatch.from_arrays([pa.array([t]), *[pa.array([v], pa.binary()) for v in blobs]], names=["tile", "own", "around"])
+                yield self._dealt(t, *blobs)
+
+    @staticmethod
+    def _dealt(tile: int, own: bytes, around: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([own], pa.binary()), pa.array([around], pa.binary())], names=["tile", "own", "around"])
 
     def ranked(self, axis: int, e: np.ndarray):
         """Bucket of each end, values before the bucket, and values before the end (-1: ask the bucket)."""
@@ -303,64 +377,146 @@ def _columns(blobs: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0))
 
 
-def k_nearest(x: np.ndarray, y: np.ndarray, own: int, k: int):
-    """Distance to the k-th neighbour and that neighbour for the first ``own`` points: boxes of
-    about ``BOX`` points by halving, a point first asks its own box, then the boxes
-    that points nearer than the k-th found there can lie in."""
-    size = len(x)
-    depth = max(0, math.ceil(math.log2(max(size, 1) / BOX)))
-    each = -(-size // (1 << depth))
-    xs, ys = np.append(x, np.nan), np.append(y, np.nan)
-    perm = np.full((1, each << depth), -1)
-    perm[0, :size] = np.arange(size)
-    boxes = []
-    for level in range(depth + 1):
+def _boxes(x: np.ndarray, y: np.ndarray, depth: int, each: int) -> np.ndarray:
+    """Points of ``2 ** depth`` boxes, a column each; ``len(x)`` fills the last ones. A box is cut in
+    eight or four at once by sorting: along its longer side by 256ths, inside of one along the other, so
+    close values are not split on their own side."""
+    size, width = len(x), each << depth
+    xs, ys = np.append(x, x[:1]), np.append(y, y[:1])
+    perm = np.minimum(np.arange(width), size)[None]
+    bits = max(1, (width - 1).bit_length())  # of the sorted numbers, for the place
+    fine = 1 << (54 - bits)
+    left = depth
+    while left:
+        level = 3 if left > 3 else min(left, 2)
         px, py = xs[perm], ys[perm]
-        boxes.append([f.reduce(v, axis=1) for v in (px, py) for f in (np.fmin, np.fmax)])
-        if level < depth:
-            x0, x1, y0, y1 = (v[:, None] for v in boxes[-1])
-            ux, uy = (px - x0) / np.where(x1 > x0, x1 - x0, 1.0), (py - y0) / np.where(y1 > y0, y1 - y0, 1.0)
-            half = perm.shape[1] // 2
-            # along the longer side by 64ths, inside of one along the other: close values are not split on their own side
-            key = np.where(x1 - x0 < y1 - y0, np.floor(uy * 64) + ux * 0.99, np.floor(ux * 64) + uy * 0.99)
-            order = np.argpartition(key, half, axis=1)
-            perm = np.take_along_axis(perm, order, axis=1).reshape(-1, half)
-    px, py = xs[perm], ys[perm]
-    d, near = np.full(size, np.inf), np.full(size, -1)
-    step = max(1, 65_536 // each ** 2)  # arrays that stay in the cache
-    for lo in range(0, len(perm), step):
-        s = slice(lo, lo + step)
-        far = np.maximum(np.abs(px[s, :, None] - px[s, None, :]), np.abs(py[s, :, None] - py[s, None, :]))
-        far[:, np.arange(each), np.arange(each)] = np.inf
-        far[np.isnan(far)] = np.inf
-        if each > k:
-            kth = np.argpartition(far, k - 1, axis=2)[:, :, k - 1]
-            value = np.take_along_axis(far, kth[:, :, None], axis=2)[:, :, 0]
-            real = perm[s] >= 0
-            d[perm[s][real]], near[perm[s][real]] = value[real], np.take_along_axis(perm[s], kth, axis=1)[real]
-    for lo in range(0, own, 32_768):
-        q = np.arange(lo, min(own, lo + 32_768))
-        q = q[d[q] > 0]
-        at, box = q, np.zeros(len(q), np.int64)
-        for level, (x0, x1, y0, y1) in enumerate(boxes):
-            if level:
-                at, box = np.repeat(at, 2), np.repeat(2 * box, 2) + np.tile([0, 1], len(at))
-            r = d[at]
-            met = (x[at] - r <= x1[box]) & (x[at] + r >= x0[box]) & (y[at] - r <= y1[box]) & (y[at] + r >= y0[box])
-            at, box = at[met], box[met]
-        found = []
-        for first in range(0, len(at), 4_096):
-            a, c = at[first:first + 4_096], box[first:first + 4_096]
-            far = np.maximum(np.abs(px[c] - x[a][:, None]), np.abs(py[c] - y[a][:, None]))
-            row, col = np.nonzero((far < d[a][:, None]) & (perm[c] != a[:, None]))
-            found.append((a[row], far[row, col], perm[c[row], col]))
-        who, far, other = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((y[other], x[other], far, who))
-        who, far, other = who[order], far[order], other[order]
-        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
-        enough = first[np.diff(np.r_[first, len(who)]) >= k] + k - 1  # else the k-th of the own box stays
-        d[who[enough]], near[who[enough]] = far[enough], other[enough]
-    return d[:own], x[near[:own]], y[near[:own]]
+        x0, y0 = px.min(axis=1)[:, None], py.min(axis=1)[:, None]
+        wx, wy = px.max(axis=1)[:, None] - x0, py.max(axis=1)[:, None] - y0
+        tall = wx < wy
+        px -= x0
+        py -= y0
+        px *= np.where(wx > 0, np.where(tall, fine - 1, 256) / np.where(wx > 0, wx, 1.0), 0.0)
+        py *= np.where(wy > 0, np.where(tall, 256, fine - 1) / np.where(wy > 0, wy, 1.0), 0.0)
+        key = px.astype(np.int64) * np.where(tall, 1, fine) + py.astype(np.int64) * np.where(tall, fine, 1)
+        key[perm == size] = (1 << (63 - bits)) - 1
+        key <<= bits
+        key += np.arange(perm.shape[1])
+        key.sort(axis=1)
+        key &= (1 << bits) - 1
+        perm = np.take_along_axis(perm, key, axis=1).reshape(-1, perm.shape[1] >> level)
+        left -= level
+    return np.ascontiguousarray(perm.T)
+
+
+def _insert(best: np.ndarray, t: np.ndarray, spare: np.ndarray) -> None:
+    """Take ``t`` into the smallest values ``best``, ordered along the first axis."""
+    for b in best[:-1]:
+        np.maximum(b, t, out=spare)
+        np.minimum(b, t, out=b)
+        t, spare = spare, t
+    np.minimum(best[-1], t, out=best[-1])
+
+
+def _far(ax, ay, bx, by):
+    """Distances, and an array of that shape to write over."""
+    d, spare = ax - bx, ay - by
+    np.abs(d, out=d)
+    np.abs(spare, out=spare)
+    return np.maximum(d, spare, out=d), spare
+
+
+def k_nearest(x: np.ndarray, y: np.ndarray, own: int, k: int, box: int = BOX):
+    """Distance to the k-th neighbour and that neighbour for the first ``own`` points: a point first asks
+    its own box, if that leaves its neighbours far away the next boxes, then all boxes that points nearer than the
+    k-th found so far can lie in."""
+    size = len(x)
+    depth = max(0, math.ceil(math.log2(max(size, 1) / max(box, 2 * k))))
+    each, count = -(-size // (1 << depth)), 1 << depth
+    perm = _boxes(x, y, depth, each)
+    px, py = np.append(x, np.inf)[perm], np.append(y, np.inf)[perm]
+    real, mine = perm < size, perm < own
+    best = np.full((k, each, count), np.inf)
+    chunks = [slice(lo, lo + max(1, 8_192 // each)) for lo in range(0, count, max(1, 8_192 // each))]  # arrays that stay in the cache
+    with np.errstate(invalid="ignore"):
+        for s in chunks:
+            bx, by = px[:, s], py[:, s]
+            b = np.full((k, *bx.shape), np.inf)
+            for j in range(each):
+                far, spare = _far(bx, by, bx[j], by[j])
+                far[j] = np.inf
+                _insert(b, far, spare)
+            best[:, :, s] = b
+        best[:, ~real] = np.inf
+        d = best[-1]
+        # bounds of the boxes, and of the nodes of the tree above
+        tree = [(px.min(axis=0), np.where(real, px, -np.inf).max(axis=0), py.min(axis=0), np.where(real, py, -np.inf).max(axis=0))]
+        for _ in range(depth):
+            tree.append(tuple(f(v[::2], v[1::2]) for f, v in zip((np.minimum, np.maximum) * 2, tree[-1])))
+        x0, x1, y0, y1 = tree[0]
+        flat, fx, fy = best.reshape(k, -1), px.reshape(-1), py.reshape(-1)
+        win, asked = np.empty(each * count, np.int64), []
+
+        def ask(a, b):
+            """The points of boxes ``a`` ask the boxes ``b``, one after the other while they can hold nearer ones."""
+            gx, gy = px[:, a], py[:, a]
+            gap = np.maximum(np.maximum(x0[b] - gx, gx - x1[b]), np.maximum(y0[b] - gy, gy - y1[b]))
+            np.maximum(gap, 0.0, out=gap)
+            slot, pair = np.nonzero((gap < d[:, a]) & mine[:, a])
+            p, b, gap = slot * count + a[pair], b[pair], gap[slot, pair]
+            while len(p):
+                at = np.arange(len(p))
+                win[p] = at
+                now = win[p] == at
+                q, c = p[now], b[now]
+                known = flat[:, q]
+                far, spare = _far(px[:, c], py[:, c], fx[q], fy[q])
+                asked.append((q, c, far.min(axis=0)))
+                for j in range(each):
+                    _insert(known, far[j], spare[j])
+                flat[:, q] = known
+                p, b, gap = p[~now], b[~now], gap[~now]
+                rest = gap < flat[-1, p]
+                p, b, gap = p[rest], b[rest], gap[rest]
+
+        step = max(1, 16_384 // each)
+        loose = np.where(mine, d, 0.0).max(axis=0) > LOOSE * np.maximum(x1 - x0, y1 - y0)
+        for lo in range(0, count, step):
+            a = lo + np.flatnonzero(loose[lo:lo + step])
+            ask(a[a > 0], a[a > 0] - 1)
+            ask(a[a < count - 1], a[a < count - 1] + 1)
+        reach = np.where(mine, d, 0.0).max(axis=0)
+        for lo in range(0, count, step):
+            a = lo + np.flatnonzero(reach[lo:lo + step] > 0)
+            b = np.zeros(len(a), np.int64)
+            for level in range(depth, -1, -1):
+                if level < depth:
+                    a, b = np.repeat(a, 2), np.repeat(2 * b, 2) + np.tile([0, 1], len(a))
+                u0, u1, v0, v1 = tree[level]
+                met = np.maximum(np.maximum(u0[b] - x1[a], x0[a] - u1[b]), np.maximum(v0[b] - y1[a], y0[a] - v1[b])) < reach[a]
+                a, b = a[met], b[met]
+            other = (a != b) & ~(loose[a] & (np.abs(a - b) == 1))
+            a, b = a[other], b[other]
+            for first in range(0, len(a), 65_536):
+                ask(a[first:first + 65_536], b[first:first + 65_536])
+        # the neighbour at that distance
+        near = np.full((each, count), size)
+        for s in chunks:
+            bx, by = px[:, s], py[:, s]
+            for j in range(each):
+                far, _ = _far(bx, by, bx[j], by[j])
+                far[j] = np.inf
+                np.copyto(near[:, s], perm[j, s], where=far == d[:, s])
+        near = near.reshape(-1)
+        for q, c, least in asked:
+            may = least <= flat[-1, q]
+            q, c = q[may], c[may]
+            far, _ = _far(px[:, c], py[:, c], fx[q], fy[q])
+            j, at = np.nonzero(far == flat[-1, q])
+            near[q[at]] = perm[j, c[at]]
+    out, at, mine = np.full(own, np.inf), np.empty(own, np.int64), mine.reshape(-1)
+    to = perm.reshape(-1)[mine]
+    out[to], at[to] = flat[-1][mine], near[mine]
+    return out, np.append(x, np.nan)[at], np.append(y, np.nan)[at]
 
 
 def _psi(m: np.ndarray) -> np.ndarray:
@@ -372,13 +528,16 @@ def _psi(m: np.ndarray) -> np.ndarray:
     return out
 
 
-_ASKED = "axis int, bucket long, vals binary, asks binary, far binary, psi double"
+_ASKED = "axis int, bucket long, tile long, vals binary, asks binary, lows binary, highs binary, across binary, psi double"
+_ASKED_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.float64()]
+_RANKED = "axis int, tile long, ranks binary, psi double"
 
 
 def _tile(plane: Plane, k: int):
     """Neighbours of a tile's points and the intervals nearer than they are. Ends in gaps between
-    buckets are counted at once, an interval in one bucket asks that bucket (``asks``: lo, hi),
-    others (``far``: lo, hi, known part, number of the point or -1) one bucket or two."""
+    buckets are counted at once, an interval in one bucket asks that bucket (``asks``: lo, hi), so does
+    one with a known end (``lows``, ``highs``: other end, what is known of the count). Others ask two
+    buckets (``across``: end, number of the point, inverted for the lower end)."""
     def run(group: pa.Table) -> pa.Table:
         tile = group.column("tile")[0].as_py()
         mine, around = _columns(group.column("own"), 2), _columns(group.column("around"), 2)
@@ -392,46 +551,66 @@ def _tile(plane: Plane, k: int):
             hi_at, hi_base, hi_known = plane.ranked(axis, hi)
             ask_lo, ask_hi = lo_known < 0, hi_known < 0
             psi += _psi((hi_known - lo_known)[~ask_lo & ~ask_hi].astype(float)).sum()
-            same = ask_lo & ask_hi & (lo_at == hi_at)
-            number = np.where(ask_lo & ask_hi, (np.int64(tile) << 32) + np.arange(own), -1)
-            none = np.full(own, -np.inf)
-            far = []
-            for asked, at_, cols in ((ask_lo & ~same, lo_at, (lo, none, np.where(ask_hi, -lo_base, hi_known - lo_base))),
-                                     (ask_hi & ~same, hi_at, (none, hi, np.where(ask_lo, hi_base, hi_base - lo_known)))):
-                far.append((at_[asked], np.stack([*cols, number.view(np.float64)])[:, asked]))
-            far_at, far = np.concatenate([f[0] for f in far]), np.concatenate([f[1] for f in far], axis=1)
-            v_at, out = np.searchsorted(plane.edges[axis], v), {}
-            same = np.flatnonzero(same)
-            for j, (where, cols) in enumerate(((v_at, v[None]), (lo_at[same], np.stack([lo, hi])[:, same]), (far_at, far))):
-                for bucket, o in _split(where, np.argsort(where, kind="stable")):
-                    out.setdefault(bucket, [b"", b"", b""])[j] = np.ascontiguousarray(cols[:, o]).tobytes()
-            rows += [(axis, bucket, *blobs, 0.0) for bucket, blobs in out.items()]
-        rows.append((-1, -1, b"", b"", b"", psi))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()))],
-                        names=["axis", "bucket", "vals", "asks", "far", "psi"])
+            both = ask_lo & ask_hi
+            same, across = np.flatnonzero(both & (lo_at == hi_at)), np.flatnonzero(both & (lo_at != hi_at))
+            low, high = np.flatnonzero(ask_lo & ~ask_hi), np.flatnonzero(ask_hi & ~ask_lo)
+            out = {}
+            for j, (where, cols) in enumerate((
+                    (np.searchsorted(plane.edges[axis], v), v[None]), (lo_at[same], np.stack([lo[same], hi[same]])),
+                    (lo_at[low], np.stack([lo[low], (hi_known - lo_base)[low]])), (hi_at[high], np.stack([hi[high], (hi_base - lo_known)[high]])),
+                    (np.r_[lo_at[across], hi_at[across]], np.stack([np.r_[lo[across], hi[across]], np.r_[~across, across].view(np.float64)])))):
+                for bucket, o in _split(where):
+                    out.setdefault(bucket, [b""] * 5)[j] = np.ascontiguousarray(cols[:, o]).tobytes()
+            rows += [(axis, bucket, tile, *blobs, 0.0) for bucket, blobs in out.items()]
+        rows.append((-1, -1, -1, *[b""] * 5, psi))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _ASKED_TYPES)], names=[c.split()[0] for c in _ASKED.split(", ")])
     return run
 
 
-def _bucket(group: pa.Table) -> pa.Table:
-    """Counts of a bucket: the sum of psi of whole intervals (pid -1) and the part of others."""
-    axis = group.column("axis")[0].as_py()
-    vals = np.sort(_columns(group.column("vals"), 1)[0])
-    psi = float(np.sum(group.column("psi").to_numpy()))
+def _places(vals: np.ndarray, e: np.ndarray, side: str) -> np.ndarray:
+    """``searchsorted`` by sorted ends, which finds them in the cache."""
+    order = np.argsort(e)
+    out = np.empty(len(e), np.int64)
+    out[order] = np.searchsorted(vals, e[order], side)
+    return out
 
-    def inside(lo, hi):
-        closed = lo == hi
-        left, right = np.searchsorted(vals, hi, "left"), np.searchsorted(vals, hi, "right")
-        return np.where(closed, right, left) - np.where(closed, left, np.searchsorted(vals, lo, "right"))
 
-    psi += _psi(inside(*_columns(group.column("asks"), 2)).astype(float)).sum()
-    lo, hi, base, number = _columns(group.column("far"), 4)
-    number = np.ascontiguousarray(number).view(np.int64)
-    # an end at -inf has no values before it
-    part = base + inside(lo, hi)
-    whole = number < 0
-    psi += _psi(part[whole]).sum()
-    return pa.table({"axis": pa.array(np.r_[-1, np.full((~whole).sum(), axis)], pa.int32()), "pid": pa.array(np.r_[-1, number[~whole]], pa.int64()),
-                     "m": pa.array(np.r_[0.0, part[~whole]]), "psi": pa.array(np.r_[psi, np.zeros((~whole).sum())])})
+def _bucket(before: list[np.ndarray]):
+    """Counts of a bucket: the sum of psi of whole intervals (tile -1), and the ranks of ends of others."""
+    def run(group: pa.Table) -> pa.Table:
+        axis, bucket = group.column("axis")[0].as_py(), group.column("bucket")[0].as_py()
+        vals = np.sort(_columns(group.column("vals"), 1)[0])
+        psi = float(np.sum(group.column("psi").to_numpy()))
+        lo, hi = _columns(group.column("asks"), 2)
+        m = _places(vals, hi, "left") - _places(vals, lo, "right")
+        closed = np.flatnonzero(lo == hi)
+        m[closed] = np.searchsorted(vals, hi[closed], "right") - np.searchsorted(vals, lo[closed], "left")
+        psi += _psi(m.astype(float)).sum()
+        lo, most = _columns(group.column("lows"), 2)
+        psi += _psi(most - _places(vals, lo, "right")).sum()
+        hi, least = _columns(group.column("highs"), 2)
+        psi += _psi(least + _places(vals, hi, "left")).sum()
+        rows = [(-1, -1, b"", psi)]
+        for tile, blob in zip(group.column("tile").to_pylist(), group.column("across").to_pylist()):
+            if blob:
+                e, number = np.frombuffer(blob).reshape(2, -1)
+                number = number.view(np.int64)
+                rank = np.where(number < 0, -_places(vals, e, "right"), _places(vals, e, "left"))
+                rank += np.where(number < 0, -1, 1) * before[axis][bucket]
+                rows.append((axis, tile, np.stack([np.where(number < 0, ~number, number), rank]).tobytes(), 0.0))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.float64()))], names=["axis", "tile", "ranks", "psi"])
+    return run
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """The sum of psi of a tile's intervals between buckets, from the ranks of both ends."""
+    number, rank = _columns(group.column("ranks"), 2).view(np.int64)
+    psi = float(np.sum(group.column("psi").to_numpy()))
+    if len(number):
+        m = np.zeros(number.max() + 1, np.int64)
+        np.add.at(m, number, rank)
+        psi += _psi(m[np.unique(number)].astype(float)).sum()
+    return pa.table({"psi": pa.array([psi])})
 
 
 def plane_score(q: DataFrame, k: int, cell: int = CELL) -> float | None:
@@ -447,9 +626,8 @@ def plane_score(q: DataFrame, k: int, cell: int = CELL) -> float | None:
     plane.known([tuple(r) for r in ends.groupBy("kind", "id").agg(
         F.sum("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).collect()], k)
     tiles = q.mapInArrow(plane.dealt, "tile long, own binary, around binary").groupBy("tile").applyInArrow(_tile(plane, k), _ASKED)
-    parts = tiles.groupBy("axis", "bucket").applyInArrow(_bucket, "axis int, pid long, m double, psi double")
-    sums = parts.groupBy("axis", "pid").agg(F.sum("m").alias("m"), F.sum("psi").alias("psi"))
-    psi = sums.agg(F.sum(F.when(F.col("pid") < 0, F.col("psi")).otherwise(digamma(F.col("m"))))).head()[0]
+    parts = tiles.groupBy("axis", "bucket").applyInArrow(_bucket(plane.before), _RANKED)
+    psi = parts.groupBy("axis", "tile").applyInArrow(_across, "psi double").agg(F.sum("psi")).head()[0]
     at = _psi(np.array([float(n), float(k)]))
     return max(0.0, float(at.sum() - psi / n))
 
@@ -475,6 +653,11 @@ def _without_old_shuffles(q: DataFrame, k: int) -> float | None:
         conf.unset(name) if before is None else conf.set(name, before)
 
 
+def _discard(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 # -- the operator -------------------------------------------------------------------
 
 def mutual_info_knn(df: DataFrame, features, target: str, classification: bool = True, neighbours: int = 3,
@@ -490,9 +673,15 @@ def mutual_info_knn(df: DataFrame, features, target: str, classification: bool =
     if classification:
         scores = discrete_scores(cut_lineage(points(df, feats, target, True, noise, seed, key)), neighbours)
     else:
-        # one feature after the other, each from the source: nothing is kept beside the running shuffle
-        *xs, (raw_y, y) = _sides(df, feats, target, False, noise, seed, key)
-        planes = [df.filter(raw.isNotNull() & raw_y.isNotNull()).select(x.alias("x"), y.alias("y")) for raw, x in xs]
-        scores = _score_table(df.sparkSession, {i: _without_old_shuffles(q, neighbours) for i, q in enumerate(planes)})
+        # values are made ready once, as the noise costs more than the search; then one feature after the other
+        *xs, (_, y) = _sides(df, feats, target, False, noise, seed, key)
+        path = scratch_path(df.sparkSession, "knn")
+        try:
+            df.select(y.alias("y"), *[x.alias(f"x{i}") for i, (_, x) in enumerate(xs)]).write.parquet(path)
+            ready = df.sparkSession.read.parquet(path)
+            planes = [ready.select(F.col(f"x{i}").alias("x"), "y").filter("x IS NOT NULL AND y IS NOT NULL") for i in range(len(feats))]
+            scores = _score_table(df.sparkSession, {i: _without_old_shuffles(q, neighbours) for i, q in enumerate(planes)})
+        finally:
+            _discard(df.sparkSession, path)
     names = df.sparkSession.createDataFrame(list(enumerate(feats)), "n int, feature string")
     return names.join(scores, F.expr("n = f"), "left").select("feature", "score")

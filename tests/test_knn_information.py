@@ -129,3 +129,60 @@ def test_tiles_get_every_neighbour_and_few_other_points(spark):
                 .groupBy("kind", "id").agg(F.sum("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).collect()], 3)
     dealt = q.mapInArrow(plane.dealt, "tile long, own binary, around binary").selectExpr("sum(length(own)) / 16 AS own", "sum(length(around)) / 16 AS around").first()
     assert dealt.own == n and dealt.around < 4 * n  # 20 tiles
+
+
+def flat_sample(kind, n, r):
+    if kind == "lines":  # a few values that noise tells apart
+        return r.integers(0, 9, n) / 3 + r.normal(size=n) * 1e-10, r.random(n) * 4
+    if kind == "copies":
+        return r.integers(0, 9, n) / 3 + r.normal(size=n) * 1e-10, r.integers(0, 12, n) / 3 + r.normal(size=n) * 1e-10
+    if kind == "equal":
+        return r.integers(0, 4, n) / 4, r.integers(0, 30, n) / 4
+    if kind == "far":  # most points close together, some far away
+        return np.exp(r.normal(size=n) * 6), r.standard_cauchy(n)
+    return r.normal(size=n), np.full(n, 2.0) if kind == "line" else r.normal(size=n)
+
+
+@pytest.mark.parametrize("kind", ["plane", "line", "lines", "copies", "equal", "far"])
+@pytest.mark.parametrize("n,own,k", [(4, 4, 3), (37, 20, 3), (2000, 1500, 3), (700, 700, 1), (900, 900, 17)])
+def test_search_finds_the_kth_neighbour(kind, n, own, k):
+    if k >= n:
+        return
+    x, y = flat_sample(kind, n, np.random.default_rng(n))
+    d, nx, ny = K.k_nearest(x, y, own, k)
+    far = np.maximum(np.abs(x[:own, None] - x), np.abs(y[:own, None] - y))
+    far[np.arange(own), np.arange(own)] = np.inf
+    np.testing.assert_array_equal(d, np.sort(far, axis=1)[:, k - 1])
+    np.testing.assert_array_equal(np.maximum(np.abs(nx - x[:own]), np.abs(ny - y[:own])), d)
+
+
+@pytest.mark.parametrize("kind", ["lines", "copies", "far"])
+def test_scores_of_close_and_far_values(spark, kind):
+    x, y = flat_sample(kind, 2500, np.random.default_rng(8))
+    q = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(3).cache()
+    want = plain_continuous(x, y)
+    assert abs(K.plane_score(q, 3, 100) - want) < 1e-9
+    assert abs(K.plane_score(q, 3) - want) < 1e-9
+
+
+def test_tiles_do_not_cut_values_that_differ_by_noise(spark):
+    """A tile of a line would need all points of the other half around its own; and leaves report once."""
+    x, y = flat_sample("lines", 6000, np.random.default_rng(5))
+    q = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").coalesce(1).cache()
+    plane = K.Plane(x, y, len(x), 300)
+    K_RUN, K.RUN = K.RUN, 1000
+    try:
+        ends = list(plane.bounds(q.toArrow().to_batches(500)))
+    finally:
+        K.RUN = K_RUN
+    rows = [tuple(v) for b in ends for v in zip(*b.to_pydict().values())]
+    assert len({r[:2] for r in rows}) == len(rows)
+    plane.known(rows, 3)
+    dealt = q.mapInArrow(plane.dealt, "tile long, own binary, around binary").selectExpr("sum(length(own)) / 16 AS own", "sum(length(around)) / 16 AS around").first()
+    assert dealt.own == len(x) and dealt.around < len(x) / 2
+
+
+def test_values_made_ready_are_not_left_behind(spark, table, monkeypatch, tmp_path):
+    monkeypatch.setattr(K, "scratch_path", lambda session, name: str(tmp_path / name))
+    assert scores(K.mutual_info_knn(table, ["a", "b"], "z", classification=False, key="i"))["a"] > 0.3
+    assert not list(tmp_path.iterdir())
