@@ -11,8 +11,8 @@ A point counts itself; scores below 0 are 0.
 
 On Spark: neighbours on a line come from a range sort numbered over all rows,
 cut into blocks that also get the ``k`` rows before and after them. Neighbours in
-the plane come from tiles of about ``CELL`` points, one task each (``Plane``): a k-d
-tree from a sample lays them out, exact row counts and bounds of its leaves say how far
+the plane come from tiles of at most about ``CELL`` points (``Plane``), from values made ready once
+and packed in runs: a k-d tree from a sample lays the tiles out, exact row counts and bounds of its leaves say how far
 a point's neighbours can lie, and a tile also gets the points within that distance.
 Counts of a discrete target are rank differences: interval ends are sorted into
 the values and carry the running count; counts beside a continuous one are made in buckets
@@ -31,6 +31,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,10 +179,40 @@ def discrete_scores(p: DataFrame, k: int, block: int = LINE_BLOCK) -> DataFrame:
 
 # -- continuous target ---------------------------------------------------------------
 
+def _packed(batches):
+    """(y, x of every feature, rows of its complete pairs, which they are or nothing for all): runs of
+    about ``RUN`` rows as packed columns, the target first."""
+    held, size = [], 0
+
+    def out():
+        y, *xs = (pa.chunked_array(c) for c in zip(*(b.columns for b in held)))
+        row = {"y": y}
+        for i, x in enumerate(xs):
+            whole = pc.and_(y.is_valid(), x.is_valid())
+            n = int(pc.sum(whole).as_py() or 0)
+            row |= {f"x{i}": x, f"n{i}": n, f"keep{i}": b"" if n == size else whole.to_numpy().tobytes()}
+        values = [v if isinstance(v, int | bytes) else v.to_numpy().astype(float).tobytes() for v in row.values()]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=list(row))
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= RUN:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
 def _runs(batches):
-    """Columns x and y of runs of about ``RUN`` rows."""
+    """Columns x and y of runs of about ``RUN`` rows, given as rows (x, y) or ``_packed`` (x, y, keep)."""
     held, size = [], 0
     for batch in batches:
+        if batch.num_columns == 3:
+            for x, y, keep in zip(*([v.as_buffer() for v in c] for c in batch.columns)):
+                run = [np.frombuffer(x), np.frombuffer(y)]
+                yield [v[np.frombuffer(keep, bool)] for v in run] if keep.size else run
+            continue
         held.append([c.to_numpy() for c in batch.columns])
         size += batch.num_rows
         if size >= RUN:
@@ -190,6 +222,15 @@ def _runs(batches):
         yield [np.concatenate(c) for c in zip(*held)]
 
 
+def _sampled(share: float):
+    def run(batches):
+        draw = np.random.default_rng([1, TaskContext.get().partitionId()])
+        for x, y in _runs(batches):
+            some = draw.random(len(x)) < share
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(y[some])], names=["x", "y"])
+    return run
+
+
 def _grouped(at: np.ndarray):
     """(distinct numbers, places sorted by number, first place of each)."""
     order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 65_536 else at, kind="stable")
@@ -613,19 +654,20 @@ def _across(group: pa.Table) -> pa.Table:
     return pa.table({"psi": pa.array([psi])})
 
 
-def plane_score(q: DataFrame, k: int, cell: int = CELL) -> float | None:
-    """Score of points (x, y); None with at most ``k`` points. The points are read from their
-    source three times and shuffled once as packed columns, with the points around every tile."""
-    n = q.count()
+def plane_score(q: DataFrame, k: int, cell: int = CELL, n: int | None = None) -> float | None:
+    """Score of ``n`` points (x, y), rows or ``_packed`` ones; None with at most ``k`` points. They are read
+    three times and shuffled once as packed columns, with the points around every tile."""
+    n = q.count() if n is None else n
     if n <= k:
         return None
-    share = max(SAMPLE / n, 1 / 512)
-    some = (q.sample(False, share, 1) if share < 1 else q).toPandas()
+    some = q.mapInArrow(_sampled(max(SAMPLE / n, 1 / 512)), "x double, y double").toPandas()
     plane = Plane(some["x"].to_numpy(), some["y"].to_numpy(), n, cell)
     ends = q.mapInArrow(plane.bounds, "kind int, id long, n long, x0 double, x1 double, y0 double, y1 double")
     plane.known([tuple(r) for r in ends.groupBy("kind", "id").agg(
         F.sum("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).collect()], k)
-    tiles = q.mapInArrow(plane.dealt, "tile long, own binary, around binary").groupBy("tile").applyInArrow(_tile(plane, k), _ASKED)
+    tasks = min(2_000, -(-n // cell) + 7)  # about a tile or bucket each: small in bytes, but long
+    dealt = q.mapInArrow(plane.dealt, "tile long, own binary, around binary").repartition(tasks, "tile")
+    tiles = dealt.groupBy("tile").applyInArrow(_tile(plane, k), _ASKED).repartition(tasks, "axis", "bucket")
     parts = tiles.groupBy("axis", "bucket").applyInArrow(_bucket(plane.before), _RANKED)
     psi = parts.groupBy("axis", "tile").applyInArrow(_across, "psi double").agg(F.sum("psi")).head()[0]
     at = _psi(np.array([float(n), float(k)]))
@@ -642,13 +684,13 @@ def _score_table(spark, scores: dict) -> DataFrame:
     return spark.createDataFrame([r for r in scores.items() if r[1] is not None], "f int, score double")
 
 
-def _without_old_shuffles(q: DataFrame, k: int) -> float | None:
+def _without_old_shuffles(q: DataFrame, k: int, n: int) -> float | None:
     """``plane_score``; the shuffle files of each of its jobs go when the job ends."""
     conf, name = q.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name, None)
     conf.set(name, "true")
     try:
-        return plane_score(q, k)
+        return plane_score(q, k, n=n)
     finally:
         conf.unset(name) if before is None else conf.set(name, before)
 
@@ -677,10 +719,12 @@ def mutual_info_knn(df: DataFrame, features, target: str, classification: bool =
         *xs, (_, y) = _sides(df, feats, target, False, noise, seed, key)
         path = scratch_path(df.sparkSession, "knn")
         try:
-            df.select(y.alias("y"), *[x.alias(f"x{i}") for i, (_, x) in enumerate(xs)]).write.parquet(path)
-            ready = df.sparkSession.read.parquet(path)
-            planes = [ready.select(F.col(f"x{i}").alias("x"), "y").filter("x IS NOT NULL AND y IS NOT NULL") for i in range(len(feats))]
-            scores = _score_table(df.sparkSession, {i: _without_old_shuffles(q, neighbours) for i, q in enumerate(planes)})
+            kept = "y binary" + "".join(f", x{i} binary, n{i} long, keep{i} binary" for i in range(len(feats)))
+            df.select(y.alias("y"), *[x.alias(f"x{i}") for i, (_, x) in enumerate(xs)]).mapInArrow(_packed, kept).write.option("compression", "none").parquet(path)
+            ready = df.sparkSession.read.schema(kept).parquet(path)
+            sizes = ready.agg(*[F.sum(f"n{i}") for i in range(len(feats))]).head()
+            planes = [ready.select(F.col(f"x{i}").alias("x"), "y", f"keep{i}") for i in range(len(feats))]
+            scores = _score_table(df.sparkSession, {i: _without_old_shuffles(q, neighbours, sizes[i] or 0) for i, q in enumerate(planes)})
         finally:
             _discard(df.sparkSession, path)
     names = df.sparkSession.createDataFrame(list(enumerate(feats)), "n int, feature string")
