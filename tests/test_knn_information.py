@@ -186,3 +186,16 @@ def test_values_made_ready_are_not_left_behind(spark, table, monkeypatch, tmp_pa
     monkeypatch.setattr(K, "scratch_path", lambda session, name: str(tmp_path / name))
     assert scores(K.mutual_info_knn(table, ["a", "b"], "z", classification=False, key="i"))["a"] > 0.3
     assert not list(tmp_path.iterdir())
+
+
+def test_missing_values_leave_their_feature_only(spark, table, monkeypatch):
+    """Runs with and without missing values, of features and of the target."""
+    monkeypatch.setattr(K, "RUN", 40)
+    gaps = table.select("i", F.expr("CASE WHEN i % 3 > 0 OR i > 300 THEN a END AS a"), F.expr("CASE WHEN i % 5 = 0 THEN double('nan') ELSE b END AS b"),
+                        F.lit(None).cast("double").alias("none"), F.expr("CASE WHEN i % 7 > 0 OR i < 90 THEN z END AS z"))
+    got = scores(K.mutual_info_knn(gaps, ["a", "none", "b"], "z", classification=False, key="i"))
+    assert got["none"] is None
+    p = K.points(gaps, ["a", "none", "b"], "z", False, True, 42, "i").collect()
+    for f, name in ((0, "a"), (2, "b")):
+        rows = [(r.x, r.y) for r in p if r.f == f]
+        assert abs(got[name] - plain_continuous([x for x, _ in rows], [y for _, y in rows])) < 1e-9
