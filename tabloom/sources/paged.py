@@ -43,7 +43,9 @@ def write_paged(df: DataFrame, path: str, order_by, rows_per_file: int = ROWS_PE
         raise OperatorError("rows_per_file must be at least 1")
     spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
-    ranges = max(1, -(-n // rows_per_file))
+    # Ranges come from a sample, so their sizes differ: at two thirds of a file on average they need no
+    # second, small file, and a page does not lie across three.
+    ranges = 1 if n <= rows_per_file else -(-3 * n // (2 * rows_per_file))
     # The partition number is a function of the input split, so a task that runs
     # again deals its rows as before.
     tagged = df.select("*", F.xxhash64(*[qcol(c) for c in df.columns]).alias(_HASH),
